@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidewatch.llm.near_dup import near_duplicates
 from tidewatch.llm.packing import packing_digest
 from tidewatch.llm.token_files import token_digest
 
@@ -14,6 +15,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 QUERIES = {
     "op3_packing": lambda spark, d: packing_digest(table(spark, d, "documents")),
+    "op4_near_dup": lambda spark, d: near_duplicates(table(spark, d, "documents")),
     "op5_token_files": lambda spark, d: token_digest(spark, table(spark, d, "documents")),
 }
 
