@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidewatch.llm.near_dup import near_duplicates
 from tidewatch.llm.packing import packing_digest
 from tidewatch.llm.token_files import token_digest
+from tidewatch.llm.toxicity import toxicity_digest
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
