@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewatch.llm.html_text import main_text
+from tidewatch.llm.jpeg import media_digest
 from tidewatch.llm.near_dup import near_duplicates
 from tidewatch.llm.packing import packing_digest
 from tidewatch.llm.token_files import token_digest
