@@ -20,6 +20,9 @@ QUERIES = {
     "op3_packing": lambda spark, d: packing_digest(table(spark, d, "documents")),
     "op4_near_dup": lambda spark, d: near_duplicates(table(spark, d, "documents")),
     "op5_token_files": lambda spark, d: token_digest(spark, table(spark, d, "documents")),
+    "op6_toxicity": lambda spark, d: toxicity_digest(table(spark, d, "documents"), table(spark, d, "labels")),
+    "op9_jpeg": lambda spark, d: media_digest(table(spark, d, "documents")),
+    "op10_html_text": lambda spark, d: main_text(table(spark, d, "pages")),
 }
 
 ORACLE_SQL: dict[str, str] = {}
