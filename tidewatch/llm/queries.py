@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidewatch.llm.decontaminate import contaminated
 from tidewatch.llm.html_text import main_text
 from tidewatch.llm.jpeg import media_digest
 from tidewatch.llm.near_dup import near_duplicates
 from tidewatch.llm.packing import packing_digest
+from tidewatch.llm.pii import pii_digest
 from tidewatch.llm.token_files import token_digest
 from tidewatch.llm.toxicity import toxicity_digest
 
@@ -17,10 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_pii": lambda spark, d: pii_digest(table(spark, d, "documents")),
     "op3_packing": lambda spark, d: packing_digest(table(spark, d, "documents")),
     "op4_near_dup": lambda spark, d: near_duplicates(table(spark, d, "documents")),
     "op5_token_files": lambda spark, d: token_digest(spark, table(spark, d, "documents")),
     "op6_toxicity": lambda spark, d: toxicity_digest(table(spark, d, "documents"), table(spark, d, "labels")),
+    "op7_decontaminate": lambda spark, d: contaminated(table(spark, d, "documents"), table(spark, d, "benchmark")),
     "op9_jpeg": lambda spark, d: media_digest(table(spark, d, "documents")),
     "op10_html_text": lambda spark, d: main_text(table(spark, d, "pages")),
 }
