@@ -10,6 +10,7 @@ from tidewatch.llm.jpeg import media_digest
 from tidewatch.llm.near_dup import near_duplicates
 from tidewatch.llm.packing import packing_digest
 from tidewatch.llm.pii import pii_digest
+from tidewatch.llm.suffix_dedup import repeated_passages
 from tidewatch.llm.token_files import token_digest
 from tidewatch.llm.toxicity import toxicity_digest
 
@@ -25,6 +26,7 @@ QUERIES = {
     "op5_token_files": lambda spark, d: token_digest(spark, table(spark, d, "documents")),
     "op6_toxicity": lambda spark, d: toxicity_digest(table(spark, d, "documents"), table(spark, d, "labels")),
     "op7_decontaminate": lambda spark, d: contaminated(table(spark, d, "documents"), table(spark, d, "benchmark")),
+    "op8_suffix_dedup": lambda spark, d: repeated_passages(table(spark, d, "documents")),
     "op9_jpeg": lambda spark, d: media_digest(table(spark, d, "documents")),
     "op10_html_text": lambda spark, d: main_text(table(spark, d, "pages")),
 }
