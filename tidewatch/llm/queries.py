@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidewatch.llm.decontaminate import contaminated
 from tidewatch.llm.html_text import main_text
 from tidewatch.llm.jpeg import media_digest
+from tidewatch.llm.lm_score import score_documents
 from tidewatch.llm.near_dup import near_duplicates
 from tidewatch.llm.packing import packing_digest
 from tidewatch.llm.pii import pii_digest
@@ -20,6 +21,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_lm_score": lambda spark, d: score_documents(table(spark, d, "documents")),
     "op2_pii": lambda spark, d: pii_digest(table(spark, d, "documents")),
     "op3_packing": lambda spark, d: packing_digest(table(spark, d, "documents")),
     "op4_near_dup": lambda spark, d: near_duplicates(table(spark, d, "documents")),
