@@ -22,7 +22,6 @@ from __future__ import annotations
 import functools
 import itertools
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -50,6 +49,7 @@ _CACHE = 1_500_000
 
 _EDGE = np.ones(256, bool)
 _EDGE[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
+_OUTER = ".,;:!?\"'()[]*#%$&-"
 _NOT_LETTER = re.compile(r"[\W\d_]+")
 
 
@@ -82,7 +82,7 @@ def _by_length(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.nd
             _known[int(n)] = _combinations(int(n))
         at, weight = _known[int(n)]
         own = np.flatnonzero(size == n)
-        for part in np.array_split(own, -(-len(own) * max(1, len(at)) // 2_000_000)):
+        for part in np.array_split(own, -(-len(own) * max(1, len(at)) // 500_000)):
             text = "".join([words[i] for i in part])
             codes = (np.frombuffer(text.encode("utf-32-le"), np.uint32) * np.uint32(2654435761) >> np.uint32(26)).astype(np.int64).reshape(len(part), n)
             yield part, (codes[:, at[:, 0]] * SIGNS + codes[:, at[:, 1]]) * SIGNS + codes[:, at[:, 2]], weight
@@ -262,14 +262,16 @@ def _telling(has: np.ndarray, n: list[int]) -> np.ndarray:
 
 def _unlike(texts: list[str], toxic: list[int]) -> tuple[list[str], list[int]]:
     """Without texts that share one of four min-hashes of word triples with an earlier one, as copies do."""
-    words, first = word_hashes(pa.array(texts))
-    h, offsets = shingle_hashes(words, first, 3)
-    seen, kept = set(), []
-    for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
-        marks = {(k, int(mix(h[a:b] + np.uint64(k)).min())) for k in range(4)} if b > a else set()
-        if not marks & seen:
-            kept.append(i)
-        seen |= marks
+    seen, kept, i = set(), [], 0
+    for part in slices(pa.array(texts)):
+        words, first = word_hashes(part)
+        h, offsets = shingle_hashes(words, first, 3)
+        for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+            marks = {(k, int(mix(h[a:b] + np.uint64(k)).min())) for k in range(4)} if b > a else set()
+            if not marks & seen:
+                kept.append(i)
+            seen |= marks
+            i += 1
     return [texts[i] for i in kept], [toxic[i] for i in kept]
 
 
@@ -280,19 +282,24 @@ def train(texts: list[str], toxic: list[int], rounds: int = 3) -> ToxicityModel:
     if not 0 < rate < 1:
         return blank
     texts, toxic = _unlike(texts, toxic)
-    held: list[list[list[str]]] = []  # the words of each sentence of each text
+    number: dict[str, int] = {}
+    bags, label = [], np.array(toxic)  # the distinct words of each text, by number
     for t in texts:
-        sentences = re.split(r"[.!?\n]+(?:\s+|$)", t)
-        held.append([[f for w in re.findall(r"[^\x20\x09-\x0D]+", s) for f in forms(w.strip(".,;:!?\"'()[]*#%$&-"))] for s in sentences])
-    bags = [{w for s in sentences for w in s if len(w) > 2} for sentences in held]
-    counts = [Counter(w for b, y in zip(bags, toxic, strict=True) if y == k for w in b) for k in (0, 1)]
-    n = [toxic.count(0), toxic.count(1)]
+        own = {number.setdefault(f, len(number)) for w in set(t.split()) for f in forms(w.strip(_OUTER)) if len(f) > 2}
+        bags.append(np.fromiter(own, np.int32, len(own)))
+    n = [int((label == 0).sum()), int((label == 1).sum())]
+    has = np.array([np.bincount(np.concatenate([b for b, y in zip(bags, toxic, strict=True) if y == k] or [np.zeros(0, np.int32)]), minlength=len(number)) for k in (0, 1)], np.float64)
+    # Words of one clean text only serve as counterexamples; a bounded number of them is enough.
     rng = np.random.default_rng(0)
-    rare = sorted(w for w in counts[0] if counts[0][w] == 1 and w not in counts[1])
-    left_out = {rare[i] for i in rng.permutation(len(rare))[RARE:]}
-    vocabulary = sorted((set(counts[0]) | set(counts[1])) - left_out)
-    index = {w: i for i, w in enumerate(vocabulary)}
-    has = np.array([[c[w] for w in vocabulary] for c in counts], np.float64)
+    names = np.array(list(number), object)
+    order = np.argsort(names, kind="stable")
+    rare = order[(has[0] == 1)[order] & (has[1] == 0)[order]]
+    used = np.ones(len(names), bool)
+    used[rng.permutation(rare)[RARE:]] = False
+    place = np.cumsum(used) - 1
+    vocabulary, has = names[used].tolist(), has[:, used]
+    bags = [place[b[used[b]]] for b in bags]
+    del number, names
     # Where the search for witnesses begins: words that toxic texts hold by more than chance among so many words.
     positive = np.flatnonzero(_telling(has, n))
     if not len(positive):
@@ -316,12 +323,12 @@ def train(texts: list[str], toxic: list[int], rounds: int = 3) -> ToxicityModel:
         decided = decisions(vocabulary, table, bias)
         if turn + 1 < rounds:
             # Witnesses: the strongest word of the strongest sentence of each toxic text, and whatever decides like one.
-            witness = {max((index[w] for s in x for w in s if w in index), key=decided.__getitem__, default=-1) for x, label in zip(held, toxic, strict=True) if label} - {-1}
+            witness = {int(b[np.argmax(decided[b])]) for b, y in zip(bags, toxic, strict=True) if y and len(b)}
             strong = np.flatnonzero((decided > 0.3) & (has[0] == 0) & (has[1] >= 2))
-            positive = np.unique(np.concatenate([positive, strong, np.array([i for i in witness if has[0][i] * n[1] < 0.2 * has[1][i] * n[0]], np.int64)]))
+            positive = np.unique(np.concatenate([positive, strong, np.array([i for i in sorted(witness) if has[0][i] * n[1] < 0.2 * has[1][i] * n[0]], np.int64)]))
             hard = clean[np.argsort(-decided[clean], kind="stable")[:3000]]
             negative = np.setdiff1d(np.union1d(negative, hard), positive)
-    top = np.array([(sorted((decided[index[w]] for w in b if w in index), reverse=True)[:2] + [_LOW] * 2)[:2] for b in bags])
+    top = np.array([np.sort(np.concatenate([decided[b], [_LOW, _LOW]]))[:-3:-1] for b in bags])
     y = np.array(toxic, np.float64)
     x = np.column_stack([np.ones(len(top)), top])
     w, ridge = np.zeros(3), np.diag([1e-3, 0.05, 0.05])
@@ -339,8 +346,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = S
     chosen = [labels.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample[k]) for k in (0, 1)]
     chosen = F.broadcast(chosen[0].unionByName(chosen[1]))  # sum(sample) rows at most
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id").select("doc_id", "toxic", "text").collect()
-    rows = sorted((r.doc_id, r.toxic, r.text or "") for r in rows)
-    return train([t for _, _, t in rows], [y for _, y, _ in rows])
+    rows.sort(key=lambda r: (r.doc_id, r.toxic))
+    texts, toxic = [r.text or "" for r in rows], [r.toxic for r in rows]
+    del rows
+    return train(texts, toxic)
 
 
 _scores: dict[str, WordScores] = {}
