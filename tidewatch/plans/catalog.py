@@ -1,6 +1,460 @@
-"""All queries of the engine, by name, with their DuckDB twins."""
+"""All queries of the engine, by name, with their DuckDB twins where SQL can express them.
+
+Names begin with the inventory number of the operator that a query shows. Doubles are rounded to six digits in
+both, as the order of sums is free.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tidewatch.functions import rules
+from tidewatch.functions.rules import ThresholdRule
+from tidewatch.operators import detectors, graph, scoring, supervised, survival, windows
+from tidewatch.sources import io
+from tidewatch.streaming import maintenance
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def register(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def rounded(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c in columns})
+
+
+def events(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").select("event_id", "ts", "user_id", "event_type", "value", (F.col("event_type") == "error").cast("int").alias("label"))
+
+
+def cycles(spark: SparkSession, d: str) -> DataFrame:
+    """The event table as a maintenance panel: a user is an asset, an event a cycle."""
+    return events(spark, d).withColumn("cycle", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
+
+
+def messages(spark: SparkSession, d: str) -> DataFrame:
+    """Line items as messages between suppliers."""
+    n = table(spark, d, "supplier").agg(F.count(F.lit(1)).alias("n"))
+    return table(spark, d, "lineitem").crossJoin(F.broadcast(n)).select(F.col("l_suppkey").alias("sender_id"), F.pmod("l_partkey", "n").alias("receiver_id"), F.col("l_shipdate").alias("timestamp"))
+
+
+def roster(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "supplier").select(F.col("s_suppkey").alias("node"))
+
+
+def gaps(spark: SparkSession, d: str) -> DataFrame:
+    """Days to a customer's next order; the last one is censored at the last order date of all."""
+    o = table(spark, d, "orders")
+    end = o.agg(F.max("o_orderdate").alias("end"))
+    nxt = F.lead("o_orderdate").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
+    return o.crossJoin(F.broadcast(end)).select("o_orderkey", "o_custkey", "o_totalprice", F.datediff(F.coalesce(nxt, F.col("end")), "o_orderdate").cast("double").alias("duration"), nxt.isNotNull().cast("int").alias("event"))
+
+
+E_SQL = "e AS (SELECT event_id, ts, user_id, event_type, value, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS label FROM events)"
+C_SQL = E_SQL + ", c AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS cycle FROM e)"
+M_SQL = "m AS (SELECT l_suppkey AS sender_id, l_partkey % (SELECT count(*) FROM supplier) AS receiver_id, l_shipdate AS ts FROM lineitem)"
+EDGES_SQL = M_SQL + ", edges AS (SELECT least(sender_id, receiver_id) AS u, greatest(sender_id, receiver_id) AS v, count(*) AS weight FROM m WHERE sender_id <> receiver_id GROUP BY 1, 2), ends AS (SELECT u AS node, weight FROM edges UNION ALL SELECT v, weight FROM edges)"
+G_SQL = "g AS (SELECT o_orderkey, o_custkey, o_totalprice, date_diff('day', o_orderdate::DATE, coalesce(lead(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey), (SELECT max(o_orderdate) FROM orders))::DATE)::DOUBLE AS duration, CASE WHEN lead(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) IS NULL THEN 0 ELSE 1 END AS event FROM orders)"
+Z_SQL = E_SQL + ", z AS (SELECT *, median(value) OVER (PARTITION BY user_id) AS med FROM e), y AS (SELECT *, abs(value - med) AS dev FROM z), x AS (SELECT *, median(dev) OVER (PARTITION BY user_id) AS mad FROM y), s AS (SELECT event_id, user_id, ts, label, value, abs((value - med) / (mad + 1e-8)) AS score FROM x), f AS (SELECT *, CASE WHEN score >= quantile_cont(score, 0.95) OVER (PARTITION BY user_id) THEN 1 ELSE 0 END AS flag FROM s)"
+
+
+def flagged(spark: SparkSession, d: str) -> DataFrame:
+    return scoring.detect_anomalies(events(spark, d), scoring.RobustZScore(partition=("user_id",)), ThresholdRule("quantile", quantile=0.95), ("user_id",))
+
+
+@query("o4_detect_anomalies", f"WITH {Z_SQL} SELECT event_id, user_id, round(score, 6) AS score, flag FROM f")
+def _(spark, d):
+    return rounded(flagged(spark, d).select("event_id", "user_id", "score", "flag"), "score")
+
+
+@query("a2_robust_zscore_global", f"WITH {E_SQL}, m AS (SELECT median(value) AS med FROM e), k AS (SELECT median(abs(value - med)) AS mad FROM e, m) SELECT event_id, round(abs((value - med) / (mad + 1e-8)), 6) AS score FROM e, m, k")
+def _(spark, d):
+    return rounded(scoring.RobustZScore().transform(events(spark, d)).select("event_id", "score"), "score")
+
+
+@query("a3_zscore", "WITH s AS (SELECT avg(l_quantity) AS mq, stddev_pop(l_quantity) AS sq, avg(l_extendedprice) AS mp, stddev_pop(l_extendedprice) AS sp FROM lineitem) SELECT l_orderkey, l_linenumber, round(greatest(abs((l_quantity - mq) / sq), abs((l_extendedprice - mp) / sp)), 6) AS score FROM lineitem, s")
+def _(spark, d):
+    df = table(spark, d, "lineitem")
+    return rounded(scoring.ZScore(("l_quantity", "l_extendedprice")).fit(df).transform(df).select("l_orderkey", "l_linenumber", "score"), "score")
+
+
+@query("a4_iqr", f"WITH {E_SQL}, q AS (SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM e) SELECT event_id, round(greatest(q1 - 1.5 * (q3 - q1) - value, value - q3 - 1.5 * (q3 - q1), 0.0) / (q3 - q1 + 1e-10), 6) AS score FROM e, q")
+def _(spark, d):
+    df = events(spark, d)
+    return rounded(scoring.InterquartileRange().fit(df).transform(df).select("event_id", "score"), "score")
+
+
+@query("a5_seasonal", f"WITH {E_SQL}, k AS (SELECT *, hour(ts) AS season FROM e), s AS (SELECT season, avg(value) AS m, stddev_samp(value) AS sd FROM k GROUP BY season) SELECT event_id, round(abs(value - m) / CASE WHEN sd > 0 THEN sd ELSE 1.0 END, 6) AS score FROM k JOIN s USING (season)")
+def _(spark, d):
+    df = events(spark, d)
+    return rounded(scoring.seasonal_score(df, df, "ts", "value", "hour").select("event_id", "score"), "score")
+
+
+@query("p2_quantile_threshold", "WITH q AS (SELECT quantile_cont(o_totalprice, 0.9) AS t FROM orders) SELECT o_orderkey, CASE WHEN o_totalprice >= t THEN 1 ELSE 0 END AS flag FROM orders, q")
+def _(spark, d):
+    return rules.apply_threshold(table(spark, d, "orders"), ThresholdRule("quantile", quantile=0.9), "o_totalprice").select("o_orderkey", "flag")
+
+
+RUL_SQL = C_SQL + ", r AS (SELECT *, greatest(max(cycle) OVER (PARTITION BY user_id) - cycle, 0) AS RUL FROM c)"
+
+
+@query("p3_health_states", f"WITH {RUL_SQL} SELECT event_id, RUL, CASE WHEN RUL <= 10 THEN 2 WHEN RUL <= 30 THEN 1 ELSE 0 END AS health_state FROM r")
+def _(spark, d):
+    return windows.remaining_life(cycles(spark, d), "user_id", "cycle").select("event_id", F.col("RUL").cast("long").alias("RUL"), rules.health_from_rul(F.col("RUL")).alias("health_state"))
+
+
+@query("p4_rul_labels", f"WITH {RUL_SQL}, l AS (SELECT event_id, CASE WHEN RUL > 30 THEN 'healthy' WHEN RUL > 15 THEN 'warning' WHEN RUL > 0 THEN 'critical' WHEN RUL = 0 THEN 'failed' ELSE 'unknown' END AS health_label FROM r) SELECT event_id, health_label, CASE WHEN health_label <> 'healthy' THEN 1 ELSE 0 END AS binary_label, CASE health_label WHEN 'healthy' THEN 0 WHEN 'warning' THEN 1 WHEN 'critical' THEN 2 WHEN 'failed' THEN 3 ELSE -1 END AS multi_class_label FROM l")
+def _(spark, d):
+    df = windows.remaining_life(cycles(spark, d), "user_id", "cycle")
+    return df.withColumns(rules.rul_labels(F.col("RUL"))).select("event_id", "health_label", "binary_label", "multi_class_label")
+
+
+POLICY_SQL = RUL_SQL + ", h AS (SELECT *, CASE WHEN RUL <= 10 THEN 2 WHEN RUL <= 30 THEN 1 ELSE 0 END AS st FROM r), b AS (SELECT *, coalesce(lag(st) OVER (PARTITION BY user_id ORDER BY cycle), 0) AS pr FROM h), a AS (SELECT event_id, st AS health_state, CASE WHEN st = 2 THEN 2 WHEN pr = 0 AND st = 1 THEN 1 ELSE 0 END AS action FROM b), p AS (SELECT *, CASE action WHEN 2 THEN 100.0 WHEN 1 THEN 30.0 ELSE 0.0 END::DOUBLE AS cost, (CASE health_state WHEN 2 THEN 0.3 WHEN 1 THEN 0.1 ELSE 0.01 END * CASE action WHEN 2 THEN 0.5 WHEN 1 THEN 0.75 ELSE 1.0 END)::DOUBLE AS risk FROM a)"
+
+
+def policy(spark: SparkSession, d: str) -> DataFrame:
+    df = windows.remaining_life(cycles(spark, d), "user_id", "cycle").withColumn("health_state", rules.health_from_rul(F.col("RUL")))
+    df = df.withColumn("previous", F.coalesce(F.lag("health_state").over(Window.partitionBy("user_id").orderBy("cycle")), F.lit(0)))
+    return rules.apply_policy(df, previous="previous")
+
+
+@query("p7_policy", f"WITH {POLICY_SQL} SELECT event_id, health_state, action, cost, round(risk, 6) AS risk FROM p")
+def _(spark, d):
+    return rounded(policy(spark, d).select("event_id", "health_state", "action", "cost", "risk"), "risk")
+
+
+@query("p8_evaluate_policy", f"WITH {POLICY_SQL} SELECT sum(cost) AS total_cost, round(sum(risk), 6) AS total_risk, count(*) FILTER (action = 2) AS interventions, count(*) FILTER (action = 1) AS reviews, count(*) FILTER (action = 0) AS waits FROM p")
+def _(spark, d):
+    return rounded(rules.evaluate_policy(policy(spark, d)), "total_risk")
+
+
+@query("p9_min_max", "WITH s AS (SELECT min(s_acctbal) AS lo, max(s_acctbal) AS hi FROM supplier) SELECT s_suppkey, round((s_acctbal - lo) / (hi - lo), 6) AS scaled FROM supplier, s")
+def _(spark, d):
+    return rounded(rules.min_max(table(spark, d, "supplier"), "s_acctbal", "scaled").select("s_suppkey", "scaled"), "scaled")
+
+
+@query("p12_alerts", f"WITH {E_SQL}, q AS (SELECT event_id, user_id, value, CASE WHEN value >= 100 THEN 'failure' WHEN value >= 60 THEN 'critical' WHEN value >= 40 THEN 'warning' END AS level FROM e) SELECT event_id, user_id, level, CASE level WHEN 'failure' THEN 100.0 WHEN 'critical' THEN 60.0 ELSE 40.0 END::DOUBLE AS threshold FROM q WHERE level IS NOT NULL")
+def _(spark, d):
+    found = maintenance.alerts(events(spark, d), "user_id", "event_id", {"value": {"warning": 40, "critical": 60, "failure": 100}})
+    return found.select("event_id", "user_id", "level", "threshold")
+
+
+@query("p13_time_bins", "SELECT date_trunc('day', ts) AS bin, count(*) AS n FROM events GROUP BY 1")
+def _(spark, d):
+    return events(spark, d).groupBy(rules.time_bin(F.col("ts")).cast("timestamp_ntz").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("p14_seasonal_keys", "SELECT event_id, week(ts)::INT AS w, month(ts)::INT AS m, dayofyear(ts)::INT AS y, hour(ts)::INT AS h FROM events")
+def _(spark, d):
+    ts = F.col("ts")
+    return events(spark, d).select("event_id", *[rules.seasonal_key(ts, s).alias(k) for k, s in (("w", "week"), ("m", "month"), ("y", "day"), ("h", "hour"))])
+
+
+RATES_SQL = "CASE WHEN tp + fp = 0 THEN 0.0 ELSE tp * 1.0 / (tp + fp) END::DOUBLE AS precision, CASE WHEN tp + fn = 0 THEN 0.0 ELSE tp * 1.0 / (tp + fn) END::DOUBLE AS recall"
+F1_SQL = "CASE WHEN precision + recall = 0 THEN 0.0 ELSE 2 * precision * recall / (precision + recall) END"
+COUNTS_SQL = "count(*) FILTER (flag = 1 AND label = 1) AS tp, count(*) FILTER (flag = 1 AND label = 0) AS fp, count(*) FILTER (flag = 0 AND label = 0) AS tn, count(*) FILTER (flag = 0 AND label = 1) AS fn"
+
+
+@query("a6_performance", f"WITH {Z_SQL}, k AS (SELECT {COUNTS_SQL}, avg(flag) AS anomaly_rate, avg(score) AS score_mean, max(score) AS score_max, stddev_pop(score) AS score_std FROM f), r AS (SELECT *, {RATES_SQL} FROM k) SELECT tp, fp, tn, fn, round(anomaly_rate, 6) AS anomaly_rate, round(score_mean, 6) AS score_mean, round(score_max, 6) AS score_max, round(score_std, 6) AS score_std, round(precision, 6) AS precision, round(recall, 6) AS recall, round({F1_SQL}, 6) AS f1 FROM r")
+def _(spark, d):
+    return rounded(scoring.performance_metrics(flagged(spark, d)).drop("score_min"), "anomaly_rate", "score_mean", "score_max", "score_std", "precision", "recall", "f1")
+
+
+@query("a9_evaluate_by_user", f"WITH {Z_SQL}, k AS (SELECT user_id, {COUNTS_SQL} FROM f GROUP BY user_id), r AS (SELECT *, {RATES_SQL} FROM k) SELECT user_id, tp, fp, tn, fn, round(precision, 6) AS precision, round(recall, 6) AS recall, round({F1_SQL}, 6) AS f1, round((tp + tn) * 1.0 / (tp + fp + tn + fn), 6)::DOUBLE AS accuracy FROM r")
+def _(spark, d):
+    return rounded(scoring.detection_metrics(flagged(spark, d), by=("user_id",)), "precision", "recall", "f1", "accuracy")
+
+
+@query("a9_roc_auc", f"WITH {E_SQL}, r AS (SELECT label, rank() OVER (ORDER BY value) + (count(*) OVER (PARTITION BY value) - 1) / 2.0 AS k FROM e), n AS (SELECT sum(label) AS p, count(*) - sum(label) AS q, sum(CASE WHEN label = 1 THEN k END) AS s FROM r) SELECT round((s - p * (p + 1) / 2.0) / (p * q), 6)::DOUBLE AS roc_auc FROM n")
+def _(spark, d):
+    return rounded(scoring.roc_auc(events(spark, d), "value"), "roc_auc")
+
+
+@query("a12_top_anomalies", f"WITH {Z_SQL} SELECT event_id, round(score, 6) AS score FROM f WHERE flag = 1 ORDER BY score DESC, event_id LIMIT 10")
+def _(spark, d):
+    return rounded(flagged(spark, d).where("flag = 1").orderBy(F.desc("score"), "event_id").limit(10).select("event_id", "score"), "score")
+
+
+@query("a11_report", f"WITH {Z_SQL} SELECT count(*) FILTER (flag = 1) AS n_anomalies, count(*) AS n_total, round(avg(flag), 6) AS anomaly_rate, round(avg(score), 6) AS mean_score, round(max(score), 6) AS max_score, round(min(score), 6) AS min_score FROM f")
+def _(spark, d):
+    return rounded(scoring.report_detection(flagged(spark, d), "ts").drop("top_anomalies"), "anomaly_rate", "mean_score", "max_score", "min_score")
+
+
+@query("a13_concept_drift", f"WITH {E_SQL}, h AS (SELECT value, ts >= (SELECT quantile_disc(ts, 0.5) FROM e) AS r FROM e), s AS (SELECT avg(value) FILTER (r) AS recent_mean, avg(value) FILTER (NOT r) AS historical_mean, stddev_pop(value) FILTER (NOT r) AS historical_std FROM h) SELECT round(recent_mean, 6) AS recent_mean, round(historical_mean, 6) AS historical_mean, round(historical_std, 6) AS historical_std, round(abs(recent_mean - historical_mean) / historical_std, 6) AS drift_score, CASE WHEN abs(recent_mean - historical_mean) / historical_std > 2 THEN 1 ELSE 0 END AS drift_detected FROM s")
+def _(spark, d):
+    df = events(spark, d)
+    middle = df.withColumn("_n", F.cume_dist().over(Window.partitionBy(F.lit(0)).orderBy("ts"))).where("_n >= 0.5").agg(F.min("ts").alias("middle"))
+    df = df.crossJoin(F.broadcast(middle))
+    out = scoring.concept_drift(df.where("ts >= middle"), df.where("ts < middle"), "value")
+    return rounded(out.select("recent_mean", "historical_mean", "historical_std", "drift_score", "drift_detected"), "recent_mean", "historical_mean", "historical_std", "drift_score")
+
+
+@query("a15_sweep", "WITH " + Z_SQL + ", t AS (SELECT unnest([0.5, 1.0, 2.0, 3.0])::DOUBLE AS threshold), k AS (SELECT threshold, count(*) FILTER (score >= threshold AND label = 1) AS tp, count(*) FILTER (score >= threshold AND label = 0) AS fp, count(*) FILTER (score < threshold AND label = 1) AS fn FROM f, t GROUP BY threshold), r AS (SELECT *, " + RATES_SQL + " FROM k) SELECT threshold, round(precision, 6) AS precision, round(recall, 6) AS recall, round(" + F1_SQL + ", 6) AS f1 FROM r")
+def _(spark, d):
+    return rounded(scoring.sweep_thresholds(flagged(spark, d), [0.5, 1.0, 2.0, 3.0]), "precision", "recall", "f1")
+
+
+@query("a16_concordance", f"WITH {G_SQL}, q AS (SELECT duration, event, floor(o_totalprice / 20000) AS r FROM g), n AS (SELECT duration, event, r, count(*) AS n FROM q GROUP BY ALL) SELECT round(sum(CASE WHEN a.r > b.r THEN a.n * b.n * 1.0 WHEN a.r = b.r THEN a.n * b.n * 0.5 ELSE 0 END)::DOUBLE / sum(a.n * b.n), 6) AS concordance_index, sum(a.n * b.n)::BIGINT AS pairs FROM n a JOIN n b ON a.duration < b.duration WHERE a.event = 1")
+def _(spark, d):
+    df = gaps(spark, d).withColumn("risk_score", F.floor(F.col("o_totalprice") / 20000))
+    return rounded(survival.concordance(df), "concordance_index")
+
+
+ROLL = "OVER (PARTITION BY user_id ORDER BY cycle ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)"
+
+
+@query("w1_rolling", f"WITH {C_SQL} SELECT event_id, round(avg(value) {ROLL}, 6) AS value_rolling_mean, round(stddev_samp(value) {ROLL}, 6) AS value_rolling_std, round(min(value) {ROLL}, 6) AS value_rolling_min, round(max(value) {ROLL}, 6) AS value_rolling_max, round(quantile_cont(value, 0.5) {ROLL}, 6) AS value_rolling_median FROM c")
+def _(spark, d):
+    made = [f"value_rolling_{s}" for s in ("mean", "std", "min", "max", "median")]
+    df = windows.rolling_statistics(cycles(spark, d), ["value"], ["user_id"], ["cycle"], 5, ("mean", "std", "min", "max", "median"))
+    return rounded(df.select("event_id", *made), *made)
+
+
+@query("w2_rolling_quantiles", f"WITH {C_SQL} SELECT event_id, round(quantile_cont(value, 0.25) {ROLL}, 6) AS value_rolling_q25, round(quantile_cont(value, 0.75) {ROLL}, 6) AS value_rolling_q75 FROM c")
+def _(spark, d):
+    df = windows.rolling_statistics(cycles(spark, d), ["value"], ["user_id"], ["cycle"], 5, ("q25", "q75"))
+    return rounded(df.select("event_id", "value_rolling_q25", "value_rolling_q75"), "value_rolling_q25", "value_rolling_q75")
+
+
+@query("w3_rates", f"WITH {C_SQL}, l AS (SELECT event_id, value, lag(value, 1) OVER w AS a, lag(value, 3) OVER w AS b FROM c WINDOW w AS (PARTITION BY user_id ORDER BY cycle)) SELECT event_id, round(value / nullif(a, 0) - 1, 6) AS value_rate_1, round(value / nullif(b, 0) - 1, 6) AS value_rate_3 FROM l")
+def _(spark, d):
+    df = windows.degradation_rates(cycles(spark, d), ["value"], ["user_id"], ["cycle"], (1, 3))
+    return rounded(df.select("event_id", "value_rate_1", "value_rate_3"), "value_rate_1", "value_rate_3")
+
+
+@query("w4_changes", f"WITH {C_SQL}, l AS (SELECT event_id, value, lag(value, 1) OVER w AS a, lag(value, 2) OVER w AS b, lag(value, 5) OVER w AS f FROM c WINDOW w AS (PARTITION BY user_id ORDER BY cycle)) SELECT event_id, round(value - a, 6) AS value_diff, round(value - 2 * a + b, 6) AS value_diff2, round(abs(value - a), 6) AS value_abs_diff, round((value - f) / 5, 6) AS value_roc_5 FROM l")
+def _(spark, d):
+    names = ["value_diff", "value_diff2", "value_abs_diff", "value_roc_5"]
+    return rounded(windows.change_features(cycles(spark, d), ["value"], ["user_id"], ["cycle"], (5,)).select("event_id", *names), *names)
+
+
+@query("w6_features")
+def _(spark, d):
+    return windows.extract_features(cycles(spark, d), ["value"], ["user_id"], ["cycle"], (5, 10, 20))
+
+
+@query("w7_spectral")
+def _(spark, d):
+    return windows.spectral_features(cycles(spark, d), ["value"], ["user_id"], ["cycle"])
+
+
+@query("w8_change_points", f"WITH {C_SQL}, s AS (SELECT event_id, value, avg(value) OVER p AS m, stddev_pop(value) OVER p AS sd, avg(value) OVER r AS lm, stddev_samp(value) OVER r AS ls FROM c WINDOW p AS (PARTITION BY user_id), r AS (PARTITION BY user_id ORDER BY cycle ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)), t AS (SELECT event_id, greatest(abs(value - m) / CASE WHEN sd > 0 THEN sd ELSE 1.0 END, abs(value - lm) / CASE WHEN ls > 0 THEN ls ELSE 1.0 END) AS score FROM s) SELECT event_id, round(score, 6) AS score, CASE WHEN score >= 3.0 THEN 1 ELSE 0 END AS flag FROM t")
+def _(spark, d):
+    return rounded(windows.change_points(cycles(spark, d), "value", ["user_id"], ["cycle"]).select("event_id", "score", "flag"), "score")
+
+
+@query("w9_run_length", f"WITH {C_SQL}, r AS (SELECT user_id, label, CASE WHEN label = 1 AND coalesce(lag(label) OVER (PARTITION BY user_id ORDER BY cycle), 0) = 0 THEN 1 ELSE 0 END AS s FROM c) SELECT user_id, round(CASE WHEN sum(s) = 0 THEN 0.0 ELSE sum(label) * 1.0 / sum(s) END, 6)::DOUBLE AS average_run_length FROM r GROUP BY user_id")
+def _(spark, d):
+    return rounded(windows.run_lengths(cycles(spark, d), "label", ["user_id"], ["cycle"]), "average_run_length")
+
+
+@query("w10_lead_times", f"WITH {C_SQL}, w AS (SELECT user_id, cycle, CASE WHEN value >= 60 THEN 1 ELSE 0 END AS pred, label FROM c), x AS (SELECT user_id, cycle, label, lag(label) OVER (PARTITION BY user_id ORDER BY cycle) AS b, max(CASE WHEN pred = 1 THEN cycle END) OVER (PARTITION BY user_id ORDER BY cycle ROWS UNBOUNDED PRECEDING) AS seen FROM w), y AS (SELECT user_id, (cycle - seen)::DOUBLE AS lead FROM x WHERE label = 1 AND b = 0) SELECT user_id, round(avg(lead) FILTER (lead > 0), 6) AS mean_lead, median(lead) FILTER (lead > 0) AS median_lead, min(lead) FILTER (lead > 0) AS min_lead, max(lead) FILTER (lead > 0) AS max_lead, count(*) FILTER (lead > 0) AS early, count(*) FILTER (lead < 0) AS late FROM y GROUP BY user_id")
+def _(spark, d):
+    df = cycles(spark, d).withColumn("pred", (F.col("value") >= 60).cast("int"))
+    return rounded(windows.lead_times(df, "pred", "label", "cycle", ["user_id"]), "mean_lead")
+
+
+@query("w13_backtest")
+def _(spark, d):
+    return rounded(scoring.backtest(events(spark, d), "value", ["ts", "event_id"], ThresholdRule("quantile", quantile=0.95)), "precision", "recall", "f1")
+
+
+@query("w16_sequences", f"WITH {C_SQL}, s AS (SELECT event_id, label, sum(value) OVER w AS total, row_number() OVER (PARTITION BY user_id ORDER BY cycle) AS n FROM c WINDOW w AS (PARTITION BY user_id ORDER BY cycle ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)) SELECT event_id, label, 10 AS length, round(total, 6) AS total FROM s WHERE n > 10")
+def _(spark, d):
+    rows = windows.sequences(cycles(spark, d), ["value"], "label", ["user_id"], ["cycle", "event_id"], 10)
+    return rounded(rows.select("event_id", "label", F.size("sequence").alias("length"), F.aggregate(F.flatten("sequence"), F.lit(0.0), lambda a, x: a + x).alias("total")), "total")
+
+
+@query("s10_metric_rows", "WITH l AS (SELECT 'o_totalprice' AS n, o_totalprice::DOUBLE AS v FROM orders), k AS (SELECT n, avg(v) AS m, min(v) AS lo, max(v) AS hi FROM l GROUP BY n) SELECT n AS MetricName, round(m, 6) AS Value FROM k UNION ALL SELECT n || '_Min', round(lo, 6) FROM k UNION ALL SELECT n || '_Max', round(hi, 6) FROM k")
+def _(spark, d):
+    return rounded(scoring.metric_rows(table(spark, d, "orders").select("o_totalprice")).select("MetricName", "Value"), "Value")
+
+
+@query("j12_rank_by_risk", "SELECT s_suppkey, s_acctbal FROM supplier ORDER BY s_acctbal DESC, s_suppkey LIMIT 5")
+def _(spark, d):
+    return scoring.rank_by_risk(table(spark, d, "supplier").select("s_suppkey", "s_acctbal"), "s_suppkey", "s_acctbal", 5)
+
+
+@query("g1_edges", f"WITH {EDGES_SQL} SELECT u, v, weight FROM edges")
+def _(spark, d):
+    return graph.undirected_edges(messages(spark, d))
+
+
+@query("g2_degrees", f"WITH {EDGES_SQL}, k AS (SELECT node, sum(weight)::DOUBLE AS weighted_degree, count(*) AS neighbor_count FROM ends GROUP BY node) SELECT s_suppkey AS node, coalesce(weighted_degree, 0.0) AS weighted_degree, coalesce(neighbor_count, 0) AS neighbor_count FROM supplier LEFT JOIN k ON node = s_suppkey")
+def _(spark, d):
+    return graph.degrees(graph.undirected_edges(messages(spark, d)), roster(spark, d))
+
+
+@query("g3_pagerank")
+def _(spark, d):
+    return rounded(graph.pagerank(graph.undirected_edges(messages(spark, d)), roster(spark, d), tol=1e-6), "pagerank")
+
+
+@query("g4_edge_features", f"WITH {EDGES_SQL}, k AS (SELECT node, sum(weight) AS volume FROM ends GROUP BY node) SELECT u, v, weight, round(2.0 * weight / (a.volume + b.volume), 6)::DOUBLE AS share_of_endpoint_volume, round(ln(1 + weight), 6) AS log1p_weight FROM edges JOIN k a ON u = a.node JOIN k b ON v = b.node")
+def _(spark, d):
+    return rounded(graph.edge_features(graph.undirected_edges(messages(spark, d))), "share_of_endpoint_volume", "log1p_weight")
+
+
+@query("g5_touch_counts", f"WITH {M_SQL}, t AS (SELECT sender_id AS node, ts FROM m UNION ALL SELECT receiver_id, ts FROM m), k AS (SELECT node, date_trunc('day', ts) AS bin, count(*) AS touches FROM t JOIN supplier ON node = s_suppkey GROUP BY 1, 2), b AS (SELECT DISTINCT bin FROM k) SELECT s_suppkey AS node, b.bin AS bin, coalesce(touches, 0) AS touches FROM supplier CROSS JOIN b LEFT JOIN k ON k.node = s_suppkey AND k.bin = b.bin")
+def _(spark, d):
+    return graph.touch_counts(messages(spark, d), roster(spark, d)).withColumn("bin", F.col("bin").cast("timestamp_ntz"))
+
+
+@query("g6_centralities")
+def _(spark, d):
+    return rounded(graph.centralities(graph.undirected_edges(messages(spark, d)).where("weight >= 4"), roster(spark, d)), "betweenness", "closeness", "eigenvector")
+
+
+@query("g7_node_anomalies")
+def _(spark, d):
+    df = graph.degrees(graph.undirected_edges(messages(spark, d)), roster(spark, d))
+    forest = detectors.IsolationForest(("weighted_degree", "neighbor_count"), n_estimators=50).fit(df)
+    return rules.apply_threshold(forest.transform(df), ThresholdRule("quantile", quantile=0.95))
+
+
+@query("u2_kaplan_meier", f"WITH {G_SQL}, k AS (SELECT duration AS t, sum(event)::BIGINT AS deaths, count(*) AS n FROM g GROUP BY 1), r AS (SELECT *, sum(n) OVER (ORDER BY t DESC ROWS UNBOUNDED PRECEDING)::BIGINT AS at_risk FROM k) SELECT t, deaths, at_risk, round(CASE WHEN max(CASE WHEN at_risk = deaths THEN 1 ELSE 0 END) OVER w = 1 THEN 0.0 ELSE exp(sum(CASE WHEN at_risk > deaths THEN ln((at_risk - deaths)::DOUBLE / at_risk) END) OVER w) END, 6) AS survival FROM r WINDOW w AS (ORDER BY t ROWS UNBOUNDED PRECEDING)")
+def _(spark, d):
+    return rounded(survival.kaplan_meier(gaps(spark, d)).drop("std_error"), "survival")
+
+
+@query("w14_time_to_failure")
+def _(spark, d):
+    return survival.time_to_failure(survival.kaplan_meier(gaps(spark, d).withColumn("key", F.pmod("o_custkey", F.lit(10))), by=("key",)), ("key",))
+
+
+@query("u3_piecewise", f"WITH {G_SQL}, x AS (SELECT 0 AS interval, least(duration, 40) AS x, CASE WHEN duration <= 40 THEN event ELSE 0 END AS d FROM g UNION ALL SELECT 1, greatest(least(duration, 60) - 40, 0), CASE WHEN duration > 40 AND duration <= 60 THEN event ELSE 0 END FROM g UNION ALL SELECT 2, greatest(duration - 60, 0), CASE WHEN duration > 60 THEN event ELSE 0 END FROM g) SELECT interval, sum(d)::BIGINT AS events, sum(x)::DOUBLE AS exposure, round(sum(d) / sum(x), 6) AS hazard FROM x GROUP BY interval")
+def _(spark, d):
+    return rounded(survival.piecewise_hazards(gaps(spark, d)), "hazard")
+
+
+@query("u3_parametric")
+def _(spark, d):
+    df = gaps(spark, d)
+    return rounded(survival.ParametricSurvival("weibull").fit(df).curve(df, [10.0, 50.0, 100.0, 300.0]), "survival")
+
+
+@query("u4_cox")
+def _(spark, d):
+    df = gaps(spark, d)
+    return rounded(survival.CoxModel(["o_totalprice"]).fit(df).risk(df).select("o_orderkey", "risk_score"), "risk_score")
+
+
+@query("u5_logistic_hazard")
+def _(spark, d):
+    df = gaps(spark, d)
+    return survival.LogisticHazard(["o_totalprice"], 10).fit(df).curve(df, "o_orderkey")
+
+
+def vectors(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "embeddings").select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(6)])
+
+
+X = tuple(f"x{i}" for i in range(6))
+
+
+def detector_query(name: str, made: Callable[[], scoring.Scorer]) -> None:
+    @query(name)
+    def _(spark, d):
+        df = vectors(spark, d)
+        return made().fit(df).transform(df).select("vec_id", "score", "flag")
+
+
+detector_query("d1_isolation_forest", lambda: detectors.IsolationForest(X, n_estimators=50))
+detector_query("d2_local_outlier_factor", lambda: detectors.LocalOutlierFactor(X))
+detector_query("d3_robust_covariance", lambda: detectors.RobustCovariance(X))
+detector_query("d4_pca", lambda: detectors.PCADetector(X, method="both"))
+detector_query("d8_voting", lambda: detectors.Ensemble([scoring.ZScore(X), scoring.InterquartileRange(X), detectors.PCADetector(X)], "vote"))
+detector_query("d9_score_combining", lambda: detectors.Ensemble([scoring.ZScore(X), detectors.PCADetector(X)], "median"))
+
+
+@query("d5_arima_drift")
+def _(spark, d):
+    return detectors.arima_drift(cycles(spark, d), "value", ["user_id"], ["cycle"]).select("event_id", "score", "flag")
+
+
+@query("d6_wavelet")
+def _(spark, d):
+    return detectors.wavelet_detector(cycles(spark, d), "value", ["user_id"], ["cycle"]).select("event_id", "score", "flag")
+
+
+@query("d7_wavelet_denoise")
+def _(spark, d):
+    return detectors.wavelet_denoise(cycles(spark, d), "value", ["user_id"], ["cycle"]).select("event_id", "denoised")
+
+
+@query("d10_autoencoder")
+def _(spark, d):
+    df = cycles(spark, d)
+    return detectors.WindowAutoencoder("value", ("user_id",), ("cycle",)).fit(df).transform(df).select("event_id", "score", "flag")
+
+
+@query("c1_failure_risk")
+def _(spark, d):
+    df = vectors(spark, d).withColumn("label", (F.col("label") >= 7).cast("int"))
+    return supervised.FailureRisk(list(X), n_estimators=20).fit(df).transform(df).select("vec_id", "failure_probability", "health_state")
+
+
+@query("c2_sequence_classifier")
+def _(spark, d):
+    rows = windows.sequences(cycles(spark, d), ["value"], "label", ["user_id"], ["cycle", "event_id"], 10)
+    return supervised.SequenceClassifier(n_estimators=10).fit(rows).transform(rows).select("event_id", "distress_probability", "health_state")
+
+
+@query("c3_rul")
+def _(spark, d):
+    df = maintenance.maintenance_features(cycles(spark, d), "user_id", "cycle", ["value"]).na.fill(0.0).withColumnRenamed("RUL", "life")
+    return supervised.RULEstimator(["cycle", "value", "value_rolling_mean"], "life", n_estimators=10).fit(df).transform(df).select("event_id", "life", "rul")
+
+
+@query("c5_ordinal")
+def _(spark, d):
+    df = vectors(spark, d).withColumn("health_state", F.floor(F.col("label") / 4).cast("int"))
+    return supervised.OrdinalClassifier(list(X)).fit(df).transform(df).select("vec_id", "health_state", "prediction")
+
+
+@query("c11_conditional_ordinal")
+def _(spark, d):
+    df = vectors(spark, d).withColumn("health_state", F.floor(F.col("label") / 4).cast("int"))
+    return supervised.OrdinalClassifier(list(X), kind="conditional").fit(df).transform(df).select("vec_id", "health_state", "prediction")
+
+
+@query("o5_asset_health")
+def _(spark, d):
+    return supervised.assess_assets(vectors(spark, d).withColumn("label", (F.col("label") >= 7).cast("int")), "vec_id", list(X), "label")
+
+
+@query("s2_panel", "SELECT p_partkey AS k, 'p_size' AS ts, p_size::DOUBLE AS value FROM part UNION ALL SELECT p_partkey, 'p_retailprice', p_retailprice::DOUBLE FROM part")
+def _(spark, d):
+    return io.panel(table(spark, d, "part").select(F.col("p_partkey").alias("k"), "p_size", "p_retailprice"), "k")
+
+
+@query("t1_buffered_features", f"WITH {C_SQL}, w AS (SELECT event_id, user_id, count(*) OVER b AS n, avg(value) OVER b AS m, stddev_samp(value) OVER b AS s, min(value) OVER b AS lo, max(value) OVER b AS hi FROM c WINDOW b AS (PARTITION BY user_id ORDER BY ts ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)) SELECT user_id, CASE WHEN n = 20 THEN 'ready' ELSE 'buffering' END AS status, n::INT AS rows, round(CASE WHEN n = 20 THEN m END, 6) AS mean, round(CASE WHEN n = 20 THEN s END, 6) AS std, CASE WHEN n = 20 THEN lo END AS min, CASE WHEN n = 20 THEN hi END AS max FROM w")
+def _(spark, d):
+    return rounded(maintenance.buffered_features_batch(events(spark, d), "user_id", "ts", "value", 20).select("user_id", "status", "rows", "mean", "std", "min", "max"), "mean", "std")
+
+
+@query("t2_escalated_alerts", f"WITH {E_SQL}, q AS (SELECT event_id, user_id, CASE WHEN value >= 60 THEN 'critical' WHEN value >= 40 THEN 'warning' END AS level FROM e), a AS (SELECT event_id, user_id, level, count(*) OVER (PARTITION BY user_id) AS n FROM q WHERE level IS NOT NULL) SELECT event_id, user_id, level, n AS \"count\", CASE WHEN level = 'warning' AND n >= 3 THEN 'critical' WHEN level = 'critical' AND n >= 5 THEN 'failure' ELSE level END AS escalated_level FROM a")
+def _(spark, d):
+    found = maintenance.alerts(events(spark, d), "user_id", "event_id", {"value": {"warning": 40, "critical": 60}})
+    return maintenance.escalated(found, "user_id", "event_id").select("event_id", "user_id", "level", "count", "escalated_level")
+
+
+@query("t5_tracked_performance", f"WITH {Z_SQL}, l AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS n FROM f), k AS (SELECT user_id, {COUNTS_SQL} FROM l WHERE n <= 50 GROUP BY user_id), r AS (SELECT *, {RATES_SQL} FROM k) SELECT user_id, tp, fp, tn, fn, round({F1_SQL}, 6) AS f1 FROM r")
+def _(spark, d):
+    return rounded(maintenance.tracked_performance(flagged(spark, d), "user_id", "ts", 50).select("user_id", "tp", "fp", "tn", "fn", "f1"), "f1")
