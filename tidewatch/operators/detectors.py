@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tidewatch.functions.rules import flag, no_nan
+from tidewatch.functions.rules import flag, health_from_distance, no_nan
 from tidewatch.operators.scoring import Scorer
 
 #: Rows that a model which needs rows learns from, at most.
@@ -286,6 +286,26 @@ def health_thresholds(df: DataFrame, detector: PCADetector, healthy: float = 75,
     return tuple(df.agg(F.percentile(detector.mahalanobis(), F.array(F.lit(healthy / 100), F.lit(warning / 100)))).first()[0])
 
 
+def track_distance(df: DataFrame, detector: PCADetector) -> DataFrame:
+    """Adds ``mahalanobis_distance``; ValueError unless the detector is fitted and scores by that distance."""
+    detector.need_fit()
+    if detector.method != "mahalanobis":
+        raise ValueError("the detector must score by the Mahalanobis distance")
+    return df.withColumn("mahalanobis_distance", detector.mahalanobis())
+
+
+def health_by_distance(df: DataFrame, detector: PCADetector, healthy: float, warning: float) -> DataFrame:
+    """Adds mahalanobis_distance and health_state."""
+    df = track_distance(df, detector)
+    return df.withColumn("health_state", health_from_distance(F.col("mahalanobis_distance"), healthy, warning))
+
+
+def boundary_points(df: DataFrame, detector: PCADetector) -> DataFrame:
+    """The data of a boundary chart: the first two components and the flag of each row."""
+    first = detector.components()[:2]
+    return detector.transform(df).select(*[c.alias(f"PC{i + 1}") for i, c in enumerate(first)], "flag")
+
+
 def _per_series(df: DataFrame, value: str, partition: list[str], order: list[str], made: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
     """score and flag of each entity's ordered series by a numpy function; an entity is one task's work."""
     schema = StructType([*df.schema.fields, StructField("score", DoubleType()), StructField("flag", DoubleType())])

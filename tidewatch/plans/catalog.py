@@ -328,6 +328,23 @@ def _(spark, d):
     return rules.apply_threshold(forest.transform(df), ThresholdRule("quantile", quantile=0.95))
 
 
+@query("g8_edge_anomalies")
+def _(spark, d):
+    df = graph.edge_features(graph.undirected_edges(messages(spark, d)))
+    forest = detectors.IsolationForest(("weight", "share_of_endpoint_volume"), n_estimators=50).fit(df)
+    return rules.apply_threshold(forest.transform(df), ThresholdRule("quantile", quantile=0.99)).select("u", "v", "score", "flag")
+
+
+@query("g9_temporal_anomalies")
+def _(spark, d):
+    df = graph.touch_matrix(graph.touch_counts(messages(spark, d), roster(spark, d), width="365 days"))
+    names = [c for c in df.columns if c != "node"]
+    df = df.select("node", *[F.col(f"`{c}`").alias(f"bin{i}") for i, c in enumerate(names)])
+    bins = tuple(c for c in df.columns if c != "node")
+    forest = detectors.IsolationForest(bins, n_estimators=50).fit(df)
+    return rules.apply_threshold(forest.transform(df), ThresholdRule("quantile", quantile=0.95)).select("node", "score", "flag")
+
+
 @query("u2_kaplan_meier", f"WITH {G_SQL}, k AS (SELECT duration AS t, sum(event)::BIGINT AS deaths, count(*) AS n FROM g GROUP BY 1), r AS (SELECT *, sum(n) OVER (ORDER BY t DESC ROWS UNBOUNDED PRECEDING)::BIGINT AS at_risk FROM k) SELECT t, deaths, at_risk, round(CASE WHEN max(CASE WHEN at_risk = deaths THEN 1 ELSE 0 END) OVER w = 1 THEN 0.0 ELSE exp(sum(CASE WHEN at_risk > deaths THEN ln((at_risk - deaths)::DOUBLE / at_risk) END) OVER w) END, 6) AS survival FROM r WINDOW w AS (ORDER BY t ROWS UNBOUNDED PRECEDING)")
 def _(spark, d):
     return rounded(survival.kaplan_meier(gaps(spark, d)).drop("std_error"), "survival")
@@ -383,6 +400,31 @@ detector_query("d8_voting", lambda: detectors.Ensemble([scoring.ZScore(X), scori
 detector_query("d9_score_combining", lambda: detectors.Ensemble([scoring.ZScore(X), detectors.PCADetector(X)], "median"))
 
 
+@query("o7_distance_health")
+def _(spark, d):
+    df = vectors(spark, d)
+    model = detectors.PCADetector(X, method="mahalanobis").fit(df)
+    return detectors.health_by_distance(df, model, *detectors.health_thresholds(df, model)).select("vec_id", "mahalanobis_distance", "health_state")
+
+
+@query("z1_boundary_points")
+def _(spark, d):
+    df = vectors(spark, d)
+    return detectors.boundary_points(df, detectors.PCADetector(X).fit(df))
+
+
+@query("c8_stacked_ordinal")
+def _(spark, d):
+    df = vectors(spark, d).withColumn("health_state", F.floor(F.col("label") / 4).cast("int"))
+    models = [supervised.OrdinalClassifier(list(X)), supervised.BoostedOrdinal(list(X), iterations=5)]
+    return supervised.StackedOrdinal(models).fit(df).transform(df).select("vec_id", "health_state", "prediction")
+
+
+@query("t4_maintenance_features")
+def _(spark, d):
+    return maintenance.maintenance_features(cycles(spark, d), "user_id", "cycle", ["value"])
+
+
 @query("d5_arima_drift")
 def _(spark, d):
     return detectors.arima_drift(cycles(spark, d), "value", ["user_id"], ["cycle"]).select("event_id", "score", "flag")
