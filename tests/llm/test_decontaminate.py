@@ -2,7 +2,9 @@ import random
 import re
 from collections import Counter
 
-from tidewatch.llm.decontaminate import contaminated, decontaminate
+from pyspark.sql import functions as F
+
+from tidewatch.llm.decontaminate import contaminated, decontaminate, simhash
 
 
 def words(text):
@@ -80,3 +82,12 @@ def test_empty(spark, no_docs, edge_docs):
     none = spark.createDataFrame([], "item_id long, text string")
     assert contaminated(edge_docs, none).count() == 0
     assert contaminated(no_docs, spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")).count() == 0
+
+
+def test_simhash(spark):
+    rng = random.Random(9)
+    rows = [[rng.getrandbits(64) - 2**63 for _ in range(n)] for n in (1, 2, 3, 30, 126, 127, 128, 200)] + [[5, 5, -1], [-1] * 127, [-(2**63)] * 4]
+    got = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, h array<long>").select("i", simhash(F.col("h")).alias("s")).collect()
+    for r in got:
+        want = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in rows[r.i]) > len(rows[r.i]))
+        assert r.s % 2**64 == want

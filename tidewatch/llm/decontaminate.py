@@ -41,19 +41,42 @@ def shingle_hashes(words: Column, k: Column | int) -> Column:
     return F.transform(starts, lambda i: F.xxhash64(*[F.when(k > j, F.get(words, i + j)) for j in range(SHINGLE)]))
 
 
+_LANES, _PAIRS = 0x0101010101010101, 0x0001000100010001
+
+
 def simhash(shingles: Column) -> Column:
-    """A bit is set where most of the shingles' hashes have it, counted as often as they occur."""
+    """A bit is set where most of the shingles' hashes have it, counted as often as they occur.
+
+    Up to 127 shingles are counted in eight longs of eight byte-wide lanes; more of them bit by bit.
+    """
     def bit(b: Column) -> Column:
         ones = F.aggregate(shingles, F.lit(0), lambda s, h: s + F.getbit(h, b).cast("int"))
         return F.when(ones * 2 > F.size(shingles), F.lit(1)).otherwise(F.lit(0)).cast("long")
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), lambda s, b: s.bitwiseOR(F.call_function("shiftleft", bit(b), b)))
+    zero = F.lit(0).cast("long")
+    slow = F.aggregate(F.sequence(F.lit(0), F.lit(63)), zero, lambda s, b: s.bitwiseOR(F.call_function("shiftleft", bit(b), b)))
+    # Every other lane has room for a carry: added to the bias, a lane's high bit shows whether half of the shingles and one have the bit.
+    bias = (F.lit(127) - F.floor(F.size(shingles) / 2)).cast("long") * _PAIRS
+    fast = None
+    for j in range(8):
+        lanes = F.aggregate(shingles, zero, _lane(j))
+        even, odd = (F.shiftrightunsigned(F.shiftrightunsigned(lanes, k).bitwiseAND(F.lit(255 * _PAIRS)) + bias, 7).bitwiseAND(F.lit(_PAIRS)) for k in (0, 8))
+        ones = F.shiftleft(even.bitwiseOR(F.shiftleft(odd, 8)), j)
+        fast = ones if fast is None else fast.bitwiseOR(ones)
+    return F.when(F.size(shingles) <= 127, fast).otherwise(slow)
 
 
-def blocks(fingerprint: Column) -> Column:
-    """The RADIUS + 1 blocks of a fingerprint as (number, bits)."""
+def _lane(shift: int):
+    return lambda s, h: s + F.shiftrightunsigned(h, shift).bitwiseAND(F.lit(_LANES))
+
+
+def agree(differ: Column) -> Column:
+    """The multi-index: whether two fingerprints (given as the bits they differ in) agree in one of RADIUS + 1 blocks."""
     edge = [64 * j // (RADIUS + 1) for j in range(RADIUS + 2)]
-    return F.array(*[F.struct(F.lit(j).alias("block"), F.shiftrightunsigned(fingerprint, a).bitwiseAND(F.lit((1 << (b - a)) - 1).cast("long")).alias("bits")) for j, (a, b) in enumerate(zip(edge, edge[1:], strict=False))])
+    found = F.lit(False)
+    for a, b in zip(edge, edge[1:], strict=False):
+        found = found | (F.shiftrightunsigned(differ, a).bitwiseAND(F.lit((1 << (b - a)) - 1).cast("long")) == 0)
+    return found
 
 
 def common_weight(a: Column, b: Column) -> Column:
@@ -104,15 +127,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: int = 75) ->
     found = found.withColumn("fingerprint", simhash(F.col("window")))
     items = items.select("item_id", "item", simhash(F.col("item")).alias("item_fingerprint"))
 
-    # Where blocks agree, each pair of window and item is met first in its first common block.
-    index = items.select("item_id", "item", "item_fingerprint", F.explode(blocks(F.col("item_fingerprint"))).alias("b")).select("item_id", "item", "item_fingerprint", "b.block", "b.bits")
-    if sum(sizes.values()) * (RADIUS + 1) <= BROADCAST_ROWS:
-        index = F.broadcast(index)
-    probes = found.select("*", F.explode(blocks(F.col("fingerprint"))).alias("b")).select("doc_id", "item_id", "start", "item_words", "window", "fingerprint", "b.block", "b.bits")
-    met = probes.join(index, ["item_id", "block", "bits"])
+    if sum(sizes.values()) <= BROADCAST_ROWS:
+        items = F.broadcast(items)
     differ = F.col("fingerprint").bitwiseXOR(F.col("item_fingerprint"))
-    first = F.array_position(F.transform(blocks(differ), lambda b: b["bits"] == 0), True) - 1
-    near = met.where((F.bit_count(differ) <= RADIUS) & (F.col("block") == first))
+    near = found.join(items, "item_id").where(agree(differ) & (F.bit_count(differ) <= RADIUS))
 
     common = common_weight(F.col("window"), F.col("item"))
     near = near.select("doc_id", "item_id", "start", "item_words", common.alias("common"), (F.size("window") + F.size("item") - common).alias("all"))
