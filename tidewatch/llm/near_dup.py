@@ -6,8 +6,9 @@ Jaccard similarity 0.75 misses all bands with a chance of (1 - 0.75**4)**40, bel
 
 Documents with equal shingle sets become one class first. Within a band's bucket no pairs are listed:
 every class is compared with the bucket's leader. While a bucket still holds several components, a new
-leader (the class with most links so far) is tried; what is left after that is compared pair by pair,
-but only across components, so no link is lost and a group of copies never costs its square.
+leader (the class with most links so far) is tried. What is left after that is compared pair by pair, but only
+across components and only where texts share one of their rarer shingles as any linked pair does (a prefix
+filter), so no link is lost and a group of copies never costs its square.
 
 Defined results: words are lower-cased (A-Z) runs of anything but ASCII white space; a document of fewer
 than five words has its whole sequence as its one shingle; null, empty and white texts have no shingle and
@@ -32,7 +33,7 @@ PERMUTATIONS = 80
 #: Permutations in a band; each gives two values.
 BAND = 2
 #: Rounds with one leader a bucket before the rest is compared across components.
-ROUNDS = 3
+ROUNDS = 2
 
 _FEATURES = "doc_id long, n long, key_a long, key_b long, bands array<long>"
 
@@ -96,6 +97,40 @@ def _linked(threshold: int):
     return run
 
 
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids = np.asarray(batch.column("doc_id"))
+        for texts in slices(batch.column("text")):
+            own, ids = ids[: len(texts)], ids[len(texts) :]
+            h, offsets = shingle_sets(texts)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, np.diff(offsets))), pa.array(h.view(np.int64))], ["id", "shingle"])
+
+
+def _across(state: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
+    """Pairs of open texts of two components that may be linked: a, b, n_a, n_b.
+
+    The prefix filter of exact set-similarity joins: with the shingles of each text ordered from the rarest on,
+    a pair over the threshold shares t or more of its n_a and n_b shingles, so it shares one among the first
+    n_a - t + 1 of one text and the first n_b - t + 1 of the other. What a copy has changed is rare and comes first, so
+    copies of one text don't meet for what they all have. One side of a pair lies outside the component that
+    most holders of a shingle belong to.
+    """
+    ids = state.select(F.col("id").alias("doc_id"), "n", "component").distinct()
+    same, one = Window.partitionBy("shingle"), Window.partitionBy("id").orderBy("holders", "shingle")
+    rows = texts.join(ids.select("doc_id"), "doc_id", "left_semi").mapInArrow(_shingles, "id long, shingle long")
+    rows = rows.select("*", F.count(F.lit(1)).over(same).alias("holders")).withColumn("at", F.row_number().over(one))
+    rows = rows.join(ids.withColumnRenamed("doc_id", "id"), "id").where(f"holders > 1 and 100 * (at - 1) <= {100 - threshold} * n")
+    own = Window.partitionBy("shingle", "component")
+    rows = rows.select("shingle", "id", "n", "at", "component", F.count(F.lit(1)).over(own).alias("own"))
+    common = F.max(F.struct("own", "component")).over(same)
+    rows = cut(rows.select("*", common.getField("component").alias("common")), "across")
+    left = rows.where("component <> common").selectExpr("shingle", "id a", "n n_a", "at at_a", "component c_a")
+    right = rows.selectExpr("shingle", "id b", "n n_b", "at at_b", "component c_b")
+    # (100 + threshold) * t = threshold * (n_a + n_b), rounded up
+    least = f"{threshold} * (n_a + n_b) <= {100 + threshold} * (least(n_a - at_a, n_b - at_b) + 1)"
+    return left.join(right, "shingle").where(f"c_a <> c_b and {least}").select("a", "b", "n_a", "n_b")
+
+
 def near_duplicates(docs: DataFrame, threshold: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs(doc_id, text)``."""
     docs = docs.select(F.col("doc_id").cast("long"), "text").where(F.col("doc_id").isNotNull())
@@ -118,37 +153,26 @@ def near_duplicates(docs: DataFrame, threshold: int = 75) -> DataFrame:
         return cut(pairs.select("a", "b", "text_a", "text_b").mapInArrow(_linked(threshold), "a long, b long"), "verified")
 
     state = buckets.select("*", F.col("id").alias("component"), F.lit(0).cast("long").alias("degree"))
-    links, labels, stars = None, None, 0
-    while True:
-        open_ = state.select("*", F.min("component").over(bucket).alias("low"), F.max("component").over(bucket).alias("high")).where("low < high")
-        last = stars == ROUNDS
-        if not last:
+    links = labels = None
+    for turn in range(ROUNDS + 1):
+        if turn < ROUNDS:
             best = F.max(F.struct("degree", (-F.col("id")).alias("key"), "id", "n", "component")).over(bucket)
-            pairs = open_.select("id", "n", "component", best.alias("lead")).where("component <> lead.component")
+            pairs = state.select("id", "n", "component", best.alias("lead")).where("component <> lead.component")
             pairs = pairs.selectExpr("id a", "lead.id b", "n n_a", "lead.n n_b")
         else:
-            left = open_.selectExpr("bucket", "id a", "n n_a", "component c_a")
-            right = open_.selectExpr("bucket", "id b", "n n_b", "component c_b")
-            pairs = left.join(right, "bucket").where("a < b and c_a <> c_b").select("a", "b", "n_a", "n_b")
+            pairs = _across(state, texts, threshold)
         found = verified(pairs)
         links = found if links is None else links.unionByName(found)
-        if stars and found.isEmpty():
-            if last:
+        if turn < ROUNDS or not found.isEmpty():
+            labels = connected_components(links)
+        if turn < ROUNDS:
+            ends = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id")))
+            known = labels.withColumnRenamed("node", "id").join(ends.groupBy("id").agg(F.count(F.lit(1)).alias("degree")), "id", "full")
+            known = buckets.join(known, "id", "left").select("bucket", "id", "n", F.coalesce("component", "id").alias("component"), F.coalesce("degree", F.lit(0)).alias("degree"))
+            known = known.select("*", (F.min("component").over(bucket) < F.max("component").over(bucket)).alias("open"))
+            state = cut(known.where("open").drop("open"), "state")
+            if state.isEmpty():
                 break
-            stars = ROUNDS  # no leader links any more: what is left is compared across components
-            continue
-        labels = connected_components(links)
-        if last:
-            break
-        stars += 1
-        ends = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id")))
-        known = labels.withColumnRenamed("node", "id").join(ends.groupBy("id").agg(F.count(F.lit(1)).alias("degree")), "id", "full")
-        known = buckets.join(known, "id", "left").select("bucket", "id", "n", F.coalesce("component", "id").alias("component"), F.coalesce("degree", F.lit(0)).alias("degree"))
-        apart = Window.partitionBy("bucket")
-        known = known.select("*", (F.min("component").over(apart) < F.max("component").over(apart)).alias("open"))
-        state = cut(known.where("open").drop("open"), "state")
-        if state.isEmpty():
-            break
     classes = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(*keys, F.coalesce("component", "rep").alias("component"))
     component = F.coalesce("component", "doc_id")
     return features.join(classes, keys, "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
