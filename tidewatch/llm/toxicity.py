@@ -345,11 +345,22 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = S
     labels = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = [labels.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample[k]) for k in (0, 1)]
     chosen = F.broadcast(chosen[0].unionByName(chosen[1]))  # sum(sample) rows at most
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id").select("doc_id", "toxic", "text").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.toxic))
-    texts, toxic = [r.text or "" for r in rows], [r.toxic for r in rows]
-    del rows
-    return train(texts, toxic)
+    sample_rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id").select("doc_id", "toxic", "text")
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("doc_id", "toxic", "text")), strict=True)]
+        rows.sort(key=lambda r: r[:2])
+        texts, toxic = [r[2] or "" for r in rows], [r[1] for r in rows]
+        del rows
+        m = train(texts, toxic)
+        yield pa.RecordBatch.from_pydict({"table": [m.table.tobytes()], "bias": [m.bias], "weights": [list(m.weights)], "key": [m.key]})
+
+    # The bounded sample is one task's work on an executor; the driver gets the model, 1 MB.
+    found = sample_rows.repartition(1).mapInArrow(learn, "table binary, bias double, weights array<double>, key string").collect()
+    if not found:
+        return train([], [])
+    m = found[0]
+    return ToxicityModel(np.frombuffer(m.table, np.float32), m.bias, tuple(m.weights), m.key)
 
 
 _scores: dict[str, WordScores] = {}
