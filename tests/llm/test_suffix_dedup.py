@@ -1,6 +1,9 @@
 import random
 import re
 
+import pytest
+
+from tidewatch.llm import suffix_dedup
 from tidewatch.llm.suffix_dedup import repeated_passages
 
 
@@ -58,3 +61,28 @@ def test_documents(docs):
 def test_edges(edge_docs, no_docs):
     assert found(edge_docs) == set()
     assert found(no_docs) == set()
+
+
+def hidden_matches():
+    """(a) A passage that its document repeats hundreds of times; (b) one whose parts many other documents hold."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    some = lambda n: [word() for _ in range(n)]
+    passage, own = some(60), []
+    for _ in range(300):
+        own += passage + some(40)
+    docs = [(0, own), (1, some(45) + passage + some(45))]
+    left, gram, right = some(17), some(16), some(17)
+    docs += [(i, some(60) + left + gram + right + some(60)) for i in (500, 501)]
+    docs += [(10 + i, some(60) + (left + gram + some(60) if i % 2 else gram + right + some(60))) for i in range(400)]
+    return [(k, " ".join(w)) for k, w in docs]
+
+
+@pytest.mark.parametrize("hot", [10_000, 5])
+def test_no_match_is_hidden(spark, monkeypatch, hot):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    rows = hidden_matches()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = brute_force(rows)
+    assert len([w for w in want if w[0] == 0]) == 300 and {w[0] for w in want} == {0, 1, 500, 501}
+    assert found(df) == want

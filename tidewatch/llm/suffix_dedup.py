@@ -3,16 +3,13 @@
 Only suffixes at content-selected positions are kept: in every window of 35 consecutive 16-word grams the one
 with the least hash, so each passage of 50 words holds a kept suffix and so does every copy of it. Suffixes
 whose gram occurs once are dropped. The others get their context, 34 words before and 50 from the suffix on;
-equal contexts are one entry with a count. The entries are sorted by gram and following words, and again by
-gram and preceding words, and neighbours are compared: the match is extended right and left word by word.
-Matches of the entries' members are merged to maximal passages of each document.
+equal contexts are one entry with a count. A match of 50 words is one of the 35 windows of 50 words around the
+gram, so every window of every entry is hashed: a window that entries of two documents hold is a match, whatever
+else shares parts of it and however often a document repeats itself. An entry's windows overlap in its gram, so its
+matches are one passage; passages are merged to maximal ones of each document.
 
-Entries are dealt by their gram. A match of 50 words around the gram has at least 17 more words on one of its
-sides, so the entries of a gram with very many contexts (a passage that a third of all documents share) are
-dealt by gram and those 17 words: the two ends of a match still meet in one of the two sorts.
-
-Sorting and comparing are streams over sorted partitions; no group is held in memory. The ``NEIGHBOURS`` next
-entries are compared, so that repeats within one document do not hide another document's.
+Entries are dealt by their gram and the windows of whole grams are compared in memory. A gram with very many
+contexts (a passage that a third of all documents share) is never gathered: its windows are dealt by their hashes.
 
 Defined results: words are lower-cased (A-Z) runs of anything but ASCII white space; documents of fewer than
 ``MIN_WORDS`` words, null and empty texts have no passage; rows that repeat a ``doc_id`` are one document, whose
@@ -31,11 +28,11 @@ from pyspark.sql import functions as F
 from tidewatch.llm.words import _power_tables, mix, slices, word_hashes
 from tidewatch.sources.scratch import cut, partitions
 
-MIN_WORDS, GRAM, NEIGHBOURS = 50, 16, 3
-#: A gram with more contexts than this is dealt by its neighbouring words too.
+MIN_WORDS, GRAM = 50, 16
+#: The windows of a gram with more contexts than this are dealt by their hashes.
 HOT = 10_000
 _GRAMS = MIN_WORDS - GRAM + 1
-_LEFT, _SIDE = MIN_WORDS - GRAM, (MIN_WORDS - GRAM) // 2
+_LEFT = MIN_WORDS - GRAM
 
 
 def _sliding(x: np.ndarray, n: int, least) -> np.ndarray:
@@ -107,34 +104,71 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "at", "context", "gram", "left", "right"])
 
 
-def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """How many leading words two rows of words share; 0 is no word."""
-    differ = (a != b) | (a == 0)
-    return np.where(differ.any(axis=1), differ.argmax(axis=1), a.shape[1])
+def _windows(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of each entry's windows that begin 0, 1, ... words before its suffix, and which lie inside the text."""
+    sides = [np.frombuffer(b"".join(batch.column(k).to_pylist()), ">u4").reshape(batch.num_rows, -1) for k in ("left", "right")]
+    words = np.concatenate([sides[0][:, ::-1], sides[1]], axis=1).astype(np.uint64)
+    powers, inverses = _power_tables(words.shape[1])
+    prefix = np.zeros((len(words), words.shape[1] + 1), np.uint64)
+    np.cumsum(mix(words) * powers[: words.shape[1]], axis=1, out=prefix[:, 1:])
+    start = _LEFT - np.arange(_LEFT + 1)
+    keys = mix((prefix[:, start + MIN_WORDS] - prefix[:, start]) * inverses[start])
+    return keys, (words[:, start] > 0) & (words[:, start + MIN_WORDS - 1] > 0)
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Matches of sorted neighbours: context, words before and from the suffix on, smallest document of both."""
-    held = None
+    """Matches in entries sorted by gram: context, words before and from the suffix on, smallest document that shares a part."""
+    held: list[pa.RecordBatch] = []
+
+    def matches(entries: pa.Table) -> Iterator[pa.RecordBatch]:
+        for batch in entries.combine_chunks().to_batches():
+            keys, valid = _windows(batch)
+            entry, before = np.nonzero(valid)
+            _, key = np.unique(keys[valid], return_inverse=True)
+            n = int(key.max()) + 1 if len(key) else 0
+            low, high = np.full(n, np.iinfo(np.int64).max), np.full(n, np.iinfo(np.int64).min)
+            np.minimum.at(low, key, np.asarray(batch.column("low"))[entry])
+            np.maximum.at(high, key, np.asarray(batch.column("high"))[entry])
+            shared = (low < high)[key]
+            entry, before, least = entry[shared], before[shared], low[key[shared]]
+            if len(entry):
+                at = np.flatnonzero(np.diff(entry, prepend=-1))
+                columns = [batch.column("context").take(pa.array(entry[at])), pa.array(np.maximum.reduceat(before, at).astype(np.int32))]
+                columns += [pa.array((MIN_WORDS - np.minimum.reduceat(before, at)).astype(np.int32)), pa.array(np.minimum.reduceat(least, at))]
+                yield pa.RecordBatch.from_arrays(columns, ["context", "before", "after", "low"])
+
     for batch in batches:
-        rows = {k: np.asarray(batch.column(k)) for k in ("context", "gram", "low", "high")}
-        for k in ("left", "right"):
-            rows[k] = np.frombuffer(b"".join(batch.column(k).to_pylist()), ">u4").reshape(batch.num_rows, -1)
-        if held is not None:
-            rows = {k: np.concatenate([held[k], v]) for k, v in rows.items()}
-        out: list[list[np.ndarray]] = []
-        for j in range(1, NEIGHBOURS + 1):
-            a, b = {k: v[:-j] for k, v in rows.items()}, {k: v[j:] for k, v in rows.items()}
-            # Of the held rows only pairs with a new row are new.
-            fresh = np.arange(len(a["gram"])) + j >= (0 if held is None else len(held["gram"]))
-            near = np.flatnonzero(fresh & (a["gram"] == b["gram"]) & (np.minimum(a["low"], b["low"]) < np.maximum(a["high"], b["high"])))
-            before, after = _common(a["left"][near], b["left"][near]), _common(a["right"][near], b["right"][near])
-            long = before + after >= MIN_WORDS
-            for side in (a, b):
-                out.append([side["context"][near][long], before[long], after[long], np.minimum(a["low"], b["low"])[near][long]])
-        held = {k: v[-NEIGHBOURS:] for k, v in rows.items()}
-        context, before, after, low = (np.concatenate(x) for x in zip(*out, strict=True))
-        yield pa.RecordBatch.from_arrays([pa.array(context), pa.array(before.astype(np.int32)), pa.array(after.astype(np.int32)), pa.array(low)], ["context", "before", "after", "low"])
+        if not batch.num_rows:
+            continue
+        # The last gram of a batch may go on in the next one.
+        gram = np.asarray(batch.column("gram"))
+        last = int(np.searchsorted(gram, gram[-1]))
+        ended = held and held[-1].column("gram")[-1].as_py() != gram[0]
+        if last or ended:
+            yield from matches(pa.Table.from_batches([*held, batch.slice(0, last)]))
+            held = []
+        held.append(batch.slice(last))
+    if held:
+        yield from matches(pa.Table.from_batches(held))
+
+
+def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each window of each entry: key, context, words before the suffix, smallest and largest document."""
+    for whole in batches:
+        for a in range(0, whole.num_rows, 2000):
+            batch = whole.slice(a, 2000)
+            keys, valid = _windows(batch)
+            entry, before = np.nonzero(valid)
+            own = batch.select(["context", "low", "high"]).take(pa.array(entry))
+            yield pa.RecordBatch.from_arrays([pa.array(keys[valid].view(np.int64)), own.column("context"), pa.array(before.astype(np.int8)), own.column("low"), own.column("high")], ["key", "context", "before", "low", "high"])
+
+
+def _hot_matches(entries: DataFrame) -> DataFrame:
+    """As ``_compare``, for entries of grams that are too common for one task."""
+    windows = entries.mapInArrow(_dealt, "key long, context long, before byte, low long, high long")
+    shared = windows.groupBy("key").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("key", "low")
+    found = windows.select("key", "context", "before").join(shared, "key").groupBy("context")
+    return found.agg(F.max("before").cast("int").alias("before"), (MIN_WORDS - F.min("before")).cast("int").alias("after"), F.min("low").alias("low"))
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
@@ -154,13 +188,10 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     hot = entries.groupBy("gram").count().where(F.col("count") > HOT).select("gram", F.lit(True).alias("hot"))
     entries = cut(entries.join(hot, "gram", "left").withColumn("hot", F.coalesce("hot", F.lit(False))), "entries")
     n = partitions(entries)
-    whole = entries.where("low < high").select("context", F.lit(_LEFT).alias("before"), F.lit(MIN_WORDS).alias("after"), "low")
-    matches = whole
-    for key, near in (("right", F.col("right").substr(1, 4 * (GRAM + _SIDE))), ("left", F.col("left").substr(1, 4 * _SIDE))):
-        near = F.when(F.col("hot"), near).otherwise(F.lit(b""))
-        ordered = entries.repartition(n, F.col("gram"), near).sortWithinPartitions("gram", key)
-        matches = matches.unionByName(ordered.mapInArrow(_compare, "context long, before int, after int, low long"))
-    matches = matches.groupBy("context", "before", "after").agg(F.min("low").alias("low"))
+    # Sorted by gram, so that a task holds one gram at a time.
+    ordered = entries.where(~F.col("hot")).repartition(n, "gram").sortWithinPartitions("gram")
+    matches = ordered.select("context", "gram", "left", "right", "low", "high").mapInArrow(_compare, "context long, before int, after int, low long")
+    matches = matches.unionByName(_hot_matches(entries.where("hot").select("context", "left", "right", "low", "high")))
     spans = members.select("doc_id", "at", "context").join(matches, "context")
     size = F.lit(MIN_WORDS)
     spans = spans.select("doc_id", F.greatest(F.col("at") - F.col("before"), F.lit(0)).alias("start"), (F.col("at") + F.col("after")).alias("end"), "low")
