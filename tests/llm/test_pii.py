@@ -3,7 +3,7 @@ import re
 
 import pytest
 
-from tidewatch.llm.pii import KINDS, find_spans, pii_digest, sanitise
+from tidewatch.llm.pii import KINDS, find_entities, find_spans, pii_digest, revealing_terms, sanitise
 
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -77,3 +77,18 @@ def test_sanitise(spark, corpus):
 
 def test_empty(no_docs):
     assert pii_digest(no_docs).count() == 0 and sanitise(no_docs).count() == 0
+
+
+def test_no_entity_is_left_out(spark):
+    """Copies of a passage, a fixed side and values that occur once leave an entity's terms revealing."""
+    rows = [f"w{i % 97}x w{i % 89}y w{i % 83}z w{i % 79}q about w{i % 73}r w{i % 71}s" for i in range(600)]
+    rows += [f"a{i} b{i} Zorro c{i} x@one.org d{i} e{i} about f{i}" for i in range(40)]
+    rows += ["a quite fixed text here from x@one.org with fixed words following"] * 41
+    rows += [f"g{i} h{i} about i{i} Batman j{i} y@two.org" for i in range(10)]  # ends its text
+    rows += [f"k{i} l{i} m{i} reach Robin z@three.org n{i} o{i} about p{i}" for i in range(10)]  # follows the same label
+    rows += [f"q{i} r{i} s{i} fon +1 555 {1000000 + i} t{i} u{i} about v{i}" for i in range(10)]  # each number once
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    got = {r.term: r.share for r in revealing_terms(find_entities(df)).collect()}
+    assert {"zorro", "batman", "reach", "robin", "fon"} <= got.keys() and "about" not in got
+    assert not {"fixed", "quite", "following"} & got.keys()  # one observation, whatever its copies
+    assert max(got.values()) <= 1

@@ -6,8 +6,12 @@ entity, as a share of the entity's own information, is 1 if the term never occur
 if it is independent of it. Terms within ``WINDOW`` words of an entity are candidates. From the share
 ``GENERALISE`` on a term is generalised to a tag, from ``REMOVE`` on it is removed, wherever it stands.
 
-Copies of one passage are one observation, not many: an entity counts only if it stands in ``SUPPORT``
-documents at least and no single context (the words before it, or after it) makes up more than half of them.
+An entity is a value (digits only for cards and phones) and, since most values are too rare to tell anything alone,
+also the whole kind: a term that stands by e-mail addresses of any value reveals that one is there.
+
+Copies of one passage are one observation, not many: each different context (the words before and after it
+together) counts once, for the entity, for the pair and for the term; a document counts once for an entity. A pair
+needs ``SUPPORT`` observations; no entity is left out.
 
 Defined results: positions are code points, ends exclusive; the kinds' patterns are searched apart, so spans of
 two kinds may overlap (sanitising merges them); a match that fails its check is dropped and not tried again;
@@ -102,7 +106,7 @@ def entity_spans(text: Column, kind: str) -> Column:
 
 def _contexts(found: DataFrame) -> DataFrame:
     """row, doc_id, kind, value, before, after (words) of each entity in ``found(row, doc_id, text, email, ip, card, phone)``."""
-    spans = _all(KINDS, lambda k: lambda s: F.struct(F.lit(k).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.lower(s["value"]).alias("value")))
+    spans = _all(KINDS, lambda k: lambda s: F.struct(F.lit(k).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), (_digits(s["value"]) if k in ("card", "phone") else F.lower(s["value"])).alias("value")))
     each = found.where(F.size(spans) > 0).select("doc_id", "text", F.explode(spans).alias("s"))
     reach = 40 * WINDOW
     before = F.expr(f"substring(text, greatest(1, s.start + 1 - {reach}), least(s.start, {reach}))")
@@ -114,25 +118,23 @@ def _contexts(found: DataFrame) -> DataFrame:
 def revealing_terms(found: DataFrame) -> DataFrame:
     """term, share, action: the terms of a corpus that reveal a protected entity. ``found`` as from ``find_entities``."""
     contexts = cut(_contexts(found), "contexts")
-    # The commonest context on either side, of each entity: aggregated in two steps, so that no group is gathered.
-    shares = None
-    for side in ("before", "after"):
-        own = contexts.groupBy("kind", "value", F.xxhash64(side).alias("context")).agg(F.count(F.lit(1)).alias("n"))
-        own = own.groupBy("kind", "value").agg(F.sum("n").alias("n"), F.max("n").alias("most"))
-        shares = own if shares is None else shares.unionByName(own)
-    documents = contexts.groupBy("kind", "value").agg(F.count_distinct("doc_id").alias("n_entity"))
-    entities = shares.groupBy("kind", "value").agg(F.max(F.col("most") / F.col("n")).alias("most"))
-    entities = documents.where(F.col("n_entity") >= SUPPORT).join(entities.where("most <= 0.5"), ["kind", "value"])
-    near = contexts.select("doc_id", "kind", "value", F.explode(F.array_distinct(F.concat("before", "after"))).alias("word"))
-    near = near.select("doc_id", "kind", "value", _bare("word").alias("term")).where(F.length("term") > 1)
-    pairs = near.groupBy("kind", "value", "term").agg(F.count_distinct("doc_id").alias("n_both")).where(F.col("n_both") >= SUPPORT)
-    pairs = cut(pairs.join(entities, ["kind", "value"]), "pairs")
+    # An entity of each value, and one of the whole kind (no value).
+    entity = F.explode(F.array(F.col("value"), F.lit(None).cast("string"))).alias("value")
+    contexts = contexts.select("doc_id", "kind", entity, F.xxhash64("before", "after").alias("context"), "before", "after")
+    documents, observed = F.count_distinct("doc_id"), F.least(F.count_distinct("context"), F.count_distinct("doc_id"))
+    entities = contexts.groupBy("kind", "value").agg(observed.alias("n_entity"))
+    near = contexts.select("doc_id", "kind", "value", "context", F.explode(F.array_distinct(F.concat("before", "after"))).alias("word"))
+    near = near.select("doc_id", "kind", "value", "context", _bare("word").alias("term")).where(F.length("term") > 1)
+    pairs = near.groupBy("kind", "value", "term").agg(observed.alias("n_both"), documents.alias("n_near")).where(F.col("n_both") >= SUPPORT)
+    same = (pairs["kind"] == entities["kind"]) & pairs["value"].eqNullSafe(entities["value"])
+    pairs = cut(pairs.join(F.broadcast(entities) if entities.count() <= BROADCAST_ROWS else entities, same).select("term", "n_both", "n_near", "n_entity"), "pairs")
     terms = pairs.select("term").distinct()
     terms = F.broadcast(terms) if terms.count() <= BROADCAST_ROWS else terms
     words = found.select(F.explode(F.array_distinct(F.transform(words_of(F.col("text")), _bare))).alias("term"))
     counts = words.join(terms, "term").groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
     total = found.count()
-    mutual = F.log(F.col("n_both") * F.lit(float(total)) / (F.col("n_entity") * F.col("n_term")))
+    once = F.col("n_term") - (F.col("n_near") - F.col("n_both"))  # documents with the term, copies of a context once
+    mutual = F.log(F.col("n_both") * F.lit(float(total)) / (F.col("n_entity") * once))
     share = mutual / F.log((F.lit(float(total)) + 1) / F.col("n_entity"))
     out = pairs.join(counts, "term").groupBy("term").agg(F.max(share).alias("share")).where(F.col("share") >= GENERALISE)
     return out.withColumn("action", F.when(F.col("share") >= REMOVE, "term").otherwise("general"))
