@@ -48,3 +48,11 @@ def test_generated_pages(spark, sf_dir):
 
 def test_blocks_of_nested_inline_tags():
     assert [t for _, t, _ in blocks("<div>a<i>b</i> <a href=x>c</a><p>d</div>e")] == ["ab c", "d", "e"]
+
+
+def test_near_copies_keep_their_paragraphs(spark):
+    """Paragraphs on 4 of 200 pages tell something; those of one page are no copy for their titles."""
+    page = "<body><article><h1>Title {i}</h1><p>Paragraph one of {g}.</p><p>Paragraph two of {g}.</p></article></body>"
+    rows = [(i, "http://d.example/", page.replace("{i}", str(i)).replace("{g}", str(i // 4)), "x", 1) for i in range(200)]
+    got = {r.page_id: r.text for r in main_text(frame(spark, rows).repartition(3)).collect()}
+    assert got == {i: f"Title {i}\nParagraph one of {i // 4}.\nParagraph two of {i // 4}." for i in range(200)}

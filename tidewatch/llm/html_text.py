@@ -131,7 +131,10 @@ def _host() -> F.Column:
 
 
 def _branches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each block text of a page (once a page), with its branch and a hash of the page's main text."""
+    """One row for each block text of a page (once a page), with its branch and a hash of the page's main text.
+
+    A row without text for each branch that the page has, inner ones too.
+    """
     for batch in batches:
         hosts, branch, text, page = [], [], [], []
         for host, source in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
@@ -143,6 +146,11 @@ def _branches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 page.append(signature)
                 branch.append([_number(*own[0][:k]) for k in range(1, len(own[0]) + 1)])
                 text.append(_number(own[1]))
+            for node in {_number(*path[:k]) for path, _, _ in found for k in range(1, len(path) + 1)}:
+                hosts.append(host)
+                page.append(signature)
+                branch.append([node])
+                text.append(None)
         yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(branch, pa.list_(pa.int64())), pa.array(text, pa.int64()), pa.array(page, pa.int64())], ["host", "branch", "text", "page"])
 
 
@@ -162,11 +170,14 @@ def low_branches(pages: DataFrame, importance: float = IMPORTANCE, least: int =
     rows = pages.select(_host().alias("host"), "html").mapInArrow(_branches, "host string, branch array<long>, text long, page long")
     rows = rows.distinct()  # pages of the same main text are one page here: copies are no template
     texts = rows.groupBy("host", "branch", "text").agg(F.count(F.lit(1)).alias("n"))
-    leaves = texts.groupBy("host", "branch").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.sum(F.col("n") * F.log("n")).alias("spread"))
-    inner = leaves.select("host", F.explode("branch").alias("branch"), "n", "most", "spread").groupBy("host", "branch").agg(F.sum("n").alias("n"), F.max("most").alias("most"), F.sum("spread").alias("spread"))
-    # Of m pages, a text on n of them has the entropy log(n) / log(m); m is at least the count of the commonest text.
-    entropy = F.col("spread") / (F.col("n") * F.log(F.greatest(F.col("most"), F.lit(2))))
-    low = inner.where((F.col("most") >= least) & (1 - entropy < importance))
+    own = F.when(F.col("text").isNotNull(), F.col("n"))
+    pages_of = F.max(F.when(F.col("text").isNull(), F.col("n")))
+    leaves = texts.groupBy("host", "branch").agg(F.sum(own).alias("n"), pages_of.alias("pages"), F.sum(own * F.log("n")).alias("spread"))
+    inner = leaves.select("host", F.explode("branch").alias("branch"), "n", F.when(F.size("branch") == 1, F.col("pages")).alias("pages"), "spread")
+    inner = inner.groupBy("host", "branch").agg(F.sum("n").alias("n"), F.max("pages").alias("pages"), F.sum("spread").alias("spread"))
+    # Of a branch on m pages, a text on n of them has the entropy log(n) / log(m).
+    entropy = F.col("spread") / (F.col("n") * F.log(F.greatest(F.col("pages"), F.lit(2))))
+    low = inner.where((F.col("pages") >= least) & (1 - entropy < importance))
     return low.groupBy("host").agg(F.collect_set("branch").alias("low"))
 
 
