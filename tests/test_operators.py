@@ -237,3 +237,18 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {(r.asset, r["count"], r.escalated_level) for r in spark.table("escalated").collect()} == {("x", 5, "critical"), ("y", 5, "critical")}
+
+
+def test_local_outlier_factor_learns_from_all_rows(spark):
+    """A dense group of 21 rows among 6,000 is no outlier, and radii are those of an exact search over all rows."""
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((6000, 2))
+    x[:21] = 30 + rng.random((21, 2)) / 100
+    df = spark.createDataFrame(pd.DataFrame(x, columns=["a", "b"]))
+    model = detectors.LocalOutlierFactor(("a", "b")).fit(df)
+    rows = np.array(model.fitted["x"])
+    assert len(rows) == 6000
+    for i in range(0, 6000, 500):
+        want = np.sort(np.sqrt(((rows - rows[i]) ** 2).sum(axis=1)))[20]
+        assert model.fitted["radius"][i] == pytest.approx(want, rel=1e-5)
+    assert model.transform(df).where("a > 20").agg(F.sum("flag")).first()[0] == 0

@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
@@ -138,7 +138,7 @@ class IsolationForest(Scorer):
 
 @dataclass
 class LocalOutlierFactor(Scorer):
-    """Density of a row's neighbourhood against its neighbours' among a bounded training sample; flag by contamination."""
+    """Density of a row's neighbourhood against its neighbours' among all training rows (exact search); flag by contamination."""
 
     features: tuple[str, ...] = ("value",)
     contamination: float = 0.05
@@ -146,11 +146,11 @@ class LocalOutlierFactor(Scorer):
     seed: int = 0
 
     def fit(self, df: DataFrame) -> LocalOutlierFactor:
-        x = sample_matrix(df, list(self.features), self.seed, 5000)
+        x = df.select(*[no_nan(c).alias(c) for c in self.features]).dropna().toPandas().to_numpy(float).reshape(-1, len(self.features))
         k = min(self.n_neighbors, len(x) - 1)
         if k < 1:
             raise ValueError("too few rows")
-        distance, index = self._near(x, x, k + 1)
+        distance, index = self._neighbours(df.sparkSession, x, k + 1)
         distance, index = distance[:, 1:], index[:, 1:]
         reach = np.maximum(distance, distance[:, -1][index])
         density = 1 / (reach.mean(axis=1) + 1e-10)
@@ -158,6 +158,21 @@ class LocalOutlierFactor(Scorer):
         self.fitted = {"x": x.tolist(), "k": k, "radius": distance[:, -1].tolist(), "density": density.tolist(), "limit": float(np.percentile(lof, 100 * (1 - self.contamination)))}
         return self
 
+    def _neighbours(self, spark: SparkSession, x: np.ndarray, k: int, block: int = 2000) -> tuple[np.ndarray, np.ndarray]:
+        """The k nearest of all rows to each row, by blocks of rows against all."""
+        held, near = spark.sparkContext.broadcast(x), self._near
+
+        def search(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for part in parts:
+                for a in part["id"]:
+                    d, i = near(held.value[a : a + block], held.value, k)
+                    yield pd.DataFrame({"id": [a], "d": [d.astype("<f8").tobytes()], "i": [i.astype("<i8").tobytes()]})
+
+        blocks = -(-len(x) // block)
+        found = spark.range(0, len(x), block, min(blocks, 64)).mapInPandas(search, "id long, d binary, i binary").collect()
+        found.sort(key=lambda r: r.id)
+        return tuple(np.frombuffer(b"".join(bytes(r[c]) for r in found), t).reshape(-1, k) for c, t in (("d", "<f8"), ("i", "<i8")))
+
     @staticmethod
     def _near(a: np.ndarray, b: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         ds, ix = [], []
