@@ -69,3 +69,14 @@ def test_families_without_a_centre(spark):
 
 def test_empty(no_docs):
     assert near_duplicates(no_docs).collect() == []
+
+
+def test_repeated_rows_and_rows_without_id(spark):
+    from corpus_pipeline import near_duplicate
+    from tidewatch.llm.near_dup import _across
+
+    a, b = " ".join(f"w{i}" for i in range(104)), " ".join(f"w{i}" if i < 90 else f"v{i}" for i in range(104))
+    docs = spark.createDataFrame([(1, a), (1, a), (2, b), (None, "some clean text without an id")], "doc_id long, text string")
+    state = spark.createDataFrame([(1, 100, 1), (2, 100, 2)], "id long, n long, component long")
+    assert {tuple(sorted((r.a, r.b))) for r in _across(state, docs.where("doc_id > 0"), 75).collect()} == {(1, 2)}
+    assert sorted(str(r.doc_id) for r in near_duplicate(spark, docs, "").collect()) == ["1", "1", "None"]

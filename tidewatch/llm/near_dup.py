@@ -118,6 +118,7 @@ def _across(state: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
     ids = state.select(F.col("id").alias("doc_id"), "n", "component").distinct()
     same, one = Window.partitionBy("shingle"), Window.partitionBy("id").orderBy("holders", "shingle")
     rows = texts.join(ids.select("doc_id"), "doc_id", "left_semi").mapInArrow(_shingles, "id long, shingle long")
+    rows = rows.repartition("shingle").dropDuplicates(["id", "shingle"])  # rows that repeat a doc_id are one text
     rows = rows.select("*", F.count(F.lit(1)).over(same).alias("holders")).withColumn("at", F.row_number().over(one))
     rows = rows.join(ids.withColumnRenamed("doc_id", "id"), "id").where(f"holders > 1 and 100 * (at - 1) <= {100 - threshold} * n")
     own = Window.partitionBy("shingle", "component")
