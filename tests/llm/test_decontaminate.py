@@ -4,7 +4,8 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from tidewatch.llm.decontaminate import contaminated, decontaminate, simhash
+from tidewatch.llm import decontaminate as module
+from tidewatch.llm.decontaminate import RADIUS, contaminated, decontaminate, simhash, within_radius
 
 
 def words(text):
@@ -91,3 +92,29 @@ def test_simhash(spark):
     for r in got:
         want = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in rows[r.i]) > len(rows[r.i]))
         assert r.s % 2**64 == want
+
+
+def test_index_finds_all_within_the_radius(spark):
+    """Every fingerprint of the same size within the radius once, and none beyond; the joins by shuffle too."""
+    rng = random.Random(2)
+    items = [(i, rng.getrandbits(64), i % 3) for i in range(40)]
+    windows = []
+    for i in range(600):
+        key, own, size = rng.choice(items)
+        bits = sum(1 << b for b in rng.sample(range(64), rng.choice([0, 5, 15, 22, 23, 24, 30])))
+        windows.append((i, own ^ bits, size))
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    left = spark.createDataFrame([(i, signed(x), s) for i, x, s in windows], "i int, fingerprint long, size int").repartition(3)
+    right = spark.createDataFrame([(k, signed(x), s) for k, x, s in items], "item_key int, item_fingerprint long, size int")
+    want = sorted((i, k) for i, x, s in windows for k, y, t in items if s == t and (x ^ y).bit_count() <= RADIUS)
+    for small in (True, False):
+        assert sorted((r.i, r.item_key) for r in within_radius(left, right, small).collect()) == want
+
+
+def test_the_index_makes_the_candidates(spark, monkeypatch):
+    """An index that finds nothing leaves nothing, whatever shingles are shared."""
+    docs = spark.createDataFrame([(1, "a b c d e f g h i j k l")], "doc_id long, text string")
+    items = spark.createDataFrame([(5, "a b c d e f g h i j"), (5, "c d e f g h i j k l"), (6, "c d e f g h i j k l m")], "item_id long, text string")
+    assert {(r.item_id, r.start, r.similarity) for r in contaminated(docs, items).collect()} == {(5, 0, 1.0), (6, 1, 0.75)}
+    monkeypatch.setattr(module, "within_radius", lambda windows, items, small: within_radius(windows, items.where("false"), small))
+    assert contaminated(docs, items).count() == 0
