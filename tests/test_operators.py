@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tidewatch.functions import rules
 from tidewatch.functions.rules import ThresholdRule, apply_threshold
 from tidewatch.operators import detectors, graph, scoring, supervised, survival, windows
+from tidewatch.operators.ordering import quantiles, running
 from tidewatch.sources import io
 from tidewatch.streaming import maintenance
 
@@ -252,3 +253,138 @@ def test_local_outlier_factor_learns_from_all_rows(spark):
         want = np.sort(np.sqrt(((rows - rows[i]) ** 2).sum(axis=1)))[20]
         assert model.fitted["radius"][i] == pytest.approx(want, rel=1e-5)
     assert model.transform(df).where("a > 20").agg(F.sum("flag")).first()[0] == 0
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 7, 500])
+def test_running_sums_and_quantiles(spark, n):
+    """Over the order of the whole table, with ties, missing values and more ranges than values."""
+    rng = np.random.default_rng(n)
+    rows = [(int(k), float(x)) for k, x in zip(rng.integers(0, 40, n), rng.integers(0, 9, n), strict=True)]
+    df = spark.createDataFrame(rows, "k int, x double")
+    got = sorted((r.k, r.upto) for r in running(df.groupBy("k").agg(F.sum("x").alias("x")), [F.col("k")], {"upto": F.col("x")}).collect())
+    want, total = [], 0.0
+    for k in sorted({k for k, _ in rows}):
+        total += sum(x for j, x in rows if j == k)
+        want.append((k, total))
+    assert got == want
+    holes = df.unionByName(spark.createDataFrame([(1, None), (2, float("nan"))], "k int, x double"))
+    found = quantiles(holes, {"x": (rules.no_nan("x"), [0.0, 0.25, 0.5, 0.9, 1.0]), "none": (F.lit(None), [0.5])})
+    assert found["none"] == [None]
+    assert found["x"] == ([None] * 5 if not n else pytest.approx(np.quantile([x for _, x in rows], [0, 0.25, 0.5, 0.9, 1.0])))
+
+
+def test_concordance_counts_all_pairs(spark):
+    rng = np.random.default_rng(8)
+    rows = [(float(t), float(r), int(e)) for t, r, e in zip(rng.integers(0, 25, 200), rng.integers(0, 30, 200), rng.integers(0, 2, 200), strict=True)]
+    won = pairs = 0
+    for t, r, e in rows:
+        for u, q, _ in rows:
+            if e and t < u:
+                pairs += 1
+                won += 1.0 if r > q else 0.5 if r == q else 0.0
+    got = survival.concordance(spark.createDataFrame(rows, "duration double, risk_score double, event int")).first()
+    assert (got.concordance_index, got.pairs) == (pytest.approx(won / pairs), pairs)
+    none = survival.concordance(spark.createDataFrame([], "duration double, risk_score double, event int")).first()
+    assert (none.concordance_index, none.pairs) == (0.5, 0)
+
+
+@pytest.mark.parametrize("name", ["haar", "db2", "db4", "bior2.2"])
+@pytest.mark.parametrize("n", [8, 37, 500, 6000])
+def test_wavelets_give_the_series_back(name, n):
+    x = np.random.default_rng(n).standard_normal(n)
+    rest, details = detectors.wavelet_levels(x, 4, name)
+    assert details and np.allclose(detectors.wavelet_inverse(rest, details, name)[:n], x)
+    with pytest.raises(ValueError):
+        detectors.wavelet_filters("none")
+
+
+def test_long_series_are_denoised(spark):
+    rng = np.random.default_rng(2)
+    clean = np.sin(np.arange(5000) / 60)
+    df = spark.createDataFrame(pd.DataFrame({"i": range(5000), "x": clean + 0.3 * rng.standard_normal(5000), "k": 1}))
+    got = np.array(column(detectors.wavelet_denoise(df, "x", ["k"], ["i"]), "denoised", "i"))
+    assert np.abs(got - clean).mean() < 0.1
+
+
+def test_arima_is_fitted_apart(spark):
+    rng = np.random.default_rng(3)
+    x = np.cumsum(rng.standard_normal(200))
+    y = x.copy()
+    y[150:] += 40
+    frame = lambda v: spark.createDataFrame(pd.DataFrame({"i": range(200), "x": v, "k": "a"}))
+    models = detectors.arima_fit(frame(x), "x", ["k"], ["i"])
+    flags = column(detectors.arima_drift(frame(y), "x", ["k"], ["i"], fitted=models), "flag", "i")
+    assert flags[150] == 1 and sum(flags) < 25
+    other = frame(y).withColumn("k", F.lit("b"))
+    assert sum(column(detectors.arima_drift(other, "x", ["k"], ["i"], fitted=models), "flag", "i")) == 0
+
+
+def test_a_detector_keeps_its_flag(points):
+    model = detectors.IsolationForest(("a", "b", "c"), n_estimators=20).fit(points)
+    own = column(model.transform(points), "flag", "i")
+    assert column(scoring.detect_anomalies(points, model, ThresholdRule("absolute", -9.0)), "flag", "i") == own
+    assert column(next(io.batch_predict([points], model)), "flag", "i") == own
+    scorer = scoring.ZScore(("a",)).fit(points)
+    assert sum(column(scoring.detect_anomalies(points, scorer, ThresholdRule("absolute", -9.0)), "flag", "i")) == 300
+    with pytest.raises(ValueError):
+        scoring.detect_anomalies(points, scorer)
+    assert model.tags()["detector"] and not scorer.tags()["detector"]
+    row = scoring.evaluate_detector(points, model, at="i").first()
+    assert row.recall > 0.9 and row.roc_auc > 0.95 and row.early >= 0
+    both = scoring.compare_detectors(points, {"forest": model, "z": scorer}, ThresholdRule("quantile", quantile=0.97))
+    assert {r.metric for r in scoring.comparison_metrics(both).collect()} == {"precision", "recall", "f1"}
+    for bad in (lambda: scoring.compare_detectors(points, {}), lambda: scoring.comparison_metrics(both, ("x",))):
+        with pytest.raises(ValueError):
+            bad()
+
+
+def test_all_models_are_stored(points, tmp_path):
+    states = points.withColumn("health_state", F.when(F.col("a") > 1, 2).when(F.col("a") > 0, 1).otherwise(0))
+    made = {
+        "forest": detectors.IsolationForest(("a", "b"), n_estimators=5), "pair": detectors.Ensemble([scoring.ZScore(("a",)), detectors.PCADetector(("a", "b"))], "mean"),
+        "risk": supervised.FailureRisk(["a", "b"], n_estimators=5), "ordinal": supervised.OrdinalClassifier(["a"]), "cox": survival.CoxModel(["a"]),
+    }
+    for name, model in made.items():
+        rows = states.withColumn("duration", F.col("i") + 1.0).withColumn("event", F.lit(1))
+        model.fit(rows)
+        io.save_model(model, str(tmp_path / name))
+        again = io.load_model(str(tmp_path / name))
+        out = lambda m: sorted(map(str, (m.risk(rows) if name == "cox" else m.transform(rows)).limit(20).collect()))  # noqa: B023, E731
+        assert type(again) is type(model) and out(again) == out(model), name
+
+
+def test_handler(points, tmp_path):
+    import runpy
+
+    io.export_bundle(scoring.ZScore(("a", "b")).fit(points), str(tmp_path / "b"), "s3://x/y")
+    made = runpy.run_path(str(tmp_path / "b" / "inference.py"))
+    model = made["model_fn"](str(tmp_path / "b"))
+    scores = made["predict_fn"](made["input_fn"]("1,2\n3,4\n", "text/csv"), model)
+    assert made["output_fn"](scores, "text/csv") == f"{scores[0]}\n{scores[1]}"
+
+
+def test_views_and_tables(spark):
+    df = spark.createDataFrame([(1, 0.5, 1), (2, 0.1, 0)], "k int, score double, label int")
+    assert scoring.score_view(df, ["k"]).columns == ["k", "score"] and scoring.label_view(df, ["k"]).columns == ["k", "label"]
+    for bad in (lambda: scoring.score_view(df.unionByName(df), ["k"]), lambda: scoring.label_view(df.withColumn("label", F.lit(2)), ["k"]), lambda: scoring.score_view(df, ["no"])):
+        with pytest.raises(ValueError):
+            bad()
+    for data in (pd.Series([1.0, 2.0]), pd.DataFrame({"value": [1.0, 2.0]}), [1.0, 2.0], np.array([[1.0], [2.0]])):
+        table, names = io.table_of(spark, data)
+        assert names == ("value",) and [r.value for r in table.collect()] == [1.0, 2.0]
+    before, after = scoring.DetectTask(order=("k",), cutoff=2).split(df)
+    assert [r.k for r in before.collect()] == [1] and [r.k for r in after.collect()] == [2]
+
+
+def test_network_anomalies(spark):
+    day = lambda n: dt.datetime(2024, 6, 1 + n % 20)
+    rows = [p for i in range(1, 20) for k in range(3) for p in ((0, i, day(i + k)), (i, 0, day(i)))] + [(a, b, day(a)) for a in range(1, 6) for b in range(1, 6) if a != b]
+    comms = spark.createDataFrame(rows, "sender_id long, receiver_id long, timestamp timestamp")
+    nodes = spark.range(20).withColumnRenamed("id", "node")
+    edges = graph.undirected_edges(comms)
+    assert graph.node_anomalies(edges, nodes).orderBy(F.desc("score")).first().node == 0
+    assert graph.temporal_anomalies(comms, nodes).orderBy(F.desc("score")).first().node == 0
+    assert graph.edge_anomalies(edges).agg(F.sum("flag")).first()[0] >= 1
+    for bad in (lambda: graph.node_anomalies(edges, nodes.limit(1)), lambda: graph.edge_features(edges.where("false")), lambda: graph.edge_anomalies(edges.limit(1)), lambda: graph.temporal_anomalies(comms.where("false"), nodes)):
+        with pytest.raises(ValueError):
+            bad()

@@ -27,10 +27,6 @@ def no_nan(c: Column | str) -> Column:
     return F.nanvl(c.cast("double"), F.lit(None).cast("double"))
 
 
-def safe_divide(a: Column, b: Column) -> Column:
-    return F.try_divide(a, b)
-
-
 def flag(condition: Column) -> Column:
     """1 where a condition is true, 0 where it is false or unknown."""
     return F.coalesce(condition, F.lit(False)).cast("int")
@@ -54,14 +50,16 @@ class ThresholdRule:
 
 
 def apply_threshold(df: DataFrame, rule: ThresholdRule, score: str = "score", out: str = "flag", partition: tuple[str, ...] = ()) -> DataFrame:
-    """Adds a 0/1 column: score at the threshold or over it. A global quantile is one aggregate and a one-row join."""
+    """Adds a 0/1 column: score at the threshold or over it. A global quantile is found when this is called."""
     if rule.method == "absolute":
         return df.withColumn(out, flag(no_nan(score) >= F.lit(float(rule.value))))
-    exact = F.percentile(no_nan(score), F.lit(float(rule.quantile)))
     if partition:
+        exact = F.percentile(no_nan(score), F.lit(float(rule.quantile)))
         return df.withColumn("_limit", exact.over(Window.partitionBy(*partition))).withColumn(out, flag(no_nan(score) >= F.col("_limit"))).drop("_limit")
-    limit = df.agg(exact.alias("_limit"))
-    return df.crossJoin(F.broadcast(limit)).withColumn(out, flag(no_nan(score) >= F.col("_limit"))).drop("_limit")
+    from tidewatch.operators.ordering import quantile
+
+    limit = quantile(df, no_nan(score), float(rule.quantile))
+    return df.withColumn(out, flag(no_nan(score) >= F.lit(limit)))
 
 
 def health_from_rul(rul: Column, healthy: float = 30, warning: float = 10) -> Column:

@@ -17,16 +17,29 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tidewatch.functions.rules import flag, health_from_distance, no_nan
-from tidewatch.operators.scoring import Scorer
+from tidewatch.operators.ordering import quantile, quantiles
+from tidewatch.operators.scoring import Detector, Scorer
+from tidewatch.sources.scratch import cut
 
 #: Rows that a model which needs rows learns from, at most.
 SAMPLE = 20_000
+#: Numbers that the local outlier factor may hold as its model (256 MB).
+LARGEST = 32_000_000
 
 
 def sample_matrix(df: DataFrame, features: list[str], seed: int, rows: int = SAMPLE) -> np.ndarray:
-    """At most ``rows`` complete rows in the order of a seeded hash of their values."""
-    x = df.select(*[no_nan(c).alias(c) for c in features]).dropna()
-    return x.orderBy(F.xxhash64(F.lit(seed), *features)).limit(rows).toPandas().to_numpy(float).reshape(-1, len(features))
+    """At most ``rows`` complete rows in the order of a seeded hash of their values. A single array column is a whole row."""
+    return matrix(complete(df, features).orderBy(F.xxhash64(F.lit(seed), *features)).limit(rows).toPandas(), features)
+
+
+def matrix(part: pd.DataFrame, features: list[str]) -> np.ndarray:
+    """The features of a batch, missing ones as NaN; a single column of arrays is a whole row."""
+    x = part[features]
+    if len(features) == 1 and len(x) and x.dtypes.iloc[0] == object:
+        rows = x.iloc[:, 0].tolist()
+        width = max((len(r) for r in rows if r is not None), default=1)
+        return np.array([np.full(width, np.nan) if r is None else np.asarray(r, float) for r in rows])
+    return x.to_numpy(float)
 
 
 def add_scores(df: DataFrame, features: list[str], score: Callable[[np.ndarray], np.ndarray], out: str = "score") -> DataFrame:
@@ -35,7 +48,7 @@ def add_scores(df: DataFrame, features: list[str], score: Callable[[np.ndarray],
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            x = part[features].to_numpy(float)
+            x = matrix(part, features)
             whole = ~np.isnan(x).any(axis=1)
             s = np.full(len(x), np.nan)
             if whole.any():
@@ -45,27 +58,56 @@ def add_scores(df: DataFrame, features: list[str], score: Callable[[np.ndarray],
     return df.mapInPandas(run, schema).withColumn(out, no_nan(out))
 
 
+def complete(df: DataFrame, features: list[str]) -> DataFrame:
+    """The features of the rows that have all of them (NaN counts as missing); a single array column is a whole row."""
+    if len(features) == 1 and dict(df.dtypes)[features[0]].startswith("array"):
+        x = df.select(F.col(features[0]).cast("array<double>").alias(features[0]))
+        return x.where(F.col(features[0]).isNotNull() & ~F.exists(features[0], lambda v: v.isNull() | F.isnan(v)))
+    return df.select(*[no_nan(c).alias(c) for c in features]).dropna()
+
+
+def by_matrix(features: list[str], made: Callable[[np.ndarray], np.ndarray]) -> Column:
+    """A column computed from the features by numpy, batch by batch; null where one is missing."""
+
+    @F.pandas_udf("double")
+    def run(*columns: pd.Series) -> pd.Series:
+        x = matrix(pd.concat(columns, axis=1, keys=range(len(columns))), list(range(len(columns))))
+        whole, out = ~np.isnan(x).any(axis=1), np.full(len(x), np.nan)
+        if whole.any():
+            out[whole] = made(x[whole])
+        return pd.Series(out)
+
+    return no_nan(run(*[F.col(c) for c in features]))
+
+
 def moments(df: DataFrame, features: list[str]) -> tuple[int, np.ndarray, np.ndarray]:
-    """Count, means and population covariance by one aggregation."""
-    x = df.select(*[no_nan(c).alias(c) for c in features]).dropna()
-    d = len(features)
-    pairs = [(i, j) for i in range(d) for j in range(i, d)]
-    r = x.agg(F.count(F.lit(1)), *[F.avg(c) for c in features], *[F.covar_pop(features[i], features[j]) for i, j in pairs]).first()
-    cov = np.zeros((d, d))
-    for (i, j), v in zip(pairs, r[1 + d :], strict=True):
-        cov[i, j] = cov[j, i] = v or 0.0
-    return r[0], np.array([v or 0.0 for v in r[1 : 1 + d]]), cov
+    """Count, means and population covariance: each task's sums of products around a row of the table, added by place."""
+    x = complete(df, features)
+    first = x.limit(1).toPandas()
+    if not len(first):
+        d = len(features)
+        return 0, np.zeros(d), np.zeros((d, d))
+    origin = matrix(first, features)[0]
+    d = len(origin)
+
+    def products(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((d + 1, d + 1))
+        for part in parts:
+            y = np.column_stack([np.ones(len(part)), matrix(part, features) - origin])
+            total += y.T @ y
+        i, j = np.triu_indices(d + 1)
+        yield pd.DataFrame({"i": i, "j": j, "s": total[i, j]})
+
+    total = np.zeros((d + 1, d + 1))
+    for r in x.mapInPandas(products, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s")).collect():  # d * d / 2 rows
+        total[r.i, r.j] = total[r.j, r.i] = r.s
+    n, shift = total[0, 0], total[0, 1:] / total[0, 0]
+    return int(n), origin + shift, total[1:, 1:] / n - np.outer(shift, shift)
 
 
 def squared_distance(features: list[str], mean: np.ndarray, precision: np.ndarray) -> Column:
-    """The squared Mahalanobis distance as a column expression."""
-    x = [no_nan(c) - float(m) for c, m in zip(features, mean, strict=True)]
-    out = F.lit(0.0)
-    for i, a in enumerate(x):
-        for j in range(i, len(x)):
-            if precision[i, j]:
-                out = out + float(precision[i, j] * (1 if i == j else 2)) * a * x[j]
-    return out
+    """The squared Mahalanobis distance as a column."""
+    return by_matrix(features, lambda x: np.einsum("ij,jk,ik->i", x - mean, precision, x - mean))
 
 
 def _path(n: np.ndarray | float) -> np.ndarray:
@@ -75,7 +117,7 @@ def _path(n: np.ndarray | float) -> np.ndarray:
 
 
 @dataclass
-class IsolationForest(Scorer):
+class IsolationForest(Detector):
     """Random trees over samples of 256 rows; the offset puts a share ``contamination`` of the training rows above 0."""
 
     features: tuple[str, ...] = ("value",)
@@ -137,8 +179,11 @@ class IsolationForest(Scorer):
 
 
 @dataclass
-class LocalOutlierFactor(Scorer):
-    """Density of a row's neighbourhood against its neighbours' among all training rows (exact search); flag by contamination."""
+class LocalOutlierFactor(Detector):
+    """Density of a row's neighbourhood against its neighbours' among all training rows (exact search); flag by contamination.
+
+    The training rows are the model: they are held as one matrix, and more than ``LARGEST`` numbers are refused.
+    """
 
     features: tuple[str, ...] = ("value",)
     contamination: float = 0.05
@@ -146,7 +191,12 @@ class LocalOutlierFactor(Scorer):
     seed: int = 0
 
     def fit(self, df: DataFrame) -> LocalOutlierFactor:
-        x = df.select(*[no_nan(c).alias(c) for c in self.features]).dropna().toPandas().to_numpy(float).reshape(-1, len(self.features))
+        names = list(self.features)
+        rows = complete(df, names)
+        width = matrix(rows.limit(1).toPandas(), names).shape[1]
+        if rows.count() * width > LARGEST:
+            raise ValueError(f"more than {LARGEST} numbers; an exact search of all rows is quadratic in them")
+        x = matrix(rows.toPandas(), names).reshape(-1, width)
         k = min(self.n_neighbors, len(x) - 1)
         if k < 1:
             raise ValueError("too few rows")
@@ -200,7 +250,7 @@ class LocalOutlierFactor(Scorer):
 
 
 @dataclass
-class RobustCovariance(Scorer):
+class RobustCovariance(Detector):
     """Squared Mahalanobis distance from the covariance of the closest rows, by concentration steps over the table."""
 
     features: tuple[str, ...] = ("value",)
@@ -210,19 +260,21 @@ class RobustCovariance(Scorer):
 
     def fit(self, df: DataFrame) -> RobustCovariance:
         names = list(self.features)
-        rows = df.select(*[no_nan(c).alias(c) for c in names]).dropna()
-        center = np.array(rows.agg(*[F.percentile(c, 0.5) for c in names]).first(), float)
-        spread = np.array(rows.agg(*[F.percentile(F.abs(F.col(c) - float(m)), 0.5) for c, m in zip(names, center, strict=True)]).first(), float)
+        rows = cut(complete(df, names), "complete")
+        width = matrix(rows.limit(1).toPandas(), names).shape[1]
+        each = [F.get(names[0], F.lit(i)) for i in range(width)] if dict(rows.dtypes)[names[0]].startswith("array") else [F.col(c) for c in names]
+        center = np.array([x[0] for x in quantiles(rows, {str(i): (c, [0.5]) for i, c in enumerate(each)}).values()], float)
+        spread = np.array([x[0] for x in quantiles(rows, {str(i): (F.abs(c - float(m)), [0.5]) for i, (c, m) in enumerate(zip(each, center, strict=True))}).values()], float)
         mean, precision = center, np.diag(1 / np.maximum(spread, 1e-9) ** 2)
         for _ in range(self.steps):
             d = squared_distance(names, mean, precision)
-            limit = rows.agg(F.percentile(d, self.support)).first()[0]
+            limit = quantile(rows, d, self.support)
             _, new, cov = moments(rows.where(d <= limit), names)
             done = np.allclose(new, mean, atol=1e-9)
             mean, precision = new, np.linalg.pinv(cov)
             if done:
                 break
-        limit = rows.agg(F.percentile(squared_distance(names, mean, precision), 1 - self.contamination)).first()[0]
+        limit = quantile(rows, squared_distance(names, mean, precision), 1 - self.contamination)
         self.fitted = {"mean": mean.tolist(), "precision": precision.tolist(), "limit": limit}
         return self
 
@@ -234,7 +286,7 @@ class RobustCovariance(Scorer):
 
 
 @dataclass
-class PCADetector(Scorer):
+class PCADetector(Detector):
     """Reconstruction error, Mahalanobis distance in component space, or the mean of both scaled to the training range."""
 
     features: tuple[str, ...] = ("value",)
@@ -258,26 +310,33 @@ class PCADetector(Scorer):
         k = max(1, min(k, len(value)))
         variance = value[:k] * n / max(n - 1, 1)
         self.fitted = {"mean": mean.tolist(), "std": std.tolist(), "vectors": vectors[:, :k].tolist(), "inverse": [1 / v if v > 1e-12 else 0.0 for v in variance]}
-        own = df.select(*self.features).dropna()
+        own = complete(df, list(self.features))
         parts = own.select(self.reconstruction().alias("r"), self.mahalanobis().alias("m"))
         r = parts.agg(F.min("r"), F.max("r"), F.min("m"), F.max("m")).first()
         self.fitted["range"] = [float(x) for x in r]
-        self.fitted["limit"] = own.select(self._score().alias("s")).agg(F.percentile("s", 1 - self.contamination)).first()[0]
+        self.fitted["limit"] = quantile(own, self._score(), 1 - self.contamination)
         return self
 
-    def components(self) -> list[Column]:
-        z = [(no_nan(c) - m) / s for c, m, s in zip(self.features, self.fitted["mean"], self.fitted["std"], strict=True)]
-        v = self.fitted["vectors"]
-        return [sum((z[i] * float(v[i][k]) for i in range(len(z))), F.lit(0.0)) for k in range(len(v[0]))]
+    def _scaled(self, x: np.ndarray) -> np.ndarray:
+        return (x - np.array(self.fitted["mean"])) / np.array(self.fitted["std"])
+
+    def components(self, n: int = 2) -> list[Column]:
+        """The first n principal components."""
+        v = np.array(self.fitted["vectors"])
+        return [by_matrix(list(self.features), lambda x, k=k: self._scaled(x) @ v[:, k]) for k in range(min(n, v.shape[1]))]
 
     def reconstruction(self) -> Column:
-        z = [(no_nan(c) - m) / s for c, m, s in zip(self.features, self.fitted["mean"], self.fitted["std"], strict=True)]
-        rest = np.eye(len(z)) - np.array(self.fitted["vectors"]) @ np.array(self.fitted["vectors"]).T
-        back = [sum((z[j] * float(rest[i, j]) for j in range(len(z))), F.lit(0.0)) for i in range(len(z))]
-        return sum((b * b for b in back), F.lit(0.0))
+        v = np.array(self.fitted["vectors"])
+
+        def error(x: np.ndarray) -> np.ndarray:
+            z = self._scaled(x)
+            return ((z - z @ v @ v.T) ** 2).sum(axis=1)
+
+        return by_matrix(list(self.features), error)
 
     def mahalanobis(self) -> Column:
-        return F.sqrt(sum((c * c * float(w) for c, w in zip(self.components(), self.fitted["inverse"], strict=True)), F.lit(0.0)))
+        v, w = np.array(self.fitted["vectors"]), np.array(self.fitted["inverse"])
+        return by_matrix(list(self.features), lambda x: np.sqrt(((self._scaled(x) @ v) ** 2 * w).sum(axis=1)))
 
     def _score(self) -> Column:
         if self.method == "reconstruction":
@@ -298,7 +357,7 @@ def health_thresholds(df: DataFrame, detector: PCADetector, healthy: float = 75,
     if healthy >= warning:
         raise ValueError("the healthy percentile must be below the warning one")
     detector.need_fit()
-    return tuple(df.agg(F.percentile(detector.mahalanobis(), F.array(F.lit(healthy / 100), F.lit(warning / 100)))).first()[0])
+    return tuple(quantiles(df, {"d": (detector.mahalanobis(), [healthy / 100, warning / 100])})["d"])
 
 
 def track_distance(df: DataFrame, detector: PCADetector) -> DataFrame:
@@ -317,10 +376,23 @@ def health_by_distance(df: DataFrame, detector: PCADetector, healthy: float, war
 
 def boundary_points(df: DataFrame, detector: PCADetector) -> DataFrame:
     """The data of a boundary chart: the first two components and the flag of each row."""
-    first = detector.components()[:2]
+    first = detector.components(2)
     return detector.transform(df).select(*[c.alias(f"PC{i + 1}") for i, c in enumerate(first)], "flag")
 
 
+def reconstruction_errors(df: DataFrame, detector: Detector, keys: list[str]) -> DataFrame:
+    """The data of an error chart: keys, error, threshold, flag of each row."""
+    detector.need_fit()
+    return detector.transform(df).select(*keys, F.col("score").alias("error"), F.lit(float(detector.fitted["limit"])).alias("threshold"), "flag")
+
+
+def sensor_drift(df: DataFrame, sensors: list[str], partition: list[str], order: list[str], threshold: float = 2.0) -> DataFrame:
+    """The data of a drift chart: keys, sensor, value, score, flag of each sensor's series, long."""
+    keys = [*partition, *order]
+    long = df.select(*keys, *[no_nan(c).alias(c) for c in sensors]).unpivot(keys, sensors, "sensor", "value")
+    return arima_drift(long, "value", [*partition, "sensor"], order, threshold=threshold)
+
+
 def _per_series(df: DataFrame, value: str, partition: list[str], order: list[str], made: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
     """score and flag of each entity's ordered series by a numpy function; an entity is one task's work."""
     schema = StructType([*df.schema.fields, StructField("score", DoubleType()), StructField("flag", DoubleType())])
@@ -334,50 +406,118 @@ def _per_series(df: DataFrame, value: str, partition: list[str], order: list[str
     return df.groupBy(*partition).applyInPandas(run, schema).withColumn("flag", F.col("flag").cast("int"))
 
 
-def arima_drift(df: DataFrame, value: str, partition: list[str], order: list[str], p: int = 1, d: int = 1, q: int = 1, threshold: float = 2.0) -> DataFrame:
-    """Absolute one-step residual of an ARIMA(p, d, q) in residual deviations; fitted by conditional least squares."""
+def _arima_terms(x: np.ndarray, mean: float, p: int, d: int, q: int, beta: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Coefficients (fitted unless given) and one-step errors of a series; the errors of the last round stand for the moving-average terms."""
+    y, lag = np.diff(x, d) if d else x - mean, max(p, q)
+    error = np.zeros(len(y))
+    if len(y) <= lag:
+        return np.zeros(1 + p + q), error, y
+    given = beta
+    for _ in range(5):
+        rows = np.column_stack([np.ones(len(y) - lag), *[y[lag - i : len(y) - i] for i in range(1, p + 1)], *[error[lag - i : len(y) - i] for i in range(1, q + 1)]])
+        beta = np.linalg.lstsq(rows, y[lag:], rcond=None)[0] if given is None else given
+        error[lag:] = y[lag:] - rows @ beta
+    return beta, error, y
 
-    def made(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        y = np.diff(x, d) if d else x - x.mean()
-        score, lag = np.zeros(len(x)), max(p, q)
-        if len(y) <= 2 * (p + q) + 2:
-            return score, score
-        error = np.zeros(len(y))
-        for _ in range(5):  # residuals of the last round stand for the moving-average terms
-            rows = np.column_stack([np.ones(len(y) - lag), *[y[lag - i : len(y) - i] for i in range(1, p + 1)], *[error[lag - i : len(y) - i] for i in range(1, q + 1)]])
-            beta = np.linalg.lstsq(rows, y[lag:], rcond=None)[0]
-            error[lag:] = y[lag:] - rows @ beta
-        score[d:] = np.abs(error) / (error[lag:].std() + 1e-10)
-        score[0] = 0
-        return score, score > threshold
 
-    return _per_series(df, value, partition, order, made)
+def _filled(pdf: pd.DataFrame, value: str, order: list[str]) -> np.ndarray:
+    x = pdf.sort_values(order)[value].to_numpy(float)
+    return np.where(np.isnan(x), np.nanmean(x) if (~np.isnan(x)).any() else 0.0, x)
 
 
-#: Low-pass taps of the Daubechies wavelet of four vanishing moments (fixed values).
-DB4 = (0.23037781330885523, 0.7148465705525415, 0.6308807679295904, -0.02798376941698385, -0.18703481171888114, 0.030841381835986965, 0.032883011666982945, -0.010597401784997278)
+def arima_fit(df: DataFrame, value: str, partition: list[str], order: list[str], p: int = 1, d: int = 1, q: int = 1) -> DataFrame:
+    """partition, mean, beta, deviation: an ARIMA(p, d, q) of each entity by conditional least squares; short series have no deviation."""
+    types = dict(df.dtypes)
 
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = _filled(pdf, value, order)
+        beta, error, y = _arima_terms(x, float(x.mean()), p, d, q, None)
+        enough = len(y) > 2 * (p + q) + 2
+        return pd.DataFrame([[*(pdf[c].iloc[0] for c in partition), float(x.mean()), beta.tolist(), float(error[max(p, q) :].std()) if enough else None]], columns=[*partition, "mean", "beta", "deviation"])
 
-def wavelet_levels(x: np.ndarray, level: int = 5) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Approximation and details (finest first) of a decimated transform with symmetric ends."""
-    low = np.array(DB4)
+    schema = ", ".join(f"`{c}` {types[c]}" for c in partition) + ", mean double, beta array<double>, deviation double"
+    return df.select(*partition, *order, value).groupBy(*partition).applyInPandas(fit, schema)
+
+
+def arima_drift(df: DataFrame, value: str, partition: list[str], order: list[str], p: int = 1, d: int = 1, q: int = 1, threshold: float = 2.0, fitted: DataFrame | None = None) -> DataFrame:
+    """Absolute one-step residual of an ARIMA(p, d, q) in residual deviations.
+
+    Each entity's model is its own row of ``fitted`` (from ``arima_fit``), or is learned from ``df`` itself. Entities
+    without a model and series too short for one score 0.
+    """
+    models = fitted if fitted is not None else arima_fit(df, value, partition, order, p, d, q)
+    schema = StructType([*df.schema.fields, StructField("score", DoubleType()), StructField("flag", DoubleType())])
+
+    def score(rows: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(order)
+        out = np.zeros(len(rows))
+        if len(rows) and len(model) and pd.notna(model["deviation"].iloc[0]):
+            m = model.iloc[0]
+            _, error, y = _arima_terms(_filled(rows, value, order), m["mean"], p, d, q, np.array(m["beta"], float))
+            if len(y):
+                out[d:] = np.abs(error) / (m["deviation"] + 1e-10)
+            out[:1] = 0
+        return rows.assign(score=out, flag=(out > threshold).astype(float))
+
+    both = df.groupBy(*partition).cogroup(models.groupBy(*partition))
+    return both.applyInPandas(score, schema).withColumn("flag", F.col("flag").cast("int"))
+
+
+#: Low-pass synthesis taps of orthogonal wavelets, and the four filters (analysis low and high, synthesis low and high) of a
+#: biorthogonal one (fixed values).
+ORTHOGONAL = {
+    "haar": (0.7071067811865476, 0.7071067811865476),
+    "db2": (0.48296291314469025, 0.836516303737469, 0.22414386804185735, -0.12940952255092145),
+    "db4": (0.23037781330885523, 0.7148465705525415, 0.6308807679295904, -0.02798376941698385, -0.18703481171888114, 0.030841381835986965, 0.032883011666982945, -0.010597401784997278),
+}
+BIOR22 = (
+    (0.0, -0.1767766952966369, 0.3535533905932738, 1.0606601717798214, 0.3535533905932738, -0.1767766952966369),
+    (0.0, 0.3535533905932738, -0.7071067811865476, 0.3535533905932738, 0.0, 0.0),
+    (0.0, 0.3535533905932738, 0.7071067811865476, 0.3535533905932738, 0.0, 0.0),
+    (0.0, 0.1767766952966369, 0.3535533905932738, -1.0606601717798214, 0.3535533905932738, 0.1767766952966369),
+)
+
+
+def wavelet_filters(name: str) -> tuple[np.ndarray, ...]:
+    """Analysis low and high, synthesis low and high; ValueError for an unknown wavelet."""
+    if name == "bior2.2":
+        return tuple(np.array(f) for f in BIOR22)
+    if name not in ORTHOGONAL:
+        raise ValueError(f"unknown wavelet {name!r}")
+    low = np.array(ORTHOGONAL[name])
     high = low[::-1] * (-1.0) ** np.arange(len(low))
+    return low[::-1], high[::-1], low, high
+
+
+def wavelet_levels(x: np.ndarray, level: int = 5, name: str = "db4") -> tuple[np.ndarray, list[np.ndarray]]:
+    """Approximation and details (finest first) of a decimated transform with symmetric ends."""
+    low, high, _, _ = wavelet_filters(name)
     details = []
     for _ in range(level):
         if len(x) < len(low):
             break
         y = np.pad(x, len(low) - 1, "symmetric")
-        details.append(np.convolve(y, high[::-1], "valid")[1::2])
-        x = np.convolve(y, low[::-1], "valid")[1::2]
+        details.append(np.convolve(y, high, "valid")[1::2])
+        x = np.convolve(y, low, "valid")[1::2]
     return x, details
 
 
-def wavelet_detector(df: DataFrame, value: str, partition: list[str], order: list[str], factor: float = 3.0, level: int = 5) -> DataFrame:
+def wavelet_inverse(x: np.ndarray, details: list[np.ndarray], name: str = "db4") -> np.ndarray:
+    """The series of an approximation and its details (perhaps with one value more at the end), in time linear in its length."""
+    _, _, low, high = wavelet_filters(name)
+    for d in reversed(details):
+        up = np.zeros((2, 2 * len(d)))
+        up[0, ::2], up[1, ::2] = x[: len(d)], d
+        x = (np.convolve(up[0], low) + np.convolve(up[1], high))[len(low) - 2 : 2 * len(d)]
+    return x
+
+
+def wavelet_detector(df: DataFrame, value: str, partition: list[str], order: list[str], factor: float = 3.0, level: int = 5, wavelet: str = "db4") -> DataFrame:
     """Detail coefficients over a robust limit of their level add to the rows below them; flag over the 95th percentile."""
 
     def made(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         score = np.zeros(len(x))
-        for d in wavelet_levels(x, level)[1]:
+        for d in wavelet_levels(x, level, wavelet)[1]:
             size = np.abs(d)
             limit = np.median(size) + factor * np.median(np.abs(size - np.median(size))) / 0.6745
             width = max(1, len(x) // max(1, len(d)))
@@ -389,34 +529,26 @@ def wavelet_detector(df: DataFrame, value: str, partition: list[str], order: lis
     return _per_series(df, value, partition, order, made)
 
 
-def wavelet_denoise(df: DataFrame, value: str, partition: list[str], order: list[str], level: int = 5, soft: bool = True) -> DataFrame:
-    """Adds ``denoised``: details under the universal threshold are shrunk, the rest put together again (least squares)."""
+def wavelet_denoise(df: DataFrame, value: str, partition: list[str], order: list[str], level: int = 5, soft: bool = True, wavelet: str = "db4") -> DataFrame:
+    """Adds ``denoised``: details under the universal threshold are shrunk, the rest put together again. Missing values count as the mean."""
+    wavelet_filters(wavelet)
     schema = StructType([*df.schema.fields, StructField("denoised", DoubleType())])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order)
-        x = pdf[value].to_numpy(float)
-        y, steps = x, []
-        low = np.array(DB4)
-        high = low[::-1] * (-1.0) ** np.arange(len(low))
-        for _ in range(level):
-            if len(y) < len(low) or len(y) > 4096:
-                break
-            base = np.eye(len(y))
-            rows = [np.apply_along_axis(lambda c, t=t: np.convolve(np.pad(c, len(low) - 1, "symmetric"), t[::-1], "valid")[1::2], 0, base) for t in (low, high)]
-            steps.append((rows[0], rows[1], rows[1] @ y))
-            y = rows[0] @ y
-        limit = np.median(np.abs(steps[0][2])) / 0.6745 * np.sqrt(2 * np.log(max(len(x), 2))) if steps else 0.0
-        for a, b, d in reversed(steps):
-            d = np.sign(d) * np.maximum(np.abs(d) - limit, 0) if soft else np.where(np.abs(d) > limit, d, 0)
-            y = np.linalg.lstsq(np.vstack([a, b]), np.concatenate([y, d]), rcond=None)[0]
-        return pdf.assign(denoised=y[: len(x)])
+        x = _filled(pdf, value, order)
+        rest, details = wavelet_levels(x, level, wavelet)
+        if not details:
+            return pdf.assign(denoised=x)
+        limit = np.median(np.abs(details[0])) / 0.6745 * np.sqrt(2 * np.log(max(len(x), 2)))
+        details = [np.sign(d) * np.maximum(np.abs(d) - limit, 0) if soft else np.where(np.abs(d) > limit, d, 0) for d in details]
+        return pdf.assign(denoised=wavelet_inverse(rest, details, wavelet)[: len(x)])
 
     return df.groupBy(*partition).applyInPandas(run, schema)
 
 
 @dataclass
-class WindowAutoencoder(Scorer):
+class WindowAutoencoder(Detector):
     """A dense autoencoder over the last ``window`` values of each row; the error in flag units of training deviations."""
 
     value: str = "value"
@@ -470,7 +602,7 @@ class WindowAutoencoder(Scorer):
 
 
 @dataclass
-class Ensemble(Scorer):
+class Ensemble(Detector):
     """Scorers on one table. ``vote``: flags by how many of them see a row over their 95th percentile; else a combined score."""
 
     scorers: list[Scorer] = field(default_factory=list)
@@ -488,6 +620,7 @@ class Ensemble(Scorer):
         kept, names = df.columns, [f"_s{i}" for i in range(len(self.scorers))]
         for name, s in zip(names, self.scorers, strict=True):
             df = s.transform(df).select(*[c for c in df.columns if c not in ("score", "flag") or c in kept], F.col("score").alias(name))
+        df = cut(df, "scores")
         all_ = F.array(*names)
         mean = F.aggregate(all_, F.lit(0.0), lambda a, x: a + x) / len(names)
         ordered_ = F.array_sort(all_)
@@ -495,8 +628,8 @@ class Ensemble(Scorer):
         median = ordered_[half] if len(names) % 2 else (ordered_[half - 1] + ordered_[half]) / 2
         combined = {"mean": mean, "vote": mean, "max": F.array_max(all_), "min": F.array_min(all_), "median": median}[self.method]
         df = df.withColumn("score", combined)
-        limits = df.agg(*[F.percentile(c, self.percentile / 100).alias(f"_p{c}") for c in [*names, "score"]])
-        df = df.crossJoin(F.broadcast(limits))
-        votes = sum((flag(F.col(c) > F.col(f"_p{c}")) for c in names), F.lit(0))
-        df = df.withColumn("votes", votes).withColumn("flag", flag(F.col("votes") >= self.votes) if self.method == "vote" else flag(F.col("score") > F.col("_pscore")))
+        limits = quantiles(df, {c: (F.col(c), [self.percentile / 100]) for c in [*names, "score"]})
+        over = {c: flag(F.col(c) > F.lit(x[0])) for c, x in limits.items()}
+        votes = sum((over[c] for c in names), F.lit(0))
+        df = df.withColumn("votes", votes).withColumn("flag", flag(F.col("votes") >= self.votes) if self.method == "vote" else over["score"])
         return df.select(*kept, "score", "votes", "flag")

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.rules import ThresholdRule, apply_threshold, no_nan, seasonal_key
+from tidewatch.operators.ordering import quantile, quantiles, running
 
 
 def robust_z(df: DataFrame, value: str, partition: tuple[str, ...] = (), out: str = "score", absolute: bool = True, epsilon: float = 1e-8) -> DataFrame:
@@ -22,8 +23,8 @@ def robust_z(df: DataFrame, value: str, partition: tuple[str, ...] = (), out: st
         w = Window.partitionBy(*partition)
         df = df.withColumn("_med", F.percentile(x, 0.5).over(w)).withColumn("_mad", F.percentile(F.abs(x - F.col("_med")), 0.5).over(w))
     else:
-        df = df.crossJoin(F.broadcast(df.agg(F.percentile(x, 0.5).alias("_med"))))
-        df = df.crossJoin(F.broadcast(df.agg(F.percentile(F.abs(x - F.col("_med")), 0.5).alias("_mad"))))
+        df = df.withColumn("_med", F.lit(quantile(df, x, 0.5)).cast("double"))
+        df = df.withColumn("_mad", F.lit(quantile(df, F.abs(x - F.col("_med")), 0.5)).cast("double"))
     z = (x - F.col("_med")) / (F.col("_mad") + epsilon)
     return df.withColumn(out, F.abs(z) if absolute else z).drop("_med", "_mad")
 
@@ -62,10 +63,18 @@ class Scorer:
         if not self.fitted:
             raise NotFitted(f"{type(self).__name__} is not fitted")
 
+    def tags(self) -> dict[str, bool]:
+        """What the object needs and makes."""
+        return {"detector": isinstance(self, Detector), "fit": type(self).fit is not Scorer.fit, "univariate": "value" in self.params()}
+
     def to_json(self) -> str:
         return json.dumps({"class": type(self).__name__, "params": self.params(), "fitted": self.fitted})
 
 
+class Detector(Scorer):
+    """Extension point: ``transform`` adds ``score`` and the detector's own 0/1 ``flag``."""
+
+
 @dataclass
 class RobustZScore(Scorer):
     value: str = "value"
@@ -101,8 +110,8 @@ class InterquartileRange(Scorer):
     factor: float = 1.5
 
     def fit(self, df: DataFrame) -> InterquartileRange:
-        r = df.agg(*[F.percentile(no_nan(c), F.array(F.lit(0.25), F.lit(0.75))).alias(c) for c in self.features]).first()
-        self.fitted = {c: [r[c][0], r[c][1], (r[c][1] - r[c][0]) or 1.0] for c in self.features}
+        found = quantiles(df, {c: (no_nan(c), [0.25, 0.75]) for c in self.features})
+        self.fitted = {c: [q1, q3, (q3 - q1) or 1.0] for c, (q1, q3) in found.items()}
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
@@ -124,9 +133,19 @@ def seasonal_score(train: DataFrame, df: DataFrame, ts: str, value: str, seasona
     return df.withColumn("score", F.coalesce(F.abs(no_nan(value) - F.col("_mean")) / unit, F.lit(0.0))).drop("_season", "_mean", "_std")
 
 
-def detect_anomalies(df: DataFrame, scorer: Scorer, rule: ThresholdRule, partition: tuple[str, ...] = ()) -> DataFrame:
-    """score and flag: the scorer's score under the rule."""
-    return apply_threshold(scorer.transform(df), rule, partition=partition)
+def score_anomalies(df: DataFrame, scorer: Scorer) -> DataFrame:
+    """``df`` with ``score``."""
+    return scorer.transform(df)
+
+
+def detect_anomalies(df: DataFrame, scorer: Scorer, rule: ThresholdRule | None = None, partition: tuple[str, ...] = ()) -> DataFrame:
+    """score and flag: a detector's own flag, or the scorer's score under the rule."""
+    out = scorer.transform(df)
+    if isinstance(scorer, Detector):
+        return out
+    if rule is None:
+        raise ValueError("a scorer needs a threshold rule")
+    return apply_threshold(out, rule, partition=partition)
 
 
 def confusion(predicted: Column, truth: Column) -> dict[str, Column]:
@@ -159,11 +178,46 @@ def performance_metrics(df: DataFrame, score: str = "score", predicted: str = "f
 def roc_auc(df: DataFrame, score: str = "score", truth: str = "label", by: tuple[str, ...] = ()) -> DataFrame:
     """Exact area by ranks with ties at their mean; 0 without both classes. Ranks come from counts of distinct scores."""
     each = df.groupBy(*by, score).agg(F.count_if(F.col(truth) == 1).alias("pos"), F.count_if(F.col(truth) != 1).alias("neg"))
-    below = F.sum("neg").over((Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy(score).rowsBetween(Window.unboundedPreceding, -1))
-    each = each.withColumn("_won", F.col("pos") * (F.coalesce(below, F.lit(0)) + F.col("neg") / 2))
+    if by:
+        each = each.withColumn("_upto", F.sum("neg").over(Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, 0)))
+    else:
+        each = running(each, [F.col(score)], {"_upto": F.col("neg")})
+    each = each.withColumn("_won", F.col("pos") * (F.col("_upto") - F.col("neg") / 2))
     return each.groupBy(*by).agg(F.coalesce(F.try_divide(F.sum("_won"), (F.sum("pos") * F.sum("neg")).cast("double")), F.lit(0.0)).alias("roc_auc"))
 
 
+def evaluate_detector(df: DataFrame, scorer: Scorer, rule: ThresholdRule | None = None, truth: str = "label", at: str | None = None, partition: tuple[str, ...] = ()) -> DataFrame:
+    """One row: counts, accuracy, precision, recall, f1, roc_auc, and with a time column the lead times of detections."""
+    from tidewatch.operators.windows import lead_times
+
+    out = detect_anomalies(df, scorer, rule, partition)
+    row = detection_metrics(out, truth=truth).crossJoin(F.broadcast(roc_auc(out, truth=truth)))
+    if at:
+        leads = lead_times(out, "flag", truth, at, list(partition))
+        total = [F.avg("mean_lead").alias("mean_lead"), F.min("min_lead").alias("min_lead"), F.max("max_lead").alias("max_lead"), F.coalesce(F.sum("early"), F.lit(0)).alias("early"), F.coalesce(F.sum("late"), F.lit(0)).alias("late")]
+        row = row.crossJoin(F.broadcast(leads.agg(*total)))
+    return row
+
+
+def compare_detectors(df: DataFrame, scorers: dict[str, Scorer], rule: ThresholdRule | None = None, truth: str = "label", at: str | None = None, partition: tuple[str, ...] = ()) -> DataFrame:
+    """``evaluate_detector`` of each, in one table: detector and its metrics."""
+    if not scorers:
+        raise ValueError("no detectors")
+    out = None
+    for name, s in scorers.items():
+        row = evaluate_detector(df, s, rule, truth, at, partition).select(F.lit(name).alias("detector"), "*")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def comparison_metrics(compared: DataFrame, metrics: tuple[str, ...] = ("precision", "recall", "f1")) -> DataFrame:
+    """The data of a comparison chart: detector, metric, value; ValueError if none of the metrics is there."""
+    found = [m for m in metrics if m in compared.columns]
+    if not found:
+        raise ValueError(f"none of {metrics} is a column")
+    return compared.select("detector", *[F.col(m).cast("double").alias(m) for m in found]).unpivot(["detector"], found, "metric", "value")
+
+
 def sweep_thresholds(df: DataFrame, thresholds: list[float], score: str = "score", truth: str = "label") -> DataFrame:
     """Precision, recall and f1 at each threshold: one pass over the scores, a sum for each threshold."""
     rows = df.select(no_nan(score).alias("s"), (F.col(truth) != 0).cast("int").alias("t"))
@@ -183,8 +237,8 @@ def concept_drift(recent: DataFrame, history: DataFrame, value: str, threshold:
     both = recent.select(no_nan(value).alias("x"), F.lit(1).alias("r")).unionByName(history.select(no_nan(value).alias("x"), F.lit(0).alias("r"))).where("x is not null")
     a = both.agg(F.avg(F.when(F.col("r") == 1, F.col("x"))).alias("recent_mean"), F.avg(F.when(F.col("r") == 0, F.col("x"))).alias("historical_mean"), F.stddev_pop(F.when(F.col("r") == 0, F.col("x"))).alias("historical_std"), F.count_if(F.col("r") == 1).alias("n1"), F.count_if(F.col("r") == 0).alias("n0"))
     steps = both.groupBy("x").agg(F.count_if(F.col("r") == 1).alias("k1"), F.count_if(F.col("r") == 0).alias("k0"))
-    w = Window.partitionBy(F.lit(0)).orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    gap = steps.select(F.sum("k1").over(w).alias("c1"), F.sum("k0").over(w).alias("c0")).crossJoin(F.broadcast(a.select("n1", "n0"))).agg(F.max(F.abs(F.col("c1") / F.col("n1") - F.col("c0") / F.col("n0"))).alias("ks_statistic"))
+    steps = running(steps, [F.col("x")], {"c1": F.col("k1"), "c0": F.col("k0")})
+    gap = steps.crossJoin(F.broadcast(a.select("n1", "n0"))).agg(F.max(F.abs(F.col("c1") / F.col("n1") - F.col("c0") / F.col("n0"))).alias("ks_statistic"))
     drift = F.when(F.col("historical_std") > 0, F.abs(F.col("recent_mean") - F.col("historical_mean")) / F.col("historical_std")).otherwise(0.0)
     out = a.crossJoin(F.broadcast(gap)).withColumn("drift_score", drift).withColumn("drift_detected", (F.col("drift_score") > threshold).cast("int"))
     # The asymptotic distribution of the KS distance, as an alternating series.
@@ -211,7 +265,7 @@ def backtest(df: DataFrame, value: str, order: list[str], rule: ThresholdRule, t
     from tidewatch.operators.windows import expanding_folds
 
     spark = df.sparkSession
-    numbered = df.select("*", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)) - 1).alias("_at"))
+    numbered = running(df, [F.col(c) for c in order], {"_n": F.lit(1)}).withColumn("_at", F.col("_n") - 1).drop("_n")
     folds = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(expanding_folds(df.count(), n_splits, min_train))], "fold int, train_end long, test_start long")
     rows = numbered.join(F.broadcast(folds))  # as many copies of a row as folds
     x = no_nan(value)
@@ -228,6 +282,54 @@ def rank_by_risk(df: DataFrame, key: str, risk: str = "combined_risk", top: int
     return out.limit(top) if top else out
 
 
+def score_view(df: DataFrame, keys: list[str], score: str = "score") -> DataFrame:
+    """keys and score; ValueError if a key repeats or is missing, or the score is no number."""
+    if dict(df.dtypes)[score] not in ("double", "float", "int", "bigint", "smallint", "tinyint"):
+        raise ValueError(f"{score} must be a number")
+    _assert_keys(df, keys)
+    return df.select(*keys, F.col(score).cast("double").alias("score"))
+
+
+def label_view(df: DataFrame, keys: list[str], label: str = "label") -> DataFrame:
+    """keys and label; ValueError if a key repeats or is missing, or a label is neither 0 nor 1."""
+    if not df.where(~F.coalesce(F.col(label).isin(0, 1), F.lit(False))).isEmpty():
+        raise ValueError("labels must be 0 or 1")
+    _assert_keys(df, keys)
+    return df.select(*keys, F.col(label).cast("int").alias("label"))
+
+
+def _assert_keys(df: DataFrame, keys: list[str]) -> None:
+    missing = [k for k in keys if k not in df.columns]
+    if missing:
+        raise ValueError(f"missing columns: {missing}")
+    if not df.groupBy(*keys).count().where("count > 1").isEmpty():
+        raise ValueError("keys repeat")
+
+
+def binary_labels(x: Column) -> Column:
+    """1 for a true, positive or other non-zero label, 0 for zero, false and missing."""
+    return F.coalesce((no_nan(x.cast("double")) != 0).cast("int"), F.lit(0))
+
+
+@dataclass(frozen=True)
+class DetectTask:
+    """What is to be detected in which table: columns, window and cutoff."""
+
+    value: str | tuple[str, ...] = "value"
+    keys: tuple[str, ...] = ()
+    order: tuple[str, ...] = ("ts",)
+    label: str | None = None
+    frame: object | None = None
+    cutoff: object | None = None
+
+    def split(self, df: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Rows before the cutoff of the first order column, and those from it on; all and all without a cutoff."""
+        if self.cutoff is None:
+            return df, df
+        at = F.col(self.order[0])
+        return df.where(at < F.lit(self.cutoff)), df.where(at >= F.lit(self.cutoff))
+
+
 def assert_aligned(a: DataFrame, b: DataFrame, keys: list[str]) -> None:
     """ValueError unless both tables have the same keys, as often."""
     if not a.select(*keys).exceptAll(b.select(*keys)).isEmpty() or not b.select(*keys).exceptAll(a.select(*keys)).isEmpty():

@@ -17,6 +17,19 @@ from tidewatch.operators.detectors import IsolationForest
 from tidewatch.operators.scoring import NotFitted
 
 
+def _with_vectors(df: DataFrame, features: list[str]) -> DataFrame:
+    """``df`` with a vector beside each feature that is an array; rows without one are skipped."""
+    types = dict(df.dtypes)
+    for c in features:
+        if types[c].startswith("array"):
+            df = df.where(F.col(c).isNotNull()).withColumn(f"_v_{c}", array_to_vector(F.col(c).cast("array<double>")))
+    return df
+
+
+def _inputs(df: DataFrame, features: list[str]) -> list[str]:
+    return [f"_v_{c}" if f"_v_{c}" in df.columns else c for c in features]
+
+
 def _prepared(features: list[str], scale: bool = True) -> list:
     stages = [VectorAssembler(inputCols=features, outputCol="_raw", handleInvalid="skip")]
     return [*stages, StandardScaler(inputCol="_raw", outputCol="_x", withMean=True)] if scale else stages
@@ -36,19 +49,19 @@ class FailureRisk:
     model: object = field(default=None, init=False)
 
     def fit(self, df: DataFrame) -> FailureRisk:
-        df = df.withColumn("_y", (F.col(self.label) > 0).cast("double"))
+        df = _with_vectors(df, self.features).withColumn("_y", (F.col(self.label) > 0).cast("double"))
         self.single = df.agg(F.count_distinct("_y")).first()[0] < 2
         forest = RandomForestClassifier(featuresCol="_x", labelCol="_y", numTrees=self.n_estimators, maxDepth=self.max_depth, seed=self.seed, probabilityCol="_p", rawPredictionCol="_r", predictionCol="_c")
-        self.model = Pipeline(stages=[*_prepared(self.features), forest]).fit(df)
+        self.model = Pipeline(stages=[*_prepared(_inputs(df, self.features)), forest]).fit(df)
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
         if self.model is None:
             raise NotFitted("FailureRisk is not fitted")
         p = vector_to_array("_p")
-        out = self.model.transform(df).withColumn("failure_probability", F.coalesce(F.get(p, F.lit(1)), F.lit(0.0)))
+        out = self.model.transform(_with_vectors(df, self.features)).withColumn("failure_probability", F.coalesce(F.get(p, F.lit(1)), F.lit(0.0)))
         out = out.withColumn("failure_prediction", F.col("_c").cast("int")).withColumn("health_state", health_from_probability(F.col("failure_probability"), self.risk, self.distress))
-        return out.drop("_raw", "_x", "_p", "_r", "_c")
+        return out.drop("_raw", "_x", "_p", "_r", "_c", *[f"_v_{c}" for c in self.features])
 
 
 @dataclass
@@ -66,9 +79,10 @@ class SequenceClassifier:
         shape = {"featuresCol": "_x", "labelCol": "_y", "seed": self.seed, "probabilityCol": "_p", "rawPredictionCol": "_r", "predictionCol": "_c"}
         if self.network:
             size = rows.select(F.size(F.flatten("sequence"))).first()[0]
-            self.model = MultilayerPerceptronClassifier(layers=[size, self.hidden, 2], maxIter=60, **shape).fit(x)
+            made = MultilayerPerceptronClassifier(layers=[size, self.hidden, 2], maxIter=60, **shape)
         else:
-            self.model = RandomForestClassifier(numTrees=self.n_estimators, **shape).fit(x)
+            made = RandomForestClassifier(numTrees=self.n_estimators, **shape)
+        self.model = Pipeline(stages=[made]).fit(x)
         return self
 
     def transform(self, rows: DataFrame) -> DataFrame:
@@ -122,14 +136,15 @@ class OrdinalClassifier:
             raise ValueError("states must be 0, 1 or 2")
         self.models = []
         for k in (0, 1):
-            own = df.where(F.col(self.label) >= k) if self.kind == "conditional" else df
+            own = _with_vectors(df.where(F.col(self.label) >= k) if self.kind == "conditional" else df, self.features)
             step = LogisticRegression(featuresCol="_x", labelCol="_y", regParam=self.penalty, probabilityCol=f"_p{k}", rawPredictionCol=f"_r{k}", predictionCol=f"_c{k}")
-            self.models.append(Pipeline(stages=[*_prepared(self.features), step]).fit(own.withColumn("_y", (F.col(self.label) > k).cast("double"))))
+            self.models.append(Pipeline(stages=[*_prepared(_inputs(own, self.features)), step]).fit(own.withColumn("_y", (F.col(self.label) > k).cast("double"))))
         return self
 
     def transform(self, df: DataFrame, out: str = "prediction") -> DataFrame:
         kept = df.columns
-        for k, m in enumerate(self.models):
+        df = _with_vectors(df, self.features)
+        for m in self.models:
             df = m.transform(df).drop("_raw", "_x")
         p0, p1 = F.get(vector_to_array("_p0"), F.lit(1)), F.get(vector_to_array("_p1"), F.lit(1))
         over = p0 * p1 if self.kind == "conditional" else F.least(p0, p1)
@@ -154,13 +169,14 @@ class BoostedOrdinal:
 
     def fit(self, df: DataFrame) -> BoostedOrdinal:
         trees = GBTRegressor(featuresCol="_raw", labelCol=self.label, lossType="absolute", maxIter=self.iterations, seed=self.seed, predictionCol="_c")
-        self.model = Pipeline(stages=[*_prepared(self.features, scale=False), trees]).fit(df)
+        df = _with_vectors(df, self.features)
+        self.model = Pipeline(stages=[*_prepared(_inputs(df, self.features), scale=False), trees]).fit(df)
         return self
 
     def transform(self, df: DataFrame, out: str = "prediction") -> DataFrame:
-        df = self.model.transform(df)
+        df = self.model.transform(_with_vectors(df, self.features))
         e = [F.exp(-F.abs(F.col("_c") - k)) for k in range(3)]
-        return df.withColumn("probabilities", F.array(*[x / (e[0] + e[1] + e[2]) for x in e])).withColumn(out, rounded_state(F.col("_c"))).drop("_raw", "_c")
+        return df.withColumn("probabilities", F.array(*[x / (e[0] + e[1] + e[2]) for x in e])).withColumn(out, rounded_state(F.col("_c"))).drop("_raw", "_c", *[f"_v_{c}" for c in self.features])
 
 
 def rounded_state(x: Column) -> Column:

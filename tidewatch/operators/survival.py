@@ -14,20 +14,33 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.rules import health_from_rul
+from tidewatch.operators.ordering import running
+from tidewatch.sources.scratch import cut
+
+#: Up to so many distinct durations are summed in one task of a Newton step (some 100 MB); beyond that by ranges.
+ONE_TASK, KNOWN = 500_000, 10_000
 
 
 def kaplan_meier(df: DataFrame, duration: str = "duration", event: str = "event", by: tuple[str, ...] = ()) -> DataFrame:
     """t, at_risk, deaths, survival and its Greenwood standard error at each duration."""
     counts = df.groupBy(*by, F.col(duration).alias("t")).agg(F.sum(F.col(event).cast("long")).alias("deaths"), F.count(F.lit(1)).alias("n"))
-    part = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    counts = counts.withColumn("at_risk", F.sum("n").over(part.orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, 0)))
-    upto = part.orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
-    alive = F.col("at_risk") - F.col("deaths")
-    log = F.sum(F.when(alive > 0, F.log(alive / F.col("at_risk")))).over(upto)
-    dead = F.max((alive == 0).cast("int")).over(upto) == 1
-    spread = F.sqrt(F.sum(F.when(alive > 0, F.col("deaths") / (F.col("at_risk") * alive))).over(upto))
-    counts = counts.withColumn("survival", F.when(dead, 0.0).otherwise(F.exp(log)))
-    return counts.withColumn("std_error", F.col("survival") * F.coalesce(spread, F.lit(0.0))).drop("n")
+    if by:
+        later = Window.partitionBy(*by).orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, 0)
+        counts = counts.withColumn("at_risk", F.sum("n").over(later))
+    else:
+        counts = running(counts, [F.desc("t")], {"at_risk": F.col("n")})
+    alive = F.col("at_risk") - F.col("deaths")  # 0 at the last duration only
+    steps = {"_log": F.when(alive > 0, F.log(alive / F.col("at_risk"))).otherwise(0.0), "_spread": F.when(alive > 0, F.col("deaths") / (F.col("at_risk") * alive)).otherwise(0.0)}
+    if by:
+        upto = Window.partitionBy(*by).orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+        counts = counts.withColumns({k: F.sum(x).over(upto) for k, x in steps.items()})
+    else:
+        counts = running(counts, [F.col("t")], steps)
+    counts = counts.withColumn("survival", F.when(alive == 0, 0.0).otherwise(F.exp("_log")))
+    counts = counts.withColumn("std_error", F.col("survival") * F.sqrt("_spread"))
+    reach = 1.959963984540054 * F.col("std_error")  # a 95 % interval
+    counts = counts.withColumn("lower", F.greatest(F.col("survival") - reach, F.lit(0.0))).withColumn("upper", F.least(F.col("survival") + reach, F.lit(1.0)))
+    return counts.drop("n", "_log", "_spread")
 
 
 def quantile_time(curve: DataFrame, q: float = 0.5, by: tuple[str, ...] = (), strict: bool = False, last: bool = True) -> DataFrame:
@@ -175,13 +188,21 @@ class CoxModel:
         d = len(self._columns())
         beta = np.zeros(d)
         pairs = [(i, j) for i in range(d) for j in range(i, d)]
+        few = df.select(F.col(duration).cast("double")).distinct().count() <= ONE_TASK
+
+        def later(times: DataFrame, names: list[str]) -> DataFrame:
+            """Sums over the durations from each one on."""
+            if not few:
+                return running(times, [F.desc("t")], {f"_{c}": F.col(c) for c in names}).drop(*names).withColumnsRenamed({f"_{c}": c for c in names})
+            w = Window.partitionBy(F.lit(0)).orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, 0)
+            return times.withColumns({c: F.sum(c).over(w) for c in names})
+
         for _ in range(self.steps):
             self.fitted["beta"] = beta.tolist()
             rows = df.select(F.col(duration).cast("double").alias("t"), F.col(event).cast("double").alias("e"), F.exp(self.log_risk()).alias("w"), *[x.alias(f"x{i}") for i, x in enumerate(self._columns())])
             sums = [F.sum("e").alias("e"), F.sum("w").alias("s0"), *[F.sum(F.col("w") * F.col(f"x{i}")).alias(f"a{i}") for i in range(d)], *[F.sum(F.col("w") * F.col(f"x{i}") * F.col(f"x{j}")).alias(f"b{i}_{j}") for i, j in pairs], *[F.sum(F.col("e") * F.col(f"x{i}")).alias(f"c{i}") for i in range(d)]]
             times = rows.groupBy("t").agg(*sums)
-            later = Window.partitionBy(F.lit(0)).orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, 0)
-            risk = times.select("t", "e", F.sum("s0").over(later).alias("s0"), *[F.sum(f"a{i}").over(later).alias(f"a{i}") for i in range(d)], *[F.sum(f"b{i}_{j}").over(later).alias(f"b{i}_{j}") for i, j in pairs], *[f"c{i}" for i in range(d)])
+            risk = later(times, ["s0", *[f"a{i}" for i in range(d)], *[f"b{i}_{j}" for i, j in pairs]])
             total = risk.where("e > 0").agg(*[F.sum(F.col(f"c{i}") - F.col("e") * F.col(f"a{i}") / F.col("s0")) for i in range(d)], *[F.sum(F.col("e") * (F.col(f"b{i}_{j}") / F.col("s0") - F.col(f"a{i}") * F.col(f"a{j}") / (F.col("s0") * F.col("s0")))) for i, j in pairs], F.sum("e")).first()
             events = total[-1] or 1.0
             gradient = np.array([v or 0.0 for v in total[:d]]) - self.penalty * events * beta * 1e-2
@@ -194,9 +215,14 @@ class CoxModel:
                 break
         self.fitted["beta"] = beta.tolist()
         times = df.groupBy(F.col(duration).cast("double").alias("t")).agg(F.sum(F.col(event).cast("double")).alias("e"), F.sum(F.exp(self.log_risk())).alias("s0"))
-        later = Window.partitionBy(F.lit(0)).orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, 0)
-        hazard = times.select("t", (F.col("e") / F.sum("s0").over(later)).alias("h")).orderBy("t").collect()
-        self.fitted["times"], self.fitted["cumulative"] = [r.t for r in hazard], np.cumsum([r.h for r in hazard]).tolist()
+        hazard = later(times, ["s0"]).select("t", (F.col("e") / F.col("s0")).alias("h"))
+        # At most KNOWN times stay in the model: all of them, or each at which another part of the whole hazard is reached.
+        steps = running(hazard, [F.col("t")], {"cumulative": F.col("h")})
+        if not few:
+            whole = hazard.agg(F.sum("h")).first()[0] or 1.0
+            steps = steps.groupBy(F.floor(F.col("cumulative") / whole * KNOWN).alias("_part")).agg(F.max(F.struct("t", "cumulative")).alias("s")).select("s.*")
+        found = steps.orderBy("t").select("t", "cumulative").collect()
+        self.fitted["times"], self.fitted["cumulative"] = [r.t for r in found], [r.cumulative for r in found]
         return self
 
     def risk(self, df: DataFrame) -> DataFrame:
@@ -253,17 +279,33 @@ def survival_model(kind: str, features: list[str], **options):
 
 
 def concordance(df: DataFrame, duration: str = "duration", risk: str = "risk_score", event: str = "event") -> DataFrame:
-    """concordance_index (Harrell), pairs: ties of risk count half. Pairs are counted from grouped values.
+    """concordance_index (Harrell), pairs: ties of risk count half. No pair is ever made.
 
-    Rows are grouped by duration, risk and event first; the distinct values, not the rows, are paired.
+    Risks are numbered by rank. Of the ranks below one, those that a tree of halved ranges holds apart lie in one node for each
+    bit that is set; every row is a point of the nodes on its path, every failure asks the nodes beside its path how many
+    points have a longer duration. Sorted by node and duration, that is a running sum: n log n rows, whatever the ties.
     """
-    g = df.groupBy(F.col(duration).alias("t"), F.col(risk).alias("r"), F.col(event).alias("e")).agg(F.count(F.lit(1)).alias("n"))
-    a = g.where("e = 1").select(F.col("t").alias("ta"), F.col("r").alias("ra"), F.col("n").alias("na"))
-    pairs = a.join(g, F.col("ta") < F.col("t"))
-    n = F.col("na") * F.col("n")
-    won = F.when(F.col("ra") > F.col("r"), n * 1.0).when(F.col("ra") == F.col("r"), n * 0.5).otherwise(0.0)
-    out = pairs.agg(F.coalesce(F.sum(won), F.lit(0.0)).alias("won"), F.coalesce(F.sum(n), F.lit(0)).alias("pairs"))
-    return out.select(F.coalesce(F.try_divide("won", F.col("pairs").cast("double")), F.lit(0.5)).alias("concordance_index"), "pairs")
+    g = cut(df.groupBy(F.col(duration).cast("double").alias("t"), F.col(risk).cast("double").alias("r"), F.col(event).cast("int").alias("e")).agg(F.count(F.lit(1)).alias("n")).where("t is not null and r is not null"), "risks")
+    ranks = running(g.select("r").distinct(), [F.col("r")], {"k": F.lit(1).cast("long")})
+    size = g.select("r").distinct().count()
+    rows = g.join(ranks, "r").select("t", F.col("k") - 1, "e", F.col("n").cast("decimal(38,0)").alias("n")).toDF("t", "k", "e", "n")
+    levels = range(max(1, size.bit_length()))
+    bit = lambda l: F.shiftright("k", l).bitwiseAND(F.lit(1))  # noqa: E731, E741
+    node = lambda l, at: F.struct(F.lit(l).alias("level"), at.alias("node"))  # noqa: E731, E741
+    points = F.array(node(-1, F.col("k")), *[F.when(bit(l) == 0, node(l, F.shiftright("k", l))) for l in levels])  # noqa: E741
+    asks = F.array(node(-1, F.col("k")), *[F.when(bit(l) == 1, node(l, F.shiftright("k", l) - 1)) for l in levels])  # noqa: E741
+    none = F.lit(0).cast("decimal(38,0)")
+    own = rows.select("t", F.lit(1).alias("kind"), F.col("n").alias("held"), none.alias("asked"), F.explode(points).alias("at"))
+    asked = rows.where("e = 1").select("t", F.lit(0).alias("kind"), none.alias("held"), F.col("n").alias("asked"), F.explode(asks).alias("at"))
+    both = own.unionByName(asked).where("at is not null").select("at.*", "t", "kind", "held", "asked")
+    both = running(both, [F.col("level"), F.col("node"), F.desc("t"), F.col("kind")], {"upto": F.col("held")})
+    each = both.groupBy("level", "node").agg(F.min(F.col("upto") - F.col("held")).alias("start"), F.sum("asked").alias("asked"), F.sum(F.col("asked") * F.col("upto")).alias("found"))
+    beaten = F.col("found") - F.col("asked") * F.col("start")
+    won = each.agg(F.coalesce(F.sum((F.when(F.col("level") >= 0, 1.0).otherwise(0.5) * beaten.cast("double"))), F.lit(0.0)).alias("won"))
+    times = rows.groupBy("t").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("e") == 1, F.col("n")).otherwise(none)).alias("failed"))
+    longer = running(times, [F.desc("t")], {"upto": F.col("n")})
+    pairs = longer.agg(F.coalesce(F.sum(F.col("failed") * (F.col("upto") - F.col("n"))), none).cast("long").alias("pairs"))
+    return won.crossJoin(F.broadcast(pairs)).select(F.coalesce(F.try_divide("won", F.col("pairs").cast("double")), F.lit(0.5)).alias("concordance_index"), "pairs")
 
 
 def evaluate_survival(curve: DataFrame, truth: DataFrame, key: str, duration: str = "duration", event: str = "event") -> DataFrame:
@@ -287,6 +329,6 @@ def compare_models(kinds: list[str], train: DataFrame, test: DataFrame, key: str
         try:
             r = evaluate_survival(survival_model(kind, features).fit(train).curve(test, key), test, key).first()
             out.append((kind, r.concordance_index, r.mae, None))
-        except ValueError as e:
+        except Exception as e:  # one model's failure is a row of the comparison
             out.append((kind, None, None, str(e)))
     return train.sparkSession.createDataFrame(out, "model string, concordance_index double, mae double, error string")

@@ -77,6 +77,13 @@ def backfilled(df: DataFrame, columns: list[str], partition: list[str], order: l
     return df.withColumns({c: F.coalesce(F.first(no_nan(c), True).over(w), F.lit(0.0)) for c in columns})
 
 
+def sorted_quantile(held: Column, q: float) -> Column:
+    """A quantile (linear between ranks) of a sorted array; null for an empty one."""
+    at = (F.size(held) - 1) * F.lit(q)
+    low, high = F.get(held, F.floor(at).cast("int")), F.get(held, F.ceil(at).cast("int"))
+    return low + (high - low) * (at - F.floor(at))
+
+
 def extract_features(df: DataFrame, columns: list[str], partition: list[str], order: list[str], windows: tuple[int, ...] = (5, 10, 20, 50, 100)) -> DataFrame:
     """Rolling and change features of all columns, back-filled; windows longer than an entity's series give 0."""
     w, out = ordered(partition, order), {}
@@ -85,11 +92,19 @@ def extract_features(df: DataFrame, columns: list[str], partition: list[str], or
         x = no_nan(c)
         for n in windows:
             own = w.rowsBetween(-(n - 1), 0)
-            q25, q75 = F.percentile(x, 0.25).over(own), F.percentile(x, 0.75).over(own)
-            made = {"mean": F.avg(x).over(own), "std": F.stddev_samp(x).over(own), "min": F.min(x).over(own), "max": F.max(x).over(own), "median": F.percentile(x, 0.5).over(own), "q25": q25, "q75": q75, "iqr": q75 - q25}
+            made = {"mean": F.avg(x).over(own), "std": F.stddev_samp(x).over(own), "min": F.min(x).over(own), "max": F.max(x).over(own), "_held": F.collect_list(x).over(own)}
             out |= {f"{c}_{k}_{n}": F.when(count >= n, v) for k, v in made.items()}
     kept = df.columns
+    df = df.withColumns(out)
+    held = [f"{c}__held_{n}" for c in columns for n in windows]
+    df = df.withColumns({h: F.array_sort(h) for h in held})  # sorted once for all quantiles of a window
+    out = {}
+    for c in columns:
+        for n in windows:
+            low, middle, high = (sorted_quantile(F.col(f"{c}__held_{n}"), q) for q in (0.25, 0.5, 0.75))
+            out |= {f"{c}_median_{n}": middle, f"{c}_q25_{n}": low, f"{c}_q75_{n}": high, f"{c}_iqr_{n}": high - low}
     df = change_features(df.withColumns(out), columns, partition, order)
+    df = df.drop(*held)
     return backfilled(df, [c for c in df.columns if c not in kept], partition, order)
 
 

@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from tidewatch.functions import rules
 from tidewatch.functions.rules import ThresholdRule
 from tidewatch.operators import detectors, graph, scoring, supervised, survival, windows
+from tidewatch.operators.ordering import running
 from tidewatch.sources import io
+from tidewatch.sources.scratch import new_path
 from tidewatch.streaming import maintenance
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -171,9 +173,9 @@ F1_SQL = "CASE WHEN precision + recall = 0 THEN 0.0 ELSE 2 * precision * recall
 COUNTS_SQL = "count(*) FILTER (flag = 1 AND label = 1) AS tp, count(*) FILTER (flag = 1 AND label = 0) AS fp, count(*) FILTER (flag = 0 AND label = 0) AS tn, count(*) FILTER (flag = 0 AND label = 1) AS fn"
 
 
-@query("a6_performance", f"WITH {Z_SQL}, k AS (SELECT {COUNTS_SQL}, avg(flag) AS anomaly_rate, avg(score) AS score_mean, max(score) AS score_max, stddev_pop(score) AS score_std FROM f), r AS (SELECT *, {RATES_SQL} FROM k) SELECT tp, fp, tn, fn, round(anomaly_rate, 6) AS anomaly_rate, round(score_mean, 6) AS score_mean, round(score_max, 6) AS score_max, round(score_std, 6) AS score_std, round(precision, 6) AS precision, round(recall, 6) AS recall, round({F1_SQL}, 6) AS f1 FROM r")
+@query("a6_performance", f"WITH {Z_SQL}, k AS (SELECT {COUNTS_SQL}, avg(flag) AS anomaly_rate, avg(score) AS score_mean, max(score) AS score_max, min(score) AS score_min, stddev_pop(score) AS score_std FROM f), r AS (SELECT *, {RATES_SQL} FROM k) SELECT tp, fp, tn, fn, round(anomaly_rate, 6) AS anomaly_rate, round(score_mean, 6) AS score_mean, round(score_max, 6) AS score_max, round(score_min, 6) AS score_min, round(score_std, 6) AS score_std, round(precision, 6) AS precision, round(recall, 6) AS recall, round({F1_SQL}, 6) AS f1 FROM r")
 def _(spark, d):
-    return rounded(scoring.performance_metrics(flagged(spark, d)).drop("score_min"), "anomaly_rate", "score_mean", "score_max", "score_std", "precision", "recall", "f1")
+    return rounded(scoring.performance_metrics(flagged(spark, d)), "anomaly_rate", "score_mean", "score_max", "score_min", "score_std", "precision", "recall", "f1")
 
 
 @query("a9_evaluate_by_user", f"WITH {Z_SQL}, k AS (SELECT user_id, {COUNTS_SQL} FROM f GROUP BY user_id), r AS (SELECT *, {RATES_SQL} FROM k) SELECT user_id, tp, fp, tn, fn, round(precision, 6) AS precision, round(recall, 6) AS recall, round({F1_SQL}, 6) AS f1, round((tp + tn) * 1.0 / (tp + fp + tn + fn), 6)::DOUBLE AS accuracy FROM r")
@@ -191,15 +193,16 @@ def _(spark, d):
     return rounded(flagged(spark, d).where("flag = 1").orderBy(F.desc("score"), "event_id").limit(10).select("event_id", "score"), "score")
 
 
-@query("a11_report", f"WITH {Z_SQL} SELECT count(*) FILTER (flag = 1) AS n_anomalies, count(*) AS n_total, round(avg(flag), 6) AS anomaly_rate, round(avg(score), 6) AS mean_score, round(max(score), 6) AS max_score, round(min(score), 6) AS min_score FROM f")
+@query("a11_report", f"WITH {Z_SQL} SELECT count(*) FILTER (flag = 1) AS n_anomalies, count(*) AS n_total, round(avg(flag), 6) AS anomaly_rate, round(avg(score), 6) AS mean_score, round(max(score), 6) AS max_score, round(min(score), 6) AS min_score, (SELECT string_agg(strftime(ts, '%Y-%m-%d %H:%M:%S'), ',' ORDER BY score DESC, ts) FROM (SELECT ts, score FROM f WHERE flag = 1 ORDER BY score DESC, ts LIMIT 10)) AS top_anomalies FROM f")
 def _(spark, d):
-    return rounded(scoring.report_detection(flagged(spark, d), "ts").drop("top_anomalies"), "anomaly_rate", "mean_score", "max_score", "min_score")
+    return rounded(scoring.report_detection(flagged(spark, d), "ts").withColumn("top_anomalies", F.array_join(F.transform("top_anomalies", lambda t: F.date_format(t, "yyyy-MM-dd HH:mm:ss")), ",")), "anomaly_rate", "mean_score", "max_score", "min_score")
 
 
 @query("a13_concept_drift", f"WITH {E_SQL}, h AS (SELECT value, ts >= (SELECT quantile_disc(ts, 0.5) FROM e) AS r FROM e), s AS (SELECT avg(value) FILTER (r) AS recent_mean, avg(value) FILTER (NOT r) AS historical_mean, stddev_pop(value) FILTER (NOT r) AS historical_std FROM h) SELECT round(recent_mean, 6) AS recent_mean, round(historical_mean, 6) AS historical_mean, round(historical_std, 6) AS historical_std, round(abs(recent_mean - historical_mean) / historical_std, 6) AS drift_score, CASE WHEN abs(recent_mean - historical_mean) / historical_std > 2 THEN 1 ELSE 0 END AS drift_detected FROM s")
 def _(spark, d):
     df = events(spark, d)
-    middle = df.withColumn("_n", F.cume_dist().over(Window.partitionBy(F.lit(0)).orderBy("ts"))).where("_n >= 0.5").agg(F.min("ts").alias("middle"))
+    times = running(df.groupBy("ts").agg(F.count(F.lit(1)).alias("n")), [F.col("ts")], {"upto": F.col("n")})
+    middle = times.where(2 * F.col("upto") >= df.count()).agg(F.min("ts").alias("middle"))
     df = df.crossJoin(F.broadcast(middle))
     out = scoring.concept_drift(df.where("ts >= middle"), df.where("ts < middle"), "value")
     return rounded(out.select("recent_mean", "historical_mean", "historical_std", "drift_score", "drift_detected"), "recent_mean", "historical_mean", "historical_std", "drift_score")
@@ -210,10 +213,9 @@ def _(spark, d):
     return rounded(scoring.sweep_thresholds(flagged(spark, d), [0.5, 1.0, 2.0, 3.0]), "precision", "recall", "f1")
 
 
-@query("a16_concordance", f"WITH {G_SQL}, q AS (SELECT duration, event, floor(o_totalprice / 20000) AS r FROM g), n AS (SELECT duration, event, r, count(*) AS n FROM q GROUP BY ALL) SELECT round(sum(CASE WHEN a.r > b.r THEN a.n * b.n * 1.0 WHEN a.r = b.r THEN a.n * b.n * 0.5 ELSE 0 END)::DOUBLE / sum(a.n * b.n), 6) AS concordance_index, sum(a.n * b.n)::BIGINT AS pairs FROM n a JOIN n b ON a.duration < b.duration WHERE a.event = 1")
+@query("a16_concordance", f"WITH {G_SQL}, n AS (SELECT duration, event, o_totalprice AS r, count(*) AS n FROM g GROUP BY ALL) SELECT round(sum(CASE WHEN a.r > b.r THEN a.n * b.n * 1.0 WHEN a.r = b.r THEN a.n * b.n * 0.5 ELSE 0 END)::DOUBLE / sum(a.n * b.n), 6) AS concordance_index, sum(a.n * b.n)::BIGINT AS pairs FROM n a JOIN n b ON a.duration < b.duration WHERE a.event = 1")
 def _(spark, d):
-    df = gaps(spark, d).withColumn("risk_score", F.floor(F.col("o_totalprice") / 20000))
-    return rounded(survival.concordance(df), "concordance_index")
+    return rounded(survival.concordance(gaps(spark, d), risk="o_totalprice"), "concordance_index")
 
 
 ROLL = "OVER (PARTITION BY user_id ORDER BY cycle ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)"
@@ -244,9 +246,32 @@ def _(spark, d):
     return rounded(windows.change_features(cycles(spark, d), ["value"], ["user_id"], ["cycle"], (5,)).select("event_id", *names), *names)
 
 
-@query("w6_features")
+def _features_sql() -> str:
+    """Rolling and change features of ``value``, back-filled, over all window lengths."""
+    made, names = [], []
+    for n in (5, 10, 20, 50, 100):
+        w = f"OVER (PARTITION BY user_id ORDER BY cycle ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+        q25, q75 = f"quantile_cont(value, 0.25) {w}", f"quantile_cont(value, 0.75) {w}"
+        each = {"mean": f"avg(value) {w}", "std": f"stddev_samp(value) {w}", "min": f"min(value) {w}", "max": f"max(value) {w}", "median": f"quantile_cont(value, 0.5) {w}", "q25": q25, "q75": q75, "iqr": f"{q75} - {q25}"}
+        for k, x in each.items():
+            made.append(f"CASE WHEN count(*) OVER (PARTITION BY user_id) >= {n} THEN {x} END AS value_{k}_{n}")
+            names.append(f"value_{k}_{n}")
+    lag = lambda k: f"lag(value, {k}) OVER (PARTITION BY user_id ORDER BY cycle)"
+    changes = {"diff": f"value - {lag(1)}", "diff2": f"value - 2 * {lag(1)} + {lag(2)}", "abs_diff": f"abs(value - {lag(1)})", "abs_diff2": f"abs(value - 2 * {lag(1)} + {lag(2)})"}
+    changes["pct_change"] = f"CASE WHEN {lag(1)} = 0 THEN CASE WHEN value > 0 THEN 'inf'::DOUBLE WHEN value < 0 THEN '-inf'::DOUBLE END ELSE value / {lag(1)} - 1 END"
+    changes |= {f"roc_{k}": f"(value - {lag(k)}) / {k}" for k in (5, 10, 20)}
+    for k, x in changes.items():
+        made.append(f"{x} AS value_{k}")
+        names.append(f"value_{k}")
+    filled = ", ".join(f"round(coalesce(first_value({c} IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY cycle ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0.0), 9) AS {c}" for c in names)
+    return f"WITH {C_SQL}, x AS (SELECT event_id, user_id, cycle, {', '.join(made)} FROM c) SELECT event_id, {filled} FROM x"
+
+
+@query("w6_features", _features_sql())
 def _(spark, d):
-    return windows.extract_features(cycles(spark, d), ["value"], ["user_id"], ["cycle"], (5, 10, 20))
+    df = windows.extract_features(cycles(spark, d), ["value"], ["user_id"], ["cycle"])
+    # Means of 50 values have up to seven digits, so that six would be ties.
+    return df.select("event_id", *[F.round(c, 9).alias(c) for c in df.columns if c.startswith("value_")])
 
 
 @query("w7_spectral")
@@ -270,7 +295,10 @@ def _(spark, d):
     return rounded(windows.lead_times(df, "pred", "label", "cycle", ["user_id"]), "mean_lead")
 
 
-@query("w13_backtest")
+BACKTEST_SQL = f"WITH {E_SQL}, o AS (SELECT *, row_number() OVER (ORDER BY ts, event_id) - 1 AS pos, count(*) OVER () AS n FROM e), k AS (SELECT unnest(range(0, 5)) AS fold), f AS (SELECT fold, 10 + fold * ((n - 10) // 5) AS edge, value, label, pos FROM o, k), t AS (SELECT fold, avg(value) AS m, stddev_pop(value) AS s FROM f WHERE pos < edge GROUP BY fold), z AS (SELECT f.fold, label, abs(value - m) / CASE WHEN s > 0 THEN s ELSE 1.0 END AS score FROM f JOIN t ON f.fold = t.fold WHERE pos >= edge), g AS (SELECT *, CASE WHEN score >= quantile_cont(score, 0.95) OVER (PARTITION BY fold) THEN 1 ELSE 0 END AS flag FROM z), c AS (SELECT fold, {COUNTS_SQL} FROM g GROUP BY fold), r AS (SELECT *, {RATES_SQL} FROM c) SELECT fold::INT AS fold, round(precision, 6) AS precision, round(recall, 6) AS recall, round({F1_SQL}, 6) AS f1 FROM r"
+
+
+@query("w13_backtest", BACKTEST_SQL)
 def _(spark, d):
     return rounded(scoring.backtest(events(spark, d), "value", ["ts", "event_id"], ThresholdRule("quantile", quantile=0.95)), "precision", "recall", "f1")
 
@@ -301,9 +329,20 @@ def _(spark, d):
     return graph.degrees(graph.undirected_edges(messages(spark, d)), roster(spark, d))
 
 
-@query("g3_pagerank")
+def _pagerank_sql(turns: int = 40) -> str:
+    """The iterates one after the other; the last before a change below the tolerance is returned."""
+    start = f"WITH {EDGES_SQL}, both_ends AS (SELECT u AS node, v AS other, weight FROM edges UNION ALL SELECT v, u, weight FROM edges), strength AS (SELECT node, sum(weight) AS s FROM both_ends GROUP BY node), links AS MATERIALIZED (SELECT b.node, other, weight * 1.0::DOUBLE / s AS share FROM both_ends b JOIN strength USING (node)), n AS MATERIALIZED (SELECT s_suppkey AS node, s IS NULL AS isolated, (SELECT count(*) FROM supplier)::DOUBLE AS n FROM supplier LEFT JOIN strength ON node = s_suppkey), r0 AS MATERIALIZED (SELECT node, isolated, n, 1.0 / n AS r FROM n)"
+    for k in range(1, turns + 1):
+        start += f", r{k} AS MATERIALIZED (SELECT p.node, p.isolated, p.n, 0.15 / p.n + 0.85 * (coalesce(g.got, 0) + (SELECT coalesce(sum(r) FILTER (isolated), 0) FROM r{k - 1}) / p.n) AS r FROM r{k - 1} p LEFT JOIN (SELECT other AS node, sum(r * share) AS got FROM links JOIN r{k - 1} USING (node) GROUP BY other) g ON g.node = p.node)"
+    every = " UNION ALL ".join(f"SELECT {k} AS k, node, r FROM r{k}" for k in range(turns + 1))
+    start += f", every AS MATERIALIZED ({every}), changes AS (SELECT a.k, sum(abs(a.r - b.r)) AS change FROM every a JOIN every b ON a.node = b.node AND b.k = a.k - 1 GROUP BY a.k)"
+    start += f", last AS (SELECT node, r FROM every WHERE k = (SELECT coalesce(min(k) FILTER (change < 1e-8) - 1, {turns}) FROM changes))"
+    return start + " SELECT node, round(r / (SELECT sum(r) FROM last), 6) AS pagerank FROM last"
+
+
+@query("g3_pagerank", _pagerank_sql())
 def _(spark, d):
-    return rounded(graph.pagerank(graph.undirected_edges(messages(spark, d)), roster(spark, d), tol=1e-6), "pagerank")
+    return rounded(graph.pagerank(graph.undirected_edges(messages(spark, d)), roster(spark, d)), "pagerank")
 
 
 @query("g4_edge_features", f"WITH {EDGES_SQL}, k AS (SELECT node, sum(weight) AS volume FROM ends GROUP BY node) SELECT u, v, weight, round(2.0 * weight / (a.volume + b.volume), 6)::DOUBLE AS share_of_endpoint_volume, round(ln(1 + weight), 6) AS log1p_weight FROM edges JOIN k a ON u = a.node JOIN k b ON v = b.node")
@@ -318,39 +357,37 @@ def _(spark, d):
 
 @query("g6_centralities")
 def _(spark, d):
-    return rounded(graph.centralities(graph.undirected_edges(messages(spark, d)).where("weight >= 4"), roster(spark, d)), "betweenness", "closeness", "eigenvector")
+    return rounded(graph.centralities(graph.undirected_edges(messages(spark, d)), roster(spark, d)), "betweenness", "closeness", "eigenvector")
 
 
 @query("g7_node_anomalies")
 def _(spark, d):
-    df = graph.degrees(graph.undirected_edges(messages(spark, d)), roster(spark, d))
-    forest = detectors.IsolationForest(("weighted_degree", "neighbor_count"), n_estimators=50).fit(df)
-    return rules.apply_threshold(forest.transform(df), ThresholdRule("quantile", quantile=0.95))
+    return graph.node_anomalies(graph.undirected_edges(messages(spark, d)), roster(spark, d))
 
 
 @query("g8_edge_anomalies")
 def _(spark, d):
-    df = graph.edge_features(graph.undirected_edges(messages(spark, d)))
-    forest = detectors.IsolationForest(("weight", "share_of_endpoint_volume"), n_estimators=50).fit(df)
-    return rules.apply_threshold(forest.transform(df), ThresholdRule("quantile", quantile=0.99)).select("u", "v", "score", "flag")
+    return graph.edge_anomalies(graph.undirected_edges(messages(spark, d))).select("u", "v", "score", "flag")
 
 
 @query("g9_temporal_anomalies")
 def _(spark, d):
-    df = graph.touch_matrix(graph.touch_counts(messages(spark, d), roster(spark, d), width="365 days"))
-    names = [c for c in df.columns if c != "node"]
-    df = df.select("node", *[F.col(f"`{c}`").alias(f"bin{i}") for i, c in enumerate(names)])
-    bins = tuple(c for c in df.columns if c != "node")
-    forest = detectors.IsolationForest(bins, n_estimators=50).fit(df)
-    return rules.apply_threshold(forest.transform(df), ThresholdRule("quantile", quantile=0.95)).select("node", "score", "flag")
+    return graph.temporal_anomalies(messages(spark, d), roster(spark, d)).select("node", "score", "flag")
+
+
+def _curve_sql(by: str = "") -> str:
+    """k: Kaplan-Meier curves of g, one for each value of a column."""
+    part, key = (f"PARTITION BY {by} ", f"{by}, ") if by else ("", "")
+    w, reached = f"OVER ({part}ORDER BY t ROWS UNBOUNDED PRECEDING)", f"OVER ({part}ORDER BY t DESC ROWS UNBOUNDED PRECEDING)"
+    return f"counts AS (SELECT {key}duration AS t, sum(event)::BIGINT AS deaths, count(*) AS n FROM g GROUP BY ALL), risks AS (SELECT *, sum(n) {reached}::BIGINT AS at_risk FROM counts), k AS (SELECT *, CASE WHEN at_risk = deaths THEN 0.0 ELSE exp(sum(CASE WHEN at_risk > deaths THEN ln((at_risk - deaths)::DOUBLE / at_risk) END) {w}) END AS survival, sqrt(coalesce(sum(CASE WHEN at_risk > deaths THEN deaths::DOUBLE / (at_risk * (at_risk - deaths)) END) {w}, 0)) AS spread FROM risks)"
 
 
-@query("u2_kaplan_meier", f"WITH {G_SQL}, k AS (SELECT duration AS t, sum(event)::BIGINT AS deaths, count(*) AS n FROM g GROUP BY 1), r AS (SELECT *, sum(n) OVER (ORDER BY t DESC ROWS UNBOUNDED PRECEDING)::BIGINT AS at_risk FROM k) SELECT t, deaths, at_risk, round(CASE WHEN max(CASE WHEN at_risk = deaths THEN 1 ELSE 0 END) OVER w = 1 THEN 0.0 ELSE exp(sum(CASE WHEN at_risk > deaths THEN ln((at_risk - deaths)::DOUBLE / at_risk) END) OVER w) END, 6) AS survival FROM r WINDOW w AS (ORDER BY t ROWS UNBOUNDED PRECEDING)")
+@query("u2_kaplan_meier", f"WITH {G_SQL}, {_curve_sql()} SELECT t, deaths, at_risk, round(survival, 6) AS survival, round(survival * spread, 6) AS std_error, round(greatest(survival - 1.959963984540054 * survival * spread, 0), 6) AS lower, round(least(survival + 1.959963984540054 * survival * spread, 1), 6) AS upper FROM k")
 def _(spark, d):
-    return rounded(survival.kaplan_meier(gaps(spark, d)).drop("std_error"), "survival")
+    return rounded(survival.kaplan_meier(gaps(spark, d)), "survival", "std_error", "lower", "upper")
 
 
-@query("w14_time_to_failure")
+@query("w14_time_to_failure", f"WITH {G_SQL.replace('AS (SELECT', 'AS (SELECT o_custkey % 10 AS key,', 1)}, {_curve_sql('key')} SELECT key, coalesce(min(t) FILTER (round(survival, 9) < 0.5), max(t)) AS time FROM k GROUP BY key")
 def _(spark, d):
     return survival.time_to_failure(survival.kaplan_meier(gaps(spark, d).withColumn("key", F.pmod("o_custkey", F.lit(10))), by=("key",)), ("key",))
 
@@ -375,54 +412,112 @@ def _(spark, d):
 @query("u5_logistic_hazard")
 def _(spark, d):
     df = gaps(spark, d)
-    return survival.LogisticHazard(["o_totalprice"], 10).fit(df).curve(df, "o_orderkey")
+    return survival.LogisticHazard(["o_totalprice"]).fit(df).curve(df, "o_orderkey")
 
 
 def vectors(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "embeddings").select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(6)])
+    return table(spark, d, "embeddings").select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(WIDTH)])
 
 
-X = tuple(f"x{i}" for i in range(6))
+def embedded(spark: SparkSession, d: str) -> DataFrame:
+    """The same with all dimensions in one array."""
+    return table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("x"))
 
 
-def detector_query(name: str, made: Callable[[], scoring.Scorer]) -> None:
+#: The dimensions of the vectors.
+WIDTH = 64
+X = tuple(f"x{i}" for i in range(WIDTH))
+
+
+def detector_query(name: str, made: Callable[[], scoring.Scorer], rows: Callable[[SparkSession, str], DataFrame] = embedded) -> None:
     @query(name)
     def _(spark, d):
-        df = vectors(spark, d)
+        df = rows(spark, d)
         return made().fit(df).transform(df).select("vec_id", "score", "flag")
 
 
-detector_query("d1_isolation_forest", lambda: detectors.IsolationForest(X, n_estimators=50))
-detector_query("d2_local_outlier_factor", lambda: detectors.LocalOutlierFactor(X))
-detector_query("d3_robust_covariance", lambda: detectors.RobustCovariance(X))
-detector_query("d4_pca", lambda: detectors.PCADetector(X, method="both"))
-detector_query("d8_voting", lambda: detectors.Ensemble([scoring.ZScore(X), scoring.InterquartileRange(X), detectors.PCADetector(X)], "vote"))
-detector_query("d9_score_combining", lambda: detectors.Ensemble([scoring.ZScore(X), detectors.PCADetector(X)], "median"))
+detector_query("d1_isolation_forest", lambda: detectors.IsolationForest(("x",)))
+detector_query("d2_local_outlier_factor", lambda: detectors.LocalOutlierFactor(("x",)))
+detector_query("d3_robust_covariance", lambda: detectors.RobustCovariance(("x",)))
+detector_query("d4_pca", lambda: detectors.PCADetector(("x",), method="both"))
+detector_query("d8_voting", lambda: detectors.Ensemble([detectors.IsolationForest(("x",)), detectors.PCADetector(("x",))], "vote"))
+detector_query("d9_score_combining", lambda: detectors.Ensemble([detectors.IsolationForest(("x",)), detectors.PCADetector(("x",))], "median"))
 
+SCORES_SQL = "l AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), s AS (SELECT i, avg(x) AS m, stddev_pop(x) AS sd, quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.75) AS q3 FROM l GROUP BY i), r AS (SELECT vec_id, max(abs((x - m) / sd)) AS z, max(greatest(q1 - 1.5 * (q3 - q1) - x, x - q3 - 1.5 * (q3 - q1), 0)) / ((SELECT max(q3 - q1) FROM s) + 1e-10) AS q FROM l JOIN s USING (i) GROUP BY vec_id), v AS (SELECT vec_id, (z + q) / 2 AS mean, greatest(z, q) AS top, CASE WHEN z > (SELECT quantile_cont(z, 0.95) FROM r) THEN 1 ELSE 0 END + CASE WHEN q > (SELECT quantile_cont(q, 0.95) FROM r) THEN 1 ELSE 0 END AS votes FROM r)"
 
-@query("o7_distance_health")
+
+def _both() -> list[scoring.Scorer]:
+    return [scoring.ZScore(X), scoring.InterquartileRange(X)]
+
+
+@query("d8_vote_of_two", f"WITH {SCORES_SQL} SELECT vec_id, round(mean, 6) AS score, votes::INT AS votes, CASE WHEN votes >= 2 THEN 1 ELSE 0 END AS flag FROM v")
+def _(spark, d):
+    df = vectors(spark, d)
+    return rounded(detectors.Ensemble(_both(), "vote").fit(df).transform(df).select("vec_id", "score", "votes", "flag"), "score")
+
+
+@query("d9_largest_of_two", f"WITH {SCORES_SQL} SELECT vec_id, round(top, 6) AS score, CASE WHEN top > (SELECT quantile_cont(top, 0.95) FROM v) THEN 1 ELSE 0 END AS flag FROM v")
+def _(spark, d):
+    df = vectors(spark, d)
+    return rounded(detectors.Ensemble(_both(), "max").fit(df).transform(df).select("vec_id", "score", "flag"), "score")
+
+
+COMPARED_SQL = f"WITH {E_SQL}, a AS (SELECT 'z' AS detector, label, abs(value - (SELECT avg(value) FROM e)) / (SELECT stddev_pop(value) FROM e) AS score FROM e UNION ALL SELECT 'iqr', label, greatest(q1 - 1.5 * (q3 - q1) - value, value - q3 - 1.5 * (q3 - q1), 0.0) / (q3 - q1 + 1e-10) FROM e, (SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM e)), p AS (SELECT *, CASE WHEN score >= quantile_cont(score, 0.9) OVER (PARTITION BY detector) THEN 1 ELSE 0 END AS flag, rank() OVER (PARTITION BY detector ORDER BY score) + (count(*) OVER (PARTITION BY detector, score) - 1) / 2.0 AS k FROM a), n AS (SELECT detector, {COUNTS_SQL}, (sum(CASE WHEN label = 1 THEN k END) - sum(label) * (sum(label) + 1) / 2.0) / (sum(label) * (count(*) - sum(label))) AS auc FROM p GROUP BY detector), r AS (SELECT *, {RATES_SQL} FROM n)"
+
+
+def compared(spark: SparkSession, d: str) -> DataFrame:
+    df = events(spark, d)
+    return scoring.compare_detectors(df, {"z": scoring.ZScore().fit(df), "iqr": scoring.InterquartileRange().fit(df)}, ThresholdRule("quantile", quantile=0.9))
+
+
+@query("a10_compare", COMPARED_SQL + f" SELECT detector, tp, fp, tn, fn, round(precision, 6) AS precision, round(recall, 6) AS recall, round({F1_SQL}, 6) AS f1, round((tp + tn) * 1.0 / (tp + fp + tn + fn), 6)::DOUBLE AS accuracy, round(auc, 6)::DOUBLE AS roc_auc FROM r")
+def _(spark, d):
+    return rounded(compared(spark, d), "precision", "recall", "f1", "accuracy", "roc_auc")
+
+
+@query("z3_comparison", COMPARED_SQL + f", f AS (SELECT *, {F1_SQL} AS f1 FROM r) SELECT detector, 'precision' AS metric, round(precision, 6) AS value FROM f UNION ALL SELECT detector, 'recall', round(recall, 6) FROM f UNION ALL SELECT detector, 'f1', round(f1, 6) FROM f")
+def _(spark, d):
+    return rounded(scoring.comparison_metrics(compared(spark, d)), "value")
+
+
+@query("o4_detector_flags", f"WITH {SCORES_SQL} SELECT vec_id, round(mean, 6) AS score, CASE WHEN votes >= 1 THEN 1 ELSE 0 END AS flag FROM v")
 def _(spark, d):
+    """A detector's own flag stays, whatever the rule."""
     df = vectors(spark, d)
-    model = detectors.PCADetector(X, method="mahalanobis").fit(df)
+    model = detectors.Ensemble(_both(), "vote", votes=1).fit(df)
+    return rounded(scoring.detect_anomalies(df, model, ThresholdRule("absolute", 0.0)).select("vec_id", "score", "flag"), "score")
+
+
+@query("o7_distance_health")
+def _(spark, d):
+    df = embedded(spark, d)
+    model = detectors.PCADetector(("x",), method="mahalanobis").fit(df)
     return detectors.health_by_distance(df, model, *detectors.health_thresholds(df, model)).select("vec_id", "mahalanobis_distance", "health_state")
 
 
 @query("z1_boundary_points")
 def _(spark, d):
-    df = vectors(spark, d)
-    return detectors.boundary_points(df, detectors.PCADetector(X).fit(df))
+    df = embedded(spark, d)
+    return detectors.boundary_points(df, detectors.PCADetector(("x",)).fit(df))
 
 
 @query("c8_stacked_ordinal")
 def _(spark, d):
-    df = vectors(spark, d).withColumn("health_state", F.floor(F.col("label") / 4).cast("int"))
-    models = [supervised.OrdinalClassifier(list(X)), supervised.BoostedOrdinal(list(X), iterations=5)]
+    df = embedded(spark, d).withColumn("health_state", F.floor(F.col("label") / 4).cast("int"))
+    models = [supervised.OrdinalClassifier(["x"]), supervised.BoostedOrdinal(["x"])]
     return supervised.StackedOrdinal(models).fit(df).transform(df).select("vec_id", "health_state", "prediction")
 
 
-@query("t4_maintenance_features")
+def _rate_sql(k: int) -> str:
+    before = f"lag(value, {k}) OVER (PARTITION BY user_id ORDER BY cycle)"
+    return f"round(CASE WHEN {before} = 0 THEN CASE WHEN value > 0 THEN 'inf'::DOUBLE WHEN value < 0 THEN '-inf'::DOUBLE END ELSE value / {before} - 1 END, 6) AS value_rate_{k}"
+
+
+@query("t4_maintenance_features", f"WITH {RUL_SQL}, l AS (SELECT *, CASE WHEN RUL > 30 THEN 'healthy' WHEN RUL > 15 THEN 'warning' WHEN RUL > 0 THEN 'critical' WHEN RUL = 0 THEN 'failed' ELSE 'unknown' END AS health_label FROM r) SELECT event_id, RUL, health_label, round(avg(value) {ROLL}, 6) AS value_rolling_mean, round(stddev_samp(value) {ROLL}, 6) AS value_rolling_std, round(min(value) {ROLL}, 6) AS value_rolling_min, round(max(value) {ROLL}, 6) AS value_rolling_max, {_rate_sql(1)}, {_rate_sql(3)}, {_rate_sql(5)} FROM l")
 def _(spark, d):
-    return maintenance.maintenance_features(cycles(spark, d), "user_id", "cycle", ["value"])
+    made = [*[f"value_rolling_{k}" for k in ("mean", "std", "min", "max")], *[f"value_rate_{k}" for k in (1, 3, 5)]]
+    df = maintenance.maintenance_features(cycles(spark, d), "user_id", "cycle", ["value"])
+    return rounded(df.select("event_id", F.col("RUL").cast("long").alias("RUL"), "health_label", *made), *made)
 
 
 @query("d5_arima_drift")
@@ -448,37 +543,37 @@ def _(spark, d):
 
 @query("c1_failure_risk")
 def _(spark, d):
-    df = vectors(spark, d).withColumn("label", (F.col("label") >= 7).cast("int"))
-    return supervised.FailureRisk(list(X), n_estimators=20).fit(df).transform(df).select("vec_id", "failure_probability", "health_state")
+    df = embedded(spark, d).withColumn("label", (F.col("label") >= 7).cast("int"))
+    return supervised.FailureRisk(["x"]).fit(df).transform(df).select("vec_id", "failure_probability", "health_state")
 
 
 @query("c2_sequence_classifier")
 def _(spark, d):
     rows = windows.sequences(cycles(spark, d), ["value"], "label", ["user_id"], ["cycle", "event_id"], 10)
-    return supervised.SequenceClassifier(n_estimators=10).fit(rows).transform(rows).select("event_id", "distress_probability", "health_state")
+    return supervised.SequenceClassifier().fit(rows).transform(rows).select("event_id", "distress_probability", "health_state")
 
 
 @query("c3_rul")
 def _(spark, d):
     df = maintenance.maintenance_features(cycles(spark, d), "user_id", "cycle", ["value"]).na.fill(0.0).withColumnRenamed("RUL", "life")
-    return supervised.RULEstimator(["cycle", "value", "value_rolling_mean"], "life", n_estimators=10).fit(df).transform(df).select("event_id", "life", "rul")
+    return supervised.RULEstimator(["cycle", "value", "value_rolling_mean"], "life").fit(df).transform(df).select("event_id", "life", "rul")
 
 
 @query("c5_ordinal")
 def _(spark, d):
-    df = vectors(spark, d).withColumn("health_state", F.floor(F.col("label") / 4).cast("int"))
-    return supervised.OrdinalClassifier(list(X)).fit(df).transform(df).select("vec_id", "health_state", "prediction")
+    df = embedded(spark, d).withColumn("health_state", F.floor(F.col("label") / 4).cast("int"))
+    return supervised.OrdinalClassifier(["x"]).fit(df).transform(df).select("vec_id", "health_state", "prediction")
 
 
 @query("c11_conditional_ordinal")
 def _(spark, d):
-    df = vectors(spark, d).withColumn("health_state", F.floor(F.col("label") / 4).cast("int"))
-    return supervised.OrdinalClassifier(list(X), kind="conditional").fit(df).transform(df).select("vec_id", "health_state", "prediction")
+    df = embedded(spark, d).withColumn("health_state", F.floor(F.col("label") / 4).cast("int"))
+    return supervised.OrdinalClassifier(["x"], kind="conditional").fit(df).transform(df).select("vec_id", "health_state", "prediction")
 
 
 @query("o5_asset_health")
 def _(spark, d):
-    return supervised.assess_assets(vectors(spark, d).withColumn("label", (F.col("label") >= 7).cast("int")), "vec_id", list(X), "label")
+    return supervised.assess_assets(embedded(spark, d).withColumn("label", (F.col("label") >= 7).cast("int")), "vec_id", ["x"], "label")
 
 
 @query("s2_panel", "SELECT p_partkey AS k, 'p_size' AS ts, p_size::DOUBLE AS value FROM part UNION ALL SELECT p_partkey, 'p_retailprice', p_retailprice::DOUBLE FROM part")
@@ -500,3 +595,50 @@ def _(spark, d):
 @query("t5_tracked_performance", f"WITH {Z_SQL}, l AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS n FROM f), k AS (SELECT user_id, {COUNTS_SQL} FROM l WHERE n <= 50 GROUP BY user_id), r AS (SELECT *, {RATES_SQL} FROM k) SELECT user_id, tp, fp, tn, fn, round({F1_SQL}, 6) AS f1 FROM r")
 def _(spark, d):
     return rounded(maintenance.tracked_performance(flagged(spark, d), "user_id", "ts", 50).select("user_id", "tp", "fp", "tn", "fn", "f1"), "f1")
+
+
+def streamed(spark: SparkSession, d: str, made: Callable[[DataFrame], DataFrame], mode: str = "append") -> DataFrame:
+    """The events read as a stream until all are there; the sink is a table in the shared folder."""
+    schema = table(spark, d, "events").schema
+    rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    path = new_path(spark, "stream")
+    made(rows).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{path}/out")
+
+
+@query("t1_buffered_stream", ORACLE_SQL["t1_buffered_features"])
+def _(spark, d):
+    out = streamed(spark, d, lambda rows: maintenance.buffered_features(rows, "user_id", "ts", "value", 20))
+    return rounded(out.select("user_id", "status", "rows", "mean", "std", "min", "max"), "mean", "std")
+
+
+@query("t2_escalated_stream", ORACLE_SQL["t2_escalated_alerts"].replace("SELECT event_id, user_id, level, n AS", "SELECT user_id, level, n AS"))
+def _(spark, d):
+    made = lambda rows: maintenance.escalated_stream(maintenance.alerts(rows, "user_id", "event_id", {"value": {"warning": 40, "critical": 60}}), "user_id")
+    return streamed(spark, d, made).select("user_id", "level", "count", "escalated_level")
+
+
+@query("t3_process", f"WITH {RUL_SQL}, x AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS back, avg(value) {ROLL} AS m FROM r), s AS (SELECT avg(value) AS am, stddev_pop(value) AS asd FROM e) SELECT user_id, event_id, round(m, 6) AS value_rolling_mean, round(abs((value - am) / asd), 6) AS score, 'ready' AS status FROM x, s WHERE back = 1")
+def _(spark, d):
+    df = cycles(spark, d)
+    features = lambda rows: windows.rolling_statistics(rows, ["value"], ["user_id"], ["cycle"])
+    latest, _ = maintenance.process(df, "user_id", "ts", {"z": scoring.ZScore().fit(df)}, features=features)
+    return rounded(latest.select("user_id", "event_id", "value_rolling_mean", "score", "status"), "value_rolling_mean", "score")
+
+
+@query("d4_errors")
+def _(spark, d):
+    df = embedded(spark, d)
+    return detectors.reconstruction_errors(df, detectors.PCADetector(("x",)).fit(df), ["vec_id"])
+
+
+@query("z4_sensor_drift")
+def _(spark, d):
+    return detectors.sensor_drift(cycles(spark, d), ["value"], ["user_id"], ["cycle"]).select("user_id", "cycle", "sensor", "score", "flag")
+
+
+@query("z5_dashboard", f"WITH {RUL_SQL}, x AS (SELECT user_id, RUL, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS back FROM r), a AS (SELECT user_id, count(*) FILTER (value >= 40 AND value < 60) AS w, count(*) FILTER (value >= 60 AND value < 100) AS c, count(*) FILTER (value >= 100) AS f FROM e GROUP BY user_id) SELECT user_id, CASE WHEN RUL > 30 THEN 'healthy' WHEN RUL > 15 THEN 'warning' WHEN RUL > 0 THEN 'critical' ELSE 'failed' END AS status, w AS n_warning, c AS n_critical, f AS n_failure FROM x JOIN a USING (user_id) WHERE back = 1")
+def _(spark, d):
+    df = windows.remaining_life(cycles(spark, d), "user_id", "cycle")
+    latest, found = maintenance.process(df, "user_id", "ts", {}, {"value": {"warning": 40, "critical": 60, "failure": 100}})
+    return maintenance.asset_dashboard(latest, found, "user_id", "ts").select("user_id", "status", "n_warning", "n_critical", "n_failure")

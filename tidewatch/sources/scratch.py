@@ -17,6 +17,8 @@ def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session; where it is unset (tests, one machine) a local folder is set."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="tidewatch-")
         spark.conf.set("spark.checkpoint.dir", found)
     return f"{found.rstrip('/')}/tidewatch-{spark.sparkContext.applicationId}"
@@ -33,6 +35,16 @@ def cut(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
+    """As ``cut``, as a table bucketed and sorted by a key: joins and groups on it don't move its rows again."""
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    table = f"{name}_{path[-12:]}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(n, key).write.option("path", path).bucketBy(n, key).sortBy(key).saveAsTable(table)
+    return spark.table(table)
+
+
 def drop(spark: SparkSession, path: str) -> None:
     """Removes a folder that is no longer read."""
     jvm = spark.sparkContext._jvm

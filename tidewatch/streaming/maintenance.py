@@ -6,7 +6,7 @@ functions run over a batch (windows over ordered rows) and over a stream (state
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -111,14 +111,34 @@ def maintenance_features(df: DataFrame, asset: str, cycle: str, sensors: list[st
     return degradation_rates(rolling_statistics(df, sensors, [asset], [cycle], window), sensors, [asset], [cycle], periods)
 
 
-def process(df: DataFrame, asset: str, at: str, models: dict[str, object], thresholds: dict[str, dict[str, float]] | None = None) -> tuple[DataFrame, DataFrame | None]:
-    """The latest row of each asset with all models applied, and the alerts of all rows."""
-    latest = df.withColumn("_n", F.row_number().over(Window.partitionBy(asset).orderBy(F.desc(at)))).where("_n = 1").drop("_n")
+def process(df: DataFrame, asset: str, at: str, models: dict[str, object], thresholds: dict[str, dict[str, float]] | None = None, features: Callable[[DataFrame], DataFrame] | None = None, min_rows: int = 1) -> tuple[DataFrame, DataFrame | None]:
+    """The latest row of each asset with its features and all models applied, and the alerts of all rows.
+
+    ``features`` makes the models' columns from the rows of all assets. ``status`` is "buffering" for assets of fewer
+    than ``min_rows`` rows, whose models' columns are null, and "ready" for the others.
+    """
+    own = Window.partitionBy(asset)
+    made = features(df) if features else df
+    latest = made.withColumn("_n", F.row_number().over(own.orderBy(F.desc(at)))).withColumn("_rows", F.count(F.lit(1)).over(own)).where("_n = 1").drop("_n")
+    kept = latest.columns
     for m in models.values():
         latest = m.transform(latest)
+    ready = F.col("_rows") >= min_rows
+    added = [F.when(ready, F.col(c)).alias(c) for c in latest.columns if c not in kept]
+    latest = latest.select(*[c for c in kept if c != "_rows"], *added, F.when(ready, "ready").otherwise("buffering").alias("status"))
     return latest, escalated(alerts(df, asset, at, thresholds), asset, at) if thresholds else None
 
 
+def asset_dashboard(latest: DataFrame, found: DataFrame, asset: str, at: str, rul: str = "RUL", recent: int = 10) -> DataFrame:
+    """The data of a dashboard: asset, its status by remaining life, its alerts by level, and the times of its last alerts."""
+    status = F.when(F.col(rul) > 30, "healthy").when(F.col(rul) > 15, "warning").when(F.col(rul) > 0, "critical").otherwise("failed")
+    rank = F.row_number().over(Window.partitionBy(asset).orderBy(F.desc(at), "feature"))
+    last = found.withColumn("_n", rank)
+    counts = [F.count_if(F.col("level") == k).alias(f"n_{k}") for k in ALERT_LEVELS]
+    held = last.groupBy(asset).agg(*counts, F.sort_array(F.collect_list(F.when(F.col("_n") <= recent, F.col(at))), asc=False).alias("recent_alerts"))
+    return latest.select(asset, status.alias("status")).join(held, asset, "left").na.fill(0, [f"n_{k}" for k in ALERT_LEVELS])
+
+
 def tracked_performance(df: DataFrame, model: str, at: str, window: int = 1000, base_f1: float | None = None) -> DataFrame:
     """Metrics over each model's last ``window`` results; ``degraded`` where f1 fell by over a tenth from the base."""
     last = df.withColumn("_n", F.row_number().over(Window.partitionBy(model).orderBy(F.desc(at)))).where(F.col("_n") <= window)
