@@ -54,7 +54,7 @@ def encoder(name_or_path: str) -> PieceEncoder:
 class PieceEncoder:
     """Encodes Arrow string arrays; keeps the ids of at most ``cache`` distinct pieces, then starts anew."""
 
-    def __init__(self, path: str, cache: int = 3_000_000):
+    def __init__(self, path: str, cache: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)

@@ -20,6 +20,7 @@ document get its score each. Without both classes among the labels the score is
 from __future__ import annotations
 
 import functools
+import gc
 import itertools
 import re
 from collections.abc import Iterator
@@ -45,7 +46,7 @@ THRESHOLD = 0.3
 _LOW = -4.0
 #: Words of one clean text only that serve as counterexamples.
 RARE = 30_000
-_CACHE = 1_500_000
+_CACHE = 500_000
 
 _EDGE = np.ones(256, bool)
 _EDGE[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
@@ -113,7 +114,7 @@ def decisions(words: list[str], table: np.ndarray, bias: float) -> np.ndarray:
     return np.maximum(out, _LOW)
 
 
-@functools.lru_cache(200_000)
+@functools.lru_cache(50_000)
 def forms(word: str) -> list[str]:
     """What a word counts as: itself, its letters alone, or the pieces of either if very long."""
     word = word.lower()
@@ -276,17 +277,18 @@ def _unlike(texts: list[str], toxic: list[int]) -> tuple[list[str], list[int]]:
 
 
 def train(texts: list[str], toxic: list[int], rounds: int = 3) -> ToxicityModel:
-    """Trains on labelled texts; see the module's text."""
+    """Trains on labelled texts; see the module's text. The lists are used up, so that the sample is held once."""
     rate = float(np.mean(toxic)) if toxic else 0.0
     blank = ToxicityModel(np.zeros(SIGNS**3, np.float32), _LOW, (float(np.log((rate + 1e-3) / (1 - rate + 1e-3))), 0.0, 0.0), "blank")
     if not 0 < rate < 1:
         return blank
-    texts, toxic = _unlike(texts, toxic)
+    texts[:], toxic[:] = _unlike(texts, toxic)
     number: dict[str, int] = {}
     bags, label = [], np.array(toxic)  # the distinct words of each text, by number
     for t in texts:
         own = {number.setdefault(f, len(number)) for w in set(t.split()) for f in forms(w.strip(_OUTER)) if len(f) > 2}
         bags.append(np.fromiter(own, np.int32, len(own)))
+    texts.clear()  # as large as the sample; only the words are needed from here on
     n = [int((label == 0).sum()), int((label == 1).sum())]
     has = np.array([np.bincount(np.concatenate([b for b, y in zip(bags, toxic, strict=True) if y == k] or [np.zeros(0, np.int32)]), minlength=len(number)) for k in (0, 1)], np.float64)
     # Words of one clean text only serve as counterexamples; a bounded number of them is enough.
@@ -353,6 +355,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = S
         texts, toxic = [r[2] or "" for r in rows], [r[1] for r in rows]
         del rows
         m = train(texts, toxic)
+        # The worker goes on with other tasks: nothing of the sample stays with it.
+        forms.cache_clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
         yield pa.RecordBatch.from_pydict({"table": [m.table.tobytes()], "bias": [m.bias], "weights": [list(m.weights)], "key": [m.key]})
 
     # The bounded sample is one task's work on an executor; the driver gets the model, 1 MB.
