@@ -31,6 +31,8 @@ from tidewatch.sources.scratch import cut, partitions
 MIN_WORDS, GRAM = 50, 16
 #: The windows of a gram with more contexts than this are dealt by their hashes.
 HOT = 10_000
+#: A gram with more than one in so many of all places is common.
+COMMON = 1000
 _GRAMS = MIN_WORDS - GRAM + 1
 _LEFT = MIN_WORDS - GRAM
 
@@ -177,9 +179,15 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     ``first_doc_id`` is the smallest document known to hold a part of the passage.
     """
     docs = docs.select(F.col("doc_id").cast("long"), "text").where(F.col("doc_id").isNotNull())
-    same = Window.partitionBy("gram")
-    kept = docs.mapInArrow(_kept, "doc_id long, at int, gram long")
-    kept = kept.select("doc_id", "at", (F.min("doc_id").over(same) < F.max("doc_id").over(same)).alias("again")).where("again")
+    kept = cut(docs.mapInArrow(_kept, "doc_id long, at int, gram long"), "kept")
+    # Grams of two documents. One that has over a thousandth of all places is common: there are under a thousand of them,
+    # so they are marked by broadcast, and the others are joined without any group that one task could not hold.
+    grams = kept.groupBy("gram").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("n"))
+    grams = cut(grams.where("low < high").select("gram", "n"), "grams")
+    common = grams.where(F.col("n") * COMMON > kept.count()).select("gram", F.lit(True).alias("common"))
+    kept = kept.join(F.broadcast(common), "gram", "left")
+    rare = kept.where("common is null").join(grams.select("gram"), "gram", "left_semi")
+    kept = kept.where("common").select("doc_id", "at").unionByName(rare.select("doc_id", "at"))
     places = kept.groupBy("doc_id").agg(F.sort_array(F.collect_set("at")).alias("places"))
     members = docs.join(places, "doc_id").mapInArrow(_contexts, "doc_id long, at int, context long, gram long, left binary, right binary")
     members = cut(members, "suffixes")
