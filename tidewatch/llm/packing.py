@@ -6,8 +6,9 @@ knows each document's place in the whole and cuts it where a window ends. A docu
 one boundary record for each window it lies in. Only the last sequence is short; it is padded to the
 next power of two, all others are full.
 
-Defined results: a null text counts as empty (the end id alone); repeated documents are packed again; an
-empty table gives no sequence; other columns are not read.
+Defined results: a null text counts as empty (the end id alone); repeated documents are packed again, and so are rows
+without doc_id; a very long text has pieces in as many sequences as it needs; an empty table gives no sequence; other
+columns are not read.
 """
 
 from __future__ import annotations

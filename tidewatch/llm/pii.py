@@ -15,7 +15,10 @@ needs ``SUPPORT`` observations; no entity is left out.
 
 Defined results: positions are code points, ends exclusive; the kinds' patterns are searched apart, so spans of
 two kinds may overlap (sanitising merges them); a match that fails its check is dropped and not tried again;
-null texts count as empty and have no spans. No documents, no rows. A repeated row is a document of its own.
+null, empty and white texts have no spans; very long texts are searched whole, in linear time but for the copying of
+their matches; a share just at a threshold counts as over it. No documents, no rows. A repeated row has its own
+spans and is the same document in the corpus counts; rows without doc_id are sanitised, but count for no entity.
+``find_spans`` adds columns named as the kinds, ``general`` and ``term``, in place of columns of those names.
 """
 
 from __future__ import annotations
