@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and returns a DataFrame, which is
 written as Parquet and read again as the next one's docs. All but the last return the columns of documents.
+
+In all stages null texts count as empty, an empty table gives an empty one, further columns are kept as they are, very
+long texts are read whole, and rows that repeat are judged alike. Rows without doc_id have no label, no copy and no
+passage, so they stay until they are packed.
 """
 
 from __future__ import annotations
@@ -19,20 +23,21 @@ from tidewatch.sources.scratch import cut
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score is at the threshold or over it go."""
+    """Documents whose score is at the threshold or over it go; empty ones have the lowest score."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = fit_toxicity(docs, labels.where(~held_out()))
     return score_toxicity(docs, model, "_toxicity").where(F.col("_toxicity") < THRESHOLD).drop("_toxicity")
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, the one of the smallest id. So do rows without an id."""
+    """One document of each group of near duplicates stays, the one of the smallest id. Empty texts are copies of nothing,
+    repeated rows of one id stay together, and so do rows without an id."""
     gone = near_duplicates(docs).groupBy("doc_id").agg(F.max("kept").alias("kept")).where("not kept").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a passage like a benchmark item go."""
+    """Documents with a passage like a benchmark item go; without items, none."""
     return clean.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
