@@ -25,8 +25,10 @@ from tidewatch.sources.scratch import cut
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is at the threshold or over it go; empty ones have the lowest score."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    model = fit_toxicity(docs, labels.where(~held_out()))
-    return score_toxicity(docs, model, "_toxicity").where(F.col("_toxicity") < THRESHOLD).drop("_toxicity")
+    model, score = fit_toxicity(docs, labels.where(~held_out())), "_toxicity"
+    while score in docs.columns:
+        score = f"_{score}"
+    return score_toxicity(docs, model, score).where(F.col(score) < THRESHOLD).drop(score)
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
