@@ -95,6 +95,6 @@ def test_prefixes_of_linked_sets_meet_in_every_order():
 
 def test_repeated_rows_and_rows_without_id(spark):
     a = " ".join(f"w{i}" for i in range(50))
-    docs = spark.createDataFrame([(7, a), (7, a), (9, a), (None, a), (None, "alone and without id here"), (3, None)], "doc_id long, text string")
+    docs = spark.createDataFrame([(7, a), (7, a), (9, a), (None, a), (None, "alone and without id here"), (3, None), (9, "")], "doc_id long, text string")
     got = sorted((str(r.doc_id), str(r.component_id)) for r in jaccard_components(docs).collect())
-    assert got == [("3", "3"), ("7", "7"), ("7", "7"), ("9", "7"), ("None", "7"), ("None", "None")]
+    assert got == [("3", "3"), ("7", "7"), ("7", "7"), ("9", "7"), ("9", "9"), ("None", "7"), ("None", "None")]

@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.llm.words import mix, shingle_hashes, slices, word_hashes
@@ -38,6 +38,8 @@ THRESHOLD = 85
 COUNTERS, BLOCKS = 1 << 20, 256
 #: Buckets of more rows than this are joined by shingles of two orders.
 WIDE = 64
+#: Tokens of counters over this are dealt to so many tasks.
+HOT, SALT = 20_000, 64
 #: Rounds with one leader a bucket.
 ROUNDS = 2
 
@@ -89,6 +91,10 @@ def _added(t: pa.Table) -> pa.Table:
     return pa.table({"block": t.column("block")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
 
 
+def _class(count):
+    return np.round(4 * np.log2(np.asarray(count) + 1)).astype(np.uint8)
+
+
 def shingle_classes(features: DataFrame) -> np.ndarray:
     """The class of each counter. The counters of all tasks are added in two steps, so that no group has a row for every task."""
     rows = features.where("block is not null").select("block", "counts", F.pmod(F.monotonically_increasing_id(), F.lit(997)).cast("int").alias("salt"))
@@ -96,11 +102,13 @@ def shingle_classes(features: DataFrame) -> np.ndarray:
     out = np.zeros((BLOCKS, COUNTERS // BLOCKS), np.int64)
     for r in rows.collect():  # BLOCKS rows
         out[r.block] = np.frombuffer(r.counts, np.int64)
-    return np.round(4 * np.log2(out.reshape(-1) + 1)).astype(np.uint8)
+    return _class(out.reshape(-1))
 
 
 def ordered_prefix(own: np.ndarray, classes: np.ndarray, order: int, threshold: int) -> np.ndarray:
-    """The first shingles of a set under an order, in that order."""
+    """The first shingles of a set under an order, in that order; none of an empty set."""
+    if not len(own):
+        return own
     rank = classes[(own & np.uint64(COUNTERS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(56) | mix(own * _PERMUTED[order]) >> np.uint64(8)
     size = prefix_length(len(own), threshold)
     first = np.argpartition(rank, size - 1)[:size]
@@ -108,38 +116,59 @@ def ordered_prefix(own: np.ndarray, classes: np.ndarray, order: int, threshold:
 
 
 def _index(classes, k: int, threshold: int):
-    """token, node, n, at: the first order's prefix of each text; equal sets of a task are listed once."""
+    """token, salt, node, n, at: the first order's prefix of each text; equal sets of a task are listed once.
+
+    A token whose counter is over ``HOT`` is dealt to several tasks by its salt; all others have at most so many rows.
+    """
+    hot = _class(HOT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             for texts in slices(batch.column("text")):
-                token, node, n, at = [np.zeros(0, np.uint64)], [], [], []
+                token, node, n, at = [np.zeros(0, np.uint64)], [], [], [np.zeros(0, np.int32)]
                 for own in shingle_sets(texts, k):
                     if not len(own) or (key := int(set_key(own))) in seen:
                         continue
                     seen.add(key)
                     first = ordered_prefix(own, classes.value, 0, threshold)
                     token.append(first)
-                    at.append(np.arange(1, len(first) + 1))
+                    at.append(np.arange(1, len(first) + 1, dtype=np.int32))
                     node.append(key)
                     n.append(len(own))
-                size = [len(x) for x in at]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(token).view(np.int64)), pa.array(np.repeat(np.array(node, np.uint64), size).view(np.int64)), pa.array(np.repeat(np.array(n, np.int64), size)), pa.array(np.concatenate([np.zeros(0, np.int64), *at]))], ["token", "node", "n", "at"])
+                size = [len(x) for x in at[1:]]
+                tokens, nodes = np.concatenate(token), np.repeat(np.array(node, np.uint64), size)
+                often = classes.value[(tokens & np.uint64(COUNTERS - 1)).astype(np.int64)] >= hot
+                salt = np.where(often, (nodes % np.uint64(SALT)).astype(np.int32) + 1, 0).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(salt), pa.array(nodes.view(np.int64)), pa.array(np.repeat(np.array(n, np.int32), size)), pa.array(np.concatenate(at))], ["token", "salt", "node", "n", "at"])
 
     return run
 
 
+def _shared(index: DataFrame, threshold: int) -> DataFrame:
+    """The rows of buckets that may hold a pair: two nodes, one of which has the token early enough for a partner of its size or more.
+
+    One shuffle: a bucket's rows meet in one task, unless its token is hot; those stay.
+    """
+    index = index.withColumn("early", F.expr(f"{2 * threshold} * n <= {100 + threshold} * (n - at + 1)"))
+    w = Window.partitionBy("token", "salt")
+    rows = index.select("*", F.min("node").over(w).alias("low"), F.max("node").over(w).alias("high"), F.max("early").over(w).alias("any"))
+    rows = rows.where("salt > 0 OR (low < high AND any)").dropDuplicates(["token", "salt", "node"])
+    return rows.select("token", "node", F.col("n").cast("long").alias("n"), F.col("at").cast("long").alias("at"))
+
+
 def _prefixes(classes, k: int, threshold: int):
-    """node, text, second, third: the other orders' prefixes."""
+    """wanted, node, text, second, third: the other orders' prefixes, by the upper halves of the hashes (a necessary condition)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            wanted = batch.column("wanted")
             for texts in slices(batch.column("text")):
+                own, wanted = wanted.slice(0, len(texts)), wanted.slice(len(texts))
                 sets = shingle_sets(texts, k)
                 node = np.fromiter((set_key(s) for s in sets), np.uint64, len(sets)).view(np.int64)
-                more = [pa.array([ordered_prefix(s, classes.value, o, threshold).view(np.int64) for s in sets], pa.list_(pa.int64())) for o in (1, 2)]
-                yield pa.RecordBatch.from_arrays([pa.array(node), texts, *more], ["node", "text", "second", "third"])
+                more = [[(ordered_prefix(s, classes.value, o, threshold) >> np.uint64(32)).astype(np.uint32).view(np.int32) for s in sets] for o in (1, 2)]
+                yield pa.RecordBatch.from_arrays([own, pa.array(node), texts, *[pa.array(x, pa.list_(pa.int32())) for x in more]], ["wanted", "node", "text", "second", "third"])
 
     return run
 
@@ -172,13 +201,11 @@ def jaccard_components(docs: DataFrame, threshold: int = THRESHOLD, k: int = SHI
     features = cut(docs.mapInArrow(_features(k), "doc_id long, n long, node long, block int, counts binary"), "features")
     classes = spark.sparkContext.broadcast(shingle_classes(features))
     features = features.where("block is null").select("doc_id", "n", "node")
-    index = cut(docs.select("text").mapInArrow(_index(classes, k, threshold), "token long, node long, n long, at long"), "index")
-
-    held = index.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("token")
-    shared = cut(index.join(held, "token", "left_semi").dropDuplicates(["token", "node"]), "shared")
+    index = docs.select("text").mapInArrow(_index(classes, k, threshold), "token long, salt int, node long, n int, at int")
+    shared = cut(_shared(index, threshold), "shared")
     nodes = shared.select("node").distinct().join(features.where("doc_id is not null"), "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    texts = docs.join(nodes, "doc_id", "left_semi").mapInArrow(_prefixes(classes, k, threshold), "node long, text string, second array<long>, third array<long>")
-    texts = cut(texts.join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"]), "prefixes")
+    texts = docs.join(nodes.select("doc_id", F.col("node").alias("wanted")), "doc_id").mapInArrow(_prefixes(classes, k, threshold), "wanted long, node long, text string, second array<int>, third array<int>")
+    texts = cut(texts.where("node = wanted").drop("wanted"), "prefixes")
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
