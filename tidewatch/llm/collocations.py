@@ -3,7 +3,7 @@
 The relation of length 1 has a row (lang, piece, position, word) for each word, sorted by piece and position; that of
 length k has the places where k words stand. Each is written as a table of chunks: the positions of a chunk are numbers
 that grow by one from word to word and by two over the end of a piece, so that neighbours in a piece differ by exactly one; words and phrases
-are numbered in the chunk, and ``key`` has their hashes. A chunk holds whole documents, about 4 MB of text, so a
+are numbered in the chunk, and ``key`` has their hashes. A chunk holds whole documents, about 2 MB of text, so a
 merge-join of neighbouring positions stays within it and no occurrence is ever shuffled.
 
 One step: the relation of length k - 1 is merge-joined with itself at the next position (two phrases that overlap in all but
@@ -34,7 +34,7 @@ from tidewatch.sources.scratch import cut
 #: Words of a phrase at most, occurrences at least, rows of each language, and the share (in hundredths) at which a longer phrase stands for a shorter one.
 LONGEST, SUPPORT, TOP, COVERED = 4, 30, 2000, 80
 #: Bytes of text in a chunk, about, and bits of the map of frequent phrases (16 MB, in words of 64).
-CHUNK, BITS = 4_000_000, 1 << 27
+CHUNK, BITS = 2_000_000, 1 << 27
 #: Tasks that rank one language before its best rows meet.
 SALT = 64
 
@@ -97,7 +97,7 @@ def _first(chunk_bytes: int):
 
         for batch in batches:
             langs = pc.fill_null(batch.column("lang"), "und")
-            for texts in slices(batch.column("text")):
+            for texts in slices(batch.column("text"), 400_000):
                 own, langs = langs.slice(0, len(texts)), langs.slice(len(texts))
                 raw, starts, ends, text, fresh = words_of(texts)
                 if not len(starts):
