@@ -6,8 +6,8 @@ shingles: a shingle's class is the logarithm of a counter that it shares with fe
 filled from every text), and within a class each order has its own permutation. The first order is an index by
 shingle; the prefixes of the two others are intersected for each candidate, in wide buckets as part of the join's key.
 
-Texts of one shingle set are one node, so copies cost nothing. A bucket of the index does not list its pairs: its rows
-meet its leader, twice (the second time the node with most links); components are found; then rows of different
+Texts of one shingle set are one node, so copies cost nothing. A bucket of the index does not list its pairs: a node
+meets the leader that it shares most buckets with, three times (from the second on the one with most links); components are found; then rows of different
 components that still share a bucket meet each other. So no link between components is lost, and a group of near copies never costs
 its square. Where a bucket is wide, rows meet only if they share a shingle of the second order's prefix as well.
 
@@ -40,8 +40,8 @@ COUNTERS, BLOCKS = 1 << 20, 256
 WIDE = 64
 #: Tokens of counters over this are dealt to so many tasks.
 HOT, SALT = 20_000, 64
-#: Rounds with one leader a bucket.
-ROUNDS = 2
+#: Rounds with one leader a bucket and one pair a node.
+ROUNDS = 3
 
 _PERMUTED = (np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xC2B2AE3D27D4EB4F))
 
@@ -188,10 +188,10 @@ def _linked(k: int, threshold: int):
     return run
 
 
-def _may_link(threshold: int, at: bool = True) -> Column:
-    """Sizes, and (for the first shared shingle of a pair) what is left behind it, allow the threshold."""
+def _may_link(threshold: int, at: str = "at") -> Column:
+    """Sizes, and (for the first shared shingle of a pair in an order) what is left behind it, allow the threshold."""
     sizes = F.expr(f"100 * least(n_a, n_b) >= {threshold} * greatest(n_a, n_b)")
-    return sizes & F.expr(f"{threshold} * (n_a + n_b) <= {100 + threshold} * (least(n_a - at_a, n_b - at_b) + 1)") if at else sizes
+    return sizes & F.expr(f"{threshold} * (n_a + n_b) <= {100 + threshold} * (least(n_a - {at}_a, n_b - {at}_b) + 1)")
 
 
 def jaccard_components(docs: DataFrame, threshold: int = THRESHOLD, k: int = SHINGLE) -> DataFrame:
@@ -223,7 +223,8 @@ def jaccard_components(docs: DataFrame, threshold: int = THRESHOLD, k: int = SHI
         if turn < ROUNDS:
             lead = rows.groupBy("token").agg(F.max(F.struct("degree", "node", "n", "at", "component")).alias("lead"))
             pairs = rows.join(lead, "token").where("component <> lead.component").selectExpr("node a", "lead.node b", "n n_a", "lead.n n_b", "at at_a", "lead.at at_b")
-            pairs = pairs.where(_may_link(threshold))
+            pairs = pairs.where(_may_link(threshold)).groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"))
+            pairs = pairs.groupBy("a").agg(F.max(F.struct("common", "b")).alias("best")).select("a", "best.b")
         else:
             pairs = _across(rows, texts, threshold)
         found = verified(pairs)
@@ -250,10 +251,15 @@ def _across(rows: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
     own = rows.groupBy("token", "component").agg(F.count(F.lit(1)).alias("own"))
     most = own.groupBy("token").agg(F.sum("own").alias("holders"), F.max(F.struct("own", "component")).getField("component").alias("common"))
     rows = cut(rows.join(most, "token").select("token", "node", "n", "at", "component", "common", "holders"), "across")
-    wide = rows.where(F.col("holders") > WIDE).join(texts.select("node", F.explode("second").alias("other")), "node")
+    second = texts.select("node", F.posexplode("second").alias("at_2", "other"))
+    wide = rows.where(F.col("holders") > WIDE).join(second, "node").withColumn("at_2", F.col("at_2").cast("long") + 1)
     pairs = []
     for part, keys in ((rows.where(F.col("holders") <= WIDE), ["token"]), (wide, ["token", "other"])):
-        left = part.where("component <> common").selectExpr(*keys, "node a", "n n_a", "at at_a", "component c_a")
-        right = part.selectExpr(*keys, "node b", "n n_b", "at at_b", "component c_b")
-        pairs.append(left.join(right, keys).where(F.expr("c_a <> c_b") & _may_link(threshold)).select("a", "b"))
+        ats = [c for c in ("at", "at_2") if c in part.columns]
+        left = part.where("component <> common").selectExpr(*keys, "node a", "n n_a", "component c_a", *[f"{c} {c}_a" for c in ats])
+        right = part.selectExpr(*keys, "node b", "n n_b", "component c_b", *[f"{c} {c}_b" for c in ats])
+        found = left.join(right, keys).where(F.expr("c_a <> c_b"))
+        for c in ats:  # the first shared shingle in either order
+            found = found.where(_may_link(threshold, c))
+        pairs.append(found.select("a", "b"))
     return pairs[0].unionByName(pairs[1])
