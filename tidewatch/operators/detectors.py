@@ -1,18 +1,19 @@
 """Fitted detectors: a bounded model is learned, broadcast, and applied as expressions or Arrow batches.
 
 ``fit`` reads the whole table where sums suffice (PCA, robust covariance); where a model needs rows (trees,
-neighbours, autoencoders) it takes a bounded sample in the order of a seeded hash. ``transform`` adds ``score``
+neighbours) it takes a bounded sample in the order of a seeded hash. ``transform`` adds ``score``
 (higher: more anomalous) and ``flag``.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
@@ -27,9 +28,16 @@ SAMPLE = 20_000
 LARGEST = 32_000_000
 
 
-def sample_matrix(df: DataFrame, features: list[str], seed: int, rows: int = SAMPLE) -> np.ndarray:
-    """At most ``rows`` complete rows in the order of a seeded hash of their values. A single array column is a whole row."""
-    return matrix(complete(df, features).orderBy(F.xxhash64(F.lit(seed), *features)).limit(rows).toPandas(), features)
+def sample_matrix(df: DataFrame, features: list[str], seed: int, rows: int = SAMPLE, block: int = 10_000) -> np.ndarray:
+    """At most ``rows`` complete rows, each as likely as any other; a single array column is a whole row.
+
+    They come in the order of a seeded hash of their values and their number among equal rows, so that equal rows are drawn
+    one by one and the draw does not depend on how the table is split.
+    """
+    counts = complete(df, features).groupBy(*features).agg(F.count(F.lit(1)).alias("__n"))
+    blocks = counts.withColumn("__b", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(__n - 1) div {block}"))))
+    each = blocks.withColumn("__k", F.explode(F.sequence(F.col("__b") * block, F.least(F.col("__n"), (F.col("__b") + 1) * block) - 1)))
+    return matrix(each.orderBy(F.xxhash64(F.lit(seed), *features, "__k")).limit(rows).select(*features).toPandas(), features)
 
 
 def matrix(part: pd.DataFrame, features: list[str]) -> np.ndarray:
@@ -118,7 +126,7 @@ def _path(n: np.ndarray | float) -> np.ndarray:
 
 @dataclass
 class IsolationForest(Detector):
-    """Random trees over samples of 256 rows; the offset puts a share ``contamination`` of the training rows above 0."""
+    """Random trees over samples of 256 rows; the offset puts a share ``contamination`` of all training rows above 0 (less, where scores tie)."""
 
     features: tuple[str, ...] = ("value",)
     contamination: float = 0.05
@@ -148,8 +156,8 @@ class IsolationForest(Detector):
             grow(x[rng.choice(len(x), size, replace=False)], 0)
             trees.append(nodes)
         self.fitted = {"trees": trees, "size": size}
-        raw = self._raw()(x)
-        self.fitted["offset"] = float(np.percentile(-raw, 100 * self.contamination))
+        raw, names = self._raw(), list(self.features)
+        self.fitted["offset"] = quantile(complete(df, names), by_matrix(names, lambda x: -raw(x)), self.contamination)
         return self
 
     def _raw(self) -> Callable[[np.ndarray], np.ndarray]:
@@ -249,33 +257,114 @@ class LocalOutlierFactor(Detector):
         return add_scores(df, list(self.features), score).withColumn("flag", flag(F.col("score") > self.fitted["limit"]))
 
 
+def chi_square_quantile(p: float, d: int) -> float:
+    """By halving, on the series of the regularised incomplete gamma function."""
+
+    def below(x: float) -> float:
+        a, h = d / 2, x / 2
+        term = total = math.exp(a * math.log(h) - h - math.lgamma(a + 1))
+        n = 0
+        while term > total * 1e-16:
+            n += 1
+            term *= h / (a + n)
+            total += term
+        return total
+
+    low, high = 1e-12, 4.0 * d + 100
+    for _ in range(200):
+        middle = (low + high) / 2
+        low, high = (middle, high) if below(middle) < p else (low, middle)
+    return low
+
+
+def _shape(cov: np.ndarray) -> float:
+    """The logarithm of the determinant, with a little added to the diagonal."""
+    return float(np.linalg.slogdet(cov + np.eye(len(cov)) * (1e-12 * np.trace(cov) / len(cov) + 1e-300))[1])
+
+
+def _closest(x: np.ndarray, mean: np.ndarray, cov: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and covariance of the n rows closest by the given ones: a concentration step."""
+    d = np.einsum("ij,jk,ik->i", x - mean, np.linalg.pinv(cov), x - mean)
+    near = x[np.argpartition(d, n - 1)[:n]]
+    return near.mean(axis=0), np.cov(near, rowvar=False, bias=True).reshape(x.shape[1], -1)
+
+
 @dataclass
 class RobustCovariance(Detector):
-    """Squared Mahalanobis distance from the covariance of the closest rows, by concentration steps over the table."""
+    """Squared Mahalanobis distance from the covariance of least determinant of a share ``support`` of the rows.
+
+    Many random starts go through two concentration steps on a bounded sample; the best are carried through steps over the
+    whole table, all in the same passes, and the one of least determinant until nothing changes. Its covariance is scaled so that
+    the median distance is a normal sample's, and learned once more from all rows within the 97.5 % ellipsoid.
+    """
 
     features: tuple[str, ...] = ("value",)
     contamination: float = 0.05
     support: float = 0.8
     steps: int = 8
+    starts: int = 100
+    carried: int = 5
+    sample: int = 1500
+    seed: int = 0
+
+    def _started(self, x: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        rng, size, n = np.random.default_rng(self.seed), x.shape[1] + 1, max(2, int(np.ceil(self.support * len(x))))
+        found = []
+        for _ in range(self.starts):
+            own = x[rng.choice(len(x), min(len(x), size), replace=False)]
+            mean, cov = own.mean(axis=0), np.cov(own, rowvar=False, bias=True).reshape(x.shape[1], -1)
+            for _ in range(2):
+                mean, cov = _closest(x, mean, cov, n)
+            found.append((_shape(cov), len(found), mean, cov))
+        for i, (_, k, mean, cov) in enumerate(sorted(found, key=lambda f: f[:2])[: self.carried]):
+            for _ in range(self.steps):
+                mean, cov = _closest(x, mean, cov, n)
+            found[i] = (_shape(cov), k, mean, cov)
+        return [(mean, cov) for _, _, mean, cov in sorted(found[: self.carried], key=lambda f: f[:2])]
+
+    def _within(self, rows: DataFrame, models: list[tuple[np.ndarray, np.ndarray]], limits: list[float]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Mean and covariance of the rows within each model's limit, all in one pass."""
+        names, d = list(self.features), len(models[0][0])
+        known = [(m, np.linalg.pinv(c), x) for (m, c), x in zip(models, limits, strict=True)]
+
+        def sums(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = np.zeros((len(known), d + 1, d + 1))
+            for part in parts:
+                x = matrix(part, names)
+                for k, (mean, precision, limit) in enumerate(known):
+                    y = x - mean
+                    own = y[np.einsum("ij,jk,ik->i", y, precision, y) <= limit]
+                    own = np.column_stack([np.ones(len(own)), own])
+                    total[k] += own.T @ own
+            k, i, j = np.indices(total.shape).reshape(3, -1)
+            yield pd.DataFrame({"k": k, "i": i, "j": j, "s": total.ravel()})
+
+        total = np.zeros((len(known), d + 1, d + 1))
+        for r in rows.mapInPandas(sums, "k int, i int, j int, s double").groupBy("k", "i", "j").agg(F.sum("s").alias("s")).collect():  # carried * d * d rows
+            total[r.k, r.i, r.j] = r.s
+        shift = total[:, 0, 1:] / total[:, :1, 0]
+        return [(m + s, t[1:, 1:] / t[0, 0] - np.outer(s, s)) for (m, _, _), s, t in zip(known, shift, total, strict=True)]
 
     def fit(self, df: DataFrame) -> RobustCovariance:
         names = list(self.features)
         rows = cut(complete(df, names), "complete")
-        width = matrix(rows.limit(1).toPandas(), names).shape[1]
-        each = [F.get(names[0], F.lit(i)) for i in range(width)] if dict(rows.dtypes)[names[0]].startswith("array") else [F.col(c) for c in names]
-        center = np.array([x[0] for x in quantiles(rows, {str(i): (c, [0.5]) for i, c in enumerate(each)}).values()], float)
-        spread = np.array([x[0] for x in quantiles(rows, {str(i): (F.abs(c - float(m)), [0.5]) for i, (c, m) in enumerate(zip(each, center, strict=True))}).values()], float)
-        mean, precision = center, np.diag(1 / np.maximum(spread, 1e-9) ** 2)
-        for _ in range(self.steps):
-            d = squared_distance(names, mean, precision)
-            limit = quantile(rows, d, self.support)
-            _, new, cov = moments(rows.where(d <= limit), names)
-            done = np.allclose(new, mean, atol=1e-9)
-            mean, precision = new, np.linalg.pinv(cov)
+        x = sample_matrix(rows, names, self.seed, self.sample)
+        if len(x) < 2:
+            raise ValueError("too few rows")
+        models = self._started(x.reshape(len(x), -1))
+        distance = lambda m: squared_distance(names, m[0], np.linalg.pinv(m[1]))
+        for step in range(self.steps):
+            limits = quantiles(rows, {str(i): (distance(m), [self.support]) for i, m in enumerate(models)})
+            new = self._within(rows, models, [q[0] for q in limits.values()])
+            done = len(models) == 1 and np.allclose(new[0][0], models[0][0], atol=1e-9) and np.allclose(new[0][1], models[0][1], atol=1e-9)
+            models = new if step < 1 else [min(new, key=lambda m: _shape(m[1]))]
             if done:
                 break
-        limit = quantile(rows, squared_distance(names, mean, precision), 1 - self.contamination)
-        self.fitted = {"mean": mean.tolist(), "precision": precision.tolist(), "limit": limit}
+        (mean, cov), d = models[0], x.reshape(len(x), -1).shape[1]
+        cov = cov * ((quantile(rows, distance(models[0]), 0.5) or 1.0) / chi_square_quantile(0.5, d))
+        mean, cov = self._within(rows, [(mean, cov)], [chi_square_quantile(0.975, d)])[0]
+        limit = quantile(rows, distance((mean, cov)), 1 - self.contamination)
+        self.fitted = {"mean": mean.tolist(), "precision": np.linalg.pinv(cov).tolist(), "limit": limit}
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
@@ -547,60 +636,6 @@ def wavelet_denoise(df: DataFrame, value: str, partition: list[str], order: list
     return df.groupBy(*partition).applyInPandas(run, schema)
 
 
-@dataclass
-class WindowAutoencoder(Detector):
-    """A dense autoencoder over the last ``window`` values of each row; the error in flag units of training deviations."""
-
-    value: str = "value"
-    partition: tuple[str, ...] = ()
-    order: tuple[str, ...] = ("ts",)
-    window: int = 20
-    hidden: int = 4
-    threshold_std: float = 3.0
-    epochs: int = 60
-    seed: int = 0
-
-    def _windows(self, df: DataFrame) -> DataFrame:
-        w = (Window.partitionBy(*self.partition) if self.partition else Window.partitionBy(F.lit(0))).orderBy(*self.order)
-        return df.withColumn("_w", F.collect_list(no_nan(self.value)).over(w.rowsBetween(-(self.window - 1), 0)))
-
-    def fit(self, df: DataFrame) -> WindowAutoencoder:
-        rows = self._windows(df).where(F.size("_w") == self.window).orderBy(F.xxhash64(F.lit(self.seed), "_w")).limit(SAMPLE).select("_w").toPandas()
-        x = np.array(rows["_w"].tolist(), float).reshape(-1, self.window)
-        if not len(x):
-            raise ValueError("no whole window")
-        mean, std = float(x.mean()), float(x.std() or 1.0)
-        x = (x - mean) / std
-        rng = np.random.default_rng(self.seed)
-        a, b = rng.standard_normal((self.window, self.hidden)) * self.window**-0.5, rng.standard_normal((self.hidden, self.window)) * self.hidden**-0.5
-        for epoch in range(self.epochs):
-            for part in np.array_split(rng.permutation(len(x)), max(1, len(x) // 256)):
-                h = np.tanh(x[part] @ a)
-                error = (h @ b - x[part]) / len(part)
-                ga, gb = x[part].T @ ((error @ b.T) * (1 - h * h)), h.T @ error
-                a, b = a - 0.1 * ga / (1 + epoch / 20), b - 0.1 * gb / (1 + epoch / 20)
-        own = np.abs(np.tanh(x @ a) @ b - x).mean(axis=1)
-        self.fitted = {"mean": mean, "std": std, "a": a.tolist(), "b": b.tolist(), "limit": float(own.mean() + self.threshold_std * own.std())}
-        return self
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        self.need_fit()
-        f = {k: np.array(v) for k, v in self.fitted.items()}
-        window = self.window
-        schema = StructType([*df.schema.fields, StructField("score", DoubleType())])
-
-        def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for part in parts:
-                score = np.zeros(len(part))
-                whole = part["_w"].map(len).to_numpy() == window if len(part) else np.zeros(0, bool)
-                if whole.any():
-                    x = (np.array(part["_w"][whole].tolist(), float) - f["mean"]) / f["std"]
-                    score[whole] = np.abs(np.tanh(x @ f["a"]) @ f["b"] - x).mean(axis=1)
-                yield part.drop(columns="_w").assign(score=score)
-
-        return self._windows(df).mapInPandas(run, schema).withColumn("flag", flag(F.col("score") > float(f["limit"])))
-
-
 @dataclass
 class Ensemble(Detector):
     """Scorers on one table. ``vote``: flags by how many of them see a row over their 95th percentile; else a combined score."""

@@ -169,9 +169,26 @@ def detection_metrics(df: DataFrame, predicted: str = "flag", truth: str = "labe
     return _rates(counts).withColumn("accuracy", F.coalesce(F.try_divide(F.col("tp") + F.col("tn"), total), F.lit(0.0)))
 
 
-def performance_metrics(df: DataFrame, score: str = "score", predicted: str = "flag", truth: str = "label") -> DataFrame:
-    """Rates, the share of flags, and mean, maximum, minimum and deviation of the scores, in one row."""
+def average_run_length(df: DataFrame, predicted: str, at: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """avg_run_length of the runs of 1 of each group, 0 without any; ``at`` counts a group's rows without gaps.
+
+    A run starts at a 1 that no 1 precedes: each row is joined to the one before, so no task sees a whole series.
+    """
+    own = df.where(F.col(predicted) == 1).select(*by, F.col(at).cast("long").alias("_at"))
+    before = own.select(*by, (F.col("_at") + 1).alias("_at"), F.lit(1).alias("_goes_on"))
+    runs = own.join(before, [*by, "_at"], "left").groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.count_if(F.col("_goes_on").isNull()).alias("_runs"))
+    length = F.coalesce(F.try_divide(F.col("_n").cast("double"), F.col("_runs")), F.lit(0.0)).alias("avg_run_length")
+    if not by:
+        return runs.select(length)
+    return df.select(*by).distinct().join(runs, list(by), "left").select(*by, length)
+
+
+def performance_metrics(df: DataFrame, score: str = "score", predicted: str = "flag", truth: str = "label", order: tuple[str, ...] = ()) -> DataFrame:
+    """Rates, the share of flags, and mean, maximum, minimum and deviation of the scores, in one row; with an order, the mean length of runs of flags."""
     counts = df.agg(*[c.alias(k) for k, c in confusion(F.col(predicted), F.col(truth)).items()], F.avg(predicted).alias("anomaly_rate"), F.avg(score).alias("score_mean"), F.max(score).alias("score_max"), F.min(score).alias("score_min"), F.stddev_pop(score).alias("score_std"))
+    if order:
+        numbered = running(df.select(predicted, *order), [F.col(c) for c in order], {"_n": F.lit(1)})
+        counts = counts.crossJoin(F.broadcast(average_run_length(numbered, predicted, "_n")))  # one row
     return _rates(counts)
 
 
@@ -258,7 +275,7 @@ def metric_rows(metrics: DataFrame, model: str | None = None, at: str | None = N
 
 
 def backtest(df: DataFrame, value: str, order: list[str], rule: ThresholdRule, truth: str = "label", n_splits: int = 5, min_train: int = 10) -> DataFrame:
-    """Folds of growing training windows under a z-score fitted in each, all in one job: fold, precision, recall, f1.
+    """Folds of growing training windows under a z-score fitted in each, all in one job: fold, precision, recall, f1, avg_run_length.
 
     The test window runs from the fold's cutoff to the end of the series.
     """
@@ -274,7 +291,8 @@ def backtest(df: DataFrame, value: str, order: list[str], rule: ThresholdRule, t
     test = test.withColumn("score", F.abs(x - F.col("_m")) / F.when(F.col("_s") > 0, F.col("_s")).otherwise(1.0))
     flagged = apply_threshold(test, rule, partition=("fold",))
     flagged = flagged.withColumn(truth, (F.coalesce(F.col(truth), F.lit(0)) != 0).cast("int"))
-    return detection_metrics(flagged, truth=truth, by=("fold",)).select("fold", "precision", "recall", "f1")
+    metrics = detection_metrics(flagged, truth=truth, by=("fold",)).select("fold", "precision", "recall", "f1")
+    return metrics.join(F.broadcast(average_run_length(flagged, "flag", "_at", ("fold",))), "fold")  # a row a fold
 
 
 def rank_by_risk(df: DataFrame, key: str, risk: str = "combined_risk", top: int | None = None) -> DataFrame:

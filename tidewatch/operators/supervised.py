@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -13,8 +16,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions.rules import fused_risk, health_from_probability, min_max
-from tidewatch.operators.detectors import IsolationForest
+from tidewatch.operators.detectors import IsolationForest, by_matrix, matrix, moments
 from tidewatch.operators.scoring import NotFitted
+from tidewatch.sources.scratch import cut
 
 
 def _with_vectors(df: DataFrame, features: list[str]) -> DataFrame:
@@ -157,13 +161,118 @@ def template(state: Column) -> Column:
     return F.when(state == 0, rows[0]).when(state == 1, rows[1]).otherwise(rows[2])
 
 
+@dataclass
+class ProportionalOdds:
+    """States 0 to ``classes - 1`` by one slope and ordered cuts: P(state <= k) is the logistic function of cut k minus the slope.
+
+    Newton steps on the likelihood with a ridge on the slope (of standardised features), from sums over the table: each
+    task adds gradient and curvature of its rows, and as many numbers as the curvature has come to the driver. A step that
+    would not raise the likelihood or would cross the cuts is halved. Rows with a missing feature are left out and get null.
+    """
+
+    features: list[str] = field(default_factory=list)
+    label: str = "health_state"
+    classes: int = 3
+    penalty: float = 1.0
+    steps: int = 50
+    fitted: dict = field(default_factory=dict, init=False)
+
+    def _sums(self, rows: DataFrame, cuts: np.ndarray, slope: np.ndarray, mean: np.ndarray, std: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """Penalised log-likelihood, gradient and curvature at cuts and slope."""
+        names, label, m, d = list(self.features), rows.columns[-1], len(cuts), len(slope)
+
+        def sums(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = np.zeros((m + d + 1, m + d + 1))
+            for part in parts:
+                if len(part):
+                    total += ordinal_sums((matrix(part, names) - mean) / std, part[label].to_numpy(int), cuts, slope)
+            i, j = np.indices(total.shape).reshape(2, -1)
+            yield pd.DataFrame({"i": i, "j": j, "s": total.ravel()})
+
+        total = np.zeros((m + d + 1, m + d + 1))
+        for r in rows.mapInPandas(sums, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s")).collect():
+            total[r.i, r.j] = r.s
+        ridge = np.concatenate([np.zeros(m), np.full(d, self.penalty)])
+        place = np.concatenate([cuts, slope])
+        return total[0, 0] - (ridge * place * place).sum() / 2, total[0, 1:] - ridge * place, total[1:, 1:] - np.diag(ridge)
+
+    def fit(self, df: DataFrame) -> ProportionalOdds:
+        label = F.col(self.label)
+        if not df.where(~F.coalesce(label.between(0, self.classes - 1), F.lit(False))).isEmpty():
+            raise ValueError(f"states must be 0 to {self.classes - 1}")
+        kept = "_y" if self.label in self.features else self.label
+        own = df.select(*self.features, label.cast("int").alias(kept))
+        for c in self.features:
+            own = own.where(F.col(c).isNotNull() & ~(F.exists(c, lambda v: v.isNull() | F.isnan(v)) if dict(df.dtypes)[c].startswith("array") else F.isnan(F.col(c).cast("double"))))
+        own = cut(own, "states")
+        n, mean, cov = moments(own, list(self.features))
+        if not n:
+            raise ValueError("nothing to learn from")
+        std = np.sqrt(np.diag(cov))
+        std[std < 1e-12] = 1.0
+        counts = {r[kept]: r["count"] for r in own.groupBy(kept).count().collect()}  # a row a state
+        share = np.cumsum([counts.get(k, 0) + 0.5 for k in range(self.classes)])[:-1] / (n + self.classes / 2)
+        cuts, slope = np.log(share / (1 - share)), np.zeros(len(mean))
+        value, gradient, curve = self._sums(own, cuts, slope, mean, std)
+        for _ in range(self.steps):
+            step = np.linalg.solve(curve - 1e-9 * np.eye(len(curve)), -gradient)
+            for halved in range(30):
+                place = np.concatenate([cuts, slope]) + step / 2**halved
+                if (np.diff(place[: len(cuts)]) > 0).all():
+                    new = self._sums(own, place[: len(cuts)], place[len(cuts) :], mean, std)
+                    if new[0] >= value - 1e-12 * abs(value):
+                        break
+            else:
+                break
+            cuts, slope, (value, gradient, curve) = place[: len(cuts)], place[len(cuts) :], new
+            if np.abs(step).max() < 1e-8:
+                break
+        self.fitted = {"cuts": cuts.tolist(), "slope": slope.tolist(), "mean": mean.tolist(), "std": std.tolist()}
+        return self
+
+    def transform(self, df: DataFrame, out: str = "prediction") -> DataFrame:
+        """Adds the likeliest state, P(each state) and the template's probabilities."""
+        if not self.fitted:
+            raise NotFitted("ProportionalOdds is not fitted")
+        slope, mean, std = (np.array(self.fitted[k]) for k in ("slope", "mean", "std"))
+        level = by_matrix(list(self.features), lambda x: (x - mean) / std @ slope)
+        df = df.withColumn("_level", level)
+        upto = [F.lit(0.0), *[1 / (1 + F.exp(F.col("_level") - c)) for c in self.fitted["cuts"]], F.lit(1.0)]
+        each = F.array(*[b - a for a, b in zip(upto, upto[1:], strict=False)])
+        state = F.when(F.col("_level").isNotNull(), (F.array_position(each, F.array_max(each)) - 1).cast("int"))
+        df = df.withColumn("probabilities", F.when(F.col("_level").isNotNull(), each)).withColumn(out, state)
+        return df.withColumn("template_probabilities", F.when(F.col(out).isNotNull(), template(F.col(out)))).drop("_level")
+
+
+def ordinal_sums(x: np.ndarray, y: np.ndarray, cuts: np.ndarray, slope: np.ndarray) -> np.ndarray:
+    """Log-likelihood (first cell), gradient (rest of the first row) and curvature of ordered logistic states."""
+    m, level, n = len(cuts), x @ slope, np.arange(len(y))
+    ends = np.concatenate([[-np.inf], cuts, [np.inf]])
+    high, low = ends[y + 1] - level, ends[y] - level
+    fa, fb = 1 / (1 + np.exp(-np.clip(high, -700, 700))), 1 / (1 + np.exp(-np.clip(low, -700, 700)))
+    fa[y == m], fb[y == 0] = 1.0, 0.0
+    p = np.maximum(fa - fb, 1e-300)
+    da, db = fa * (1 - fa), fb * (1 - fb)
+    za, zb = np.zeros((len(y), m + len(slope))), np.zeros((len(y), m + len(slope)))
+    za[:, m:] = zb[:, m:] = -x
+    za[n[y < m], y[y < m]] = 1.0
+    zb[n[y > 0], y[y > 0] - 1] = 1.0
+    ga, gb = da / p, -db / p
+    cross = (za * (da * db / (p * p))[:, None]).T @ zb
+    out = np.zeros((m + len(slope) + 1,) * 2)
+    out[0, 0] = np.log(p).sum()
+    out[0, 1:] = ga @ za + gb @ zb
+    out[1:, 1:] = (za * (da * (1 - 2 * fa) / p - ga * ga)[:, None]).T @ za + (zb * (-db * (1 - 2 * fb) / p - gb * gb)[:, None]).T @ zb + cross + cross.T
+    return out
+
+
 @dataclass
 class BoostedOrdinal:
     """Boosted trees with absolute loss on the state number, rounded half to even and clipped."""
 
     features: list[str] = field(default_factory=list)
     label: str = "health_state"
-    iterations: int = 20
+    iterations: int = 100
     seed: int = 0
     model: object = field(default=None, init=False)
 

@@ -243,7 +243,7 @@ class LogisticHazard:
     """Discrete-time hazards: rows are expanded to their bins, a logistic regression on features and bin gives the hazard."""
 
     features: list[str] = field(default_factory=list)
-    n_bins: int = 20
+    n_bins: int = 50
     fitted: dict = field(default_factory=dict, init=False)
     model: object = field(default=None, init=False)
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import rules
 from tidewatch.functions.rules import ThresholdRule
-from tidewatch.operators import detectors, graph, scoring, supervised, survival, windows
+from tidewatch.operators import detectors, graph, recurrent, scoring, supervised, survival, windows
 from tidewatch.operators.ordering import running
 from tidewatch.sources import io
 from tidewatch.sources.scratch import new_path
@@ -173,9 +173,9 @@ F1_SQL = "CASE WHEN precision + recall = 0 THEN 0.0 ELSE 2 * precision * recall
 COUNTS_SQL = "count(*) FILTER (flag = 1 AND label = 1) AS tp, count(*) FILTER (flag = 1 AND label = 0) AS fp, count(*) FILTER (flag = 0 AND label = 0) AS tn, count(*) FILTER (flag = 0 AND label = 1) AS fn"
 
 
-@query("a6_performance", f"WITH {Z_SQL}, k AS (SELECT {COUNTS_SQL}, avg(flag) AS anomaly_rate, avg(score) AS score_mean, max(score) AS score_max, min(score) AS score_min, stddev_pop(score) AS score_std FROM f), r AS (SELECT *, {RATES_SQL} FROM k) SELECT tp, fp, tn, fn, round(anomaly_rate, 6) AS anomaly_rate, round(score_mean, 6) AS score_mean, round(score_max, 6) AS score_max, round(score_min, 6) AS score_min, round(score_std, 6) AS score_std, round(precision, 6) AS precision, round(recall, 6) AS recall, round({F1_SQL}, 6) AS f1 FROM r")
+@query("a6_performance", f"WITH {Z_SQL}, u AS (SELECT flag, CASE WHEN flag = 1 AND coalesce(lag(flag) OVER (ORDER BY ts, event_id), 0) = 0 THEN 1 ELSE 0 END AS s FROM f), k AS (SELECT {COUNTS_SQL}, avg(flag) AS anomaly_rate, avg(score) AS score_mean, max(score) AS score_max, min(score) AS score_min, stddev_pop(score) AS score_std FROM f), r AS (SELECT *, {RATES_SQL} FROM k) SELECT tp, fp, tn, fn, round(anomaly_rate, 6) AS anomaly_rate, round(score_mean, 6) AS score_mean, round(score_max, 6) AS score_max, round(score_min, 6) AS score_min, round(score_std, 6) AS score_std, (SELECT round(sum(flag) / sum(s), 6) FROM u) AS avg_run_length, round(precision, 6) AS precision, round(recall, 6) AS recall, round({F1_SQL}, 6) AS f1 FROM r")
 def _(spark, d):
-    return rounded(scoring.performance_metrics(flagged(spark, d)), "anomaly_rate", "score_mean", "score_max", "score_min", "score_std", "precision", "recall", "f1")
+    return rounded(scoring.performance_metrics(flagged(spark, d), order=("ts", "event_id")), "avg_run_length", "anomaly_rate", "score_mean", "score_max", "score_min", "score_std", "precision", "recall", "f1")
 
 
 @query("a9_evaluate_by_user", f"WITH {Z_SQL}, k AS (SELECT user_id, {COUNTS_SQL} FROM f GROUP BY user_id), r AS (SELECT *, {RATES_SQL} FROM k) SELECT user_id, tp, fp, tn, fn, round(precision, 6) AS precision, round(recall, 6) AS recall, round({F1_SQL}, 6) AS f1, round((tp + tn) * 1.0 / (tp + fp + tn + fn), 6)::DOUBLE AS accuracy FROM r")
@@ -198,14 +198,14 @@ def _(spark, d):
     return rounded(scoring.report_detection(flagged(spark, d), "ts").withColumn("top_anomalies", F.array_join(F.transform("top_anomalies", lambda t: F.date_format(t, "yyyy-MM-dd HH:mm:ss")), ",")), "anomaly_rate", "mean_score", "max_score", "min_score")
 
 
-@query("a13_concept_drift", f"WITH {E_SQL}, h AS (SELECT value, ts >= (SELECT quantile_disc(ts, 0.5) FROM e) AS r FROM e), s AS (SELECT avg(value) FILTER (r) AS recent_mean, avg(value) FILTER (NOT r) AS historical_mean, stddev_pop(value) FILTER (NOT r) AS historical_std FROM h) SELECT round(recent_mean, 6) AS recent_mean, round(historical_mean, 6) AS historical_mean, round(historical_std, 6) AS historical_std, round(abs(recent_mean - historical_mean) / historical_std, 6) AS drift_score, CASE WHEN abs(recent_mean - historical_mean) / historical_std > 2 THEN 1 ELSE 0 END AS drift_detected FROM s")
+@query("a13_concept_drift", f"WITH {E_SQL}, h AS (SELECT value, ts >= (SELECT quantile_disc(ts, 0.5) FROM e) AS r FROM e), s AS (SELECT avg(value) FILTER (r) AS recent_mean, avg(value) FILTER (NOT r) AS historical_mean, stddev_pop(value) FILTER (NOT r) AS historical_std FROM h), g AS (SELECT value, count(*) FILTER (r) AS k1, count(*) FILTER (NOT r) AS k0 FROM h GROUP BY value), q AS (SELECT max(abs(c1 / n1 - c0 / n0)) AS ks, any_value(n1) AS n1, any_value(n0) AS n0 FROM (SELECT sum(k1) OVER (ORDER BY value)::DOUBLE AS c1, sum(k0) OVER (ORDER BY value)::DOUBLE AS c0, sum(k1) OVER ()::DOUBLE AS n1, sum(k0) OVER ()::DOUBLE AS n0 FROM g)), t AS (SELECT *, sqrt(n1 * n0 / (n1 + n0)) * ks AS t FROM q) SELECT round(ks, 6) AS ks_statistic, (SELECT round(CASE WHEN t.t < 0.2 THEN 1.0 ELSE greatest(least(sum(2.0 * CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END * exp(-2.0 * k * k * t.t * t.t)), 1.0), 0.0) END, 6) FROM range(1, 101) AS x(k)) AS ks_pvalue, round(recent_mean, 6) AS recent_mean, round(historical_mean, 6) AS historical_mean, round(historical_std, 6) AS historical_std, round(abs(recent_mean - historical_mean) / historical_std, 6) AS drift_score, CASE WHEN abs(recent_mean - historical_mean) / historical_std > 2 THEN 1 ELSE 0 END AS drift_detected FROM s, t")
 def _(spark, d):
     df = events(spark, d)
     times = running(df.groupBy("ts").agg(F.count(F.lit(1)).alias("n")), [F.col("ts")], {"upto": F.col("n")})
     middle = times.where(2 * F.col("upto") >= df.count()).agg(F.min("ts").alias("middle"))
     df = df.crossJoin(F.broadcast(middle))
     out = scoring.concept_drift(df.where("ts >= middle"), df.where("ts < middle"), "value")
-    return rounded(out.select("recent_mean", "historical_mean", "historical_std", "drift_score", "drift_detected"), "recent_mean", "historical_mean", "historical_std", "drift_score")
+    return rounded(out.select("recent_mean", "historical_mean", "historical_std", "drift_score", "drift_detected", "ks_statistic", "ks_pvalue"), "ks_statistic", "ks_pvalue", "recent_mean", "historical_mean", "historical_std", "drift_score")
 
 
 @query("a15_sweep", "WITH " + Z_SQL + ", t AS (SELECT unnest([0.5, 1.0, 2.0, 3.0])::DOUBLE AS threshold), k AS (SELECT threshold, count(*) FILTER (score >= threshold AND label = 1) AS tp, count(*) FILTER (score >= threshold AND label = 0) AS fp, count(*) FILTER (score < threshold AND label = 1) AS fn FROM f, t GROUP BY threshold), r AS (SELECT *, " + RATES_SQL + " FROM k) SELECT threshold, round(precision, 6) AS precision, round(recall, 6) AS recall, round(" + F1_SQL + ", 6) AS f1 FROM r")
@@ -295,17 +295,17 @@ def _(spark, d):
     return rounded(windows.lead_times(df, "pred", "label", "cycle", ["user_id"]), "mean_lead")
 
 
-BACKTEST_SQL = f"WITH {E_SQL}, o AS (SELECT *, row_number() OVER (ORDER BY ts, event_id) - 1 AS pos, count(*) OVER () AS n FROM e), k AS (SELECT unnest(range(0, 5)) AS fold), f AS (SELECT fold, 10 + fold * ((n - 10) // 5) AS edge, value, label, pos FROM o, k), t AS (SELECT fold, avg(value) AS m, stddev_pop(value) AS s FROM f WHERE pos < edge GROUP BY fold), z AS (SELECT f.fold, label, abs(value - m) / CASE WHEN s > 0 THEN s ELSE 1.0 END AS score FROM f JOIN t ON f.fold = t.fold WHERE pos >= edge), g AS (SELECT *, CASE WHEN score >= quantile_cont(score, 0.95) OVER (PARTITION BY fold) THEN 1 ELSE 0 END AS flag FROM z), c AS (SELECT fold, {COUNTS_SQL} FROM g GROUP BY fold), r AS (SELECT *, {RATES_SQL} FROM c) SELECT fold::INT AS fold, round(precision, 6) AS precision, round(recall, 6) AS recall, round({F1_SQL}, 6) AS f1 FROM r"
+BACKTEST_SQL = f"WITH {E_SQL}, o AS (SELECT *, row_number() OVER (ORDER BY ts, event_id) - 1 AS pos, count(*) OVER () AS n FROM e), k AS (SELECT unnest(range(0, 5)) AS fold), f AS (SELECT fold, 10 + fold * ((n - 10) // 5) AS edge, value, label, pos FROM o, k), t AS (SELECT fold, avg(value) AS m, stddev_pop(value) AS s FROM f WHERE pos < edge GROUP BY fold), z AS (SELECT f.fold, label, pos, abs(value - m) / CASE WHEN s > 0 THEN s ELSE 1.0 END AS score FROM f JOIN t ON f.fold = t.fold WHERE pos >= edge), g AS (SELECT *, CASE WHEN score >= quantile_cont(score, 0.95) OVER (PARTITION BY fold) THEN 1 ELSE 0 END AS flag FROM z), u AS (SELECT fold, coalesce(sum(flag) / sum(s), 0) AS runs FROM (SELECT fold, flag, CASE WHEN flag = 1 AND coalesce(lag(flag) OVER (PARTITION BY fold ORDER BY pos), 0) = 0 THEN 1 ELSE 0 END AS s FROM g) GROUP BY fold), c AS (SELECT fold, {COUNTS_SQL} FROM g GROUP BY fold), r AS (SELECT *, {RATES_SQL} FROM c JOIN u USING (fold)) SELECT fold::INT AS fold, round(runs, 6) AS avg_run_length, round(precision, 6) AS precision, round(recall, 6) AS recall, round({F1_SQL}, 6) AS f1 FROM r"
 
 
 @query("w13_backtest", BACKTEST_SQL)
 def _(spark, d):
-    return rounded(scoring.backtest(events(spark, d), "value", ["ts", "event_id"], ThresholdRule("quantile", quantile=0.95)), "precision", "recall", "f1")
+    return rounded(scoring.backtest(events(spark, d), "value", ["ts", "event_id"], ThresholdRule("quantile", quantile=0.95)), "precision", "recall", "f1", "avg_run_length")
 
 
-@query("w16_sequences", f"WITH {C_SQL}, s AS (SELECT event_id, label, sum(value) OVER w AS total, row_number() OVER (PARTITION BY user_id ORDER BY cycle) AS n FROM c WINDOW w AS (PARTITION BY user_id ORDER BY cycle ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)) SELECT event_id, label, 10 AS length, round(total, 6) AS total FROM s WHERE n > 10")
+@query("w16_sequences", f"WITH {C_SQL}, s AS (SELECT event_id, label, sum(value) OVER w AS total, row_number() OVER (PARTITION BY user_id ORDER BY cycle) AS n FROM c WINDOW w AS (PARTITION BY user_id ORDER BY cycle ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING)) SELECT event_id, label, 30 AS length, round(total, 6) AS total FROM s WHERE n > 30")
 def _(spark, d):
-    rows = windows.sequences(cycles(spark, d), ["value"], "label", ["user_id"], ["cycle", "event_id"], 10)
+    rows = windows.sequences(cycles(spark, d), ["value"], "label", ["user_id"], ["cycle", "event_id"])
     return rounded(rows.select("event_id", "label", F.size("sequence").alias("length"), F.aggregate(F.flatten("sequence"), F.lit(0.0), lambda a, x: a + x).alias("total")), "total")
 
 
@@ -504,7 +504,7 @@ def _(spark, d):
 @query("c8_stacked_ordinal")
 def _(spark, d):
     df = embedded(spark, d).withColumn("health_state", F.floor(F.col("label") / 4).cast("int"))
-    models = [supervised.OrdinalClassifier(["x"]), supervised.BoostedOrdinal(["x"])]
+    models = [supervised.ProportionalOdds(["x"]), supervised.BoostedOrdinal(["x"])]
     return supervised.StackedOrdinal(models).fit(df).transform(df).select("vec_id", "health_state", "prediction")
 
 
@@ -538,7 +538,37 @@ def _(spark, d):
 @query("d10_autoencoder")
 def _(spark, d):
     df = cycles(spark, d)
-    return detectors.WindowAutoencoder("value", ("user_id",), ("cycle",)).fit(df).transform(df).select("event_id", "score", "flag")
+    return recurrent.LSTMAutoencoder("value", ("user_id",), ("cycle",)).fit(df).transform(df).select("event_id", "score", "flag")
+
+
+@query("d11_dense_autoencoder")
+def _(spark, d):
+    df = cycles(spark, d)
+    return recurrent.DenseAutoencoder("value", ("user_id",), ("cycle",)).fit(df).transform(df).select("event_id", "score", "flag")
+
+
+def life_sequences(spark: SparkSession, d: str) -> DataFrame:
+    """The last 30 values before each event, and the state of what is left of its user's events (0, 1, 2)."""
+    df = windows.remaining_life(cycles(spark, d), "user_id", "cycle").withColumn("state", rules.health_from_rul(F.col("RUL")))
+    return windows.sequences(df, ["value", "cycle"], "state", ["user_id"], ["cycle", "event_id"])
+
+
+@query("c9_recurrent_distress")
+def _(spark, d):
+    rows = windows.sequences(cycles(spark, d), ["value"], "label", ["user_id"], ["cycle", "event_id"])
+    return recurrent.RecurrentClassifier().fit(rows).transform(rows).select("event_id", "distress_probability", "health_state")
+
+
+@query("c10_attention_distress")
+def _(spark, d):
+    rows = windows.sequences(cycles(spark, d), ["value"], "label", ["user_id"], ["cycle", "event_id"])
+    return recurrent.RecurrentClassifier(attention=True).fit(rows).transform(rows).select("event_id", "distress_probability", "health_state", "attention")
+
+
+@query("c11_recurrent_ordinal")
+def _(spark, d):
+    rows = life_sequences(spark, d)
+    return recurrent.RecurrentClassifier(ordinal=True, epochs=10, batch=64).fit(rows).transform(rows).select("event_id", "label", "prediction", "probabilities")
 
 
 @query("c1_failure_risk")
@@ -549,20 +579,22 @@ def _(spark, d):
 
 @query("c2_sequence_classifier")
 def _(spark, d):
-    rows = windows.sequences(cycles(spark, d), ["value"], "label", ["user_id"], ["cycle", "event_id"], 10)
+    rows = windows.sequences(cycles(spark, d), ["value"], "label", ["user_id"], ["cycle", "event_id"])
     return supervised.SequenceClassifier().fit(rows).transform(rows).select("event_id", "distress_probability", "health_state")
 
 
 @query("c3_rul")
 def _(spark, d):
     df = maintenance.maintenance_features(cycles(spark, d), "user_id", "cycle", ["value"]).na.fill(0.0).withColumnRenamed("RUL", "life")
-    return supervised.RULEstimator(["cycle", "value", "value_rolling_mean"], "life").fit(df).transform(df).select("event_id", "life", "rul")
+    made = [c for c in df.columns if c in ("cycle", "value") or c.startswith("value_")]
+    df = df.withColumns({c: F.when(F.abs(c) < 1e300, F.col(c)).otherwise(0.0) for c in made})  # rates from 0 are infinite
+    return supervised.RULEstimator(made, "life").fit(df).transform(df).select("event_id", "life", "rul")
 
 
 @query("c5_ordinal")
 def _(spark, d):
     df = embedded(spark, d).withColumn("health_state", F.floor(F.col("label") / 4).cast("int"))
-    return supervised.OrdinalClassifier(["x"]).fit(df).transform(df).select("vec_id", "health_state", "prediction")
+    return supervised.ProportionalOdds(["x"]).fit(df).transform(df).select("vec_id", "health_state", "prediction", F.transform("probabilities", lambda p: F.round(p, 6)).alias("probabilities"))
 
 
 @query("c11_conditional_ordinal")
