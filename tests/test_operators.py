@@ -78,7 +78,7 @@ def test_alerts(spark):
     found = maintenance.alerts(df, "asset", "t", {"temperature": {"warning": 80, "critical": 90, "failure": 100}})
     assert column(found, "level", "t") == ["warning", "critical", "failure"]
     assert found.orderBy("t").first().message == "temperature = 85.00 exceeds warning threshold (80.00)"
-    assert column(maintenance.escalated(found, "asset", "t"), "escalated_level", "t") == ["critical", "critical", "failure"]
+    assert column(maintenance.escalated(found, "asset", "t"), "escalated_level", "t") == ["warning", "critical", "failure"]
 
 
 def test_rates_from_zero(spark):
@@ -234,10 +234,10 @@ def test_streams(spark, tmp_path):
     assert [g[:4] for g in got] == [w[:4] for w in want] and sum(g[2] == "ready" for g in got) == 12
     assert [g[4:] for g in got if g[2] == "ready"] == [pytest.approx(w[4:]) for w in want if w[2] == "ready"]
     found = maintenance.alerts(stream, "asset", "ts", {"value": {"warning": 5}})
-    q = maintenance.escalated_stream(found, "asset").writeStream.format("memory").queryName("escalated").outputMode("append").option("checkpointLocation", str(tmp_path / "d")).start()
+    q = maintenance.escalated_stream(found, "asset", "ts").writeStream.format("memory").queryName("escalated").outputMode("append").option("checkpointLocation", str(tmp_path / "d")).start()
     q.processAllAvailable()
     q.stop()
-    assert {(r.asset, r["count"], r.escalated_level) for r in spark.table("escalated").collect()} == {("x", 5, "critical"), ("y", 5, "critical")}
+    assert {(r.asset, r["count"], r.escalated_level) for r in spark.table("escalated").collect()} == {(a, n, "critical" if n >= 3 else "warning") for a in "xy" for n in range(1, 6)}
 
 
 def test_local_outlier_factor_learns_from_all_rows(spark):

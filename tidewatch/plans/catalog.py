@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 from tidewatch.functions import rules
 from tidewatch.functions.rules import ThresholdRule
 from tidewatch.operators import detectors, graph, recurrent, scoring, supervised, survival, windows
-from tidewatch.operators.ordering import running
+from tidewatch.operators.ordering import quantiles, running
 from tidewatch.sources import io
 from tidewatch.sources.scratch import new_path
-from tidewatch.streaming import maintenance
+from tidewatch.streaming import maintenance, stateful
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -613,12 +613,12 @@ def _(spark, d):
     return io.panel(table(spark, d, "part").select(F.col("p_partkey").alias("k"), "p_size", "p_retailprice"), "k")
 
 
-@query("t1_buffered_features", f"WITH {C_SQL}, w AS (SELECT event_id, user_id, count(*) OVER b AS n, avg(value) OVER b AS m, stddev_samp(value) OVER b AS s, min(value) OVER b AS lo, max(value) OVER b AS hi FROM c WINDOW b AS (PARTITION BY user_id ORDER BY ts ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)) SELECT user_id, CASE WHEN n = 20 THEN 'ready' ELSE 'buffering' END AS status, n::INT AS rows, round(CASE WHEN n = 20 THEN m END, 6) AS mean, round(CASE WHEN n = 20 THEN s END, 6) AS std, CASE WHEN n = 20 THEN lo END AS min, CASE WHEN n = 20 THEN hi END AS max FROM w")
+@query("t1_buffered_features", f"WITH {C_SQL}, w AS (SELECT event_id, user_id, count(*) OVER b AS n, avg(value) OVER b AS m, stddev_samp(value) OVER b AS s, min(value) OVER b AS lo, max(value) OVER b AS hi, value - first_value(value) OVER b AS ch, value FROM c WINDOW b AS (PARTITION BY user_id ORDER BY ts ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)) SELECT user_id, CASE WHEN n = 20 THEN 'ready' ELSE 'buffering' END AS status, n::INT AS rows, round(CASE WHEN n = 20 THEN m END, 6) AS mean, round(CASE WHEN n = 20 THEN s END, 6) AS std, CASE WHEN n = 20 THEN lo END AS min, CASE WHEN n = 20 THEN hi END AS max, CASE WHEN n = 20 THEN value END AS last, round(CASE WHEN n = 20 THEN ch END, 6) AS change FROM w")
 def _(spark, d):
-    return rounded(maintenance.buffered_features_batch(events(spark, d), "user_id", "ts", "value", 20).select("user_id", "status", "rows", "mean", "std", "min", "max"), "mean", "std")
+    return rounded(maintenance.buffered_features_batch(events(spark, d), "user_id", "ts", "value", 20).select("user_id", "status", "rows", "mean", "std", "min", "max", "last", "change"), "mean", "std", "change")
 
 
-@query("t2_escalated_alerts", f"WITH {E_SQL}, q AS (SELECT event_id, user_id, CASE WHEN value >= 60 THEN 'critical' WHEN value >= 40 THEN 'warning' END AS level FROM e), a AS (SELECT event_id, user_id, level, count(*) OVER (PARTITION BY user_id) AS n FROM q WHERE level IS NOT NULL) SELECT event_id, user_id, level, n AS \"count\", CASE WHEN level = 'warning' AND n >= 3 THEN 'critical' WHEN level = 'critical' AND n >= 5 THEN 'failure' ELSE level END AS escalated_level FROM a")
+@query("t2_escalated_alerts", f"WITH {E_SQL}, q AS (SELECT event_id, user_id, CASE WHEN value >= 60 THEN 'critical' WHEN value >= 40 THEN 'warning' END AS level FROM e), a AS (SELECT event_id, user_id, level, count(*) OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM q WHERE level IS NOT NULL) SELECT event_id, user_id, level, n AS \"count\", CASE WHEN level = 'warning' AND n >= 3 THEN 'critical' WHEN level = 'critical' AND n >= 5 THEN 'failure' ELSE level END AS escalated_level FROM a")
 def _(spark, d):
     found = maintenance.alerts(events(spark, d), "user_id", "event_id", {"value": {"warning": 40, "critical": 60}})
     return maintenance.escalated(found, "user_id", "event_id").select("event_id", "user_id", "level", "count", "escalated_level")
@@ -629,25 +629,50 @@ def _(spark, d):
     return rounded(maintenance.tracked_performance(flagged(spark, d), "user_id", "ts", 50).select("user_id", "tp", "fp", "tn", "fn", "f1"), "f1")
 
 
-def streamed(spark: SparkSession, d: str, made: Callable[[DataFrame], DataFrame], mode: str = "append") -> DataFrame:
-    """The events read as a stream until all are there; the sink is a table in the shared folder."""
-    schema = table(spark, d, "events").schema
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    path = new_path(spark, "stream")
-    made(rows).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+#: Files, and so micro-batches, that a table is streamed in.
+MICRO_BATCHES = 10
+
+
+def streamed(spark: SparkSession, d: str, order: str, made: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The events as a stream of files in their order, one a micro-batch, until all are there; the sink is a table in the shared folder."""
+    path, rows = new_path(spark, "stream"), events(spark, d)
+    edges = quantiles(rows, {"at": (F.col(order).cast("timestamp").cast("double") if order == "ts" else F.col(order).cast("double"), [k / MICRO_BATCHES for k in range(1, MICRO_BATCHES)])})["at"]
+    at = F.col(order).cast("timestamp").cast("double") if order == "ts" else F.col(order).cast("double")
+    part = sum(((at > e).cast("int") for e in edges), F.lit(0))
+    for k in range(MICRO_BATCHES):
+        rows.where(part == k).write.mode("append").parquet(f"{path}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    made(stream).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{path}/out")
 
 
 @query("t1_buffered_stream", ORACLE_SQL["t1_buffered_features"])
 def _(spark, d):
-    out = streamed(spark, d, lambda rows: maintenance.buffered_features(rows, "user_id", "ts", "value", 20))
-    return rounded(out.select("user_id", "status", "rows", "mean", "std", "min", "max"), "mean", "std")
+    out = streamed(spark, d, "ts", lambda rows: maintenance.buffered_features(rows, "user_id", "ts", "value", 20))
+    return rounded(out.select("user_id", "status", "rows", "mean", "std", "min", "max", "last", "change"), "mean", "std", "change")
+
+
+@query("t2_escalated_stream", ORACLE_SQL["t2_escalated_alerts"])
+def _(spark, d):
+    made = lambda rows: maintenance.escalated_stream(maintenance.alerts(rows, "user_id", "event_id", {"value": {"warning": 40, "critical": 60}}), "user_id", "event_id")
+    return streamed(spark, d, "event_id", made).select("event_id", "user_id", "level", "count", "escalated_level")
+
+
+PROCESS_SQL = f"WITH {E_SQL}, w AS (SELECT user_id, ts, value, count(*) OVER b AS n, avg(value) OVER b AS m, stddev_samp(value) OVER b AS s, CASE WHEN value >= 60 THEN 'critical' WHEN value >= 40 THEN 'warning' END AS level FROM e WINDOW b AS (PARTITION BY user_id ORDER BY ts ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)), k AS (SELECT *, CASE WHEN level IS NOT NULL THEN count(level) OVER (PARTITION BY user_id ORDER BY ts) END AS k FROM w) SELECT user_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at, CASE WHEN n = 20 THEN 'ready' ELSE 'buffering' END AS status, n::INT AS rows, round(CASE WHEN n = 20 THEN m END, 6) AS mean, round(CASE WHEN n = 20 THEN s END, 6) AS std, level, k AS \"count\", CASE WHEN level = 'warning' AND k >= 3 THEN 'critical' WHEN level = 'critical' AND k >= 5 THEN 'failure' ELSE level END AS escalated_level FROM k"
+PROCESSED = ("user_id", "at", "status", "rows", "mean", "std", "level", "count", "escalated_level")
+LIMITS = {"warning": 40.0, "critical": 60.0}
+
+
+@query("t3_process_table", PROCESS_SQL)
+def _(spark, d):
+    out = stateful.process_table(events(spark, d), "user_id", "ts", "value", 20, LIMITS)
+    return rounded(out.withColumn("at", F.date_format("at", "yyyy-MM-dd HH:mm:ss")).select(*PROCESSED), "mean", "std")
 
 
-@query("t2_escalated_stream", ORACLE_SQL["t2_escalated_alerts"].replace("SELECT event_id, user_id, level, n AS", "SELECT user_id, level, n AS"))
+@query("t3_process_stream", PROCESS_SQL)
 def _(spark, d):
-    made = lambda rows: maintenance.escalated_stream(maintenance.alerts(rows, "user_id", "event_id", {"value": {"warning": 40, "critical": 60}}), "user_id")
-    return streamed(spark, d, made).select("user_id", "level", "count", "escalated_level")
+    out = streamed(spark, d, "ts", lambda rows: stateful.process_stream(rows, "user_id", "ts", "value", 20, LIMITS))
+    return rounded(out.withColumn("at", F.date_format("at", "yyyy-MM-dd HH:mm:ss")).select(*PROCESSED), "mean", "std")
 
 
 @query("t3_process", f"WITH {RUL_SQL}, x AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS back, avg(value) {ROLL} AS m FROM r), s AS (SELECT avg(value) AS am, stddev_pop(value) AS asd FROM e) SELECT user_id, event_id, round(m, 6) AS value_rolling_mean, round(abs((value - am) / asd), 6) AS score, 'ready' AS status FROM x, s WHERE back = 1")

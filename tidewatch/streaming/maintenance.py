@@ -6,8 +6,10 @@ functions run over a batch (windows over ordered rows) and over a stream (state
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,28 +31,37 @@ def buffered_features(stream: DataFrame, asset: str, at: str, value: str, window
     out = f"`{asset}` {types[asset]}, at timestamp, status string, rows int, " + ", ".join(f"{s} double" for s in _STATS)
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        held = list(state.get[0]) if state.exists else []
-        rows = []
         new = pd.concat(list(parts)).sort_values(at, kind="stable")
-        for t, v in zip(new[at], new[value], strict=True):
-            held = [*held[-(window - 1) :], float(v)] if window > 1 else [float(v)]
-            s = pd.Series(held)
-            full = len(held) == window
-            made = [s.mean(), s.std(), s.min(), s.max(), held[-1], held[-1] - held[0]] if full else [None] * len(_STATS)
-            rows.append([key[0], t, "ready" if full else "buffering", len(held), *made])
-        state.update((held,))
-        yield pd.DataFrame(rows, columns=[asset, "at", "status", "rows", *_STATS])
+        held = np.array(state.get[0] if state.exists else [], float)
+        made, held = sliding(held, new[value].to_numpy(float), window)
+        state.update((held.tolist(),))
+        yield made.assign(**{asset: key[0], "at": new[at].to_numpy()})[[asset, "at", "status", "rows", *_STATS]]
 
     rows = stream.select(asset, F.col(at).cast("timestamp").alias(at), F.col(value).cast("double").alias(value))
     return rows.groupBy(asset).applyInPandasWithState(step, out, "held array<double>", "append", "NoTimeout")
 
 
-def buffered_features_batch(df: DataFrame, asset: str, at: str, value: str, window: int = 100) -> DataFrame:
-    """The same over a table, by windows."""
+def sliding(held: np.ndarray, new: np.ndarray, window: int) -> tuple[pd.DataFrame, np.ndarray]:
+    """status, rows and statistics after each arrival, from the rows held before; and the rows held after the last one."""
+    both = np.concatenate([held[max(0, len(held) - window + 1) :], new])
+    rows = np.minimum(np.arange(len(both) - len(new), len(both)) + 1, window)
+    made = {k: np.full(len(new), np.nan) for k in _STATS}
+    full = np.flatnonzero(rows == window)
+    if len(full):
+        x = np.lib.stride_tricks.sliding_window_view(both, window)[-len(full) :]
+        each = (x.mean(axis=1), x.std(axis=1, ddof=1) if window > 1 else np.full(len(x), np.nan), x.min(axis=1), x.max(axis=1), x[:, -1], x[:, -1] - x[:, 0])
+        for k, v in zip(_STATS, each, strict=True):
+            made[k][full] = v
+    out = pd.DataFrame({"status": np.where(rows == window, "ready", "buffering"), "rows": rows.astype(np.int32), **made})
+    return out.astype({k: object for k in _STATS}).where(out.notna(), None), both[-window:]
+
+
+def buffered_features_batch(df: DataFrame, asset: str, at: str, value: str, window: int = 100, kept: tuple[str, ...] = ()) -> DataFrame:
+    """The same over a table, by windows; ``kept`` columns stay."""
     w = Window.partitionBy(asset).orderBy(at).rowsBetween(-(window - 1), 0)
     n, x = F.count(F.lit(1)).over(w), F.col(value).cast("double")
     made = {"mean": F.avg(x).over(w), "std": F.stddev_samp(x).over(w), "min": F.min(x).over(w), "max": F.max(x).over(w), "last": x, "change": x - F.first(x).over(w)}
-    return df.select(asset, F.col(at).cast("timestamp").alias("at"), F.when(n == window, "ready").otherwise("buffering").alias("status"), n.cast("int").alias("rows"), *[F.when(n == window, v).alias(k) for k, v in made.items()])
+    return df.select(asset, F.col(at).cast("timestamp").alias("at"), F.when(n == window, "ready").otherwise("buffering").alias("status"), n.cast("int").alias("rows"), *[F.when(n == window, v).alias(k) for k, v in made.items()], *kept)
 
 
 def alerts(df: DataFrame, asset: str, at: str, thresholds: dict[str, dict[str, float]]) -> DataFrame:
@@ -69,28 +80,34 @@ def alerts(df: DataFrame, asset: str, at: str, thresholds: dict[str, dict[str, f
 
 
 def escalated(found: DataFrame, asset: str, at: str, to_critical: int = 3, to_failure: int = 5) -> DataFrame:
-    """Adds ``count`` (alerts of the asset and feature in all of the batch) and ``escalated_level``.
+    """Adds ``count`` (alerts of the asset and feature up to this one) and ``escalated_level``.
 
-    A warning becomes critical from ``to_critical`` alerts on, a critical one a failure from ``to_failure`` on.
+    A warning becomes critical from ``to_critical`` alerts on, a critical one a failure from ``to_failure`` on. Alerts of one time count in the
+    order of their values.
     """
-    n = F.count(F.lit(1)).over(Window.partitionBy(asset, "feature"))
+    n = F.count(F.lit(1)).over(Window.partitionBy(asset, "feature").orderBy(at, "value").rowsBetween(Window.unboundedPreceding, 0))
     level = F.when((F.col("level") == "warning") & (F.col("count") >= to_critical), "critical").otherwise(F.col("level"))
     return found.withColumn("count", n).withColumn("escalated_level", F.when((level == "critical") & (F.col("level") != "warning") & (F.col("count") >= to_failure), "failure").otherwise(level))
 
 
-def escalated_stream(found: DataFrame, asset: str, to_critical: int = 3, to_failure: int = 5) -> DataFrame:
-    """The same on a stream of alerts (asset, feature, value, level): counts are state by asset and feature."""
+def escalated_stream(found: DataFrame, asset: str, at: str, to_critical: int = 3, to_failure: int = 5) -> DataFrame:
+    """The same on a stream of alerts (asset, at, feature, value, level): counts are state by asset and feature, over all micro-batches."""
     types = dict(found.dtypes)
-    out = f"`{asset}` {types[asset]}, feature string, value double, level string, count long, escalated_level string"
+    out = f"`{asset}` {types[asset]}, `{at}` {types[at]}, feature string, value double, level string, count long, escalated_level string"
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(parts))
-        n = (state.get[0] if state.exists else 0) + len(new)
-        state.update((n,))
-        raised = {"warning": "critical" if n >= to_critical else "warning", "critical": "failure" if n >= to_failure else "critical"}
-        yield pd.DataFrame({asset: key[0], "feature": key[1], "value": new["value"], "level": new["level"], "count": n, "escalated_level": [raised.get(x, x) for x in new["level"]]})
+        new = pd.concat(list(parts)).sort_values([at, "value"], kind="stable")
+        n = (state.get[0] if state.exists else 0) + np.arange(1, len(new) + 1)
+        state.update((int(n[-1]),))
+        yield pd.DataFrame({asset: key[0], at: new[at].to_numpy(), "feature": key[1], "value": new["value"].to_numpy(), "level": new["level"].to_numpy(), "count": n, "escalated_level": raised(new["level"].to_numpy(), n, to_critical, to_failure)})
+
+    return found.select(asset, at, "feature", "value", "level").groupBy(asset, "feature").applyInPandasWithState(step, out, "n long", "append", "NoTimeout")
+
 
-    return found.select(asset, "feature", "value", "level").groupBy(asset, "feature").applyInPandasWithState(step, out, "n long", "append", "NoTimeout")
+def raised(level: np.ndarray, n: np.ndarray, to_critical: int, to_failure: int) -> np.ndarray:
+    """The levels after escalation by the running counts."""
+    out = np.where((level == "warning") & (n >= to_critical), "critical", level)
+    return np.where((level == "critical") & (n >= to_failure), "failure", out)
 
 
 def recent_alerts(found: DataFrame, at: str, n: int = 1000, level: str | None = None, asset: tuple[str, str] | None = None) -> DataFrame:
@@ -115,14 +132,19 @@ def process(df: DataFrame, asset: str, at: str, models: dict[str, object], thres
     """The latest row of each asset with its features and all models applied, and the alerts of all rows.
 
     ``features`` makes the models' columns from the rows of all assets. ``status`` is "buffering" for assets of fewer
-    than ``min_rows`` rows, whose models' columns are null, and "ready" for the others.
+    than ``min_rows`` rows, whose models' columns are null, and "ready" for the others. A model that can't be applied (it is not
+    fitted, or a column is missing) gives a warning and a null column of its name; the others go on.
     """
     own = Window.partitionBy(asset)
     made = features(df) if features else df
     latest = made.withColumn("_n", F.row_number().over(own.orderBy(F.desc(at)))).withColumn("_rows", F.count(F.lit(1)).over(own)).where("_n = 1").drop("_n")
     kept = latest.columns
-    for m in models.values():
-        latest = m.transform(latest)
+    for name, m in models.items():
+        try:
+            latest = m.transform(latest)
+        except Exception as e:
+            warnings.warn(f"{name} failed: {e}", stacklevel=2)
+            latest = latest.withColumn(name, F.lit(None).cast("double"))
     ready = F.col("_rows") >= min_rows
     added = [F.when(ready, F.col(c)).alias(c) for c in latest.columns if c not in kept]
     latest = latest.select(*[c for c in kept if c != "_rows"], *added, F.when(ready, "ready").otherwise("buffering").alias("status"))
