@@ -14,7 +14,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.rules import health_from_rul
+from tidewatch.operators.detectors import by_matrix, moments
 from tidewatch.operators.ordering import running
+from tidewatch.operators.recurrent import _dealt, dense, dense_gradient, dense_weights, trained
 from tidewatch.sources.scratch import cut
 
 #: Up to so many distinct durations are summed in one task of a Newton step (some 100 MB); beyond that by ranges.
@@ -214,16 +216,20 @@ class CoxModel:
             if np.abs(step).max() < 1e-7:
                 break
         self.fitted["beta"] = beta.tolist()
+        self._baseline(df, duration, event)
+        return self
+
+    def _baseline(self, df: DataFrame, duration: str, event: str) -> None:
+        """The cumulative hazard at risk 1 over the whole table. At most ``KNOWN`` times stay in the model: all of them, or each at
+        which another part of the whole hazard is reached."""
         times = df.groupBy(F.col(duration).cast("double").alias("t")).agg(F.sum(F.col(event).cast("double")).alias("e"), F.sum(F.exp(self.log_risk())).alias("s0"))
-        hazard = later(times, ["s0"]).select("t", (F.col("e") / F.col("s0")).alias("h"))
-        # At most KNOWN times stay in the model: all of them, or each at which another part of the whole hazard is reached.
-        steps = running(hazard, [F.col("t")], {"cumulative": F.col("h")})
-        if not few:
-            whole = hazard.agg(F.sum("h")).first()[0] or 1.0
-            steps = steps.groupBy(F.floor(F.col("cumulative") / whole * KNOWN).alias("_part")).agg(F.max(F.struct("t", "cumulative")).alias("s")).select("s.*")
+        hazard = running(times, [F.desc("t")], {"risk": F.col("s0")}).select("t", (F.col("e") / F.col("risk")).alias("h"))
+        steps = cut(running(hazard, [F.col("t")], {"cumulative": F.col("h")}), "hazard")
+        if steps.count() > KNOWN:
+            whole = steps.agg(F.max("cumulative")).first()[0] or 1.0
+            steps = steps.groupBy(F.floor(F.col("cumulative") / whole * (KNOWN - 1)).alias("_part")).agg(F.max(F.struct("t", "cumulative")).alias("s")).select("s.*")
         found = steps.orderBy("t").select("t", "cumulative").collect()
         self.fitted["times"], self.fitted["cumulative"] = [r.t for r in found], [r.cumulative for r in found]
-        return self
 
     def risk(self, df: DataFrame) -> DataFrame:
         """Adds risk_score, the partial hazard."""
@@ -233,11 +239,66 @@ class CoxModel:
         """key, t, survival: the baseline to the power of the partial hazard, at the nearest known times."""
         known, cumulative = np.array(self.fitted["times"]), np.array(self.fitted["cumulative"])
         times = known if times is None else np.array(times, float)
-        near = np.abs(known[None, :] - times[:, None]).argmin(axis=1)
+        right = np.clip(np.searchsorted(known, times), 1, max(1, len(known) - 1))
+        left = right - 1
+        near = left if len(known) < 2 else np.where(times - known[left] <= known[right] - times, left, right)
         base = df.sparkSession.createDataFrame([(float(t), float(cumulative[i])) for t, i in zip(times, near, strict=True)], "t double, h double")
         return df.select(key, F.exp(self.log_risk()).alias("w")).crossJoin(F.broadcast(base)).select(key, "t", F.exp(-F.col("h") * F.col("w")).alias("survival"))
 
 
+def partial_likelihood(w: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+    """Minus the mean log partial likelihood of a batch (y: duration, event) over its own risk sets, ties as one, and its gradient."""
+    risk, held = dense(w, x)
+    order = np.argsort(-y[:, 0], kind="stable")
+    t, e, eta = y[order, 0], y[order, 1], risk[order, 0]
+    lead = eta.max()
+    upto = np.cumsum(np.exp(eta - lead))
+    last = np.searchsorted(-t, -t, "right") - 1  # the end of the rows of the same duration
+    total, failed = upto[last], max(e.sum(), 1.0)
+    loss = -(e * (eta - lead - np.log(total))).sum() / failed
+    later = np.cumsum((e / total)[::-1])[::-1]  # of the durations up to this one: they come behind
+    first = np.searchsorted(-t, -t, "left")
+    by = np.zeros((len(x), 1))
+    by[order, 0] = (np.exp(eta - lead) * later[first] - e) / failed
+    return float(loss), dense_gradient(w, held, by)
+
+
+@dataclass
+class DeepSurv(CoxModel):
+    """Proportional hazards whose log risk is a dense network, trained on the partial likelihood of batches.
+
+    A batch has its own risk sets; passes go over bundles in all tasks and weights are averaged between rounds. The baseline
+    comes from the risk sets of the whole table. Without a failure there is nothing to learn and the risk stays as it began.
+    """
+
+    hidden: tuple[int, ...] = (32, 32)
+    epochs: int = 100
+    rounds: int = 4
+    batch: int = 256
+    rate: float = 1e-2
+    seed: int = 0
+
+    def log_risk(self) -> Column:
+        w = {k: np.array(v) for k, v in self.fitted["weights"].items()}
+        mean, std = np.array(self.fitted["mean"]), np.array(self.fitted["std"])
+        return by_matrix(self.features, lambda x: dense(w, (x - mean) / std)[0][:, 0])
+
+    def fit(self, df: DataFrame, duration: str = "duration", event: str = "event") -> DeepSurv:
+        rows = df.select(*[F.col(c).cast("double").alias(c) for c in self.features], F.col(duration).cast("double").alias("_t"), F.col(event).cast("double").alias("_e")).dropna()
+        n, mean, cov = moments(rows, self.features)
+        if not n:
+            raise ValueError("nothing to learn from")
+        std = np.sqrt(np.diag(cov))
+        std[std < 1e-12] = 1.0
+        names = list(self.features)
+        read = lambda part: ((part[names].to_numpy(float) - mean) / std, part[["_t", "_e"]].to_numpy(float))
+        start = dense_weights(np.random.default_rng(self.seed), [len(names), *self.hidden, 1])
+        w = trained(_dealt(rows), read, start, partial_likelihood, self.epochs, self.rounds, self.batch, self.rate, self.seed)
+        self.fitted = {"mean": mean.tolist(), "std": std.tolist(), "weights": {k: v.tolist() for k, v in w.items()}}
+        self._baseline(df, duration, event)
+        return self
+
+
 @dataclass
 class LogisticHazard:
     """Discrete-time hazards: rows are expanded to their bins, a logistic regression on features and bin gives the hazard."""
@@ -271,8 +332,8 @@ class LogisticHazard:
 
 
 def survival_model(kind: str, features: list[str], **options):
-    """cox (or lifelines), deepsurv (Cox on squares and products), logistic_hazard."""
-    made = {"cox": CoxModel, "lifelines": CoxModel, "deepsurv": lambda f, **o: CoxModel(f, degree=2, **o), "logistic_hazard": LogisticHazard}
+    """cox (or lifelines), deepsurv, logistic_hazard."""
+    made = {"cox": CoxModel, "lifelines": CoxModel, "deepsurv": DeepSurv, "logistic_hazard": LogisticHazard}
     if kind not in made:
         raise ValueError(f"unknown model {kind!r}")
     return made[kind](features, **options)

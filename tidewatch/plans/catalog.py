@@ -415,6 +415,12 @@ def _(spark, d):
     return survival.LogisticHazard(["o_totalprice"]).fit(df).curve(df, "o_orderkey")
 
 
+@query("u6_deepsurv")
+def _(spark, d):
+    df = gaps(spark, d)
+    return rounded(survival.DeepSurv(["o_totalprice"]).fit(df).risk(df).select("o_orderkey", "risk_score"), "risk_score")
+
+
 def vectors(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(WIDTH)])
 
