@@ -7,9 +7,11 @@ is as large as the number of distinct durations.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +23,8 @@ from tidewatch.sources.scratch import cut
 
 #: Up to so many distinct durations are summed in one task of a Newton step (some 100 MB); beyond that by ranges.
 ONE_TASK, KNOWN = 500_000, 10_000
+#: So many failures of one duration are corrected for their tie in one row.
+TIES = 4096
 
 
 def kaplan_meier(df: DataFrame, duration: str = "duration", event: str = "event", by: tuple[str, ...] = ()) -> DataFrame:
@@ -112,22 +116,59 @@ class ParametricSurvival:
             return np.exp(-np.exp(np.clip(self._basis(t) @ np.array(self.theta), -30, 30)))
         return _survival_of(self.kind, np.array(self.theta), t)
 
+    def _log_density(self, t: np.ndarray) -> np.ndarray:
+        theta, x = np.array(self.theta), np.log(t)
+        if self.kind == "spline":
+            h = np.clip(self._basis(t) @ theta, -30, 30)
+            near = 1e-5
+            slope = (self._basis(t * np.exp(near)) - self._basis(t * np.exp(-near))) @ theta / (2 * near)
+            return h + np.log(np.maximum(slope, 1e-12)) - x - np.exp(h)
+        b = theta[1] if len(theta) > 1 else 0.0
+        z = np.exp(b) * (x - theta[0])  # the logarithm of (t / a) ** b
+        if self.kind in ("exponential", "weibull"):
+            return b + z - x - np.exp(np.minimum(z, 700))
+        if self.kind == "loglogistic":
+            return b + z - x - 2 * np.logaddexp(0, z)
+        if self.kind == "lognormal":
+            return -x - b - 0.5 * math.log(2 * math.pi) - 0.5 * ((x - theta[0]) / np.exp(b)) ** 2
+        k = math.exp(theta[2])
+        return b + k * z - x - np.exp(np.minimum(z, 700)) - math.lgamma(k)
+
+    def loss_at(self, theta: np.ndarray, t: np.ndarray, d: np.ndarray, n: np.ndarray) -> float:
+        """Minus the log likelihood of n rows of each duration, of which d fail."""
+        self.theta = np.asarray(theta, float).tolist()
+        alive = np.where(n > d, np.log(np.maximum(self.survival_at(t), 1e-300)), 0.0)
+        value = -(d * self._log_density(t) + (n - d) * alive).sum()
+        return float(value) if np.isfinite(value) else 1e300
+
     def fit(self, df: DataFrame, duration: str = "duration", event: str = "event") -> ParametricSurvival:
-        rows = df.groupBy(F.col(duration).cast("double").alias("t")).agg(F.sum(F.col(event).cast("double")).alias("d"), F.count(F.lit(1)).cast("double").alias("n")).orderBy("t").collect()
-        t, d, n = (np.array([r[i] for r in rows]) for i in range(3))
-        t = np.maximum(t, 1e-6)
-        mean = float((t * n).sum() / max(d.sum(), 1))
-
-        def loss(theta: np.ndarray) -> float:
-            self.theta = theta.tolist()
-            step = 1e-4 * t
-            s, near = self.survival_at(t), self.survival_at(t + step)
-            density = np.maximum(s - near, 1e-300) / step
-            value = -(d * np.log(density) + (n - d) * np.log(np.maximum(s, 1e-300))).sum() / n.sum()
-            return float(value) if np.isfinite(value) else 1e9
-
-        start = {"exponential": [math.log(mean)], "generalized_gamma": [math.log(mean), 0.0, 0.0], "spline": [-math.log(mean), 1.0, *[0.0] * (len(self.knots) - 2)]}.get(self.kind, [math.log(mean), 0.0])
-        self.theta = nelder_mead(loss, np.array(start)).tolist()
+        """Newton steps; the likelihood at all points that a step looks at is one sum over the table, so no durations come to the driver.
+
+        Durations under 1e-6 count as that; rows without one are left out. An empty table is an error.
+        """
+        rows = df.select(F.greatest(F.col(duration).cast("double"), F.lit(1e-6)).alias("t"), F.coalesce(F.col(event).cast("double"), F.lit(0.0)).alias("e")).where(F.col(duration).isNotNull())
+        rows = cut(rows.groupBy("t").agg(F.sum("e").alias("d"), F.count(F.lit(1)).cast("double").alias("n")), "durations")
+        time, deaths, n = rows.agg(F.sum(F.col("t") * F.col("n")), F.sum("d"), F.sum("n")).first()
+        if not n:
+            raise ValueError("nothing to learn from")
+        kind, knots = self.kind, self.knots
+
+        def losses(thetas: np.ndarray) -> np.ndarray:
+            def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                model, total = ParametricSurvival(kind, knots), np.zeros(len(thetas))
+                for rows in batches:
+                    t, d, n = (rows[c].to_numpy(float) for c in ("t", "d", "n"))
+                    total += [model.loss_at(theta, t, d, n) for theta in thetas]
+                yield pd.DataFrame({"i": range(len(thetas)), "x": total})
+
+            out = np.zeros(len(thetas))
+            for r in rows.mapInPandas(part, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect():  # one row a point
+                out[r.i] = r.x / n
+            return out
+
+        mean = math.log(time / max(deaths, 1.0))
+        theta = np.array({"exponential": [mean], "generalized_gamma": [mean, 0.0, 0.0], "spline": [-mean, 1.0, *[0.0] * (len(knots) - 2)]}.get(kind, [mean, 0.0]))
+        self.theta = newton(losses, theta).tolist()
         return self
 
     def curve(self, df: DataFrame, times: list[float]) -> DataFrame:
@@ -135,45 +176,80 @@ class ParametricSurvival:
         return df.sparkSession.createDataFrame([(float(t), float(s)) for t, s in zip(times, self.survival_at(np.array(times)), strict=True)], "t double, survival double")
 
 
-def nelder_mead(loss, start: np.ndarray, iterations: int = 600) -> np.ndarray:
-    """The usual simplex search."""
-    points = [start, *[start + 0.3 * np.eye(len(start))[i] for i in range(len(start))]]
-    values = [loss(p) for p in points]
-    for _ in range(iterations):
-        order = np.argsort(values)
-        points, values = [points[i] for i in order], [values[i] for i in order]
-        if abs(values[-1] - values[0]) < 1e-12:
+def newton(losses: Callable[[np.ndarray], np.ndarray], start: np.ndarray, steps: int = 40, h: float = 1e-3) -> np.ndarray:
+    """The smallest loss by Newton steps on central differences; ``losses`` takes all points of a step at once."""
+    k, at = len(start), start.astype(float)
+    pairs = [(i, j) for i in range(k) for j in range(i + 1, k)]
+    unit = np.eye(k) * h
+    for _ in range(steps):
+        near = [at, *[at + s * unit[i] for i in range(k) for s in (1, -1)], *[at + a * unit[i] + b * unit[j] for i, j in pairs for a in (1, -1) for b in (1, -1)]]
+        v = losses(np.array(near))
+        up, down = v[1 : 2 * k + 1 : 2], v[2 : 2 * k + 1 : 2]
+        slope, bend = (up - down) / (2 * h), np.diag((up - 2 * v[0] + down) / h**2)
+        for (i, j), c in zip(pairs, v[2 * k + 1 :].reshape(-1, 4), strict=True):
+            bend[i, j] = bend[j, i] = (c[0] - c[1] - c[2] + c[3]) / (4 * h * h)
+        value, vector = np.linalg.eigh(bend)
+        move = -vector @ ((vector.T @ slope) / np.maximum(np.abs(value), 1e-6))
+        move *= min(1.0, 2.0 / max(np.abs(move).max(), 1e-300))
+        if np.abs(move).max() < 1e-7:
             break
-        center = np.mean(points[:-1], axis=0)
-        tried = center + (center - points[-1])
-        value = loss(tried)
-        if value < values[0]:
-            far = center + 2 * (center - points[-1])
-            if (v := loss(far)) < value:
-                tried, value = far, v
-        elif value >= values[-2]:
-            tried = center + 0.5 * (points[-1] - center)
-            value = loss(tried)
-            if value >= values[-1]:
-                points = [points[0], *[(p + points[0]) / 2 for p in points[1:]]]
-                values = [values[0], *[loss(p) for p in points[1:]]]
-                continue
-        points[-1], values[-1] = tried, value
-    return points[int(np.argmin(values))]
+        parts = 0.5 ** np.arange(12)
+        tried = losses(at + parts[:, None] * move)
+        best = int(np.argmin(tried))
+        if tried[best] >= v[0]:
+            break
+        at = at + parts[best] * move
+    return at
+
+
+def _tie_sums(deaths: Column, held: Column, died: Column, block: Column, efron: bool) -> Column:
+    """Of the l = 0 .. deaths - 1 that die together, with u = l / deaths (0 without correction) and p = 1 / (held - u died): the sums of
+    p, u p, p^2, u p^2 and u^2 p^2 over one block of l."""
+    if not efron:
+        p = deaths / held
+        return F.struct(p.alias("p0"), F.lit(0.0).alias("p1"), (p / held).alias("q0"), F.lit(0.0).alias("q1"), F.lit(0.0).alias("q2"))
+    start = F.struct(*[F.lit(0.0).alias(c) for c in ("p0", "p1", "q0", "q1", "q2")])
+
+    def add(total: Column, at: Column) -> Column:
+        u = at.cast("double") / deaths
+        p = F.lit(1.0) / (held - u * died)
+        return F.struct(*[(total[c] + x).alias(c) for c, x in (("p0", p), ("p1", u * p), ("q0", p * p), ("q1", u * p * p), ("q2", u * u * p * p))])
+
+    first = block * TIES
+    return F.aggregate(F.sequence(first, F.least(first + TIES, deaths.cast("long")) - 1), start, add)
+
+
+def elastic_step(beta: np.ndarray, gradient: np.ndarray, curvature: np.ndarray, l1: float, l2: float, sweeps: int = 1000) -> np.ndarray:
+    """The step to the top of gradient.s - s.curvature.s / 2 - l1 |beta + s| - l2 |beta + s|^2 / 2, by coordinates with soft thresholds."""
+    if not l1:
+        return np.linalg.solve(curvature + l2 * np.eye(len(beta)), gradient - l2 * beta)
+    new, rest = beta.copy(), gradient + curvature @ beta
+    for _ in range(sweeps):
+        before = new.copy()
+        for i in range(len(new)):
+            pull = rest[i] - curvature[i] @ new + curvature[i, i] * new[i]
+            new[i] = np.sign(pull) * max(abs(pull) - l1, 0.0) / (curvature[i, i] + l2)
+        if np.abs(new - before).max() < 1e-12:
+            break
+    return new - beta
 
 
 @dataclass
 class CoxModel:
-    """Proportional hazards by Newton steps on the Breslow partial likelihood with a ridge penalty.
+    """Proportional hazards by Newton steps on the partial likelihood, ties by Efron's correction (or "breslow").
 
-    ``degree`` 2 adds squares and products of the features. Each step groups the rows by duration and sums over the
-    risk sets with a window over the distinct durations.
+    The mean log likelihood loses ``penalty * (l1_ratio |b| + (1 - l1_ratio) b^2 / 2)`` of the coefficients of standardised columns; with
+    an ``l1_ratio`` a step goes by coordinates with soft thresholds, so that coefficients become exactly 0. ``degree`` 2 adds squares and
+    products of the features. Each step groups the rows by duration and sums over the risk sets with a window over the distinct durations;
+    failures of one duration are corrected in blocks of ``TIES``.
     """
 
     features: list[str] = field(default_factory=list)
-    penalty: float = 0.1
+    penalty: float = 0.0
     degree: int = 1
-    steps: int = 12
+    steps: int = 25
+    l1_ratio: float = 0.0
+    ties: str = "efron"
     fitted: dict = field(default_factory=dict, init=False)
 
     def _columns(self) -> list[Column]:
@@ -184,15 +260,18 @@ class CoxModel:
         return sum((x * float(b) for x, b in zip(self._columns(), self.fitted["beta"], strict=True)), F.lit(0.0))
 
     def fit(self, df: DataFrame, duration: str = "duration", event: str = "event") -> CoxModel:
-        r = df.agg(*[F.avg(c) for c in self.features], *[F.stddev_pop(c) for c in self.features]).first()
-        k = len(self.features)
-        self.fitted = {"mean": list(r[:k]), "std": [s or 1.0 for s in r[k:]]}
+        if self.ties not in ("efron", "breslow"):
+            raise ValueError(f"unknown ties {self.ties!r}")
+        r = df.agg(*[F.avg(c) for c in self.features], *[F.stddev_pop(c) for c in self.features], F.count(F.lit(1))).first()
+        k, n = len(self.features), max(r[-1], 1)
+        self.fitted = {"mean": [m or 0.0 for m in r[:k]], "std": [s or 1.0 for s in r[k:-1]]}
         d = len(self._columns())
         beta = np.zeros(d)
         pairs = [(i, j) for i in range(d) for j in range(i, d)]
         few = df.select(F.col(duration).cast("double")).distinct().count() <= ONE_TASK
+        names = ["s", *[f"a{i}" for i in range(d)], *[f"b{i}_{j}" for i, j in pairs]]
 
-        def later(times: DataFrame, names: list[str]) -> DataFrame:
+        def later(times: DataFrame) -> DataFrame:
             """Sums over the durations from each one on."""
             if not few:
                 return running(times, [F.desc("t")], {f"_{c}": F.col(c) for c in names}).drop(*names).withColumnsRenamed({f"_{c}": c for c in names})
@@ -202,18 +281,25 @@ class CoxModel:
         for _ in range(self.steps):
             self.fitted["beta"] = beta.tolist()
             rows = df.select(F.col(duration).cast("double").alias("t"), F.col(event).cast("double").alias("e"), F.exp(self.log_risk()).alias("w"), *[x.alias(f"x{i}") for i, x in enumerate(self._columns())])
-            sums = [F.sum("e").alias("e"), F.sum("w").alias("s0"), *[F.sum(F.col("w") * F.col(f"x{i}")).alias(f"a{i}") for i in range(d)], *[F.sum(F.col("w") * F.col(f"x{i}") * F.col(f"x{j}")).alias(f"b{i}_{j}") for i, j in pairs], *[F.sum(F.col("e") * F.col(f"x{i}")).alias(f"c{i}") for i in range(d)]]
-            times = rows.groupBy("t").agg(*sums)
-            risk = later(times, ["s0", *[f"a{i}" for i in range(d)], *[f"b{i}_{j}" for i, j in pairs]])
-            total = risk.where("e > 0").agg(*[F.sum(F.col(f"c{i}") - F.col("e") * F.col(f"a{i}") / F.col("s0")) for i in range(d)], *[F.sum(F.col("e") * (F.col(f"b{i}_{j}") / F.col("s0") - F.col(f"a{i}") * F.col(f"a{j}") / (F.col("s0") * F.col("s0")))) for i, j in pairs], F.sum("e")).first()
-            events = total[-1] or 1.0
-            gradient = np.array([v or 0.0 for v in total[:d]]) - self.penalty * events * beta * 1e-2
+            each = {"s": F.col("w"), **{f"a{i}": F.col("w") * F.col(f"x{i}") for i in range(d)}, **{f"b{i}_{j}": F.col("w") * F.col(f"x{i}") * F.col(f"x{j}") for i, j in pairs}}
+            died = [F.sum(F.col("e") * x).alias(f"d_{c}") for c, x in each.items()]  # the same sums over those that fail now
+            times = rows.groupBy("t").agg(F.sum("e").alias("e"), *[F.sum(x).alias(c) for c, x in each.items()], *died, *[F.sum(F.col("e") * F.col(f"x{i}")).alias(f"c{i}") for i in range(d)])
+            risk = later(times).where("e > 0").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("e") - 1) / TIES) if self.ties == "efron" else F.lit(0).cast("long"))))
+            risk = risk.withColumn("l", _tie_sums(F.col("e"), F.col("s"), F.col("d_s"), F.col("block"), self.ties == "efron"))
+            own, first = lambda c: F.col("l")[c], F.when(F.col("block") == 0, 1.0).otherwise(0.0)
+            slope = [F.sum(first * F.col(f"c{i}") - F.col(f"a{i}") * own("p0") + F.col(f"d_a{i}") * own("p1")) for i in range(d)]
+            bend = []
+            for i, j in pairs:
+                a, b, x, y = F.col(f"a{i}"), F.col(f"a{j}"), F.col(f"d_a{i}"), F.col(f"d_a{j}")
+                bend.append(F.sum(F.col(f"b{i}_{j}") * own("p0") - F.col(f"d_b{i}_{j}") * own("p1") - a * b * own("q0") + (a * y + x * b) * own("q1") - x * y * own("q2")))
+            total = risk.agg(*slope, *bend).first()
+            gradient = np.array([v or 0.0 for v in total[:d]])
             hessian = np.zeros((d, d))
-            for (i, j), v in zip(pairs, total[d:-1], strict=True):
+            for (i, j), v in zip(pairs, total[d:], strict=True):
                 hessian[i, j] = hessian[j, i] = v or 0.0
-            step = np.linalg.solve(hessian + np.eye(d) * (self.penalty * events * 1e-2 + 1e-9), gradient)
+            step = elastic_step(beta, gradient, hessian + np.eye(d) * 1e-9 * n, n * self.penalty * self.l1_ratio, n * self.penalty * (1 - self.l1_ratio))
             beta = beta + np.clip(step, -2, 2)
-            if np.abs(step).max() < 1e-7:
+            if np.abs(step).max() < 1e-8:
                 break
         self.fitted["beta"] = beta.tolist()
         self._baseline(df, duration, event)
@@ -339,42 +425,93 @@ def survival_model(kind: str, features: list[str], **options):
     return made[kind](features, **options)
 
 
-def concordance(df: DataFrame, duration: str = "duration", risk: str = "risk_score", event: str = "event") -> DataFrame:
-    """concordance_index (Harrell), pairs: ties of risk count half. No pair is ever made.
+def _won(rows: DataFrame) -> DataFrame:
+    """won: for each asking row of ``rows(g, k, pos, held, asked)``, the held ones of its group of a higher rank, and half of those of its own
+    rank, whose pos is smaller. No pair is ever made.
 
-    Risks are numbered by rank. Of the ranks below one, those that a tree of halved ranges holds apart lie in one node for each
-    bit that is set; every row is a point of the nodes on its path, every failure asks the nodes beside its path how many
-    points have a longer duration. Sorted by node and duration, that is a running sum: n log n rows, whatever the ties.
+    Of the ranks below one, those that a tree of halved ranges holds apart lie in one node for each bit that is set; every row is a point of
+    the nodes on its path, every asking row asks the nodes beside its path. Sorted by node and pos, that is a running sum: n log n rows,
+    whatever the ties.
     """
-    g = cut(df.groupBy(F.col(duration).cast("double").alias("t"), F.col(risk).cast("double").alias("r"), F.col(event).cast("int").alias("e")).agg(F.count(F.lit(1)).alias("n")).where("t is not null and r is not null"), "risks")
-    ranks = running(g.select("r").distinct(), [F.col("r")], {"k": F.lit(1).cast("long")})
-    size = g.select("r").distinct().count()
-    rows = g.join(ranks, "r").select("t", F.col("k") - 1, "e", F.col("n").cast("decimal(38,0)").alias("n")).toDF("t", "k", "e", "n")
-    levels = range(max(1, size.bit_length()))
+    top = rows.agg(F.max("k")).first()[0] or 0
+    rows = rows.withColumn("k", F.lit(top) - F.col("k"))  # the higher ranks lie below
+    levels = range(max(1, (top + 1).bit_length()))
     bit = lambda l: F.shiftright("k", l).bitwiseAND(F.lit(1))  # noqa: E731, E741
     node = lambda l, at: F.struct(F.lit(l).alias("level"), at.alias("node"))  # noqa: E731, E741
     points = F.array(node(-1, F.col("k")), *[F.when(bit(l) == 0, node(l, F.shiftright("k", l))) for l in levels])  # noqa: E741
     asks = F.array(node(-1, F.col("k")), *[F.when(bit(l) == 1, node(l, F.shiftright("k", l) - 1)) for l in levels])  # noqa: E741
     none = F.lit(0).cast("decimal(38,0)")
-    own = rows.select("t", F.lit(1).alias("kind"), F.col("n").alias("held"), none.alias("asked"), F.explode(points).alias("at"))
-    asked = rows.where("e = 1").select("t", F.lit(0).alias("kind"), none.alias("held"), F.col("n").alias("asked"), F.explode(asks).alias("at"))
-    both = own.unionByName(asked).where("at is not null").select("at.*", "t", "kind", "held", "asked")
-    both = running(both, [F.col("level"), F.col("node"), F.desc("t"), F.col("kind")], {"upto": F.col("held")})
-    each = both.groupBy("level", "node").agg(F.min(F.col("upto") - F.col("held")).alias("start"), F.sum("asked").alias("asked"), F.sum(F.col("asked") * F.col("upto")).alias("found"))
+    own = rows.where("held > 0").select("g", "pos", F.lit(1).alias("kind"), F.col("held").cast("decimal(38,0)").alias("held"), none.alias("asked"), F.explode(points).alias("at"))
+    asked = rows.where("asked > 0").select("g", "pos", F.lit(0).alias("kind"), none.alias("held"), F.col("asked").cast("decimal(38,0)").alias("asked"), F.explode(asks).alias("at"))
+    both = own.unionByName(asked).where("at is not null").select("at.*", "g", "pos", "kind", "held", "asked")
+    both = running(both, [F.col("level"), F.col("node"), F.col("g"), F.col("pos"), F.col("kind")], {"upto": F.col("held")})
+    each = both.groupBy("level", "node", "g").agg(F.min(F.col("upto") - F.col("held")).alias("start"), F.sum("asked").alias("asked"), F.sum(F.col("asked") * F.col("upto")).alias("found"))
     beaten = F.col("found") - F.col("asked") * F.col("start")
-    won = each.agg(F.coalesce(F.sum((F.when(F.col("level") >= 0, 1.0).otherwise(0.5) * beaten.cast("double"))), F.lit(0.0)).alias("won"))
-    times = rows.groupBy("t").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("e") == 1, F.col("n")).otherwise(none)).alias("failed"))
+    return each.agg(F.coalesce(F.sum(F.when(F.col("level") >= 0, 1.0).otherwise(0.5) * beaten.cast("double")), F.lit(0.0)).alias("won"))
+
+
+def _ranked(rows: DataFrame, value: str) -> DataFrame:
+    """Adds k, the rank of a value from 0 on."""
+    ranks = running(rows.select(value).distinct(), [F.col(value)], {"k": F.lit(1).cast("long")})
+    return rows.join(ranks.withColumn("k", F.col("k") - 1), value)
+
+
+def concordance(df: DataFrame, duration: str = "duration", risk: str = "risk_score", event: str = "event") -> DataFrame:
+    """concordance_index (Harrell), pairs: ties of risk count half. No pair is ever made."""
+    g = cut(df.groupBy(F.col(duration).cast("double").alias("t"), F.col(risk).cast("double").alias("r"), F.col(event).cast("int").alias("e")).agg(F.count(F.lit(1)).alias("n")).where("t is not null and r is not null"), "risks")
+    failed = F.when(F.col("e") == 1, F.col("n")).otherwise(F.lit(0))
+    # a row beats those of longer durations and smaller risks
+    won = _won(_ranked(g.withColumn("low", -F.col("r")), "low").select(F.lit(0).alias("g"), "k", (-F.col("t")).alias("pos"), F.col("n").alias("held"), failed.alias("asked")))
+    times = g.groupBy("t").agg(F.sum(F.col("n").cast("decimal(38,0)")).alias("n"), F.sum(failed.cast("decimal(38,0)")).alias("failed"))
     longer = running(times, [F.desc("t")], {"upto": F.col("n")})
-    pairs = longer.agg(F.coalesce(F.sum(F.col("failed") * (F.col("upto") - F.col("n"))), none).cast("long").alias("pairs"))
+    pairs = longer.agg(F.coalesce(F.sum(F.col("failed") * (F.col("upto") - F.col("n"))), F.lit(0).cast("decimal(38,0)")).cast("long").alias("pairs"))
     return won.crossJoin(F.broadcast(pairs)).select(F.coalesce(F.try_divide("won", F.col("pairs").cast("double")), F.lit(0.5)).alias("concordance_index"), "pairs")
 
 
+def time_dependent_concordance(curve: DataFrame, truth: DataFrame, key: str, duration: str = "duration", event: str = "event") -> DataFrame:
+    """concordance_td, pairs: each failure's curve against the curves of all that lived longer, at the failure's own time.
+
+    ``curve`` is key, t, survival on one grid of times; a duration is read at the last time up to it (the first if none is). Of rows of the
+    same duration a failure is compared with a censored one like with a longer one, two failures are concordant if their curves agree and
+    half so if not; such pairs count in both directions. Rows without a duration, or whose key has no curve, are left out; without a pair the
+    index is 0.5. A cell of the grid holds the rows that live to see it, grouped by survival and duration; no pair is made.
+    """
+    own = truth.select(key, F.col(duration).cast("double").alias("t"), F.coalesce(F.col(event).cast("int"), F.lit(0)).alias("e")).where("t is not null")
+    steps = curve.select(key, F.col("t").cast("double").alias("at"), F.col("survival").cast("double").alias("s")).where("at is not null and s is not null")
+    marks = steps.select(F.col("at").alias("t"), F.lit(1).cast("long").alias("mark")).distinct().unionByName(own.select("t", F.lit(0).cast("long").alias("mark")).distinct())
+    marks = marks.groupBy("t").agg(F.max("mark").alias("mark"))
+    cells = cut(running(marks, [F.col("t")], {"cell": F.col("mark")}).withColumn("cell", F.greatest("cell", F.lit(1))), "cells")
+    own = own.join(cells.select("t", "cell"), "t")
+    asking = own.where("e = 1").select("cell").distinct()
+    steps = steps.join(cells.where("mark = 1").select(F.col("t").alias("at"), F.col("cell").alias("g")), "at").join(asking.withColumnRenamed("cell", "g"), "g", "left_semi")
+    # every row once at its own cell, and at the earlier ones in which a row fails
+    seen = steps.join(own, key).where("g <= cell").groupBy("g", "s", "t", "e", "cell").agg(F.count(F.lit(1)).alias("n"))
+    seen = cut(_ranked(seen, "s").withColumn("own", F.col("g") == F.col("cell")), "seen")
+    failed = F.when(F.col("own") & (F.col("e") == 1), F.col("n")).otherwise(F.lit(0))
+    later = _won(seen.select("g", "k", (-F.col("t")).alias("pos"), F.col("n").alias("held"), failed.alias("asked"))).withColumnRenamed("won", "later")
+    # of one duration: the censored ones come first, so every failure sees them
+    censored = F.when(F.col("e") != 1, F.col("n")).otherwise(F.lit(0))
+    tied = _won(seen.where("own").select(F.col("t").alias("g"), "k", F.when(F.col("e") == 1, 1).otherwise(0).alias("pos"), censored.alias("held"), failed.alias("asked"))).withColumnRenamed("won", "tied")
+    twice = lambda c: F.col(c) * (F.col(c) - 1)
+    alike = seen.where("own and e = 1").groupBy("t", "s").agg(F.sum(F.col("n").cast("double")).alias("m")).agg(F.coalesce(F.sum(twice("m")), F.lit(0.0)).alias("alike"))
+    # who is compared at all: rows with a curve
+    held = own.join(steps.select(key).distinct(), key, "left_semi")
+    times = held.groupBy("t").agg(F.sum(F.lit(1).cast("decimal(38,0)")).alias("n"), F.sum(F.col("e").cast("decimal(38,0)")).alias("d"))
+    counts = running(times, [F.desc("t")], {"upto": F.col("n")})
+    none = F.lit(0).cast("decimal(38,0)")
+    counts = counts.agg(F.coalesce(F.sum(F.col("d") * (F.col("upto") - F.col("n")) + twice("d") + 2 * F.col("d") * (F.col("n") - F.col("d"))), none).cast("long").alias("pairs"), F.coalesce(F.sum(twice("d")), none).cast("double").alias("both"))
+    one = later.crossJoin(F.broadcast(tied)).crossJoin(F.broadcast(alike)).crossJoin(F.broadcast(counts))
+    won = F.col("later") + 2 * F.col("tied") + 0.5 * F.col("both") + 0.5 * F.col("alike")
+    return one.select(F.coalesce(F.try_divide(won, F.col("pairs").cast("double")), F.lit(0.5)).alias("concordance_td"), "pairs")
+
+
 def evaluate_survival(curve: DataFrame, truth: DataFrame, key: str, duration: str = "duration", event: str = "event") -> DataFrame:
-    """Concordance of minus the median survival time, and its mean absolute error on observed failures."""
+    """Concordance of minus the median survival time, its time-dependent form, and the median's mean absolute error over all rows."""
     median = quantile_time(curve, 0.5, (key,)).withColumnRenamed("time", "median")
     rows = truth.join(median, key).withColumn("risk_score", -F.col("median"))
-    error = rows.where(F.col(event) == 1).agg(F.avg(F.abs(F.col("median") - F.col(duration))).alias("mae"))
-    return concordance(rows, duration, "risk_score", event).crossJoin(F.broadcast(error))
+    error = rows.agg(F.avg(F.abs(F.col("median") - F.col(duration))).alias("mae"))
+    timed = time_dependent_concordance(curve, truth, key, duration, event).select("concordance_td")
+    return concordance(rows, duration, "risk_score", event).crossJoin(F.broadcast(error)).crossJoin(F.broadcast(timed))
 
 
 def health_from_survival(curve: DataFrame, key: str, probability: float = 0.5, healthy: float = 30, warning: float = 10) -> DataFrame:
