@@ -403,6 +403,39 @@ def _(spark, d):
     return rounded(survival.ParametricSurvival("weibull").fit(df).curve(df, [10.0, 50.0, 100.0, 300.0]), "survival")
 
 
+@query("u3_exponential", f"WITH {G_SQL}, m AS (SELECT sum(greatest(duration, 1e-6)) / greatest(sum(event), 1) AS mean FROM g) SELECT t, round(exp(-t / mean), 4) AS survival FROM m, (VALUES (10.0::DOUBLE), (50.0), (100.0), (300.0)) v(t)")
+def _(spark, d):
+    df = gaps(spark, d)
+    curve = survival.ParametricSurvival("exponential").fit(df).curve(df, [10.0, 50.0, 100.0, 300.0])
+    return curve.withColumn("survival", F.round("survival", 4))
+
+
+TD_GRID = 100.0  # days between the points at which curves are compared
+
+
+@query("a17_time_dependent", f"""WITH {G_SQL.replace('AS (SELECT', 'AS (SELECT o_custkey % 10 AS key,', 1)}, {_curve_sql('key')}, grid AS (SELECT x.c * {TD_GRID}::DOUBLE AS mark FROM range(0, 25) x(c)),
+    c AS (SELECT p.key, mark, coalesce((SELECT min(round(survival, 9)) FROM k WHERE k.key = p.key AND k.t <= mark), 1.0) AS s FROM grid, (SELECT DISTINCT key FROM g) p),
+    n AS (SELECT key, duration AS t, event AS e, least(floor(duration / {TD_GRID}), 24) * {TD_GRID} AS mark, count(*) AS n FROM g GROUP BY ALL),
+    m AS (SELECT a.t AS t_i, b.t AS t_j, a.e AS e_i, b.e AS e_j, x.s AS s_i, y.s AS s_j, CASE WHEN a.t = b.t AND a.e = b.e AND a.key = b.key THEN a.n * (a.n - 1) ELSE a.n * b.n END AS n
+        FROM n a JOIN n b ON a.t < b.t AND a.e = 1 OR a.t = b.t AND a.e + b.e > 0 JOIN c x ON x.key = a.key AND x.mark = a.mark JOIN c y ON y.key = b.key AND y.mark = a.mark)
+    SELECT round(sum(n * CASE WHEN t_i = t_j AND e_i = 1 AND e_j = 1 THEN CASE WHEN s_i = s_j THEN 1.0 ELSE 0.5 END
+        WHEN s_i = s_j THEN 0.5 WHEN (s_i < s_j) = (e_i = 1) THEN 1.0 ELSE 0.0 END)::DOUBLE / sum(n), 6) AS concordance_td, sum(n)::BIGINT AS pairs FROM m""")
+def _(spark, d):
+    df = gaps(spark, d).withColumn("key", F.pmod("o_custkey", F.lit(10)))
+    curve = survival.kaplan_meier(df, by=("key",)).select("key", F.col("t").alias("own"), F.round("survival", 9).alias("s"))
+    grid = spark.range(0, 25).select((F.col("id") * TD_GRID).alias("t"))
+    steps = curve.join(F.broadcast(grid), F.col("own") <= F.col("t")).groupBy("key", "t").agg(F.min("s").alias("s"))
+    steps = curve.select("key").distinct().join(F.broadcast(grid)).join(steps, ["key", "t"], "left").select("key", "t", F.coalesce("s", F.lit(1.0)).alias("survival"))
+    each = df.select("o_orderkey", "key").join(F.broadcast(steps), "key").select("o_orderkey", "t", "survival")  # 250 rows of curves
+    return rounded(survival.time_dependent_concordance(each, df, "o_orderkey"), "concordance_td")
+
+
+@query("u4_elastic_net")
+def _(spark, d):
+    df = gaps(spark, d).withColumn("group", F.pmod("o_custkey", F.lit(10)).cast("double"))
+    return rounded(survival.CoxModel(["o_totalprice", "group"], penalty=0.01, l1_ratio=0.5).fit(df).risk(df).select("o_orderkey", "risk_score"), "risk_score")
+
+
 @query("u4_cox")
 def _(spark, d):
     df = gaps(spark, d)
