@@ -18,9 +18,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tidewatch.functions.rules import flag, health_from_distance, no_nan
+from tidewatch.operators.neighbours import fit_outliers, nearest, outlier_factors
 from tidewatch.operators.ordering import quantile, quantiles
 from tidewatch.operators.scoring import Detector, Scorer
-from tidewatch.sources.scratch import cut
+from tidewatch.sources.scratch import cut, new_path
 
 #: Rows that a model which needs rows learns from, at most.
 SAMPLE = 20_000
@@ -190,7 +191,8 @@ class IsolationForest(Detector):
 class LocalOutlierFactor(Detector):
     """Density of a row's neighbourhood against its neighbours' among all training rows (exact search); flag by contamination.
 
-    The training rows are the model: they are held as one matrix, and more than ``LARGEST`` numbers are refused.
+    The training rows are the model. Up to ``LARGEST`` numbers they are held as one matrix; beyond that they stay a table, searched by
+    cells around pivots (``operators.neighbours``), and the fitted model holds its path. Both searches are exact.
     """
 
     features: tuple[str, ...] = ("value",)
@@ -203,7 +205,7 @@ class LocalOutlierFactor(Detector):
         rows = complete(df, names)
         width = matrix(rows.limit(1).toPandas(), names).shape[1]
         if rows.count() * width > LARGEST:
-            raise ValueError(f"more than {LARGEST} numbers; an exact search of all rows is quadratic in them")
+            return self._fit_table(rows)
         x = matrix(rows.toPandas(), names).reshape(-1, width)
         k = min(self.n_neighbors, len(x) - 1)
         if k < 1:
@@ -216,6 +218,30 @@ class LocalOutlierFactor(Detector):
         self.fitted = {"x": x.tolist(), "k": k, "radius": distance[:, -1].tolist(), "density": density.tolist(), "limit": float(np.percentile(lof, 100 * (1 - self.contamination)))}
         return self
 
+    def _numbers(self, df: DataFrame) -> Column:
+        names = list(self.features)
+        whole = len(names) == 1 and dict(df.dtypes)[names[0]].startswith("array")
+        return F.col(names[0]).cast("array<double>") if whole else F.array(*[no_nan(c) for c in names])
+
+    def _fit_table(self, rows: DataFrame) -> LocalOutlierFactor:
+        rows = cut(rows.select(F.monotonically_increasing_id().alias("id"), self._numbers(rows).alias("x")), "rows")
+        k = min(self.n_neighbors, rows.count() - 1)
+        if k < 1:
+            raise ValueError("too few rows")
+        model, limit = fit_outliers(rows, k, self.contamination)
+        path = new_path(rows.sparkSession, "outliers")
+        model.write.parquet(path)
+        self.fitted = {"table": path, "k": k, "limit": limit}
+        return self
+
+    def _transform_table(self, df: DataFrame) -> DataFrame:
+        row, score = "_row", "score"
+        model = df.sparkSession.read.parquet(self.fitted["table"])
+        df = cut(df.withColumn(row, F.monotonically_increasing_id()), "scored")
+        new = df.select(F.col(row).alias("id"), self._numbers(df).alias("x")).where(F.col("x").isNotNull() & ~F.exists("x", lambda v: v.isNull() | F.isnan(v)))
+        found = outlier_factors(nearest(new, model.select("id", "x"), self.fitted["k"]), model.drop("x"))
+        return df.join(found.select(F.col("id").alias(row), F.col("lof").alias(score)), row, "left").drop(row)
+
     def _neighbours(self, spark: SparkSession, x: np.ndarray, k: int, block: int = 2000) -> tuple[np.ndarray, np.ndarray]:
         """The k nearest of all rows to each row, by blocks of rows against all."""
         held, near = spark.sparkContext.broadcast(x), self._near
@@ -245,6 +271,8 @@ class LocalOutlierFactor(Detector):
 
     def transform(self, df: DataFrame) -> DataFrame:
         self.need_fit()
+        if "table" in self.fitted:
+            return self._transform_table(df).withColumn("flag", flag(F.col("score") > self.fitted["limit"]))
         x, k = np.array(self.fitted["x"]), self.fitted["k"]
         radius, density = np.array(self.fitted["radius"]), np.array(self.fitted["density"])
         near = self._near
