@@ -23,9 +23,9 @@ def column(df, name, by):
 
 
 def test_metrics(spark):
-    df = spark.createDataFrame(list(zip([1, 0, 1, 0, 1], [1, 1, 0, 0, 1], strict=True)), "flag int, label int")
+    df = spark.createDataFrame([(1, 1)] * 3 + [(1, 0)] + [(0, 1)] * 2 + [(0, 0)] * 6, "flag int, label int")
     r = scoring.detection_metrics(df).first()
-    assert r.precision == r.recall == pytest.approx(2 / 3) and r.f1 == pytest.approx(2 / 3)
+    assert r.precision == pytest.approx(3 / 4) and r.recall == pytest.approx(3 / 5) and r.f1 == pytest.approx(2 / 3)
     none = spark.createDataFrame([(0, 0)], "flag int, label int")
     assert (scoring.detection_metrics(none).first().precision, scoring.detection_metrics(none).first().f1) == (0, 0)
     six = spark.createDataFrame(list(zip([1, 1, 1, 0, 1, 0], [1, 0, 1, 0, 0, 1], strict=True)), "flag int, label int")
@@ -53,9 +53,9 @@ def test_robust_z(spark, values):
 def test_runs_and_leads(spark):
     runs = lambda x: windows.run_lengths(spark.createDataFrame(list(enumerate(x)), "pos int, flag int"), "flag", [], ["pos"]).first()[0]
     assert runs([0, 0, 1, 1, 1, 0, 1, 0, 0]) == 2.0 and runs([0, 0]) == 0.0
-    rows = [(i, int(i in (5, 10, 15)), int(i in (8, 12, 18))) for i in range(20)]
+    rows = [(i, int(i in (2, 17, 31)), int(i in (9, 18, 40))) for i in range(45)]
     r = windows.lead_times(spark.createDataFrame(rows, "ts int, pred int, truth int"), "pred", "truth", "ts", []).first()
-    assert (r.mean_lead, r.median_lead, r.min_lead, r.max_lead, r.early, r.late) == (pytest.approx(8 / 3), 3, 2, 3, 3, 0)
+    assert (r.mean_lead, r.median_lead, r.min_lead, r.max_lead, r.early, r.late) == (pytest.approx(17 / 3), 7, 1, 9, 3, 0)
 
 
 def test_life_and_policy(spark):

@@ -138,10 +138,15 @@ def outlier_factors(near: DataFrame, model: DataFrame | None = None) -> DataFram
     return own.join(density, "id").join(lof, "id").select("id", (F.col("others") / F.col("density")).alias("lof"), "radius", "density")
 
 
-def fit_outliers(rows: DataFrame, k: int, contamination: float) -> tuple[DataFrame, float]:
-    """The model of ``rows(id, x)``: id, x, radius, density as a table, and the limit of the share of outliers."""
+def outliers(rows: DataFrame, k: int) -> DataFrame:
+    """id, lof, radius, density of ``rows(id, x)`` among themselves; a row is not its own neighbour."""
     near = nearest(rows, rows, k + 1)
     others = near.select("id", F.slice(F.filter("near", lambda e: e["id"] != F.col("id")), 1, k).alias("near"))
-    found = cut(outlier_factors(others), "factors")
+    return cut(outlier_factors(others), "factors")
+
+
+def fit_outliers(rows: DataFrame, k: int, contamination: float) -> tuple[DataFrame, float]:
+    """The model of ``rows(id, x)``: id, x, radius, density as a table, and the limit of the share of outliers."""
+    found = outliers(rows, k)
     limit = quantile(found, F.col("lof"), 1 - contamination)
     return cut(rows.join(found.select("id", "radius", "density"), "id"), "outlier-model"), limit

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import rules
 from tidewatch.functions.rules import ThresholdRule
-from tidewatch.operators import detectors, graph, recurrent, scoring, supervised, survival, windows
+from tidewatch.operators import detectors, graph, neighbours, recurrent, scoring, supervised, survival, windows
 from tidewatch.operators.ordering import quantiles, running
 from tidewatch.sources import io
 from tidewatch.sources.scratch import new_path
@@ -476,6 +476,15 @@ def detector_query(name: str, made: Callable[[], scoring.Scorer], rows: Callable
 
 
 detector_query("d1_isolation_forest", lambda: detectors.IsolationForest(("x",)))
+@query("d2_outliers_by_cells", """WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS x FROM embeddings), p AS (SELECT a.id, b.id AS other, list_distance(a.x, b.x) AS d FROM v a JOIN v b ON a.id <> b.id),
+    r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, other) AS k FROM p QUALIFY k <= 20), o AS (SELECT id, max(d) AS radius FROM r GROUP BY id),
+    f AS (SELECT r.id, 1 / (avg(greatest(d, radius)) + 1e-10) AS density FROM r JOIN o ON o.id = r.other GROUP BY r.id)
+    SELECT r.id AS vec_id, round(avg(n.density) / any_value(m.density), 6) AS lof FROM r JOIN f n ON n.id = r.other JOIN f m ON m.id = r.id GROUP BY r.id""")
+def _(spark, d):
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("x"))
+    return rounded(neighbours.outliers(rows, 20).select(F.col("id").alias("vec_id"), "lof"), "lof")
+
+
 detector_query("d2_local_outlier_factor", lambda: detectors.LocalOutlierFactor(("x",)))
 detector_query("d3_robust_covariance", lambda: detectors.RobustCovariance(("x",)))
 detector_query("d4_pca", lambda: detectors.PCADetector(("x",), method="both"))
