@@ -105,6 +105,30 @@ def apply_policy(df: DataFrame, state: str = "health_state", previous: str | Non
     return df.withColumn("cost", pick(a, ACTION_COST)).withColumn("risk", pick(s, STATE_RISK) * pick(a, RISK_LEFT))
 
 
+@dataclass(frozen=True)
+class PolicyResult:
+    """A table of decisions with its states, actions, costs and risks; missing columns are an error."""
+
+    decisions: DataFrame
+    keys: tuple[str, ...] = ()
+    state: str = "health_state"
+
+    def __post_init__(self) -> None:
+        missing = {*self.keys, self.state, "action", "cost", "risk"} - set(self.decisions.columns)
+        if missing:
+            raise ValueError(f"no columns {sorted(missing)}")
+
+    @classmethod
+    def of(cls, df: DataFrame, keys: tuple[str, ...], state: str = "health_state", previous: str | None = None) -> PolicyResult:
+        return cls(apply_policy(df, state, previous), keys, state)
+
+    def table(self) -> DataFrame:
+        return self.decisions.select(*self.keys, F.col(self.state).alias("health_state"), "action", "cost", "risk")
+
+    def totals(self) -> DataFrame:
+        return evaluate_policy(self.decisions)
+
+
 def evaluate_policy(df: DataFrame) -> DataFrame:
     """total_cost, total_risk, interventions, reviews, waits."""
     return df.agg(F.sum("cost").alias("total_cost"), F.sum("risk").alias("total_risk"), F.count_if(F.col("action") == 2).alias("interventions"), F.count_if(F.col("action") == 1).alias("reviews"), F.count_if(F.col("action") == 0).alias("waits"))

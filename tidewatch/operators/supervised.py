@@ -90,6 +90,8 @@ class SequenceClassifier:
         return self
 
     def transform(self, rows: DataFrame) -> DataFrame:
+        if self.model is None:
+            raise NotFitted("SequenceClassifier is not fitted")
         x = self.model.transform(rows.withColumn("_x", array_to_vector(F.flatten("sequence"))))
         x = x.withColumn("distress_probability", vector_to_array("_p")[1])
         return x.withColumn("health_state", health_from_probability(F.col("distress_probability"))).drop("_x", "_p", "_r", "_c")
@@ -146,6 +148,8 @@ class OrdinalClassifier:
         return self
 
     def transform(self, df: DataFrame, out: str = "prediction") -> DataFrame:
+        if not self.models:
+            raise NotFitted("OrdinalClassifier is not fitted")
         kept = df.columns
         df = _with_vectors(df, self.features)
         for m in self.models:
@@ -283,6 +287,8 @@ class BoostedOrdinal:
         return self
 
     def transform(self, df: DataFrame, out: str = "prediction") -> DataFrame:
+        if self.model is None:
+            raise NotFitted("BoostedOrdinal is not fitted")
         df = self.model.transform(_with_vectors(df, self.features))
         e = [F.exp(-F.abs(F.col("_c") - k)) for k in range(3)]
         return df.withColumn("probabilities", F.array(*[x / (e[0] + e[1] + e[2]) for x in e])).withColumn(out, rounded_state(F.col("_c"))).drop("_raw", "_c", *[f"_v_{c}" for c in self.features])
@@ -326,6 +332,8 @@ class StackedOrdinal:
         return self
 
     def transform(self, df: DataFrame, out: str = "prediction") -> DataFrame:
+        if self.meta is None:
+            raise NotFitted("StackedOrdinal is not fitted")
         rows, names = self._bases(df)
         return self.meta.transform(rows).withColumn(out, F.col("_c").cast("int")).drop("_raw", "_c", "_p", "_r", *names)
 

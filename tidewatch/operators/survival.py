@@ -19,6 +19,7 @@ from tidewatch.functions.rules import health_from_rul
 from tidewatch.operators.detectors import by_matrix, moments
 from tidewatch.operators.ordering import running
 from tidewatch.operators.recurrent import _dealt, dense, dense_gradient, dense_weights, trained
+from tidewatch.operators.scoring import NotFitted
 from tidewatch.sources.scratch import cut
 
 #: Up to so many distinct durations are summed in one task of a Newton step (some 100 MB); beyond that by ranges.
@@ -111,6 +112,8 @@ class ParametricSurvival:
         return np.column_stack([np.ones(len(x)), x, *[cube(x - k[j + 1]) - p * cube(x - k[0]) - (1 - p) * cube(x - k[-1]) for j, p in enumerate(part)]])
 
     def survival_at(self, t: np.ndarray) -> np.ndarray:
+        if not self.theta:
+            raise NotFitted("ParametricSurvival is not fitted")
         t = np.asarray(t, float)
         if self.kind == "spline":
             return np.exp(-np.exp(np.clip(self._basis(t) @ np.array(self.theta), -30, 30)))
@@ -176,6 +179,34 @@ class ParametricSurvival:
         return df.sparkSession.createDataFrame([(float(t), float(s)) for t, s in zip(times, self.survival_at(np.array(times)), strict=True)], "t double, survival double")
 
 
+class SurvivalModel:
+    """Extension point: ``fit(df, duration, event)`` learns, ``curve(df, key)`` gives key, t, survival; the rest follows from the curve."""
+
+    fitted: dict
+
+    def fit(self, df: DataFrame, duration: str = "duration", event: str = "event") -> SurvivalModel:
+        raise NotImplementedError
+
+    def curve(self, df: DataFrame, key: str) -> DataFrame:
+        raise NotImplementedError
+
+    def is_fitted(self) -> bool:
+        return bool(self.fitted)
+
+    def need_fit(self) -> None:
+        if not self.is_fitted():
+            raise NotFitted(f"{type(self).__name__} is not fitted")
+
+    def time_to_failure(self, df: DataFrame, key: str, probability: float = 0.5) -> DataFrame:
+        """key and the first time at which survival is below a probability; the last time if it never is."""
+        return time_to_failure(self.curve(df, key), (key,), probability)
+
+    def risk(self, df: DataFrame, key: str) -> DataFrame:
+        """``df`` with risk_score: minus the median survival time of its key (the first time at which survival is at most a half)."""
+        median = quantile_time(self.curve(df, key), 0.5, (key,))
+        return df.join(median.select(key, (-F.col("time")).alias("risk_score")), key, "left")
+
+
 def newton(losses: Callable[[np.ndarray], np.ndarray], start: np.ndarray, steps: int = 40, h: float = 1e-3) -> np.ndarray:
     """The smallest loss by Newton steps on central differences; ``losses`` takes all points of a step at once."""
     k, at = len(start), start.astype(float)
@@ -235,7 +266,7 @@ def elastic_step(beta: np.ndarray, gradient: np.ndarray, curvature: np.ndarray,
 
 
 @dataclass
-class CoxModel:
+class CoxModel(SurvivalModel):
     """Proportional hazards by Newton steps on the partial likelihood, ties by Efron's correction (or "breslow").
 
     The mean log likelihood loses ``penalty * (l1_ratio |b| + (1 - l1_ratio) b^2 / 2)`` of the coefficients of standardised columns; with
@@ -317,12 +348,14 @@ class CoxModel:
         found = steps.orderBy("t").select("t", "cumulative").collect()
         self.fitted["times"], self.fitted["cumulative"] = [r.t for r in found], [r.cumulative for r in found]
 
-    def risk(self, df: DataFrame) -> DataFrame:
+    def risk(self, df: DataFrame, key: str | None = None) -> DataFrame:
         """Adds risk_score, the partial hazard."""
+        self.need_fit()
         return df.withColumn("risk_score", F.exp(self.log_risk()))
 
     def curve(self, df: DataFrame, key: str, times: list[float] | None = None) -> DataFrame:
         """key, t, survival: the baseline to the power of the partial hazard, at the nearest known times."""
+        self.need_fit()
         known, cumulative = np.array(self.fitted["times"]), np.array(self.fitted["cumulative"])
         times = known if times is None else np.array(times, float)
         right = np.clip(np.searchsorted(known, times), 1, max(1, len(known) - 1))
@@ -386,7 +419,7 @@ class DeepSurv(CoxModel):
 
 
 @dataclass
-class LogisticHazard:
+class LogisticHazard(SurvivalModel):
     """Discrete-time hazards: rows are expanded to their bins, a logistic regression on features and bin gives the hazard."""
 
     features: list[str] = field(default_factory=list)
@@ -411,6 +444,7 @@ class LogisticHazard:
     def curve(self, df: DataFrame, key: str) -> DataFrame:
         from pyspark.ml.functions import vector_to_array
 
+        self.need_fit()
         rows = df.select(key, *self.features, F.explode(F.sequence(F.lit(0), F.lit(self.n_bins - 1))).alias("bin"))
         rows = self.model.transform(rows).select(key, "bin", F.get(vector_to_array("_p"), F.lit(1)).alias("h"))
         upto = Window.partitionBy(key).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
