@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidewatch.operators import detectors, neighbours
 from tidewatch.operators.detectors import LocalOutlierFactor
 from tidewatch.operators.neighbours import nearest
+from tidewatch.sources import io
 
 
 def frame(spark, x):
@@ -52,7 +53,7 @@ def test_cells_are_left_out(spark, monkeypatch):
     assert visits.count() < 0.5 * 400 * cells
 
 
-def test_both_forms_of_the_outlier_factor_agree(spark, monkeypatch):
+def test_both_forms_of_the_outlier_factor_agree(spark, monkeypatch, tmp_path):
     rng = np.random.default_rng(4)
     rows = pd.DataFrame(rng.standard_normal((250, 2)), columns=["a", "b"]).assign(id=range(250))
     rows.loc[:4, ["a", "b"]] = 9 + rng.standard_normal((5, 2))
@@ -66,3 +67,9 @@ def test_both_forms_of_the_outlier_factor_agree(spark, monkeypatch):
     assert b["score"][250:].isna().all() and b["flag"][:5].sum() >= 4
     assert set(table.transform(df).columns) == set(held.transform(df).columns)
     assert table.transform(df.where(F.lit(False))).count() == 0
+    io.save_model(table, str(tmp_path / "lof"))
+    again = io.load_model(str(tmp_path / "lof"))
+    assert again.fitted["table"].startswith(str(tmp_path))
+    assert np.allclose(again.transform(df).orderBy("id").toPandas()["score"], b["score"], equal_nan=True)
+    io.save_model(again, str(tmp_path / "lof"))  # where it lies already
+    assert spark.read.parquet(again.fitted["table"]).count() == 250

@@ -21,7 +21,7 @@ from tidewatch.functions.rules import flag, health_from_distance, no_nan
 from tidewatch.operators.neighbours import fit_outliers, nearest, outlier_factors
 from tidewatch.operators.ordering import quantile, quantiles
 from tidewatch.operators.scoring import Detector, Scorer
-from tidewatch.sources.scratch import cut, new_path
+from tidewatch.sources.scratch import TablePath, cut, new_path
 
 #: Rows that a model which needs rows learns from, at most.
 SAMPLE = 20_000
@@ -231,7 +231,7 @@ class LocalOutlierFactor(Detector):
         model, limit = fit_outliers(rows, k, self.contamination)
         path = new_path(rows.sparkSession, "outliers")
         model.write.parquet(path)
-        self.fitted = {"table": path, "k": k, "limit": limit}
+        self.fitted = {"table": TablePath(path), "k": k, "limit": limit}
         return self
 
     def _transform_table(self, df: DataFrame) -> DataFrame:

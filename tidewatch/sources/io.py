@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.rules import ThresholdRule
 from tidewatch.operators import scoring
+from tidewatch.sources.scratch import TablePath
 
 
 def series(spark: SparkSession, data, value: str = "value") -> DataFrame:
@@ -122,6 +123,9 @@ def _packed(x, path: str, parts: list[tuple[str, object]]):
         return {"__ml__": parts[-1][0].rsplit("/", 1)[1]}
     if hasattr(x, "__dataclass_fields__"):
         return {"__class__": f"{type(x).__module__}:{type(x).__name__}", "state": {k: _packed(v, path, parts) for k, v in vars(x).items()}}
+    if isinstance(x, TablePath):
+        parts.append((f"{path}/table-{len(parts)}", x))
+        return {"__table__": f"table-{len(parts) - 1}"}
     if isinstance(x, dict):
         return {"__dict__": [[_packed(k, path, parts), _packed(v, path, parts)] for k, v in x.items()]}
     if isinstance(x, (list, tuple)):
@@ -136,6 +140,8 @@ def _unpacked(x, path: str):
         return x
     if "__ml__" in x:
         return PipelineModel.load(f"{path}/{x['__ml__']}")
+    if "__table__" in x:
+        return TablePath(f"{path}/{x['__table__']}")
     if "__dict__" in x:
         return {_unpacked(k, path): _unpacked(v, path) for k, v in x["__dict__"]}
     if "__tuple__" in x:
@@ -155,7 +161,7 @@ def _is_fitted(model) -> bool:
 
 
 def save_model(model, path: str, metadata: dict | None = None, spark: SparkSession | None = None) -> None:
-    """model.json (class, parameters, fitted state; folders of pyspark.ml models) and metadata.json in a folder of any file system.
+    """model.json (class, parameters, fitted state; folders of pyspark.ml models and of tables) and metadata.json in a folder of any file system.
 
     All scorers, detectors, ensembles, supervised and survival models; ValueError if the model is not fitted.
     """
@@ -164,7 +170,11 @@ def save_model(model, path: str, metadata: dict | None = None, spark: SparkSessi
     spark, parts = spark or SparkSession.builder.getOrCreate(), []
     text = json.dumps(_packed(model, path, parts))
     for at, part in parts:
-        part.write().overwrite().save(at)
+        if isinstance(part, TablePath):
+            if str(part) != at:  # else it is stored where it lies
+                spark.read.parquet(part).write.mode("overwrite").parquet(at)
+        else:
+            part.write().overwrite().save(at)
     write_text(spark, f"{path}/model.json", text)
     params = {k: v for k, v in vars(model).items() if isinstance(v, (str, int, float, bool, tuple, list)) and k != "theta"}
     write_text(spark, f"{path}/metadata.json", json.dumps({"class": type(model).__name__, "module": type(model).__module__, "params": params, "fitted": True, **(metadata or {})}, default=repr))
