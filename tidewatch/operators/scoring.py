@@ -359,3 +359,41 @@ def assert_monotonic(df: DataFrame, at: str, partition: list[str], order: list[s
     w = (Window.partitionBy(*partition) if partition else Window.partitionBy(F.lit(0))).orderBy(*order)
     if not df.select((F.lag(at).over(w) > F.col(at)).alias("back")).where("back").isEmpty():
         raise ValueError(f"{at} is not in order")
+
+
+def assert_series(df: DataFrame, at: str = "ts", value: str = "value") -> None:
+    """ValueError unless a table has a column of times or positions and a column of numbers, by its schema alone."""
+    types = dict(df.dtypes)
+    if at not in types or value not in types:
+        raise ValueError(f"a series has the columns {at} and {value}")
+    if types[at] not in ("timestamp", "timestamp_ntz", "date", "string") and not _is_number(types[at]):
+        raise ValueError(f"{at} must be a time or a position, not {types[at]}")
+    if not _is_number(types[value]):
+        raise ValueError(f"{value} must be a number, not {types[value]}")
+
+
+def assert_panel(df: DataFrame, keys: list[str], at: str = "ts", value: str = "value") -> None:
+    """As a series, with key columns that say whose row it is."""
+    if not keys or not set(keys) <= set(df.columns):
+        raise ValueError(f"a panel has the keys {list(keys)}")
+    assert_series(df, at, value)
+
+
+def _is_number(kind: str) -> bool:
+    return kind.startswith("decimal") or kind in ("tinyint", "smallint", "int", "bigint", "float", "double")
+
+
+def run_scoring(df: DataFrame, scorer: Scorer, keys: list[str], at: str = "ts", value: str = "value") -> DataFrame:
+    """Checks the table, scores it, and checks that the scores have the same keys and times (a read of both)."""
+    assert_panel(df, keys, at, value) if keys else assert_series(df, at, value)
+    out = score_anomalies(df, scorer)
+    assert_aligned(df, out, [*keys, at])
+    return out
+
+
+def run_detection(df: DataFrame, scorer: Scorer, rule: ThresholdRule | None, keys: list[str], at: str = "ts", value: str = "value") -> DataFrame:
+    """As ``run_scoring``, with the flag of the detector, or of the rule within each key."""
+    assert_panel(df, keys, at, value) if keys else assert_series(df, at, value)
+    out = detect_anomalies(df, scorer, rule, tuple(keys))
+    assert_aligned(df, out, [*keys, at])
+    return out
