@@ -317,6 +317,8 @@ def test_arima_is_fitted_apart(spark):
     assert flags[150] == 1 and sum(flags) < 25
     other = frame(y).withColumn("k", F.lit("b"))
     assert sum(column(detectors.arima_drift(other, "x", ["k"], ["i"], fitted=models), "flag", "i")) == 0
+    plain = detectors.arima_fit(frame(x), "x", ["k"], ["i"], exact=False)
+    assert column(detectors.arima_drift(frame(y), "x", ["k"], ["i"], fitted=plain, exact=False), "flag", "i")[150] == 1
 
 
 def test_a_detector_keeps_its_flag(points):

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tidewatch.functions.rules import flag, health_from_distance, no_nan
+from tidewatch.operators import arima
 from tidewatch.operators.neighbours import fit_outliers, nearest, outlier_factors
 from tidewatch.operators.ordering import quantile, quantiles
 from tidewatch.operators.scoring import Detector, Scorer
@@ -542,41 +543,78 @@ def _filled(pdf: pd.DataFrame, value: str, order: list[str]) -> np.ndarray:
     return np.where(np.isnan(x), np.nanmean(x) if (~np.isnan(x)).any() else 0.0, x)
 
 
-def arima_fit(df: DataFrame, value: str, partition: list[str], order: list[str], p: int = 1, d: int = 1, q: int = 1) -> DataFrame:
-    """partition, mean, beta, deviation: an ARIMA(p, d, q) of each entity by conditional least squares; short series have no deviation."""
+#: Rows that are filtered together; series are dealt to bundles of about so many, and a series lies in one.
+BUNDLE = 100_000
+
+
+def _bundled(df: DataFrame, partition: list[str], bundles: int) -> DataFrame:
+    return df.withColumn("_bundle", F.pmod(F.xxhash64(F.lit(0), *partition), F.lit(bundles)))
+
+
+def _by_entity(pdf: pd.DataFrame, partition: list[str]) -> list[tuple[tuple, pd.DataFrame]]:
+    """Key (None for null) and rows of each entity; without partition columns all rows are one series."""
+    if not len(pdf):
+        return []
+    groups = [g for _, g in pdf.groupby(partition, dropna=False, sort=False)] if partition else [pdf]
+    return [(tuple(None if pd.isna(g[c].iloc[0]) else g[c].iloc[0] for c in partition), g) for g in groups]
+
+
+def arima_fit(df: DataFrame, value: str, partition: list[str], order: list[str], p: int = 1, d: int = 1, q: int = 1, exact: bool = True) -> DataFrame:
+    """partition, mean, beta, deviation, loglik: an ARIMA(p, d, q) of each entity; short series have no deviation.
+
+    Coefficients are the likeliest ones (``operators.arima``; a constant only for d = 0), for many series of a bundle at
+    once, or with ``exact=False`` by conditional least squares, with a constant and without loglik. Missing values are
+    filled with the series' mean.
+    """
     types = dict(df.dtypes)
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+    def least_squares(pdf: pd.DataFrame) -> pd.DataFrame:
         x = _filled(pdf, value, order)
         beta, error, y = _arima_terms(x, float(x.mean()), p, d, q, None)
         enough = len(y) > 2 * (p + q) + 2
-        return pd.DataFrame([[*(pdf[c].iloc[0] for c in partition), float(x.mean()), beta.tolist(), float(error[max(p, q) :].std()) if enough else None]], columns=[*partition, "mean", "beta", "deviation"])
+        return pd.DataFrame([[*(pdf[c].iloc[0] for c in partition), float(x.mean()), beta.tolist(), float(error[max(p, q) :].std()) if enough else None, None]], columns=[*partition, "mean", "beta", "deviation", "loglik"])
 
-    schema = ", ".join(f"`{c}` {types[c]}" for c in partition) + ", mean double, beta array<double>, deviation double"
-    return df.select(*partition, *order, value).groupBy(*partition).applyInPandas(fit, schema)
+    def likeliest(pdf: pd.DataFrame) -> pd.DataFrame:
+        groups = [g for _, g in _by_entity(pdf, partition)]
+        found = arima.fit_many([_filled(g, value, order) for g in groups], p, d, q)
+        return pd.DataFrame([[*(g[c].iloc[0] for c in partition), *f] for g, f in zip(groups, found, strict=True)], columns=[*partition, "mean", "beta", "deviation", "loglik"])
 
+    schema = ", ".join([*(f"`{c}` {types[c]}" for c in partition), "mean double", "beta array<double>", "deviation double", "loglik double"])
+    own = df.select(*partition, *order, value)
+    if not exact:
+        return own.groupBy(*partition).applyInPandas(least_squares, schema)
+    return _bundled(own, partition, df.count() // BUNDLE + 1).groupBy("_bundle").applyInPandas(likeliest, schema)
 
-def arima_drift(df: DataFrame, value: str, partition: list[str], order: list[str], p: int = 1, d: int = 1, q: int = 1, threshold: float = 2.0, fitted: DataFrame | None = None) -> DataFrame:
+
+def arima_drift(df: DataFrame, value: str, partition: list[str], order: list[str], p: int = 1, d: int = 1, q: int = 1, threshold: float = 2.0, fitted: DataFrame | None = None, exact: bool = True) -> DataFrame:
     """Absolute one-step residual of an ARIMA(p, d, q) in residual deviations.
 
-    Each entity's model is its own row of ``fitted`` (from ``arima_fit``), or is learned from ``df`` itself. Entities
-    without a model and series too short for one score 0.
+    Each entity's model is its own row of ``fitted`` (from ``arima_fit`` with the same ``exact``), or is learned from
+    ``df`` itself. Entities without a model and series too short for one score 0.
     """
-    models = fitted if fitted is not None else arima_fit(df, value, partition, order, p, d, q)
+    models = fitted if fitted is not None else arima_fit(df, value, partition, order, p, d, q, exact)
     schema = StructType([*df.schema.fields, StructField("score", DoubleType()), StructField("flag", DoubleType())])
 
-    def score(rows: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order)
+    def errors(series: list[np.ndarray], held: list[pd.Series]) -> list[np.ndarray]:
+        betas = [np.array(m["beta"], float) for m in held]
+        if exact:
+            return arima.errors_many(series, [m["mean"] for m in held], betas, p, d, q)
+        return [_arima_terms(x, m["mean"], p, d, q, beta)[1] for x, m, beta in zip(series, held, betas, strict=True)]
+
+    def score(rows: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        known = {k: m.iloc[0] for k, m in _by_entity(found, partition) if pd.notna(m["deviation"].iloc[0])}
+        rows = rows.drop(columns="_bundle").sort_values(order).reset_index(drop=True).assign(score=0.0)
+        modelled = [(g, known[k]) for k, g in _by_entity(rows, partition) if k in known]
         out = np.zeros(len(rows))
-        if len(rows) and len(model) and pd.notna(model["deviation"].iloc[0]):
-            m = model.iloc[0]
-            _, error, y = _arima_terms(_filled(rows, value, order), m["mean"], p, d, q, np.array(m["beta"], float))
-            if len(y):
-                out[d:] = np.abs(error) / (m["deviation"] + 1e-10)
-            out[:1] = 0
+        for (g, m), error in zip(modelled, errors([_filled(g, value, order) for g, _ in modelled], [m for _, m in modelled]), strict=True):
+            own = np.zeros(len(g))
+            own[d:] = np.abs(error) / (m["deviation"] + 1e-10) if len(error) else 0
+            own[:1] = 0
+            out[g.index.to_numpy()] = own
         return rows.assign(score=out, flag=(out > threshold).astype(float))
 
-    both = df.groupBy(*partition).cogroup(models.groupBy(*partition))
+    bundles = df.count() // BUNDLE + 1
+    both = _bundled(df, partition, bundles).groupBy("_bundle").cogroup(_bundled(models, partition, bundles).groupBy("_bundle"))
     return both.applyInPandas(score, schema).withColumn("flag", F.col("flag").cast("int"))
 
 
