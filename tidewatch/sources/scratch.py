@@ -34,19 +34,29 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 def cut(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """The same rows, read back from a table in the shared folder."""
-    path = new_path(df.sparkSession, name)
+    return cut_to(df, new_path(df.sparkSession, name), compression)
+
+
+def cut_to(df: DataFrame, path: str, compression: str = "zstd") -> DataFrame:
+    """As ``cut``, in a folder that the caller names and may ``drop``."""
     df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
-    """As ``cut``, as a table bucketed and sorted by a key: joins and groups on it don't move its rows again."""
+def bucketed_table(df: DataFrame, keys: list[str], name: str) -> tuple[DataFrame, str, str]:
+    """As ``cut``, as a table bucketed and sorted by keys: joins and groups on them don't move its rows again. Also its name and folder."""
     spark = df.sparkSession
     path = new_path(spark, name)
     table = f"{name}_{path[-12:]}"
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.repartition(n, key).write.option("path", path).bucketBy(n, key).sortBy(key).saveAsTable(table)
-    return spark.table(table)
+    df.repartition(n, *keys).write.option("path", path).bucketBy(n, *keys).sortBy(*keys).saveAsTable(table)
+    return spark.table(table), table, path
+
+
+def drop_table(spark: SparkSession, table: str, path: str) -> None:
+    """Takes a bucketed table that is no longer read out of the catalog and removes its folder."""
+    spark.sql(f"DROP TABLE IF EXISTS {table}")
+    drop(spark, path)
 
 
 def drop(spark: SparkSession, path: str) -> None:
