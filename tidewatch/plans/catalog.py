@@ -687,20 +687,24 @@ def _(spark, d):
     return rounded(maintenance.tracked_performance(flagged(spark, d), "user_id", "ts", 50).select("user_id", "tp", "fp", "tn", "fn", "f1"), "f1")
 
 
-#: Files, and so micro-batches, that a table is streamed in.
+#: Micro-batches that a table is streamed in.
 MICRO_BATCHES = 10
 
 
 def streamed(spark: SparkSession, d: str, order: str, made: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """The events as a stream of files in their order, one a micro-batch, until all are there; the sink is a table in the shared folder."""
+    """The events as a stream in their order, until all are there; the sink is a table in the shared folder.
+
+    A part of the order is written, however many files it takes, and the stream goes on from its checkpoint with all of them as one micro-batch:
+    no later row is seen before an earlier one, and the number of micro-batches does not grow with the table.
+    """
     path, rows = new_path(spark, "stream"), events(spark, d)
-    edges = quantiles(rows, {"at": (F.col(order).cast("timestamp").cast("double") if order == "ts" else F.col(order).cast("double"), [k / MICRO_BATCHES for k in range(1, MICRO_BATCHES)])})["at"]
     at = F.col(order).cast("timestamp").cast("double") if order == "ts" else F.col(order).cast("double")
+    edges = quantiles(rows, {"at": (at, [k / MICRO_BATCHES for k in range(1, MICRO_BATCHES)])})["at"]
     part = sum(((at > e).cast("int") for e in edges), F.lit(0))
     for k in range(MICRO_BATCHES):
         rows.where(part == k).write.mode("append").parquet(f"{path}/in")
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
-    made(stream).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+        stream = spark.readStream.schema(rows.schema).parquet(f"{path}/in")
+        made(stream).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{path}/out")
 
 
