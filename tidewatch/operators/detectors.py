@@ -126,6 +126,20 @@ def _path(n: np.ndarray | float) -> np.ndarray:
     return np.where(n > 2, 2 * (np.log(np.maximum(n - 1, 1)) + 0.5772156649) - 2 * (n - 1) / np.maximum(n, 1), np.where(n == 2, 1.0, 0.0))
 
 
+#: Rows that go through all trees together.
+_ROWS = 32_768
+
+
+def _flat(tree: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+    """A tree's features, cuts, children (not below and below its cut, side by side; a leaf is its own), path lengths and depth."""
+    leaf, own = tree[:, 0] < 0, np.arange(len(tree))
+    child = np.column_stack([np.where(leaf, own, tree[:, 3]), np.where(leaf, own, tree[:, 2])]).astype(np.intp)
+    depth, level = 0, np.zeros(1, np.intp)
+    while not leaf[level].all():
+        depth, level = depth + 1, np.unique(child[level[~leaf[level]]])
+    return np.maximum(tree[:, 0], 0).astype(np.intp), np.ascontiguousarray(tree[:, 1]), child.ravel(), np.ascontiguousarray(tree[:, 4]), depth
+
+
 @dataclass
 class IsolationForest(Detector):
     """Random trees over samples of 256 rows; the offset puts a share ``contamination`` of all training rows above 0 (less, where scores tie)."""
@@ -163,21 +177,22 @@ class IsolationForest(Detector):
         return self
 
     def _raw(self) -> Callable[[np.ndarray], np.ndarray]:
-        trees, scale = [np.array(t) for t in self.fitted["trees"]], float(_path(self.fitted["size"])) or 1.0
+        scale = float(_path(self.fitted["size"])) or 1.0
+        trees = [_flat(np.array(t)) for t in self.fitted["trees"]]
 
         def score(x: np.ndarray) -> np.ndarray:
-            total = np.zeros(len(x))
-            for t in trees:
-                at = np.zeros(len(x), np.int64)
-                while True:
-                    inner = t[at, 0] >= 0
-                    if not inner.any():
-                        break
-                    f = t[at, 0].astype(np.int64)
-                    below = x[np.arange(len(x)), np.maximum(f, 0)] < t[at, 1]
-                    at = np.where(inner, np.where(below, t[at, 2], t[at, 3]), at).astype(np.int64)
-                total += t[at, 4]
-            return 2.0 ** (-total / len(trees) / scale)
+            out = np.empty(len(x))
+            for at in range(0, len(x), _ROWS):
+                own = np.ascontiguousarray(x[at : at + _ROWS])
+                flat, first, total = own.ravel(), np.arange(len(own)) * own.shape[1], np.zeros(len(own))
+                for feature, cut, child, path, depth in trees:
+                    node = np.zeros(len(own), np.intp)
+                    for _ in range(depth):
+                        below = flat.take(first + feature.take(node)) < cut.take(node)
+                        node = child.take(2 * node + below)
+                    total += path.take(node)
+                out[at : at + _ROWS] = total
+            return 2.0 ** (-out / len(trees) / scale)
 
         return score
 
