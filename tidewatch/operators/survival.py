@@ -365,7 +365,7 @@ class CoxModel(SurvivalModel):
         return df.select(key, F.exp(self.log_risk()).alias("w")).crossJoin(F.broadcast(base)).select(key, "t", F.exp(-F.col("h") * F.col("w")).alias("survival"))
 
 
-def partial_likelihood(w: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+def partial_likelihood(w: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, room: dict | None = None) -> tuple[float, dict[str, np.ndarray]]:
     """Minus the mean log partial likelihood of a batch (y: duration, event) over its own risk sets, ties as one, and its gradient."""
     risk, held = dense(w, x)
     order = np.argsort(-y[:, 0], kind="stable")
