@@ -1,9 +1,11 @@
 """Exact nearest neighbours by cells around pivots, and the outlier factor whose model is a table.
 
 Every row belongs to the cell of its nearest pivot. The rows known to lie closest to each pivot bound how far a query's k-th
-neighbour can be; a query visits only cells that the triangle inequality and the plane between two pivots leave open. Cells are dealt
-to chunks and queries to blocks, each a row of the join, so that neither a large cell nor a frequent point is ever in one task. Where
-nothing can be left out (very many dimensions), every query visits every cell, but memory stays bounded.
+neighbour can be; a query visits only cells that the triangle inequality and the plane between two pivots leave open. Rows are dealt to
+slabs and queries to parts by a hash, each slab meets each part in a task of its own: what is moved is a few copies of both tables,
+whatever can be left out, and neither a large cell nor a frequent point is ever whole in one task. In a task products of matrices tell
+which rows may be near, and those alone are measured exactly. Where no cell can be left out (very many dimensions) the products are
+quadratic, memory and disk stay bounded.
 """
 
 from __future__ import annotations
@@ -19,9 +21,15 @@ from pyspark.sql import functions as F
 from tidewatch.operators.ordering import quantile
 from tidewatch.sources.scratch import cut
 
-#: At most so many pivots (what tasks are sent grows with them alone), rows of a chunk, and queries of a block.
+#: At most so many pivots (what tasks are sent grows with them alone); fewer rows or queries than these are not dealt further.
 PIVOTS, CHUNK, BLOCK = 512, 4000, 1000
 
+#: Numbers of a slab or a part.
+SLAB = 8_000_000
+
+#: Queries and rows of one product.
+ASKED, HELD = 256, 8192
+
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """By products around a common origin, which keeps their error small against the spread of the rows."""
@@ -33,12 +41,67 @@ def _rows(part: pd.Series) -> np.ndarray:
     return np.array(part.tolist(), float)
 
 
-def _packed(rows: DataFrame, size: int, names: tuple[str, str]) -> DataFrame:
-    """cell and the ids and numbers of about ``size`` of its rows; a cell's rows are dealt by a hash of their ids."""
-    parts = rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / size).alias("parts"))
-    dealt = rows.join(F.broadcast(parts), "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))  # one row a pivot
-    packed = dealt.groupBy("cell", "part").agg(F.collect_list(F.struct("id", "x")).alias("rows"))
-    return packed.select("cell", F.col("rows.id").alias(names[0]), F.flatten("rows.x").alias(names[1]))
+def _read(part: pd.Series, width: int, dtype: str) -> np.ndarray:
+    return np.frombuffer(b"".join(part), dtype).reshape(-1, width).astype(float)
+
+
+def _visited(d: np.ndarray, reach: np.ndarray, home: np.ndarray, pivots: np.ndarray, between: np.ndarray, radius: np.ndarray) -> np.ndarray:
+    """Which cells (queries, pivots) may hold one of the nearest rows, from the queries' distances to the pivots."""
+    each, slack = np.arange(len(d)), 1e-6 * (1 + d.max(axis=1) + radius.max())
+    plane = (d**2 - d[each, home][:, None] ** 2) / (2 * np.maximum(between[home], 1e-300))
+    plane[each, home] = 0
+    return (d - radius <= (reach + slack)[:, None]) & (plane <= (reach + slack)[:, None])
+
+
+def _best(query: np.ndarray, d: np.ndarray, id: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k first of each query by distance and id, in order."""
+    order = np.lexsort((id, d, query))
+    query, d, id = query[order], d[order], id[order]
+    kept = np.arange(len(query)) - np.searchsorted(query, query) < k
+    return query[kept], d[kept], id[kept]
+
+
+def closest_rows(q: np.ndarray, reach: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """query, d, id of the k rows of ``x`` closest to each query among those within its reach, in order.
+
+    Squares of distances come from products (in single precision where its error is small against the reach); what they don't exclude
+    is measured by differences. The reach shrinks to the k-th row found so far.
+    """
+    middle = x.mean(axis=0)
+    a, b = q - middle, x - middle
+    own, other = (a**2).sum(axis=1), (b**2).sum(axis=1)
+    error = 8 * (q.shape[1] + 8) * (own.max() + other.max())
+    dtype = np.float32 if error * np.finfo(np.float32).eps < 0.01 * (reach**2).min() else np.float64
+    slack = error * np.finfo(dtype).eps
+    a, b = np.c_[-2 * a, np.ones(len(a))].astype(dtype), np.c_[b, other].T.astype(dtype, order="C")
+    limit = reach**2 * (1 + 1e-9) + slack
+    found = (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))
+    waiting: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def settled() -> None:
+        nonlocal found
+        i, j = (np.concatenate(c) for c in zip(*waiting, strict=True))
+        waiting.clear()
+        d = np.zeros(len(i))
+        for c in range(q.shape[1]):
+            d += (q[i, c] - x[j, c]) ** 2
+        found = _best(np.concatenate([found[0], i]), np.concatenate([found[1], np.sqrt(d)]), np.concatenate([found[2], ids[j]]), k)
+        n = np.bincount(found[0], minlength=len(q))
+        full = np.flatnonzero(n >= k)
+        limit[full] = np.minimum(limit[full], found[1][np.cumsum(n)[full] - 1] ** 2 * (1 + 1e-9) + slack)
+
+    for at in range(0, len(x), HELD):
+        near = a @ b[:, at : at + HELD]
+        if not at and near.shape[1] > k:
+            limit = np.minimum(limit, np.partition(near, k - 1, axis=1)[:, k - 1] + own + 2 * slack)
+        i, j = np.nonzero(near <= (limit - own).astype(dtype)[:, None] + dtype(slack))
+        if len(i):
+            waiting.append((i, j + at))
+        if sum(len(i) for i, _ in waiting) > 4 * k * len(q):
+            settled()
+    if waiting:
+        settled()
+    return found
 
 
 def nearest(queries: DataFrame, rows: DataFrame, k: int, seed: int = 0) -> DataFrame:
@@ -80,47 +143,58 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, seed: int = 0) -> DataF
         bound[r.cell, r.k - 1] = r.d
     between = _distances(pivots, pivots)
 
+    asked = queries.count()
+    width = pivots.shape[1]
+    side = math.isqrt(4 * queries.sparkSession.sparkContext.defaultParallelism) + 1
+    slabs, shares = (max(-(-m * width // SLAB), min(side, -(-m // least))) for m, least in ((n, CHUNK), (asked, BLOCK)))
+    if not asked:
+        return empty
+    # half the bytes to move if single precision holds the numbers as they are
+    single = F.bool_and(F.col("x").cast("array<float>").cast("array<double>") == F.col("x"))
+    dtype = "<f4" if all(t.agg(single).first()[0] for t in (rows, queries)) else "<f8"
+    pack = lambda x: [r.tobytes() for r in x.astype(dtype)]
+
     def visit(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         step = max(1, 4_000_000 // bound.size)
         for part in parts:
             for at in range(0, len(part), step):
-                own = part.iloc[at : at + step]
-                d = _distances(_rows(own["x"]), pivots)
+                x = _rows(part["x"].iloc[at : at + step])
+                d = _distances(x, pivots)
                 reach = np.partition((d[:, :, None] + bound[None]).reshape(len(d), -1), k - 1, axis=1)[:, k - 1]
-                home = d.argmin(axis=1)
-                slack = 1e-6 * (1 + d.max(axis=1) + radius.max())
-                first = d[np.arange(len(d)), home]
-                plane = (d**2 - first[:, None] ** 2) / (2 * np.maximum(between[home], 1e-300))
-                plane[np.arange(len(d)), home] = 0
-                i, j = np.nonzero((d - radius <= (reach + slack)[:, None]) & (plane <= (reach + slack)[:, None]))
-                yield pd.DataFrame({"id": own["id"].to_numpy()[i], "x": own["x"].to_numpy()[i], "cell": j.astype(np.int32)})
-
-    def search(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                yield pd.DataFrame({"id": part["id"].iloc[at : at + step].to_numpy(), "x": pack(x), "reach": reach + 1e-6 * (1 + d.max(axis=1) + radius.max())})
+
+    def packed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            for asked, q, held, x in zip(part["asked"], part["q"], part["held"], part["x"], strict=True):
-                a, b, held = np.asarray(q, float).reshape(len(asked), -1), np.asarray(x, float).reshape(len(held), -1), np.asarray(held, np.int64)
-                order = np.argsort(held)  # ties by id
-                b, held = b[order], held[order]
-                d = np.empty((len(a), len(b)))
-                for at in range(0, len(a), 64):
-                    d[at : at + 64] = np.sqrt(sum((a[at : at + 64, c, None] - b[None, :, c]) ** 2 for c in range(a.shape[1])))
-                near = np.argsort(d, axis=1, kind="stable")[:, :k]
-                yield pd.DataFrame({"id": asked, "d": list(np.take_along_axis(d, near, 1)), "other": list(held[near])})
-
-    visits = cut(queries.select("id", "x").mapInPandas(visit, "id long, x array<double>, cell int"), "visits")
-    asked = _packed(visits, BLOCK, ("asked", "q"))
-    pairs = asked.join(_packed(cells.select("id", "x", "cell"), CHUNK, ("held", "x")), "cell").select("asked", "q", "held", "x")
-    # a pair of packed rows is small; searching them is the work, so they are dealt evenly
-    found = pairs.repartition(F.xxhash64("asked", "held")).mapInPandas(search, "id long, d array<double>, other array<long>")
+            if len(part):
+                yield part.assign(x=pack(_rows(part["x"])))
+
+    def search(asking: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        ds, others = [], []
+        held = held.sort_values("cell")
+        x, ids, cell = _read(held["x"], width, dtype), held["id"].to_numpy(), held["cell"].to_numpy()
+        q, reach = _read(asking["x"], width, dtype), asking["reach"].to_numpy()
+        d = np.concatenate([_distances(q[at : at + 4000], pivots) for at in range(0, len(q), 4000)]) if len(q) else np.zeros((0, len(pivots)))
+        home = d.argmin(axis=1)
+        order = np.argsort(home, kind="stable")
+        for at in range(0, len(q) if len(x) else 0, ASKED):
+            own = order[at : at + ASKED]
+            open_to = _visited(d[own], reach[own], home[own], pivots, between, radius).any(axis=0)[cell]
+            some, names = (x, ids) if open_to.all() else (x[open_to], ids[open_to])
+            query, far, id = closest_rows(q[own], reach[own], some, names, k) if len(some) else (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))
+            cuts = np.searchsorted(query, np.arange(1, len(own)))
+            ds += np.split(far, cuts)
+            others += np.split(id, cuts)
+        return pd.DataFrame({"id": asking["id"].to_numpy()[order[: len(ds)]], "d": ds, "other": others})
+
+    visits = cut(queries.select("id", "x").mapInPandas(visit, "id long, x binary, reach double"), "visits")
+    dealt = lambda m: F.pmod(F.xxhash64("id"), F.lit(m)).cast("int")
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    asking = visits.withColumn("part", dealt(shares)).withColumn("slab", every(slabs))
+    held = cells.select("id", "x", "cell").mapInPandas(packed, "id long, x binary, cell int").withColumn("slab", dealt(slabs)).withColumn("part", every(shares))
+    found = asking.groupBy("slab", "part").cogroup(held.groupBy("slab", "part")).applyInPandas(search, "id long, d array<double>, other array<long>")
     found = found.select("id", F.arrays_zip(F.col("d"), F.col("other").alias("id")).cast("array<struct<d: double, id: long>>").alias("near"))
     merged = F.flatten(F.collect_list("near"))
-    conf, rows_a_batch = queries.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = conf.get(rows_a_batch)
-    conf.set(rows_a_batch, "8")  # packed rows are a few MB each
-    try:
-        return cut(found.groupBy("id").agg(F.slice(F.array_sort(merged), 1, k).alias("near")), "neighbours")
-    finally:
-        conf.set(rows_a_batch, before)
+    return cut(found.groupBy("id").agg(F.slice(F.array_sort(merged), 1, k).alias("near")), "neighbours")
 
 
 def outlier_factors(near: DataFrame, model: DataFrame | None = None) -> DataFrame:
