@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from tidewatch.operators import neighbours
+from tidewatch.operators.detectors import LocalOutlierFactor
 from tidewatch.operators.neighbours import closest_rows, nearest
 
 
@@ -40,3 +41,12 @@ def test_products_miss_no_row(monkeypatch, kind):
     query, far, id = closest_rows(q, reach, x, ids, 7)
     assert query.tolist() == np.repeat(np.arange(50), 7).tolist()
     assert (id.reshape(50, 7) == ids[order]).all() and (far.reshape(50, 7) == np.take_along_axis(d, order, 1)).all()
+
+
+def test_held_rows_are_measured_exactly():
+    x = np.random.default_rng(3).standard_normal((600, 8)) + 1e5
+    x[300:] = x[:300]
+    d, i = LocalOutlierFactor._near(x, x, 3)
+    assert (d[:, :2] == 0).all()  # products left about 1e-3 between equal rows
+    assert (i[:, :2] == np.c_[np.arange(600) % 300, np.arange(600) % 300 + 300]).all() and d.shape == (600, 3)
+    assert LocalOutlierFactor._near(x[:2], x[:2], 5)[0].shape == (2, 2)

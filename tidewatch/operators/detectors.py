@@ -19,7 +19,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tidewatch.functions.rules import flag, health_from_distance, no_nan
 from tidewatch.operators import arima
-from tidewatch.operators.neighbours import fit_outliers, nearest, outlier_factors
+from tidewatch.operators.neighbours import ASKED, closest_rows, fit_outliers, nearest, outlier_factors
 from tidewatch.operators.ordering import quantile, quantiles
 from tidewatch.operators.scoring import Detector, Scorer
 from tidewatch.sources.scratch import TablePath, cut, new_path
@@ -275,14 +275,11 @@ class LocalOutlierFactor(Detector):
 
     @staticmethod
     def _near(a: np.ndarray, b: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        ds, ix = [], []
-        for part in np.array_split(a, max(1, len(a) * len(b) // 4_000_000)):
-            d = np.sqrt(np.maximum((part**2).sum(1)[:, None] + (b**2).sum(1) - 2 * part @ b.T, 0))
-            near = np.argpartition(d, min(k, len(b)) - 1, axis=1)[:, :k]
-            own = np.take_along_axis(d, near, 1)
-            order = np.argsort(own, axis=1, kind="stable")
-            ds.append(np.take_along_axis(own, order, 1))
-            ix.append(np.take_along_axis(near, order, 1))
+        k, ids, ds, ix = min(k, len(b)), np.arange(len(b)), [], []
+        for part in (a[at : at + ASKED] for at in range(0, len(a), ASKED)):
+            _, d, i = closest_rows(part, np.full(len(part), np.inf), b, ids, k)
+            ds.append(d.reshape(-1, k))
+            ix.append(i.reshape(-1, k))
         return np.concatenate(ds), np.concatenate(ix)
 
     def transform(self, df: DataFrame) -> DataFrame:

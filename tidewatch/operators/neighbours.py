@@ -28,7 +28,7 @@ PIVOTS, CHUNK, BLOCK = 512, 4000, 1000
 SLAB = 8_000_000
 
 #: Queries and rows of one product.
-ASKED, HELD = 256, 8192
+ASKED, HELD = 1000, 8192
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -71,10 +71,16 @@ def closest_rows(q: np.ndarray, reach: np.ndarray, x: np.ndarray, ids: np.ndarra
     a, b = q - middle, x - middle
     own, other = (a**2).sum(axis=1), (b**2).sum(axis=1)
     error = 8 * (q.shape[1] + 8) * (own.max() + other.max())
-    dtype = np.float32 if error * np.finfo(np.float32).eps < 0.01 * (reach**2).min() else np.float64
+    limit = reach**2 * (1 + 1e-9)
+    if len(x) > k:  # a first look in double precision
+        first = own[:, None] + other[:HELD] - 2 * (a @ b[:HELD].T)
+        if first.shape[1] > k:
+            limit = np.minimum(limit, np.partition(first, k - 1, axis=1)[:, k - 1] + error * np.finfo(np.float64).eps)
+    dtype = np.float32 if error * np.finfo(np.float32).eps < 0.01 * limit.min() else np.float64
     slack = error * np.finfo(dtype).eps
-    a, b = np.c_[-2 * a, np.ones(len(a))].astype(dtype), np.c_[b, other].T.astype(dtype, order="C")
-    limit = reach**2 * (1 + 1e-9) + slack
+    a, wide = np.c_[-2 * a, np.ones(len(a))].astype(dtype), np.empty((len(b), b.shape[1] + 1), dtype)
+    wide[:, :-1], wide[:, -1] = b, other
+    limit += slack
     found = (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))
     waiting: list[tuple[np.ndarray, np.ndarray]] = []
 
@@ -91,10 +97,8 @@ def closest_rows(q: np.ndarray, reach: np.ndarray, x: np.ndarray, ids: np.ndarra
         limit[full] = np.minimum(limit[full], found[1][np.cumsum(n)[full] - 1] ** 2 * (1 + 1e-9) + slack)
 
     for at in range(0, len(x), HELD):
-        near = a @ b[:, at : at + HELD]
-        if not at and near.shape[1] > k:
-            limit = np.minimum(limit, np.partition(near, k - 1, axis=1)[:, k - 1] + own + 2 * slack)
-        i, j = np.nonzero(near <= (limit - own).astype(dtype)[:, None] + dtype(slack))
+        near = a @ wide[at : at + HELD].T
+        i, j = np.divmod(np.flatnonzero(near <= (limit - own).astype(dtype)[:, None] + dtype(slack)), near.shape[1])
         if len(i):
             waiting.append((i, j + at))
         if sum(len(i) for i, _ in waiting) > 4 * k * len(q):
