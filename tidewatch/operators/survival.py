@@ -465,7 +465,7 @@ def _won(rows: DataFrame) -> DataFrame:
 
     Of the ranks below one, those that a tree of halved ranges holds apart lie in one node for each bit that is set; every row is a point of
     the nodes on its path, every asking row asks the nodes beside its path. Sorted by node and pos, that is a running sum: n log n rows,
-    whatever the ties.
+    whatever the ties. Counts are longs; only their products are decimals.
     """
     top = rows.agg(F.max("k")).first()[0] or 0
     rows = rows.withColumn("k", F.lit(top) - F.col("k"))  # the higher ranks lie below
@@ -474,13 +474,15 @@ def _won(rows: DataFrame) -> DataFrame:
     node = lambda l, at: F.struct(F.lit(l).alias("level"), at.alias("node"))  # noqa: E731, E741
     points = F.array(node(-1, F.col("k")), *[F.when(bit(l) == 0, node(l, F.shiftright("k", l))) for l in levels])  # noqa: E741
     asks = F.array(node(-1, F.col("k")), *[F.when(bit(l) == 1, node(l, F.shiftright("k", l) - 1)) for l in levels])  # noqa: E741
-    none = F.lit(0).cast("decimal(38,0)")
-    own = rows.where("held > 0").select("g", "pos", F.lit(1).alias("kind"), F.col("held").cast("decimal(38,0)").alias("held"), none.alias("asked"), F.explode(points).alias("at"))
-    asked = rows.where("asked > 0").select("g", "pos", F.lit(0).alias("kind"), none.alias("held"), F.col("asked").cast("decimal(38,0)").alias("asked"), F.explode(asks).alias("at"))
+    none = F.lit(0).cast("long")
+    own = rows.where("held > 0").select("g", "pos", F.lit(1).alias("kind"), F.col("held").cast("long").alias("held"), none.alias("asked"), F.explode(points).alias("at"))
+    asked = rows.where("asked > 0").select("g", "pos", F.lit(0).alias("kind"), none.alias("held"), F.col("asked").cast("long").alias("asked"), F.explode(asks).alias("at"))
     both = own.unionByName(asked).where("at is not null").select("at.*", "g", "pos", "kind", "held", "asked")
     both = running(both, [F.col("level"), F.col("node"), F.col("g"), F.col("pos"), F.col("kind")], {"upto": F.col("held")})
-    each = both.groupBy("level", "node", "g").agg(F.min(F.col("upto") - F.col("held")).alias("start"), F.sum("asked").alias("asked"), F.sum(F.col("asked") * F.col("upto")).alias("found"))
-    beaten = F.col("found") - F.col("asked") * F.col("start")
+    wide = lambda c: F.col(c).cast("decimal(19,0)")
+    product = F.when(F.col("asked") > 0, wide("asked") * wide("upto"))
+    each = both.groupBy("level", "node", "g").agg(F.min(F.col("upto") - F.col("held")).alias("start"), F.sum("asked").alias("asked"), F.coalesce(F.sum(product), F.lit(0).cast("decimal(38,0)")).alias("found"))
+    beaten = F.col("found") - wide("asked") * wide("start")
     return each.agg(F.coalesce(F.sum(F.when(F.col("level") >= 0, 1.0).otherwise(0.5) * beaten.cast("double")), F.lit(0.0)).alias("won"))
 
 
