@@ -98,3 +98,27 @@ def test_repeated_rows_and_rows_without_id(spark):
     docs = spark.createDataFrame([(7, a), (7, a), (9, a), (None, a), (None, "alone and without id here"), (3, None), (9, "")], "doc_id long, text string")
     got = sorted((str(r.doc_id), str(r.component_id)) for r in jaccard_components(docs).collect())
     assert got == [("3", "3"), ("7", "7"), ("7", "7"), ("9", "7"), ("9", "9"), ("None", "7"), ("None", "None")]
+
+
+def test_near_copies_meet_once_not_for_each_shared_shingle(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "WIDE", 3)
+    monkeypatch.setattr(jaccard_join, "ROUNDS", 0)
+    made, across = [], jaccard_join._across
+
+    def counted(*args):
+        out = across(*args)
+        made.append((out.count(), out.selectExpr("least(a, b)", "greatest(a, b)").distinct().count()))
+        return out
+
+    monkeypatch.setattr(jaccard_join, "_across", counted)
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    texts = []
+    for _ in range(40):
+        copy = list(base)
+        for _ in range(rng.randrange(6)):
+            copy[rng.randrange(200)] = f"w{rng.randrange(10**6)}"
+        texts.append(" ".join(copy))
+    check(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3))
+    (rows, pairs), = made
+    assert pairs and rows <= 3 * pairs

@@ -7,9 +7,11 @@ filled from every text), and within a class each order has its own permutation.
 shingle; the prefixes of the two others are intersected for each candidate, in wide buckets as part of the join's key.
 
 Texts of one shingle set are one node, so copies cost nothing. A bucket of the index does not list its pairs: a node
-meets the leader that it shares most buckets with, three times (from the second on the one with most links); components are found; then rows of different
+meets the leader that it shares most buckets with, up to three times (from the second on the one with most links; a round that links few of its
+candidates is the last); components are found; then rows of different
 components that still share a bucket meet each other. So no link between components is lost, and a group of near copies never costs
-its square. Where a bucket is wide, rows meet only if they share a shingle of the second order's prefix as well.
+its square. Where a bucket is wide, rows meet only if they share a shingle of the second order's prefix as well, and a pair comes up
+at the first shingles that it shares, not at all of them.
 
 Defined results: words are lower-cased (A-Z) runs of anything but ASCII white space; a text of fewer than four words has its
 whole sequence as its one shingle; null, empty and white texts have no shingle and no link. Rows that repeat a doc_id
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.llm.words import mix, shingle_hashes, slices, word_hashes
 from tidewatch.operators.components import connected_components
-from tidewatch.sources.scratch import cut
+from tidewatch.sources.scratch import bucketed_table, cut, drop_table
 
 SHINGLE = 4
 THRESHOLD = 85
@@ -40,8 +42,10 @@ COUNTERS, BLOCKS = 1 << 20, 256
 WIDE = 64
 #: Tokens of counters over this are dealt to so many tasks.
 HOT, SALT = 20_000, 64
-#: Rounds with one leader a bucket and one pair a node.
-ROUNDS = 3
+#: Rounds with one leader a bucket and one pair a node; one that links under a share of 1 / FEW of its candidates is the last.
+ROUNDS, FEW = 3, 20
+#: So many of a text's first shingles in an order tell at which of them a pair has come up already.
+EARLIER = 8
 
 _PERMUTED = (np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xC2B2AE3D27D4EB4F))
 
@@ -203,43 +207,49 @@ def jaccard_components(docs: DataFrame, threshold: int = THRESHOLD, k: int = SHI
     features = features.where("block is null").select("doc_id", "n", "node")
     index = docs.select("text").mapInArrow(_index(classes, k, threshold), "token long, salt int, node long, n int, at int")
     shared = cut(_shared(index, threshold), "shared")
-    nodes = shared.select("node").distinct().join(features.where("doc_id is not null"), "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    nodes = cut(shared.select("node").distinct().join(features.where("doc_id is not null"), "node").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "nodes")
     texts = docs.join(nodes.select("doc_id", F.col("node").alias("wanted")), "doc_id").mapInArrow(_prefixes(classes, k, threshold), "wanted long, node long, text string, second array<int>, third array<int>")
-    texts = cut(texts.where("node = wanted").drop("wanted"), "prefixes")
+    texts, table, folder = bucketed_table(texts.where("node = wanted").drop("wanted"), ["node"], "prefixes")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    def verified(pairs: DataFrame) -> tuple[DataFrame, bool]:
+        """Links, and whether they are few of the candidates."""
+        pairs = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
         for side in ("a", "b"):
             own = texts.select(F.col("node").alias(side), F.col("second").alias(f"second_{side}"), F.col("third").alias(f"third_{side}"))
             pairs = pairs.join(own, side)
         pairs = cut(pairs.where(F.arrays_overlap("second_a", "second_b") & F.arrays_overlap("third_a", "third_b")).select("a", "b"), "candidates")
+        n = pairs.count()
         for side in ("a", "b"):
             pairs = pairs.join(texts.select(F.col("node").alias(side), F.col("text").alias(f"text_{side}")), side)
-        return cut(pairs.select("a", "b", "text_a", "text_b").mapInArrow(_linked(k, threshold), "a long, b long"), "links")
+        found = cut(pairs.select("a", "b", "text_a", "text_b").mapInArrow(_linked(k, threshold), "a long, b long"), "links")
+        return found, FEW * found.count() < n
 
-    links = labels = None
+    links, labels, few = None, None, ROUNDS == 0
     rows = shared.select("*", F.col("node").alias("component"), F.lit(0).cast("long").alias("degree"))
     for turn in range(ROUNDS + 1):
-        if turn < ROUNDS:
+        last = few or turn == ROUNDS
+        if not last:
             lead = rows.groupBy("token").agg(F.max(F.struct("degree", "node", "n", "at", "component")).alias("lead"))
             pairs = rows.join(lead, "token").where("component <> lead.component").selectExpr("node a", "lead.node b", "n n_a", "lead.n n_b", "at at_a", "lead.at at_b")
             pairs = pairs.where(_may_link(threshold)).groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"))
             pairs = pairs.groupBy("a").agg(F.max(F.struct("common", "b")).alias("best")).select("a", "best.b")
         else:
             pairs = _across(rows, texts, threshold)
-        found = verified(pairs)
+        found, few = verified(pairs)
         links = found if links is None else links.unionByName(found)
-        if turn < ROUNDS or not found.isEmpty():
+        if labels is None or not found.isEmpty():
             labels = connected_components(links)
-        if turn < ROUNDS:
-            ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node")))
-            known = labels.join(ends.groupBy("node").agg(F.count(F.lit(1)).alias("degree")), "node", "full")
-            rows = shared.join(known, "node", "left").select("token", "node", "n", "at", F.coalesce("component", "node").alias("component"), F.coalesce("degree", F.lit(0)).alias("degree"))
-            split = rows.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
-            rows = shared = cut(rows.join(split, "token", "left_semi"), "open")
-            shared = shared.drop("component", "degree")
-            if rows.isEmpty():
-                break
+        if last:
+            break
+        ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node")))
+        known = labels.join(ends.groupBy("node").agg(F.count(F.lit(1)).alias("degree")), "node", "full")
+        rows = shared.join(known, "node", "left").select("token", "node", "n", "at", F.coalesce("component", "node").alias("component"), F.coalesce("degree", F.lit(0)).alias("degree"))
+        split = rows.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
+        rows = cut(rows.join(split, "token", "left_semi"), "open")
+        shared = rows.drop("component", "degree")
+        if rows.isEmpty():
+            break
+    drop_table(spark, table, folder)
     known = features.where("n > 0").join(labels, "node", "left").select("doc_id", "n", "node", F.coalesce("component", "node").alias("component"))
     names = known.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     out = known.join(names, "component").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
@@ -247,19 +257,35 @@ def jaccard_components(docs: DataFrame, threshold: int = THRESHOLD, k: int = SHI
 
 
 def _across(rows: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
-    """Pairs of open rows of two components. In wide buckets they must share a shingle of the second order's prefix, too."""
+    """Pairs of open rows of two components. In wide buckets they must share a shingle of the second order's prefix, too.
+
+    There near copies share most of both prefixes, and would meet once for each shingle of the one and each of the other. So a row
+    knows the ``EARLIER`` first held shingles that come before its own in either order, and two rows meet only if none of them is shared; the
+    first that a pair shares in each order always stay.
+    """
     own = rows.groupBy("token", "component").agg(F.count(F.lit(1)).alias("own"))
     most = own.groupBy("token").agg(F.sum("own").alias("holders"), F.max(F.struct("own", "component")).getField("component").alias("common"))
     rows = cut(rows.join(most, "token").select("token", "node", "n", "at", "component", "common", "holders"), "across")
-    second = texts.select("node", F.posexplode("second").alias("at_2", "other"))
-    wide = rows.where(F.col("holders") > WIDE).join(second, "node").withColumn("at_2", F.col("at_2").cast("long") + 1)
+    narrow, wide = (rows.where(F.col("holders") <= WIDE), ["token"]), rows.where(F.col("holders") > WIDE)
+    first = wide.groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct("at", "token"))), 1, EARLIER).alias("first"))
+    before = F.transform(F.filter("first", lambda x: x["at"] < F.col("at")), lambda x: x["token"]).alias("before")
+    wide = cut(wide.join(first, "node").select("token", "node", "n", "at", "component", "common", before), "wide")
+    second = wide.select("node").distinct().join(texts.select("node", "second"), "node").select("node", F.posexplode("second").alias("at_2", "other"))
+    held = second.groupBy("other").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("other")
+    second = cut(second.join(held, "other", "left_semi").withColumn("at_2", F.col("at_2").cast("long") + 1), "second")
+    begun = second.groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct("at_2", "other"))), 1, EARLIER).alias("begun"))
+    before = F.transform(F.filter("begun", lambda x: x["at_2"] < F.col("at_2")), lambda x: x["other"]).alias("before_2")
+    wide = wide.join(second.join(begun, "node").select("node", "at_2", "other", before), "node")
     pairs = []
-    for part, keys in ((rows.where(F.col("holders") <= WIDE), ["token"]), (wide, ["token", "other"])):
-        ats = [c for c in ("at", "at_2") if c in part.columns]
-        left = part.where("component <> common").selectExpr(*keys, "node a", "n n_a", "component c_a", *[f"{c} {c}_a" for c in ats])
-        right = part.selectExpr(*keys, "node b", "n n_b", "component c_b", *[f"{c} {c}_b" for c in ats])
+    for part, keys in (narrow, (wide, ["token", "other"])):
+        carried = [c for c in ("at", "at_2", "before", "before_2") if c in part.columns]
+        left = part.where("component <> common").selectExpr(*keys, "node a", "n n_a", "component c_a", *[f"{c} {c}_a" for c in carried])
+        right = part.selectExpr(*keys, "node b", "n n_b", "component c_b", *[f"{c} {c}_b" for c in carried])
         found = left.join(right, keys).where(F.expr("c_a <> c_b"))
-        for c in ats:  # the first shared shingle in either order
-            found = found.where(_may_link(threshold, c))
+        for c in carried:
+            if c.startswith("at"):  # the first shared shingle in either order
+                found = found.where(_may_link(threshold, c))
+            else:
+                found = found.where(~F.arrays_overlap(f"{c}_a", f"{c}_b"))
         pairs.append(found.select("a", "b"))
     return pairs[0].unionByName(pairs[1])
