@@ -97,3 +97,16 @@ def test_moving_average_errors_beat_least_squares(spark):
         beta = detectors.arima_fit(df, "v", ["k"], ["i"], 0, 1, 1, exact).toPandas()["beta"]
         far[exact] = np.mean([(b[-1] + 0.8) ** 2 for b in beta])
     assert far[True] < far[False]
+
+
+def test_series_that_are_found_are_not_searched_on(monkeypatch):
+    """What a series gets doesn't hang on the others, and the last evaluations are of few of them."""
+    rng = np.random.default_rng(4)
+    series = [np.cumsum(rng.normal(size=60 + i % 3)) for i in range(40)]
+    asked, likelihood = [], arima.likelihood
+    monkeypatch.setattr(arima, "likelihood", lambda w, *rest: asked.append(len(w)) or likelihood(w, *rest))
+    together = arima.fit_many(series, 1, 1, 1)
+    assert asked[-2] <= 8 * len(series) // 2  # the last round's steps; each of eight lengths for each series left
+    for x, found in zip(series[:5], together, strict=False):
+        alone = arima.fit_many([x], 1, 1, 1)[0]
+        assert abs(alone[3] - found[3]) < 1e-7

@@ -27,31 +27,59 @@ def stable(free: np.ndarray) -> np.ndarray:
     return out
 
 
+def _stationary(phi: np.ndarray, noise: np.ndarray) -> np.ndarray:
+    """The covariance (r, r, series) of the states of stationary processes; phi (r, series), noise like the result."""
+    r, k = phi.shape
+    if phi[1:].any():
+        step = np.zeros((k, r, r))
+        step[:, :, 0] = phi.T
+        step[:, np.arange(r - 1), np.arange(1, r)] = 1
+        both = np.einsum("kij,klm->kiljm", step, step).reshape(k, r * r, r * r)
+        return np.linalg.solve(np.eye(r * r) - both, noise.reshape(r * r, k).T[:, :, None])[:, :, 0].T.reshape(r, r, k)
+    cov = np.zeros((r + 1, r + 1, k))  # one autoregressive term: from the last state on, each follows from those behind it
+    for i in reversed(range(r)):
+        for j in reversed(range(max(1, i), r)):
+            cov[i, j] = cov[j, i] = (phi[0] * cov[0, j + 1] if i == 0 else 0) + cov[i + 1, j + 1] + noise[i, j]
+    cov[0, 0] = (2 * phi[0] * cov[0, 1] + cov[1, 1] + noise[0, 0]) / (1 - phi[0] ** 2)
+    return cov[:r, :r]
+
+
+def _stepped(phi: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The transition of states that lie along the first axis: a share of the first, and the next one."""
+    out = phi * x[0]
+    out[:-1] += x[1:]
+    return out
+
+
 def innovations(w: np.ndarray, phi: np.ndarray, theta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """One-step errors (series, columns, times) and their variances in units of the noise's (series, times).
 
-    The columns of a series share its coefficients. Once no variance changes any more, only the states go on.
+    The columns of a series share its coefficients. Once no variance changes any more, only the states go on. Series lie along the
+    last axis inside, so that each step is a few sums of long rows.
     """
-    k, _, times = w.shape
+    k, columns, times = w.shape
     p, q = phi.shape[1], theta.shape[1]
     r = max(p, q + 1)
-    step, load = np.zeros((k, r, r)), np.zeros((k, r))
-    step[:, :p, 0] = phi
-    step[:, np.arange(r - 1), np.arange(1, r)] = 1
-    load[:, 0], load[:, 1 : q + 1] = 1, theta
-    turned, noise = step.transpose(0, 2, 1), load[:, :, None] * load[:, None, :]
-    both = np.einsum("kij,klm->kiljm", step, step).reshape(k, r * r, r * r)
-    cov = np.linalg.solve(np.eye(r * r) - both, noise.reshape(k, r * r, 1)).reshape(k, r, r)
-    state, error, scale = np.zeros((k, w.shape[1], r)), np.empty_like(w), np.ones((k, times))
+    share, load = np.zeros((r, k)), np.zeros((r, k))
+    share[:p] = phi.T
+    load[0], load[1 : q + 1] = 1, theta.T
+    noise = load[:, None] * load
+    cov = _stationary(share, noise)
+    by_time = np.ascontiguousarray(w.transpose(2, 1, 0))
+    state, error, scale = np.zeros((r, columns, k)), np.empty_like(by_time), np.ones((times, k))
+    across = share[:, None]
     gain, steady = None, False
     for t in range(times):
-        error[:, :, t], scale[:, t] = w[:, :, t] - state[:, :, 0], cov[:, 0, 0]
+        np.subtract(by_time[t], state[0], out=error[t])
+        scale[t] = cov[0, 0]
         if not steady:
-            gain = (step @ cov[:, :, :1])[:, :, 0] / cov[:, :1, 0]
-            new = step @ cov @ turned + noise - gain[:, :, None] * gain[:, None, :] * cov[:, :1, :1]
+            moved = _stepped(across, cov)
+            gain = moved[:, 0] / cov[0, 0]
+            new = _stepped(across, moved.transpose(1, 0, 2)) + noise - gain[:, None] * (gain * cov[0, 0])
             steady, cov = bool(np.abs(new - cov).max() < 1e-14), new
-        state = state @ turned + gain[:, None, :] * error[:, :, t, None]
-    return error, scale
+        state = _stepped(across, state)
+        state += gain[:, None] * error[t]
+    return error.transpose(2, 1, 0), scale.T
 
 
 def likelihood(w: np.ndarray, held: np.ndarray, phi: np.ndarray, theta: np.ndarray, centred: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -70,19 +98,20 @@ def _search(w: np.ndarray, held: np.ndarray, p: int, q: int, centred: bool, roun
     k, m = len(w), p + q
     n = held.sum(1)
 
-    def cost(points: np.ndarray) -> np.ndarray:
+    def cost(points: np.ndarray, rows: np.ndarray | slice = slice(None)) -> np.ndarray:
         free = points.reshape(-1, m)
-        many = len(points)
-        found = likelihood(np.tile(w, (many, 1)), np.tile(held, (many, 1)), stable(free[:, :p]), -stable(free[:, p:]), centred)[0]
-        return -found.reshape(many, k) / n
+        many, own = len(points), w[rows]
+        found = likelihood(np.tile(own, (many, 1)), np.tile(held[rows], (many, 1)), stable(free[:, :p]), -stable(free[:, p:]), centred)[0]
+        return -found.reshape(many, len(own)) / n[rows]
 
     starts = np.array(list(product((-0.5, 0.1, 0.6), repeat=m)) if m <= 3 else [[0.1] * m])
     first = np.concatenate([cost(np.broadcast_to(s, (1, k, m)).copy()) for s in starts])
     x, value = starts[first.argmin(0)].astype(float), first.min(0)
-    curve, old_slope, old_x = np.tile(np.eye(m), (k, 1, 1)), None, None
-    shift = 1e-5 * np.eye(m)
+    done, shift = x.copy(), 1e-5 * np.eye(m)
+    # series that are still searched: their rows, curvatures, slopes and points of the round before, rounds since they got better
+    rows, curve, old_slope, old_x, stuck = np.arange(k), np.tile(np.eye(m), (k, 1, 1)), None, None, np.zeros(k, int)
     for _ in range(rounds):
-        at = cost(np.concatenate([x[None] + shift[:, None], x[None] - shift[:, None]]))
+        at = cost(np.concatenate([x[None] + shift[:, None], x[None] - shift[:, None]]), rows)
         slope = ((at[:m] - at[m:]) / 2e-5).T
         if old_slope is not None:
             s, y = x - old_x, slope - old_slope
@@ -96,15 +125,19 @@ def _search(w: np.ndarray, held: np.ndarray, p: int, q: int, centred: bool, roun
         uphill = (way * slope).sum(1) >= 0
         way[uphill] = -slope[uphill]
         tried = x[None] + _STEPS[:, None, None] * np.clip(way, -2, 2)[None]
-        at = cost(np.clip(tried, -6, 6))
+        at = cost(np.clip(tried, -6, 6), rows)
         best = at.argmin(0)
         better = at.min(0) < value - 1e-13
         old_x, old_slope = x, slope
-        x = np.where(better[:, None], np.clip(tried[best, np.arange(k)], -6, 6), x)
+        x = np.where(better[:, None], np.clip(tried[best, np.arange(len(rows))], -6, 6), x)
         value = np.minimum(value, at.min(0))
-        if not better.any():
+        done[rows] = x
+        stuck = np.where(better, 0, stuck + 1)
+        on = stuck < 2  # twice from the same point, the second time down the slope: the third would be the same
+        if not better.any() or not on.any():
             break
-    return x
+        rows, x, value, curve, old_slope, old_x, stuck = rows[on], x[on], value[on], curve[on], old_slope[on], old_x[on], stuck[on]
+    return done
 
 
 def _slices(series: list[np.ndarray], cells: int) -> list[list[int]]:
