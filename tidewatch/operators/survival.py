@@ -12,8 +12,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from tidewatch.functions.rules import health_from_rul
 from tidewatch.operators.detectors import by_matrix, moments
@@ -420,35 +422,119 @@ class DeepSurv(CoxModel):
 
 @dataclass
 class LogisticHazard(SurvivalModel):
-    """Discrete-time hazards: rows are expanded to their bins, a logistic regression on features and bin gives the hazard."""
+    """Discrete-time hazards: a logistic regression on features and bin, over the bins that each row lives in, gives the hazard.
+
+    The mean log loss of all rows and bins plus ``ridge`` / 2 times the squared coefficients of scaled inputs (all but the constant) is
+    smallest by Newton steps. A row meets its bins as a matrix inside its task; bins are never rows of a table, and a step sends a few thousand
+    numbers from each task. Missing features are an error; rows without a duration are not learned from.
+    """
 
     features: list[str] = field(default_factory=list)
     n_bins: int = 50
+    ridge: float = 1e-4
     fitted: dict = field(default_factory=dict, init=False)
-    model: object = field(default=None, init=False)
 
     def fit(self, df: DataFrame, duration: str = "duration", event: str = "event") -> LogisticHazard:
-        from pyspark.ml import Pipeline
-        from pyspark.ml.classification import LogisticRegression
-        from pyspark.ml.feature import OneHotEncoder, VectorAssembler
-
         top = float(df.agg(F.max(duration)).first()[0])
-        self.fitted = {"width": top / self.n_bins or 1.0}
-        own = F.least(F.floor(F.col(duration) / self.fitted["width"]), F.lit(self.n_bins - 1)).cast("int")
-        rows = df.select(*self.features, F.col(event).alias("_e"), own.alias("_own"), F.explode(F.sequence(F.lit(0), own)).alias("bin"))
-        rows = rows.withColumn("_y", F.when((F.col("bin") == F.col("_own")) & (F.col("_e") == 1), 1.0).otherwise(0.0))
-        stages = [OneHotEncoder(inputCols=["bin"], outputCols=["_bin"], handleInvalid="keep"), VectorAssembler(inputCols=[*self.features, "_bin"], outputCol="_x"), LogisticRegression(featuresCol="_x", labelCol="_y", regParam=1e-4, probabilityCol="_p", rawPredictionCol="_r", predictionCol="_c")]
-        self.model = Pipeline(stages=stages).fit(rows)
+        width = top / self.n_bins or 1.0
+        own = F.least(F.floor(F.col(duration) / width), F.lit(self.n_bins - 1)).cast("int")
+        failed = F.coalesce((F.col(event) == 1).cast("int"), F.lit(0))
+        names = [f"x{i}" for i in range(len(self.features))]
+        rows = cut(df.select(own.alias("own"), failed.alias("failed"), *[F.col(c).cast("double").alias(n) for c, n in zip(self.features, names, strict=True)]).where("own >= 0"), "lives")
+        if names and rows.where(" OR ".join(f"{n} IS NULL OR isnan({n})" for n in names)).head(1):
+            raise ValueError("missing features")
+        counts = {r.own: r for r in rows.groupBy("own").agg(F.count(F.lit(1)).alias("n"), F.sum("failed").alias("failed")).collect()}  # a row a bin
+        bins = max(counts) + 1
+        lived = np.cumsum([counts[b].n if b in counts else 0 for b in range(bins)][::-1])[::-1].astype(float)
+        n, deaths = lived.sum(), float(sum(r.failed for r in counts.values()))
+        shift = dict(enumerate(rows.agg(*[F.sum(F.col(c) * (F.col("own") + 1)) / n for c in names]).first())) if names else {}
+        spread = rows.agg(*[F.sum((F.col(c) - shift[i]) ** 2 * (F.col("own") + 1)) / max(n - 1, 1) for i, c in enumerate(names)]).first() if names else ()
+        mean = np.array([shift[i] for i in range(len(names))])
+        scale = np.sqrt(np.array([*spread, *(lived / n * (1 - lived / n) * n / max(n - 1, 1))], float))
+        self.fitted = {"width": width, "mean": mean.tolist(), "beta": [0.0] * len(names), "bins": [0.0] * self.n_bins, "constant": float("-inf") if not deaths else float("inf")}
+        if not 0 < deaths < n:
+            return self
+        learned = np.concatenate([[True], scale > 1e-9 * np.concatenate([np.abs(mean) + 1e-300, np.ones(bins)])])
+        unit = np.where(learned[1:], scale, 1.0)
+        k = len(names)
+
+        def sums(w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+            """Loss, slope and curvature of the mean log loss and the ridge at weights of scaled inputs."""
+
+            def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                total = np.zeros(1 + (m := 1 + k + bins) + m * m)
+                level = w[0] + w[1 + k :] / unit[k:]
+                for part in parts:
+                    for at in range(0, len(part), 4096):
+                        piece = part.iloc[at : at + 4096]
+                        x = np.column_stack([np.ones(len(piece)), (piece[names].to_numpy(float) - mean) / unit[:k]])
+                        last, dead = piece["own"].to_numpy(), piece["failed"].to_numpy(float)
+                        z = (x[:, 1:] @ w[1 : 1 + k])[:, None] + level
+                        lives = np.arange(bins) <= last[:, None]
+                        e = np.exp(-np.abs(z))
+                        h = np.where(z >= 0, 1.0, e) / (1 + e)
+                        each = np.arange(len(piece))
+                        total[0] += ((np.log1p(e) + np.maximum(z, 0)) * lives).sum() - (dead * z[each, last]).sum()
+                        over, bend = h * lives, h * (1 - h) * lives
+                        over[each, last] -= dead
+                        total[1 : 2 + k] += x.T @ over.sum(1)
+                        total[2 + k : 1 + m] += over.sum(0) / unit[k:]
+                        curve = total[1 + m :].reshape(m, m)
+                        curve[: 1 + k, : 1 + k] += x.T @ (x * bend.sum(1)[:, None])
+                        cross = x.T @ bend / unit[k:]
+                        curve[: 1 + k, 1 + k :] += cross
+                        curve[1 + k :, : 1 + k] += cross.T
+                        curve[np.arange(1 + k, m), np.arange(1 + k, m)] += bend.sum(0) / unit[k:] ** 2
+                yield pd.DataFrame({"i": np.arange(len(total)), "s": total})
+
+            m = 1 + k + bins
+            got = np.zeros(1 + m + m * m)
+            for r in rows.mapInPandas(run, "i long, s double").groupBy("i").agg(F.sum("s").alias("s")).collect():  # a number a curvature
+                got[r.i] = r.s
+            got /= n
+            penalty = np.where(np.arange(m) > 0, self.ridge, 0.0)
+            return got[0] + 0.5 * (penalty * w * w).sum(), got[1 : 1 + m] + penalty * w, got[1 + m :].reshape(m, m) + np.diag(penalty)
+
+        w = np.zeros(1 + k + bins)
+        w[0] = np.log(deaths / (n - deaths))
+        loss, slope, curve = sums(w)
+        for _ in range(100):
+            step = np.zeros_like(w)
+            step[learned] = np.linalg.solve(curve[np.ix_(learned, learned)], slope[learned])
+            if slope @ step < 1e-14:
+                break
+            by, found = 1.0, sums(w - step)
+            while found[0] > loss and by > 1e-6:
+                by /= 2
+                found = sums(w - by * step)
+            if found[0] > loss:
+                break
+            w, (loss, slope, curve) = w - by * step, found
+        self.fitted |= {"beta": (w[1 : 1 + k] / unit[:k]).tolist(), "bins": [*(w[1 + k :] / unit[k:]).tolist(), *[0.0] * (self.n_bins - bins)], "constant": float(w[0])}
         return self
 
     def curve(self, df: DataFrame, key: str) -> DataFrame:
-        from pyspark.ml.functions import vector_to_array
-
+        """key, t, survival: the product of what each bin's hazard leaves, row by row."""
         self.need_fit()
-        rows = df.select(key, *self.features, F.explode(F.sequence(F.lit(0), F.lit(self.n_bins - 1))).alias("bin"))
-        rows = self.model.transform(rows).select(key, "bin", F.get(vector_to_array("_p"), F.lit(1)).alias("h"))
-        upto = Window.partitionBy(key).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-        return rows.select(key, ((F.col("bin") + 1) * self.fitted["width"]).alias("t"), F.exp(F.sum(F.log(F.greatest(1 - F.col("h"), F.lit(1e-12)))).over(upto)).alias("survival"))
+        mean, beta, level = np.array(self.fitted["mean"]), np.array(self.fitted["beta"]), self.fitted["constant"] + np.array(self.fitted["bins"])
+        names, (kept, *_) = [f"x{i}" for i in range(len(beta))], df.select(key).schema.fields
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 4096):
+                    part = batch.slice(at, 4096)
+                    if any(part.column(c).null_count for c in names):
+                        raise ValueError("missing features")
+                    x = np.column_stack([np.asarray(part.column(c), float) for c in names]) if names else np.zeros((part.num_rows, 0))
+                    z = ((x - mean) @ beta)[:, None] + level
+                    left = np.exp(np.cumsum(np.maximum(-np.logaddexp(0, z), np.log(1e-12)), axis=1))
+                    ends = np.arange(part.num_rows + 1, dtype=np.int32) * len(level)
+                    yield pa.RecordBatch.from_arrays([part.column("k"), pa.ListArray.from_arrays(pa.array(ends), pa.array(left.reshape(-1)))], ["k", "left"])
+
+        rows = df.select(F.col(key).alias("k"), *[F.col(c).cast("double").alias(n) for c, n in zip(self.features, names, strict=True)])
+        schema = StructType([StructField("k", kept.dataType), StructField("left", ArrayType(DoubleType()))])
+        rows = rows.mapInArrow(run, schema).select(F.col("k").alias(key), F.posexplode("left").alias("bin", "survival"))
+        return rows.select(key, ((F.col("bin") + 1) * self.fitted["width"]).alias("t"), "survival")
 
 
 def survival_model(kind: str, features: list[str], **options):
