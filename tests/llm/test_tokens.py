@@ -62,3 +62,29 @@ def test_blocks(n):
     for ids in (rng.integers(0, 50_000, n), rng.zipf(1.3, n).clip(max=2**32 - 1), np.full(n, 7), np.where(rng.random(n) < 0.02, 2**32 - 1, 3)):
         ids = ids.astype(np.uint32)
         assert np.array_equal(unpack(pack(ids)), ids)
+
+
+def test_packing_hands_on_a_few_texts_at_a_time(spark, monkeypatch):
+    """A task holds copies of some texts, not of ten thousand: the tokenizer never gets more than a slice's or a batch's bytes."""
+    from tidewatch.llm import packing
+    from tidewatch.sources import scratch
+
+    monkeypatch.setattr(scratch, "BATCH", 1 << 16)
+    monkeypatch.setattr(packing, "SLICE", 1 << 12)
+    seen = spark.sparkContext.accumulator(0)
+
+    class Watched:
+        def __init__(self, inner):
+            self.tokenizer, self._inner = inner.tokenizer, inner
+
+        def encode(self, texts):
+            seen.add(int(texts.nbytes > 1 << 13))
+            return self._inner.encode(texts)
+
+    inner = packing.encoder
+    monkeypatch.setattr(packing, "encoder", lambda name: Watched(inner(name)))
+    df = spark.createDataFrame([(i, f"some words of text {i} " * 20) for i in range(400)], "doc_id long, text string").repartition(1)
+    rows = packing_digest(df).collect()
+    assert {r.doc_id for r in rows} == set(range(400)) and sum(r.length for r in rows) == sum({r.doc_id: r.doc_tokens for r in rows}.values())
+    assert seen.value == 0
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None

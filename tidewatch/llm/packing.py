@@ -22,8 +22,11 @@ from pyspark.sql import functions as F
 
 from tidewatch.llm.subwords import encoder
 from tidewatch.llm.token_files import with_end
+from tidewatch.llm.words import slices
 from tidewatch.sources.scratch import cut
 
+#: Bytes of texts or ids that a task works on and hands on at a time, so that it never holds a whole batch's copies.
+SLICE = 1_000_000
 _TOKENS = "part long, local_start long, doc_id long, doc_tokens long, ids binary"
 _PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
@@ -33,6 +36,14 @@ def padded_length(length: int, window: int) -> int:
     return min(window, 1 << max(0, length - 1).bit_length())
 
 
+def _runs(data: pa.Array) -> Iterator[tuple[int, int]]:
+    """Start and length of consecutive runs of rows that hold at most ``SLICE`` bytes (or one row)."""
+    start = 0
+    for part in slices(data, SLICE):
+        yield start, len(part)
+        start += len(part)
+
+
 def pack_documents(docs: DataFrame, window: int = 2048, tokenizer: str = "word_bpe_49k.json", end_id: int = 1) -> DataFrame:
     """Pieces of ``docs(doc_id, text)``: doc_id, start, length, ids (little-endian uint32), doc_tokens, sequence_id, offset."""
 
@@ -42,12 +53,15 @@ def pack_documents(docs: DataFrame, window: int = 2048, tokenizer: str = "word_b
         part, at, encode = TaskContext.get().partitionId(), 0, encoder(tokenizer)
         narrow = "<u2" if max(end_id, encode.tokenizer.get_vocab_size() - 1) < 1 << 16 else "<u4"
         for batch in batches:
-            ids, counts = with_end(*encode.encode(batch.column("text")), end_id)
-            ends = np.cumsum(counts)
-            width = np.dtype(narrow).itemsize
-            data = pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(np.concatenate([[0], ends * width]).astype(np.int64).tobytes()), pa.py_buffer(ids.astype(narrow).tobytes())]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(counts), part)), pa.array(at + ends - counts), batch.column("doc_id"), pa.array(counts), data], ["part", "local_start", "doc_id", "doc_tokens", "ids"])
-            at += int(counts.sum())
+            doc_ids = batch.column("doc_id")
+            for texts in slices(batch.column("text"), SLICE):
+                own, doc_ids = doc_ids.slice(0, len(texts)), doc_ids.slice(len(texts))
+                ids, counts = with_end(*encode.encode(texts), end_id)
+                ends = np.cumsum(counts)
+                width = np.dtype(narrow).itemsize
+                data = pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(np.concatenate([[0], ends * width]).astype(np.int64).tobytes()), pa.py_buffer(ids.astype(narrow).tobytes())]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(counts), part)), pa.array(at + ends - counts), own, pa.array(counts), data], ["part", "local_start", "doc_id", "doc_tokens", "ids"])
+                at += int(counts.sum())
 
     tokens = cut(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tokenise, _TOKENS), "packed")
     # One row for each partition of the first pass: 16 bytes for each split of the input.
@@ -57,7 +71,7 @@ def pack_documents(docs: DataFrame, window: int = 2048, tokenizer: str = "word_b
         base[k], total = total, total + totals[k]
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (batch.slice(a, n) for batch in batches for a, n in _runs(batch.column("ids"))):
             counts = np.asarray(batch.column("doc_tokens"))
             first = np.array([base[k] for k in batch.column("part").to_pylist()], np.int64) + np.asarray(batch.column("local_start"))
             sequence, last = first // window, (first + counts - 1) // window

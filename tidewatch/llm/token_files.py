@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.llm.subwords import encoder, gather
-from tidewatch.sources.scratch import new_path, partitions
+from tidewatch.sources.scratch import cut_to, new_path, partitions
 
 BLOCK = 512
 #: Tokens after which a segment ends with its current document.
@@ -129,7 +129,7 @@ def write_token_file(docs: DataFrame, path: str, tokenizer: str, end_id: int) ->
 
     docs = docs.select(F.col("doc_id").cast("long"), "text").where(F.col("doc_id").isNotNull())
     ordered = docs.repartitionByRange(partitions(docs), "doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(shard, _SEGMENTS).write.option("compression", "zstd").parquet(path)
+    cut_to(ordered.mapInArrow(shard, _SEGMENTS), path)
 
 
 def read_token_file(spark: SparkSession, path: str) -> DataFrame:
