@@ -122,3 +122,29 @@ def test_near_copies_meet_once_not_for_each_shared_shingle(spark, monkeypatch):
     check(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3))
     (rows, pairs), = made
     assert pairs and rows <= 3 * pairs
+
+
+def test_signatures_keep_linked_pairs():
+    rng = np.random.default_rng(3)
+    for n in (1, 5, 97, 400, 3000):
+        a = rng.integers(0, 1 << 63, n).astype(np.uint64)
+        for changed in {0, 1, n // 20, n // 8}:
+            b = np.unique(np.concatenate([a[changed:], rng.integers(0, 1 << 63, changed).astype(np.uint64)]))
+            bits = int(np.unpackbits((jaccard_join.signature(a) ^ jaccard_join.signature(b)).view(np.uint8)).sum())
+            assert bits <= len(np.setxor1d(a, b))
+
+
+def test_near_misses_of_a_group_are_not_joined(spark, monkeypatch):
+    """Copies that share their first shingles and yet don't link: what the group's size squares to is never made."""
+    monkeypatch.setattr(jaccard_join, "WIDE", 3)
+    monkeypatch.setattr(jaccard_join, "ROUNDS", 0)
+    made, across = [], jaccard_join._across
+    monkeypatch.setattr(jaccard_join, "_across", lambda *args: made.append((out := across(*args)).count()) or out)
+    rng = random.Random(7)
+    base, texts = [f"w{rng.randrange(10**6)}" for _ in range(100)], []
+    for i in range(40):
+        copy = list(base)
+        copy[2], copy[6 + 2 * i] = f"x{i}", f"y{i}"
+        texts.append(" ".join(copy))
+    check(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3))
+    assert made[0] <= len(texts)

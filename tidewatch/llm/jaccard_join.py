@@ -11,7 +11,9 @@ meets the leader that it shares most buckets with, up to three times (from the s
 candidates is the last); components are found; then rows of different
 components that still share a bucket meet each other. So no link between components is lost, and a group of near copies never costs
 its square. Where a bucket is wide, rows meet only if they share a shingle of the second order's prefix as well, and a pair comes up
-at the first shingles that it shares, not at all of them.
+at the first shingles that it shares, not at all of them. A text has a signature, the parity of its shingles by 512
+classes of their hashes: linked sets differ in few shingles, so in few bits, and near misses are left out where rows meet. Texts
+that share no bucket are told by bits of a fixed size before the one shuffle of texts.
 
 Defined results: words are lower-cased (A-Z) runs of anything but ASCII white space; a text of fewer than four words has its
 whole sequence as its one shingle; null, empty and white texts have no shingle and no link. Rows that repeat a doc_id
@@ -44,6 +46,10 @@ WIDE = 64
 HOT, SALT = 20_000, 64
 #: Rounds with one leader a bucket and one pair a node; one that links under a share of 1 / FEW of its candidates is the last.
 ROUNDS, FEW = 3, 20
+#: Words of 64 bits in a text's signature.
+SIGNATURE = 8
+#: A bit for each so many hashes tells which texts share a bucket at all: 8 MB, whatever the corpus.
+BITS = 1 << 26
 #: So many of a text's first shingles in an order tell at which of them a pair has come up already.
 EARLIER = 8
 
@@ -66,6 +72,34 @@ def set_key(own: np.ndarray) -> np.uint64:
     return mix(np.add.reduce(mix(own), keepdims=True) + np.uint64(len(own)))[0]
 
 
+def signature(own: np.ndarray) -> np.ndarray:
+    """Whether each class of shingles has an odd number in the set: two sets differ in at least as many shingles as signatures in bits."""
+    odd = np.bincount((mix(own ^ _PERMUTED[0]) % np.uint64(64 * SIGNATURE)).astype(np.int64), minlength=64 * SIGNATURE) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _block_bits(t: pa.Table) -> pa.Table:
+    """One block of the bits of ``node_bits``."""
+    own = np.asarray(t.column("node")).view(np.uint64) % np.uint64(BITS // BLOCKS)
+    bits = np.zeros(BITS // BLOCKS, np.uint8)
+    bits[own.astype(np.int64)] = 1
+    return pa.table({"block": t.column("block")[:1], "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+
+
+def node_bits(nodes: DataFrame) -> np.ndarray:
+    """A bit, of ``BITS``, is set where some node's hash falls. Which texts can't be wanted, without a join that moves all of them."""
+    block = F.pmod(F.shiftright("node", (BITS // BLOCKS).bit_length() - 1), F.lit(BLOCKS)).cast("int").alias("block")
+    out = np.zeros((BLOCKS, BITS // BLOCKS // 8), np.uint8)
+    for r in nodes.select(block, "node").groupBy("block").applyInArrow(_block_bits, "block int, bits binary").collect():  # BLOCKS rows
+        out[r.block] = np.frombuffer(r.bits, np.uint8)
+    return out.reshape(-1)
+
+
+def _set_bits(bits: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    at = nodes % np.uint64(BITS)
+    return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8) & 1).astype(bool)
+
+
 def _features(k: int):
     """One row a text (doc_id, n, node), and at a task's end its counters in blocks."""
 
@@ -161,18 +195,24 @@ def _shared(index: DataFrame, threshold: int) -> DataFrame:
     return rows.select("token", "node", F.col("n").cast("long").alias("n"), F.col("at").cast("long").alias("at"))
 
 
-def _prefixes(classes, k: int, threshold: int):
-    """wanted, node, text, second, third: the other orders' prefixes, by the upper halves of the hashes (a necessary condition)."""
+def _prefixes(classes, bits, k: int, threshold: int):
+    """node, n, text, second, third, signature of the texts that may be wanted: the other orders' prefixes, by the upper halves of the hashes (a necessary
+    condition). Equal sets of a task are listed once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            wanted = batch.column("wanted")
             for texts in slices(batch.column("text")):
-                own, wanted = wanted.slice(0, len(texts)), wanted.slice(len(texts))
                 sets = shingle_sets(texts, k)
-                node = np.fromiter((set_key(s) for s in sets), np.uint64, len(sets)).view(np.int64)
-                more = [[(ordered_prefix(s, classes.value, o, threshold) >> np.uint64(32)).astype(np.uint32).view(np.int32) for s in sets] for o in (1, 2)]
-                yield pa.RecordBatch.from_arrays([own, pa.array(node), texts, *[pa.array(x, pa.list_(pa.int32())) for x in more]], ["wanted", "node", "text", "second", "third"])
+                node = np.fromiter((set_key(s) for s in sets), np.uint64, len(sets))
+                rows = []
+                for i in np.flatnonzero(_set_bits(bits.value, node)).tolist():
+                    if len(sets[i]) and (key := int(node[i])) not in seen:
+                        seen.add(key)
+                        rows.append(i)
+                more = [[(ordered_prefix(sets[i], classes.value, o, threshold) >> np.uint64(32)).astype(np.uint32).view(np.int32) for i in rows] for o in (1, 2)]
+                n, signatures = pa.array([len(sets[i]) for i in rows], pa.int64()), pa.array([signature(sets[i]) for i in rows], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(node[rows].view(np.int64)), n, texts.take(pa.array(rows, pa.int64())), *[pa.array(x, pa.list_(pa.int32())) for x in more], signatures], ["node", "n", "text", "second", "third", "signature"])
 
     return run
 
@@ -198,6 +238,12 @@ def _may_link(threshold: int, at: str = "at") -> Column:
     return sizes & F.expr(f"{threshold} * (n_a + n_b) <= {100 + threshold} * (least(n_a - {at}_a, n_b - {at}_b) + 1)")
 
 
+def _alike(threshold: int) -> Column:
+    """Signatures differ in no more bits than linked sets of these sizes may in shingles."""
+    bits = sum((F.bit_count(F.col("signature_a")[i].bitwiseXOR(F.col("signature_b")[i])) for i in range(SIGNATURE)), F.lit(0))
+    return bits * (100 + threshold) <= (F.col("n_a") + F.col("n_b")) * (100 - threshold)
+
+
 def jaccard_components(docs: DataFrame, threshold: int = THRESHOLD, k: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``docs(doc_id, text)``."""
     spark = docs.sparkSession
@@ -207,17 +253,19 @@ def jaccard_components(docs: DataFrame, threshold: int = THRESHOLD, k: int = SHI
     features = features.where("block is null").select("doc_id", "n", "node")
     index = docs.select("text").mapInArrow(_index(classes, k, threshold), "token long, salt int, node long, n int, at int")
     shared = cut(_shared(index, threshold), "shared")
-    nodes = cut(shared.select("node").distinct().join(features.where("doc_id is not null"), "node").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "nodes")
-    texts = docs.join(nodes.select("doc_id", F.col("node").alias("wanted")), "doc_id").mapInArrow(_prefixes(classes, k, threshold), "wanted long, node long, text string, second array<int>, third array<int>")
-    texts, table, folder = bucketed_table(texts.where("node = wanted").drop("wanted"), ["node"], "prefixes")
+    # No join by doc_id: that would move all texts, of which a part is wanted.
+    bits = spark.sparkContext.broadcast(node_bits(shared.select("node").distinct()))
+    texts = docs.where("doc_id is not null").select("text").mapInArrow(_prefixes(classes, bits, k, threshold), "node long, n long, text string, second array<int>, third array<int>, signature array<long>")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    texts, table, folder = bucketed_table(texts.repartition(parts, "node").dropDuplicates(["node"]), ["node"], "prefixes", parts, dealt=True)
 
     def verified(pairs: DataFrame) -> tuple[DataFrame, bool]:
         """Links, and whether they are few of the candidates."""
         pairs = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
         for side in ("a", "b"):
-            own = texts.select(F.col("node").alias(side), F.col("second").alias(f"second_{side}"), F.col("third").alias(f"third_{side}"))
+            own = texts.select(F.col("node").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("n", "second", "third", "signature")])
             pairs = pairs.join(own, side)
-        pairs = cut(pairs.where(F.arrays_overlap("second_a", "second_b") & F.arrays_overlap("third_a", "third_b")).select("a", "b"), "candidates")
+        pairs = cut(pairs.where(_alike(threshold)).where(F.arrays_overlap("second_a", "second_b") & F.arrays_overlap("third_a", "third_b")).select("a", "b"), "candidates")
         n = pairs.count()
         for side in ("a", "b"):
             pairs = pairs.join(texts.select(F.col("node").alias(side), F.col("text").alias(f"text_{side}")), side)
@@ -275,16 +323,18 @@ def _across(rows: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
     second = cut(second.join(held, "other", "left_semi").withColumn("at_2", F.col("at_2").cast("long") + 1), "second")
     begun = second.groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct("at_2", "other"))), 1, EARLIER).alias("begun"))
     before = F.transform(F.filter("begun", lambda x: x["at_2"] < F.col("at_2")), lambda x: x["other"]).alias("before_2")
-    wide = wide.join(second.join(begun, "node").select("node", "at_2", "other", before), "node")
+    wide = wide.join(second.join(begun, "node").select("node", "at_2", "other", before), "node").join(texts.select("node", "signature"), "node")
     pairs = []
     for part, keys in (narrow, (wide, ["token", "other"])):
-        carried = [c for c in ("at", "at_2", "before", "before_2") if c in part.columns]
+        carried = [c for c in ("at", "at_2", "signature", "before", "before_2") if c in part.columns]
         left = part.where("component <> common").selectExpr(*keys, "node a", "n n_a", "component c_a", *[f"{c} {c}_a" for c in carried])
         right = part.selectExpr(*keys, "node b", "n n_b", "component c_b", *[f"{c} {c}_b" for c in carried])
         found = left.join(right, keys).where(F.expr("c_a <> c_b"))
         for c in carried:
             if c.startswith("at"):  # the first shared shingle in either order
                 found = found.where(_may_link(threshold, c))
+            elif c == "signature":
+                found = found.where(_alike(threshold))
             else:
                 found = found.where(~F.arrays_overlap(f"{c}_a", f"{c}_b"))
         pairs.append(found.select("a", "b"))

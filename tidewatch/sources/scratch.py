@@ -69,14 +69,14 @@ def enough(spark: SparkSession, rows: int, each: int = 1 << 21) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // each))
 
 
-def bucketed_table(df: DataFrame, keys: list[str], name: str, n: int | None = None) -> tuple[DataFrame, str, str]:
-    """As ``cut``, as a table bucketed (n times; else by the session's setting) and sorted by keys: joins and groups on them don't move its rows again. Also its name and folder."""
+def bucketed_table(df: DataFrame, keys: list[str], name: str, n: int | None = None, dealt: bool = False) -> tuple[DataFrame, str, str]:
+    """As ``cut``, as a table bucketed (n times; else by the session's setting) and sorted by keys: joins and groups on them don't move its rows again. Also its name and folder. dealt: ``df`` has n partitions by the keys."""
     spark = df.sparkSession
     path = new_path(spark, name)
     table = f"{name}_{path[-12:]}"
     n = n or int(spark.conf.get("spark.sql.shuffle.partitions"))
     with small_batches(spark):
-        df.repartition(n, *keys).write.option("path", path).bucketBy(n, *keys).sortBy(*keys).saveAsTable(table)
+        (df if dealt else df.repartition(n, *keys)).write.option("path", path).bucketBy(n, *keys).sortBy(*keys).saveAsTable(table)
     return spark.table(table), table, path
 
 
