@@ -36,10 +36,15 @@ def sample_matrix(df: DataFrame, features: list[str], seed: int, rows: int = SAM
     They come in the order of a seeded hash of their values and their number among equal rows, so that equal rows are drawn
     one by one and the draw does not depend on how the table is split.
     """
+    return matrix(_drawn(df, features, seed, rows, block).select(*features).toPandas(), features)
+
+
+def _drawn(df: DataFrame, features: list[str], seed: int, rows: int = SAMPLE, block: int = 10_000) -> DataFrame:
+    """The rows of ``sample_matrix`` and their hashes ``__h``, as a table."""
     counts = complete(df, features).groupBy(*features).agg(F.count(F.lit(1)).alias("__n"))
     blocks = counts.withColumn("__b", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(__n - 1) div {block}"))))
     each = blocks.withColumn("__k", F.explode(F.sequence(F.col("__b") * block, F.least(F.col("__n"), (F.col("__b") + 1) * block) - 1)))
-    return matrix(each.orderBy(F.xxhash64(F.lit(seed), *features, "__k")).limit(rows).select(*features).toPandas(), features)
+    return each.select(F.xxhash64(F.lit(seed), *features, "__k").alias("__h"), *features).orderBy("__h").limit(rows)
 
 
 def matrix(part: pd.DataFrame, features: list[str]) -> np.ndarray:
@@ -140,9 +145,31 @@ def _flat(tree: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return np.maximum(tree[:, 0], 0).astype(np.intp), np.ascontiguousarray(tree[:, 1]), child.ravel(), np.ascontiguousarray(tree[:, 4]), depth
 
 
+def _grown(x: np.ndarray, depth: int, rng: np.random.Generator) -> list[list[float]]:
+    """A tree's nodes: feature, cut, left, right, path; feature -1: a leaf."""
+    nodes: list[list[float]] = []
+
+    def grow(rows: np.ndarray, level: int) -> int:
+        own = len(nodes)
+        nodes.append([-1.0, 0.0, 0.0, 0.0, level + float(_path(len(rows)))])
+        spread = np.flatnonzero(rows.max(axis=0) > rows.min(axis=0)) if len(rows) > 1 else []
+        if level < depth and len(spread):
+            f = int(rng.choice(spread))
+            cut = float(rng.uniform(rows[:, f].min(), rows[:, f].max()))
+            left, right = grow(rows[rows[:, f] < cut], level + 1), grow(rows[rows[:, f] >= cut], level + 1)
+            nodes[own] = [float(f), cut, float(left), float(right), 0.0]
+        return own
+
+    grow(x, 0)
+    return nodes
+
+
 @dataclass
 class IsolationForest(Detector):
-    """Random trees over samples of 256 rows; the offset puts a share ``contamination`` of all training rows above 0 (less, where scores tie)."""
+    """Random trees over samples of 256 rows; the offset puts a share ``contamination`` of all training rows above 0 (less, where scores tie).
+
+    Each tree grows in a task from its own rows and with its own generator; the driver gets hashes of rows and whole trees only.
+    """
 
     features: tuple[str, ...] = ("value",)
     contamination: float = 0.05
@@ -150,29 +177,23 @@ class IsolationForest(Detector):
     seed: int = 0
 
     def fit(self, df: DataFrame) -> IsolationForest:
-        x = sample_matrix(df, list(self.features), self.seed)
-        if len(x) < 2:
+        names, seed = list(self.features), self.seed
+        held = cut(_drawn(df, names, seed), "sample")
+        keys = np.sort(held.select("__h").toPandas()["__h"].to_numpy())
+        if len(keys) < 2:
             raise ValueError("too few rows")
-        rng, size = np.random.default_rng(self.seed), min(256, len(x))
-        depth, trees = int(np.ceil(np.log2(max(size, 2)))), []
-        for _ in range(self.n_estimators):
-            nodes: list[list[float]] = []  # feature, cut, left, right, path; feature -1: a leaf
-
-            def grow(rows: np.ndarray, level: int, nodes: list[list[float]] = nodes) -> int:
-                own = len(nodes)
-                nodes.append([-1, 0, 0, 0, level + float(_path(len(rows)))])
-                spread = np.flatnonzero(rows.max(axis=0) > rows.min(axis=0)) if len(rows) > 1 else []
-                if level < depth and len(spread):
-                    f = int(rng.choice(spread))
-                    cut = float(rng.uniform(rows[:, f].min(), rows[:, f].max()))
-                    left, right = grow(rows[rows[:, f] < cut], level + 1), grow(rows[rows[:, f] >= cut], level + 1)
-                    nodes[own] = [f, cut, left, right, 0]
-                return own
-
-            grow(x[rng.choice(len(x), size, replace=False)], 0)
-            trees.append(nodes)
+        size = min(256, len(keys))
+        depth = int(np.ceil(np.log2(max(size, 2))))
+        own = [keys[np.random.default_rng([seed, t]).choice(len(keys), size, replace=False)] for t in range(self.n_estimators)]
+        pairs = df.sparkSession.createDataFrame(pd.DataFrame({"__h": np.concatenate(own), "__t": np.repeat(np.arange(len(own)), size)}), "__h long, __t int")
+
+        def grown(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({"tree": [key[0]], "nodes": [_grown(matrix(part, names), depth, np.random.default_rng([seed, key[0], 1]))]})
+
+        found = held.join(F.broadcast(pairs), "__h").groupBy("__t").applyInPandas(grown, "tree int, nodes array<array<double>>")
+        trees = [r.nodes for r in sorted(found.collect(), key=lambda r: r.tree)]  # some 500 nodes each
         self.fitted = {"trees": trees, "size": size}
-        raw, names = self._raw(), list(self.features)
+        raw = self._raw()
         self.fitted["offset"] = quantile(complete(df, names), by_matrix(names, lambda x: -raw(x)), self.contamination)
         return self
 
