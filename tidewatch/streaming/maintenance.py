@@ -31,20 +31,26 @@ def buffered_features(stream: DataFrame, asset: str, at: str, value: str, window
     out = f"`{asset}` {types[asset]}, at timestamp, status string, rows int, " + ", ".join(f"{s} double" for s in _STATS)
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(parts)).sort_values(at, kind="stable")
-        held = np.array(state.get[0] if state.exists else [], float)
-        made, held = sliding(held, new[value].to_numpy(float), window)
+        when, x = arrivals(parts, at, value)
+        order = np.argsort(when, kind="stable")
+        rows, made, held = slid(np.array(state.get[0] if state.exists else [], float), x[order], window)
         state.update((held.tolist(),))
-        yield made.assign(**{asset: key[0], "at": new[at].to_numpy()})[[asset, "at", "status", "rows", *_STATS]]
+        yield pd.DataFrame({asset: [key[0]] * len(x), "at": when[order], "status": np.where(rows == window, "ready", "buffering"), "rows": rows, **made}, copy=False)
 
     rows = stream.select(asset, F.col(at).cast("timestamp").alias(at), F.col(value).cast("double").alias(value))
     return rows.groupBy(asset).applyInPandasWithState(step, out, "held array<double>", "append", "NoTimeout")
 
 
-def sliding(held: np.ndarray, new: np.ndarray, window: int) -> tuple[pd.DataFrame, np.ndarray]:
-    """status, rows and statistics after each arrival, from the rows held before; and the rows held after the last one."""
+def arrivals(parts: Iterator[pd.DataFrame], at: str, value: str) -> tuple[np.ndarray, np.ndarray]:
+    """The times and values of an asset's new rows, as arrays: frames cost more than the work on a few rows."""
+    held = [(part[at].to_numpy(), part[value].to_numpy(float)) for part in parts]
+    return (held[0] if len(held) == 1 else tuple(np.concatenate([h[i] for h in held]) for i in (0, 1)))
+
+
+def slid(held: np.ndarray, new: np.ndarray, window: int) -> tuple[np.ndarray, dict[str, np.ndarray], np.ndarray]:
+    """rows and statistics (NaN until the buffer is full) after each arrival, from the rows held before; and the rows held after the last one."""
     both = np.concatenate([held[max(0, len(held) - window + 1) :], new])
-    rows = np.minimum(np.arange(len(both) - len(new), len(both)) + 1, window)
+    rows = np.minimum(np.arange(len(both) - len(new), len(both)) + 1, window).astype(np.int32)
     made = {k: np.full(len(new), np.nan) for k in _STATS}
     full = np.flatnonzero(rows == window)
     if len(full):
@@ -52,8 +58,14 @@ def sliding(held: np.ndarray, new: np.ndarray, window: int) -> tuple[pd.DataFram
         each = (x.mean(axis=1), x.std(axis=1, ddof=1) if window > 1 else np.full(len(x), np.nan), x.min(axis=1), x.max(axis=1), x[:, -1], x[:, -1] - x[:, 0])
         for k, v in zip(_STATS, each, strict=True):
             made[k][full] = v
-    out = pd.DataFrame({"status": np.where(rows == window, "ready", "buffering"), "rows": rows.astype(np.int32), **made})
-    return out.astype({k: object for k in _STATS}).where(out.notna(), None), both[-window:]
+    return rows, made, both[-window:]
+
+
+def sliding(held: np.ndarray, new: np.ndarray, window: int) -> tuple[pd.DataFrame, np.ndarray]:
+    """status, rows and statistics after each arrival as a frame; and the rows held after the last one."""
+    rows, made, held = slid(held, new, window)
+    out = pd.DataFrame({"status": np.where(rows == window, "ready", "buffering"), "rows": rows, **made})
+    return out.astype({k: object for k in _STATS}).where(out.notna(), None), held
 
 
 def buffered_features_batch(df: DataFrame, asset: str, at: str, value: str, window: int = 100, kept: tuple[str, ...] = ()) -> DataFrame:

@@ -1,7 +1,7 @@
 """One stateful stream for each asset: its buffer, features, alerts with escalation, a model's score, and expiry.
 
-State of an asset: the last rows of its window (a list), the numbers of its alerts and its latest result (values). A timer of
-event time lets an asset expire that has been silent for ``idle``. A table of earlier rows can be the initial state. The
+State of an asset: one value with its latest result, the number of its alerts and the last rows of its window, read and written
+once for a batch, as each access goes from the worker to Spark and back. A timer of event time lets an asset expire that has been silent for ``idle``. A table of earlier rows can be the initial state. The
 latest results are read from the checkpoint by Spark's state reader, without a sink of their own. ``process_table`` gives the same
 rows from a table by windows.
 """
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidewatch.functions.rules import ALERT_LEVELS, alert_level
-from tidewatch.streaming.maintenance import _STATS, buffered_features_batch, raised, sliding
+from tidewatch.streaming.maintenance import _STATS, arrivals, buffered_features_batch, raised, slid
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -39,15 +39,12 @@ class _Assets(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getListState("held", "value double")
-        self.alerts = handle.getValueState("alerts", "n long")
-        self.latest = handle.getValueState("latest", _RESULT)
+        self.latest = handle.getValueState("latest", _RESULT + ", n long, held array<double>")
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
         rows = initialState.sort_values("at", kind="stable")
         n = (_levels(rows["value"].to_numpy(float), self.thresholds) != None).sum()  # noqa: E711
-        self.held.put([(float(v),) for v in rows["value"].to_numpy(float)[-self.window :]])
-        self.alerts.update((int(n),))
+        self.latest.update((*[None] * len(_COLUMNS), int(n), rows["value"].to_numpy(float)[-self.window :].tolist()))
         self._silent_after(rows["at"].iloc[-1])
 
     def _silent_after(self, at: pd.Timestamp) -> None:
@@ -57,33 +54,33 @@ class _Assets(StatefulProcessor):
             self.handle.registerTimer(int(at.timestamp() * 1000) + self.idle_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows)).sort_values(["at", "value"], kind="stable")
-        x = new["value"].to_numpy(float)
-        held = np.array([v[0] for v in self.held.get()], float)
-        made, held = sliding(held, x, self.window)
+        at, x = arrivals(rows, "at", "value")
+        order = np.lexsort((x, at))
+        at, x = at[order], x[order]
+        old = self.latest.get()
+        before, held = (old[-2], np.array(old[-1], float)) if old is not None else (0, np.empty(0))
+        rows, made, held = slid(held, x, self.window)
         level = _levels(x, self.thresholds)
-        is_alert = np.array([v is not None for v in level], bool)
-        n = (self.alerts.get()[0] if self.alerts.exists() else 0) + np.cumsum(is_alert)
-        up = raised(level, n, *self.steps)
-        made = made.assign(at=new["at"].to_numpy(), level=level, count=np.where(is_alert, n, None), escalated_level=np.where(is_alert, up, None), score=None)
-        ready = (made["status"] == "ready").to_numpy()
+        is_alert = level != None  # noqa: E711
+        n = before + np.cumsum(is_alert)
+        ready = rows == self.window
+        count, up, score = (np.full(len(x), None, object) for _ in range(3))
+        count[is_alert], up[is_alert] = n[is_alert], raised(level, n, *self.steps)[is_alert]
+        out = {self.asset: [key[0]] * len(x), "at": at, "status": np.where(ready, "ready", "buffering"), "rows": rows, **made, "level": level, "count": count, "escalated_level": up, "score": score}
         if self.model is not None and ready.any():
             try:
-                made.loc[ready, "score"] = np.asarray(self.model(made[ready]), float)
+                score[ready] = np.asarray(self.model(pd.DataFrame(out)[ready]), float)
             except Exception as e:  # the stream goes on without the score
                 warnings.warn(f"model failed: {e}", stacklevel=2)
-        made = made[_COLUMNS]
-        self.held.put([(float(v),) for v in held])
-        self.alerts.update((int(n[-1]),))
-        last = made.iloc[-1]
-        self.latest.update(tuple(None if v is None or v is pd.NaT or (isinstance(v, float) and np.isnan(v)) else v.to_pydatetime() if isinstance(v, pd.Timestamp) else v.item() if hasattr(v, "item") else v for v in last))
-        self._silent_after(new["at"].iloc[-1])
-        yield made.assign(**{self.asset: key[0]})[[self.asset, *_COLUMNS]]
+        last = [out[c][-1] for c in _COLUMNS[1:]]
+        last = [None if v is None or v != v else v.item() if hasattr(v, "item") else v for v in last]
+        self.latest.update((pd.Timestamp(at[-1]).to_pydatetime(), *last, int(n[-1]), held.tolist()))
+        self._silent_after(pd.Timestamp(at[-1]))
+        yield pd.DataFrame(out, copy=False)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         at = pd.Timestamp(expiredTimerInfo.getExpiryTimeInMs(), unit="ms")
-        for state in (self.held, self.alerts, self.latest):
-            state.clear()
+        self.latest.clear()
         yield pd.DataFrame([[key[0], at, "expired", 0, *[None] * (len(_COLUMNS) - 3)]], columns=[self.asset, *_COLUMNS])
 
     def close(self) -> None:
@@ -113,7 +110,7 @@ def process_stream(
 def latest_results(spark: SparkSession, checkpoint: str, asset: str) -> DataFrame:
     """asset and the last result of each that has not expired, out of a stream's checkpoint."""
     state = spark.read.format("statestore").option("stateVarName", "latest").load(checkpoint)
-    return state.select(F.col(f"key.{asset}").alias(asset), "value.*")
+    return state.where("value.status is not null").select(F.col(f"key.{asset}").alias(asset), *[f"value.{c}" for c in _COLUMNS])
 
 
 def process_table(df: DataFrame, asset: str, at: str, value: str, window: int = 100, thresholds: dict[str, float] | None = None, to_critical: int = 3, to_failure: int = 5) -> DataFrame:
