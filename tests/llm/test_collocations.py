@@ -1,5 +1,6 @@
 import re
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import pytest
 
@@ -64,3 +65,28 @@ def test_few_bits_lose_nothing(docs, monkeypatch):
 def test_empty(no_docs):
     out = collocations(no_docs)
     assert out.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"] and out.collect() == []
+
+
+def test_a_task_holds_few_chunks(spark, tmp_path, monkeypatch):
+    """Row groups of the chunks' tables are bounded, however many chunks a file has, and tables that are done with are gone."""
+    import pyarrow.parquet as pq
+
+    cuts = module.slices
+    monkeypatch.setattr(module, "slices", lambda texts, n: cuts(texts, 1000))
+    monkeypatch.setattr(module, "CHUNK", 1000)
+    real, groups, folders = module.cut_to, [], []
+
+    def seen(df, path, *more, **options):
+        out = real(df, path, *more, **options)
+        folders.append(path.removeprefix("file:"))
+        for f in Path(folders[-1]).glob("*.parquet"):
+            meta = pq.ParquetFile(f).metadata
+            groups.append((meta.num_rows, max([meta.row_group(i).num_rows for i in range(meta.num_row_groups)], default=0)))
+        return out
+
+    monkeypatch.setattr(module, "cut_to", seen)
+    rows = [("en", f"the red fox ran {i % 7} times over the hill. and then the red fox sat") for i in range(400)]
+    check(spark.createDataFrame(rows, "lang string, text string").coalesce(1))
+    assert max(n for n, _ in groups) > 10, groups
+    assert max(g for _, g in groups) <= module.CHUNKS
+    assert len(folders) == 4 and not any(Path(f).exists() for f in folders)

@@ -29,12 +29,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.llm.words import LOWER, flat_bytes, mix, range_hashes, slices
-from tidewatch.sources.scratch import cut
+from tidewatch.sources.scratch import cut, cut_to, drop, new_path
 
 #: Words of a phrase at most, occurrences at least, rows of each language, and the share (in hundredths) at which a longer phrase stands for a shorter one.
 LONGEST, SUPPORT, TOP, COVERED = 4, 30, 2000, 80
 #: Bytes of text in a chunk, about, and bits of the map of frequent phrases (16 MB, in words of 64).
 CHUNK, BITS = 2_000_000, 1 << 27
+#: Chunks that a task writes or reads at once.
+CHUNKS = 2
 #: Tasks that rank one language before its best rows meet.
 SALT = 64
 
@@ -178,7 +180,9 @@ def _bitmap(found: DataFrame):
 
 def frequent_phrases(docs: DataFrame, support: int = SUPPORT, longest: int = LONGEST) -> tuple[DataFrame, list[DataFrame]]:
     """lang, n (all words of a language); and for each length key, a (its count, at least ``support``), and lang, word or first, rest."""
-    relation = cut(docs.select("lang", "text").mapInArrow(_first(CHUNK), _FIRST), "occurrences-1")
+    spark = docs.sparkSession
+    path = new_path(spark, "occurrences-1")
+    relation = cut_to(docs.select("lang", "text").mapInArrow(_first(CHUNK), _FIRST), path, group_rows=CHUNKS)
     words = relation.select(F.explode(F.arrays_zip("key", "lang", "word", "n")).alias("e")).select("e.*")
     words = cut(words.groupBy("key", "lang", "word").agg(F.sum("n").alias("a")), "words")
     total = words.groupBy("lang").agg(F.sum("a").alias("n"))
@@ -188,10 +192,13 @@ def frequent_phrases(docs: DataFrame, support: int = SUPPORT, longest: int = LON
         counts = relation.select("gap", "code", "key").mapInArrow(_counts(bits), "key long, n long")
         counts = cut(counts.groupBy("key").agg(F.sum("n").alias("a")).where(F.col("a") >= support), f"counts-{k}")
         more = _bitmap(counts)
-        relation = cut(relation.select("gap", "code", "key").mapInArrow(_kept(bits, more), _LATER), f"occurrences-{k}")
+        before, path = path, new_path(spark, f"occurrences-{k}")
+        relation = cut_to(relation.select("gap", "code", "key").mapInArrow(_kept(bits, more), _LATER), path, group_rows=CHUNKS)
+        drop(spark, before)
         parts = relation.select(F.explode(F.arrays_zip("key", "first", "rest")).alias("e")).select("e.*").groupBy("key").agg(F.first("first").alias("first"), F.first("rest").alias("rest"))
         found.append(cut(counts.join(parts, "key"), f"frequent-{k}"))
         bits = more
+    drop(spark, path)
     return total, found
 
 

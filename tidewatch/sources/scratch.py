@@ -57,10 +57,17 @@ def cut(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     return cut_to(df, new_path(df.sparkSession, name), compression)
 
 
-def cut_to(df: DataFrame, path: str, compression: str = "zstd") -> DataFrame:
-    """As ``cut``, in a folder that the caller names and may ``drop``."""
+def cut_to(df: DataFrame, path: str, compression: str = "zstd", group_rows: int | None = None) -> DataFrame:
+    """As ``cut``, in a folder that the caller names and may ``drop``.
+
+    ``group_rows``: rows of a row group at most, for rows of megabytes. Writers look at a group's size after a hundred rows only, and a reader
+    takes up to a whole group at once, so that a task's memory would grow with its share of the table.
+    """
+    write = df.write.option("compression", compression)
+    if group_rows:
+        write = write.option("parquet.block.row.count.limit", str(group_rows))
     with small_batches(df.sparkSession):
-        df.write.option("compression", compression).parquet(path)
+        write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
