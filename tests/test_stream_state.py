@@ -75,3 +75,18 @@ def test_earlier_rows_alone_are_no_result(spark, tmp_path):
     got = spark.read.parquet(str(tmp_path / "out")).collect()
     assert [(r.asset, r.status, r.rows, r["mean"], r["count"]) for r in got] == [("x", "ready", 2, 47.5, 2)]
     assert [(r.asset, r["count"]) for r in latest_results(spark, str(tmp_path / "state"), "asset").collect()] == [("x", 2)]
+
+
+def test_arrivals_of_several_frames():
+    """What a key's call of ``buffered_features`` does, out of order and over two batches."""
+    from tidewatch.streaming.maintenance import arrivals, slid
+
+    x, at = np.arange(8.0) ** 2, pd.date_range("2024-01-01", periods=8).to_numpy()
+    parts = [pd.DataFrame({"at": at[[3, 1]], "value": x[[3, 1]]}), pd.DataFrame({"at": at[[0, 2]], "value": x[[0, 2]]})]
+    when, value = arrivals(iter(parts), "at", "value")
+    order = np.argsort(when, kind="stable")
+    assert value[order].tolist() == x[:4].tolist()
+    rows, made, held = slid(np.empty(0), value[order], 3)
+    assert rows.tolist() == [1, 2, 3, 3] and np.isnan(made["mean"][:2]).all() and made["change"][2:].tolist() == [4.0, 8.0]
+    rows, made, held = slid(held, x[4:], 3)
+    assert rows.tolist() == [3] * 4 and made["mean"].tolist() == [x[i - 2 : i + 1].mean() for i in range(4, 8)] and held.tolist() == x[5:].tolist()
